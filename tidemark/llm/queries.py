@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import table
 
-from . import license_scan, pii, quality_classifier, url_filters
+from . import license_scan, pii, quality_classifier, substring_dedup, url_filters
 from .common import crc_text
 
 # The host and path rules of the URL query.
@@ -35,6 +35,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -77,9 +82,27 @@ FROM k
 """
 
 
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, p, array_to_string(words[p:p+34], ' ') AS seq
+  FROM d, LATERAL (SELECT unnest(range(1, len(words) - 33)) AS p)
+), again AS (
+  SELECT doc_id, p FROM w WHERE seq IN (SELECT seq FROM w GROUP BY seq HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT doc_id, p + k AS i FROM again, range(35) r(k)
+), g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN words
+    ELSE list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(gone, i)), lambda i: words[i]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filters, op4_pii, op8_license_scan, op10_quality)}
+    return {f.__name__: f for f in (op2_url_filters, op4_pii, op6_substring_dedup, op8_license_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL}
+    return {"op2_url_filters": OP2_SQL, "op6_substring_dedup": OP6_SQL}
