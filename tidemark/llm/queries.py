@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import table
 
-from . import license_scan, pii, quality_classifier, substring_dedup, url_filters
+from . import license_scan, minhash_dedup, pii, quality_classifier, substring_dedup, url_filters
 from .common import crc_text
 
 # The host and path rules of the URL query.
@@ -44,6 +44,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.dedup(table(spark, sf_dir, "documents"), size=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -100,9 +105,31 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g
+  FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT u, v FROM pair JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)
+), edge AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, edge.v FROM reach JOIN edge ON edge.u = reach.r
+)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filters, op4_pii, op6_substring_dedup, op8_license_scan, op10_quality)}
+    return {f.__name__: f for f in (op2_url_filters, op4_pii, op6_substring_dedup, op8_license_scan, op9_minhash_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op6_substring_dedup": OP6_SQL}
+    return {"op2_url_filters": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op9_minhash_dedup": OP9_SQL}
