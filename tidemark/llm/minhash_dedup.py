@@ -188,3 +188,12 @@ def dedup(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS)
     out = rows.where(F.col("node").isNotNull()).join(named, "node").select("key", "doc_id", "n_shingles", "component_id")
     alone = rows.where(F.col("node").isNull()).select("key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that have the least doc_id of their group. Rows of equal id
+    and text stand for one document and stay once."""
+    kept = dedup(docs, size, percent).where("kept").select(F.col("key").alias("kept_key")).distinct()
+    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.struct("*").alias("row"))
+    stays = rows.join(kept, F.col("key") == F.col("kept_key"), "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+    return stays.select(*[F.col("row")[c].alias(c) for c in docs.columns])

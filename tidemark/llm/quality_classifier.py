@@ -189,3 +189,9 @@ def score(docs: DataFrame, model: RuleModel, *keep: str) -> DataFrame:
     rows = with_statistics(docs.select(F.col("text").alias("whole"), *[c for c in keep if c != "text"]).withColumn("text", F.col("whole")), "whole", *[c for c in keep if c != "text"])
     out = rows.select(*[F.col("whole").alias(c) if c == "text" else F.col(c) for c in keep], model.score().alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def keep(docs: DataFrame, model: RuleModel, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that score `least` or more."""
+    rows = with_statistics(docs.select(F.struct("*").alias("row"), "text"), "row")
+    return rows.where(model.score() >= least).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import table
 
-from . import license_scan, minhash_dedup, pii, quality_classifier, substring_dedup, url_filters
+from . import decontaminate, license_scan, lm_scoring, media_chunks, minhash_dedup, pii, quality_classifier, sentencepieces, substring_dedup, url_filters
 from .common import crc_text
 
 # The host and path rules of the URL query.
@@ -24,6 +26,18 @@ LISTED_LANGS = ["de", "en", "es", "fr"]
 LISTED_PAGES = 1000
 
 
+def model_path() -> str:
+    """The SentencePiece model file."""
+    return os.environ.get("TIDEMARK_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lm_scoring.held_out(F.col("doc_id"))
+    found = lm_scoring.score(docs, docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts, langs = (F.explode(F.array(*map(F.lit, v))) for v in (LISTED_HOSTS, LISTED_LANGS))
     listed = spark.range(LISTED_PAGES).select("id", hosts.alias("host")).select("id", "host", langs.alias("lang"))
@@ -31,15 +45,30 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text as the digest of their decimal numbers, joined by one space."""
+    found = sentencepieces.encode(table(spark, sf_dir, "documents"), sentencepieces.read_model(model_path()))
+    digest = F.sha2(F.array_join("ids", " ").cast("binary"), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_sha256"), "parity", "round_trip")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.stored(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -105,6 +134,20 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+OP7_SQL = r"""
+WITH t AS (
+  SELECT 0 AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark
+), s AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) < 5 THEN [] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g FROM t
+), n AS (SELECT id, count(*) AS n FROM s WHERE kind = 1 GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, any_value(n.n)::BIGINT AS n_shingles, count(*)::BIGINT AS n_shared
+FROM s d JOIN s i ON d.g = i.g AND d.kind = 0 AND i.kind = 1 JOIN n ON n.id = i.id
+GROUP BY d.id, i.id HAVING 100 * count(*) >= 80 * any_value(n.n)
+"""
+
+
 OP9_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -128,8 +171,20 @@ FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filters, op4_pii, op6_substring_dedup, op8_license_scan, op9_minhash_dedup, op10_quality)}
+    found = (
+        op1_lm_scoring,
+        op2_url_filters,
+        op3_sentencepiece,
+        op4_pii,
+        op5_media_chunks,
+        op6_substring_dedup,
+        op7_decontamination,
+        op8_license_scan,
+        op9_minhash_dedup,
+        op10_quality,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op9_minhash_dedup": OP9_SQL}
+    return {"op2_url_filters": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_minhash_dedup": OP9_SQL}
