@@ -1,9 +1,11 @@
 """Near-duplicate documents by banded MinHash, sequential Bayesian verification and exact confirmation.
 
 A document is the set of its distinct word shingles. Documents with the same set are one node from the
-start. Each node's MinHash signature is cut into bands; nodes that share a band are candidates. Within a
-band's bucket all nodes are first compared with one pivot; only pairs whose ends still lie in different
-components after that are compared with each other, so a group of copies costs one comparison each.
+start. Each node's MinHash signature is cut into bands; nodes that share a band are candidates. A bucket's
+pivot is the node that meets most others over all bands, which is a group's likely origin; all nodes of a
+bucket are first compared with it. Nodes that this leaves in another component than the pivot are compared
+with the others of the pivot's group, block by block inside the tasks, so a group of copies costs one
+comparison each and no pairs are emitted but links.
 Candidates go through the signature batch by batch: after n hashes with m agreements the posterior
 probability of a similarity over the threshold is known, and a pair is dropped once it falls under the
 chosen miss probability. Survivors are confirmed on their full shingle sets.
@@ -30,6 +32,8 @@ from .graph import components
 ROWS, BANDS, BATCH = 5, 32, 32
 #: Chance to drop a pair at the threshold in one look at a batch.
 MISS = 1e-9
+#: Shingles on either side of a comparison in one task.
+BLOCK_SHINGLES = 1_000_000
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = np.random.Generator(np.random.PCG64(78)).integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,49 +107,79 @@ def _prune(threshold: float, miss: float):
     return run
 
 
-def _confirm(size: int, percent: int):
-    def sets(col: pa.Array) -> list[np.ndarray]:
-        data, offsets = binary_parts(col)
-        words, _, _, first = word_hashes(data, offsets, lower=True)
-        return list(shingle_sets(words, first, size))
+def _compare(size: int, percent: int, looks: list[tuple[int, int]]):
+    """For one group: the links between its left and its right nodes that have different roots.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(iter([batch]), "text_u"):
-                for less in slices(iter([part]), "text_v"):
-                    good = []
-                    for a, b in zip(sets(less.column(2)), sets(less.column(3)), strict=True):
-                        both = len(np.intersect1d(a, b, assume_unique=True))
-                        good.append(100 * both >= percent * (len(a) + len(b) - both))
-                    yield less.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+    A left node's signature is held against all right ones batch by batch; survivors' full sets are
+    intersected with its own by marks over the group's numbered shingles.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, bits = (table.column(c).to_pylist() for c in ("node", "root", "bits"))
+        left = np.asarray(table.column("is_left"))
+        sets = []
+        for text in table.column("text").to_pylist():
+            words, _, _, first = word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]), lower=True)
+            sets.append(next(shingle_sets(words, first, size)))
+        lengths = np.array([len(x) for x in sets])
+        starts = np.cumsum(lengths) - lengths
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        sign = np.frombuffer(b"".join(bits), np.uint8).reshape(len(node), -1)
+        names = {r: k for k, r in enumerate(dict.fromkeys(root))}
+        roots = np.array([names[r] for r in root])
+        rights, mark = np.flatnonzero(~left), np.zeros(int(ids.max(initial=-1)) + 1, bool)
+        out: list[tuple[bytes, bytes]] = []
+        for x in np.flatnonzero(left):
+            alive, matches, done = rights[roots[rights] != roots[x]], 0, 0
+            for n, m in looks:
+                matches = matches + (sign[alive, done:n] == sign[x, done:n]).sum(1, dtype=np.int32)
+                alive, matches, done = alive[matches >= m], matches[matches >= m], n
+            if not len(alive):
+                continue
+            own = ids[starts[x] : starts[x] + lengths[x]]
+            mark[own] = True
+            at = np.arange(int(lengths[alive].sum())) + np.repeat(starts[alive] - np.cumsum(lengths[alive]) + lengths[alive], lengths[alive])
+            both = np.add.reduceat(mark[ids[at]], np.cumsum(lengths[alive]) - lengths[alive], dtype=np.int64)
+            mark[own] = False
+            good = alive[100 * both >= percent * (lengths[x] + lengths[alive] - both)]
+            out += [(node[x], node[y]) for y in good]
+        cols = list(zip(*out, strict=True)) if out else [[], []]
+        return pa.table([binary_array(list(cols[0])), binary_array(list(cols[1]))], names=["u", "v"])
 
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
-    """The links (u, v) among candidate pairs of nodes."""
+def _links(sides: DataFrame, nodes: DataFrame, text: DataFrame, size: int, percent: int, miss: float, shingles: int) -> DataFrame:
+    """The links (u, v) between left and right nodes of each group. sides: (group, node, root, is_left).
+
+    A group is cut into blocks of about `shingles` shingles on either side, and each left block meets each
+    right one, so that a task holds two blocks however large the group is.
+    """
+    sized = sides.join(nodes.select("node", "key", "bits", "n_shingles"), "node")
+    weight = lambda side: F.sum(F.when(F.col("is_left") == side, F.col("n_shingles")).otherwise(0))
+    blocks = sized.groupBy("group").agg(*[F.ceil((weight(s) + 1) / shingles).cast("int").alias(n) for s, n in ((True, "lefts"), (False, "rights"))])
+    cut = sized.join(blocks, "group")
+    own = lambda n: F.array(F.pmod(F.xxhash64("node"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = cut.withColumn("i", F.explode(F.when(F.col("is_left"), own("lefts")).otherwise(every("lefts"))))
+    dealt = dealt.withColumn("j", F.explode(F.when(F.col("is_left"), every("rights")).otherwise(own("rights"))))
+    whole = text.groupBy("key").agg(F.first("text").alias("text"))
+    rows = dealt.join(whole.join(dealt.select("key").distinct(), "key"), "key").select("group", "i", "j", "node", "root", "is_left", "bits", "text")
+    return rows.groupBy("group", "i", "j").applyInArrow(_compare(size, percent, least_matches(percent / 100, miss)), "u binary, v binary")
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float) -> DataFrame:
+    """The pairs (u, v) that their signatures leave likely."""
     bits = nodes.select("node", "bits")
-    near = (
+    return (
         pairs.join(bits.select(F.col("node").alias("u"), F.col("bits").alias("bits_u")), "u")
         .join(bits.select(F.col("node").alias("v"), F.col("bits").alias("bits_v")), "v")
         .select("u", "v", "bits_u", "bits_v")
         .mapInArrow(_prune(percent / 100, miss), "u binary, v binary")
     )
-    near = materialize(near, "dedup-survivors")
-    asked = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "key"), "node")
-    whole = docs.join(asked, "key").groupBy("node").agg(F.first("text").alias("text"))
-    links = (
-        near.join(whole.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
-        .join(whole.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-        .select("u", "v", "text_u", "text_v")
-        .mapInArrow(_confirm(size, percent), "u binary, v binary")
-    )
-    links = materialize(links, "dedup-links")
-    discard(near)
-    return links
 
 
-def dedup(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
+def dedup(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(key, doc_id, n_shingles, component_id, kept) of every row.
 
     Documents are linked if 100 * shared >= percent * joint shingles; component_id is the least doc_id
@@ -158,28 +192,41 @@ def dedup(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS)
     )
     full = sketches.where(F.col("node").isNotNull())
     nodes = materialize(
-        full.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("bits").alias("bits")),
+        full.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles")),
         "dedup-nodes",
     )
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "pivot")
-    members = materialize(banded.join(shared, "band"), "dedup-buckets")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = materialize(banded.join(shared, "band"), "dedup-crowded")
+    # The node that meets most others over all its bands is a group's likely origin and becomes the pivot.
+    degrees = crowded.groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = crowded.join(degrees, "node").select("band", "node", F.struct("degree", "node").alias("rank"))
+    pivots = ranked.groupBy("band").agg(F.max("rank").alias("top")).select("band", F.col("top.node").alias("pivot"))
+    members = materialize(crowded.select("band", "node").join(pivots, "band"), "dedup-buckets")
+    discard(crowded)
     text = source.select("key", "text")
 
-    stars = members.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    links = _verified(stars, nodes, text, size, percent, miss)
+    stars = materialize(members.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "dedup-stars")
+    discard(members)
+    near = _near(stars, nodes, percent, miss)
+    near = materialize(near.select(F.col("u").alias("group"), F.col("v").alias("node")), "dedup-survivors")
+    sides = near.select("group", "node", F.col("node").alias("root"), F.lit(False).alias("is_left"))
+    heads = near.select("group").distinct().select("group", F.col("group").alias("node"), F.col("group").alias("root"), F.lit(True).alias("is_left"))
+    links = materialize(_links(sides.unionByName(heads), nodes, text, size, percent, miss, shingles), "dedup-links")
     roots = materialize(components(links), "dedup-roots")
 
-    # What the pivots left apart within a bucket is compared there, across components only.
-    placed = members.join(roots, "node", "left").select("band", "pivot", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    apart = materialize(placed.where("node <> pivot").join(split, "band"), "dedup-apart")
-    other = apart.select("band", F.col("node").alias("v"), F.col("root").alias("root_v"))
-    cross = apart.join(other, "band").where("node < v and root <> root_v").select(F.col("node").alias("u"), "v").distinct()
-    more = _verified(cross, nodes, text, size, percent, miss)
+    # Nodes that meet in a bucket meet its pivot there. Those that the pivots left in other components are
+    # held against everyone of their pivot's group.
+    placed = stars.select(F.col("u").alias("group"), F.col("v").alias("node")).join(roots, "node", "left").select("group", "node", F.coalesce("root", "node").alias("root"))
+    placed = placed.join(roots.select(F.col("node").alias("group"), F.col("root").alias("group_root")), "group", "left")
+    placed = placed.withColumn("is_left", F.col("root") != F.coalesce("group_root", "group"))
+    split = placed.groupBy("group").agg(F.sum(F.col("is_left").cast("int")).alias("lefts"), F.count("*").alias("n")).where("lefts > 0 and n > 1").select("group")
+    placed = materialize(placed.join(split, "group").select("group", "node", "root", "is_left"), "dedup-apart")
+    sides = placed.where("is_left").unionByName(placed.withColumn("is_left", F.lit(False)))
+    more = materialize(_links(sides, nodes, text, size, percent, miss, shingles), "dedup-links")
     joined = links.unionByName(more).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
     final = materialize(components(joined), "dedup-roots")
-    discard(roots, apart, members)
+    discard(stars, near, links, roots, placed, more)
 
     rooted = nodes.select("node", "least_id").join(final, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
