@@ -8,8 +8,8 @@ again, and is a repeat if the same sequence starts at two places at least. Maxim
 unions of these windows. Work per place is linear: no pairs of places are ever formed.
 
 Hashes travel as packed arrays, one row for each bucket and slice of text, so that a shuffle moves about
-seven bytes for each word. 42 to 64 bits of hash find the hits and all 64 bits of the longer window's hash
-confirm them.
+six bytes for each word; places go back packed alike, by the groups of texts that they belong to. The
+bucket and 24 more bits of hash find the hits and all 64 bits of the longer window's hash confirm them.
 
 Defined cases: a null text counts as empty and has no words; a text shorter than a window loses nothing;
 repeated rows are separate documents, so long ones lose all words; an empty table gives no rows; other
@@ -28,35 +28,40 @@ from pyspark.sql import functions as F
 from .common import binary_array, binary_parts, row_key, slices, window_hashes, word_hashes
 
 WINDOW = 35
-#: Bytes of text for each bucket of hashes; sets how much one group holds in memory.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text for each bucket of hashes, and for each group of texts.
+BUCKET_BYTES, GROUP_BYTES = 2 << 20, 8 << 20
+#: Bytes of a hash that are stored beside its bucket when hits are looked for, and when they are confirmed.
+SHORT, WHOLE = 3, 8
 
 _PACKED = "bucket int, keys binary, counts binary, places binary, hashes binary"
+_PLACES = "part int, keys binary, counts binary, places binary"
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """The values byte plane by byte plane, as high bytes repeat and compress."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+def _planes(a: np.ndarray, size: int = 4) -> bytes:
+    """The values' low `size` bytes, byte plane by byte plane, as high bytes repeat and compress."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize)[:, :size].T).tobytes()
 
 
-def _values(b: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def _values(b: bytes, size: int = 4) -> np.ndarray:
+    kind = np.uint64 if size > 4 else np.uint32
+    out = np.zeros((len(b) // size, np.dtype(kind).itemsize), np.uint8)
+    out[:, :size] = np.frombuffer(b, np.uint8).reshape(size, -1).T
+    return out.view(kind).ravel()
 
 
 def _pack(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, h: np.ndarray, bits: int, width: int) -> pa.RecordBatch:
-    """One row for each bucket (the hash's first `bits` bits) with its places and `width` further bits."""
+    """One row for each bucket (the hash's first `bits` bits) with its places and `width` bytes of hash."""
     bucket = (h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket, doc, place, h = bucket[order], doc[order], place[order], h[order]
-    stored = h if width == 64 else (h >> np.uint64(64 - bits - width)).astype(np.uint32)
+    stored = h if width == WHOLE else (h >> np.uint64(64 - bits - 8 * width)).astype(np.uint32)
     ends = np.flatnonzero(np.diff(bucket, append=-1))
     rows: list[tuple] = []
     a = 0
     for b in ends + 1:
         own = doc[a:b]
         at = np.flatnonzero(np.diff(own, prepend=-1))
-        rows.append((int(bucket[a]), keys[own[at]].tobytes(), _planes(np.diff(at, append=len(own)).astype(np.uint32)), _planes(place[a:b].astype(np.uint32)), _planes(stored[a:b])))
+        rows.append((int(bucket[a]), keys[own[at]].tobytes(), _planes(np.diff(at, append=len(own)).astype(np.uint32)), _planes(place[a:b].astype(np.uint32)), _planes(stored[a:b], width)))
         a = b
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *map(binary_array, map(list, cols[1:]))], names=["bucket", "keys", "counts", "places", "hashes"])
@@ -79,20 +84,21 @@ def _probes(window: int, block: int, bits: int):
             doc, place = _places(first, block, window, len(words))
             if len(doc):
                 h = window_hashes(words, block)[first[doc] + place]
-                yield _pack(np.asarray(part.column(0)), doc, place, h, bits, 32)
+                yield _pack(np.asarray(part.column(0)), doc, place, h, bits, SHORT)
 
     return run
 
 
-def _repeats(block: int, kind: type):
-    """For one bucket: the places whose hash occurs twice; with a block, only if once as a reference block."""
+def _repeats(block: int, width: int, parts: int):
+    """For one bucket: the places whose hash occurs twice; with a block, only if once as a reference block.
+    They are packed by the group of texts (of `parts`) that their text is in."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, places, hashes = [], [], []
         for k, c, p, h in zip(*(table.column(n).to_pylist() for n in ("keys", "counts", "places", "hashes")), strict=True):
-            keys.append(np.repeat(np.frombuffer(k, np.int64), _values(c, np.uint32)))
-            places.append(_values(p, np.uint32))
-            hashes.append(_values(h, kind))
+            keys.append(np.repeat(np.frombuffer(k, np.int64), _values(c)))
+            places.append(_values(p))
+            hashes.append(_values(h, width))
         h, key, place = np.concatenate(hashes), np.concatenate(keys), np.concatenate(places)
         order = np.argsort(h)
         h = h[order]
@@ -103,34 +109,55 @@ def _repeats(block: int, kind: type):
             good &= np.logical_or.reduceat(place[order] % block == 0, start)
         kept = order[np.repeat(good, count)]
         key, place = key[kept], place[kept]
-        order = np.argsort(key, kind="stable")
-        key, place = key[order], place[order]
-        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        parts = [p.tobytes() for p in np.split(place, at[1:])] if len(key) else []
-        return pa.table([pa.array(key[at], pa.int64()), binary_array(parts)], names=["key", "places"])
+        part = key % parts
+        order = np.lexsort((place, key, part))
+        key, place, part = key[order], place[order], part[order]
+        rows = []
+        ends = np.flatnonzero(np.diff(part, append=-1)) + 1
+        for a, b in zip([0, *ends], ends, strict=False):
+            at = np.flatnonzero(np.concatenate(([True], key[a + 1 : b] != key[a : b - 1])))
+            rows.append((int(part[a]), key[a:b][at].tobytes(), _planes(np.diff(at, append=b - a).astype(np.uint32)), _planes(place[a:b])))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.table([pa.array(cols[0], pa.int32()), *map(binary_array, map(list, cols[1:]))], names=["part", "keys", "counts", "places"])
 
     return run
 
 
-def _joined(places: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(places), np.uint32).astype(np.int64)) if places else np.zeros(0, np.int64)
+class _Found:
+    """Places by key, from packed rows."""
+
+    def __init__(self, table: pa.Table):
+        keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for k, c, p in zip(*(table.column(n).to_pylist() for n in ("keys", "counts", "places")), strict=True):
+            keys.append(np.repeat(np.frombuffer(k, np.int64), _values(c)))
+            places.append(_values(p))
+        key, place = np.concatenate(keys), np.concatenate(places)
+        order = np.lexsort((place, key))
+        self.key, self.place = key[order], place[order].astype(np.int64)
+
+    def of(self, key: int) -> np.ndarray:
+        """Sorted distinct places."""
+        a, b = np.searchsorted(self.key, [key, key + 1]) if key < 2**63 - 1 else (np.searchsorted(self.key, key), len(self.key))
+        return np.unique(self.place[a:b])
 
 
 def _extend(window: int, block: int, bits: int):
-    """Windows that hold a hit, from the text."""
+    """Windows of one group of texts that hold a hit."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            data, offsets = binary_parts(part.column(1))
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found, out = _Found(right), []
+        for part in slices(left.to_batches()) if len(found.key) else ():
+            data, offsets = binary_parts(part.column("text"))
             words, _, _, first = word_hashes(data, offsets, lower=False)
             h = window_hashes(words, window)
+            keys = np.asarray(part.column("key"))
             docs, places = [], []
-            for d, hits in enumerate(part.column(2).to_pylist()):
+            for d, key in enumerate(keys.tolist()):
                 n = int(first[d + 1] - first[d]) - window + 1
                 if n <= 0:
                     continue
                 near = np.zeros(n + window, np.int32)
-                hit = _joined(hits)
+                hit = found.of(key)
                 np.add.at(near, np.clip(hit - (window - block), 0, n), 1)
                 np.add.at(near, np.clip(hit + 1, 0, n), -1)
                 at = np.flatnonzero(np.cumsum(near)[:n] > 0)
@@ -138,33 +165,34 @@ def _extend(window: int, block: int, bits: int):
                 places.append(at)
             if docs:
                 doc, place = np.concatenate(docs), np.concatenate(places)
-                yield _pack(np.asarray(part.column(0)), doc, place, h[first[doc] + place], bits, 64)
+                out.append(_pack(keys, doc, place, h[first[doc] + place], bits, WHOLE))
+        empty = np.zeros(0, np.int64)
+        return pa.Table.from_batches(out or [_pack(empty, empty, empty, np.zeros(0, np.uint64), bits, WHOLE)])
 
     return run
 
 
 def _remove(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            n_words, n_removed, kept = [], [], []
-            for text, marks in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                words = text.split()
-                n_words.append(len(words))
-                at = _joined(marks)
-                if len(at):
-                    cover = np.zeros(len(words) + 1, np.int32)
-                    cover[at] += 1
-                    cover[at + window] -= 1
-                    free = np.flatnonzero(np.cumsum(cover)[:-1] == 0)
-                    words = [words[i] for i in free]
-                n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), binary_array(kept)], names=["doc_id", "n_words", "n_removed", "kept"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = _Found(right)
+        n_words, n_removed, kept = [], [], []
+        for key, text in zip(left.column("key").to_pylist(), left.column("text").to_pylist(), strict=True):
+            words = text.split()
+            n_words.append(len(words))
+            at = found.of(key)
+            if len(at):
+                cover = np.zeros(len(words) + 1, np.int32)
+                cover[at] += 1
+                cover[at + window] -= 1
+                words = [words[i] for i in np.flatnonzero(np.cumsum(cover)[:-1] == 0)]
+            n_removed.append(n_words[-1] - len(words))
+            kept.append(b" ".join(words))
+        return pa.table([left.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), binary_array(kept)], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row; kept is the words left, joined by one space.
 
     A word goes if it lies in a window of `window` words whose sequence also starts at another place of
@@ -174,18 +202,17 @@ def dedup(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTE
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     bits = max(2, int(np.ceil(np.log2(max(1, size / bucket_bytes)))))
-    id_type = docs.schema["doc_id"].dataType
-    keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "text", "doc_id")
-
-    def places(found: DataFrame) -> DataFrame:
-        return found.groupBy("key").agg(F.collect_list("places").alias("places"))
+    parts = max(1, -(-size // group_bytes))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    key = row_key(F.col("doc_id"), F.col("text"))
+    keyed = docs.select(key.alias("key"), "text", "doc_id")
+    # Both passes over the groups take the same rows, so that Spark deals the texts out once.
+    groups = keyed.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), "key", "text", "doc_id").groupBy("part")
 
     probes = keyed.select("key", "text").mapInArrow(_probes(window, block, bits), _PACKED)
-    hits = places(probes.groupBy("bucket").applyInArrow(_repeats(block, np.uint32), "key long, places binary"))
+    hits = probes.groupBy("bucket").applyInArrow(_repeats(block, SHORT, parts), _PLACES)
     # Repeated rows share a key and its hits; each of them still counts as a place of its own below.
-    near = keyed.select("key", "text").join(hits.hint("merge"), "key").select("key", "text", "places")
-    longer = near.mapInArrow(_extend(window, block, bits), _PACKED)
-    marks = places(longer.groupBy("bucket").applyInArrow(_repeats(0, np.uint64), "key long, places binary"))
-    rows = keyed.join(marks.hint("merge"), "key", "left").select("doc_id", "text", "places")
-    out = rows.mapInArrow(_remove(window), f"doc_id {id_type.simpleString()}, n_words long, n_removed long, kept binary")
+    longer = groups.cogroup(hits.groupBy("part")).applyInArrow(_extend(window, block, bits), _PACKED)
+    marks = longer.groupBy("bucket").applyInArrow(_repeats(0, WHOLE, parts), _PLACES)
+    out = groups.cogroup(marks.groupBy("part")).applyInArrow(_remove(window), f"doc_id {id_type}, n_words long, n_removed long, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string"))
