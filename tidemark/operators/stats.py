@@ -37,11 +37,12 @@ def most_common(counts: DataFrame, key: str, latest: bool) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.desc(key) if latest else F.asc(key)).limit(1)
 
 
-def percentiles(rows: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles of `value` by keys, exact and without gathering a group: values are ranked
+def percentiles(rows: DataFrame, keys: list[str], value: str, fractions: dict[str, float], ceil: bool = False) -> DataFrame:
+    """Nearest-rank percentiles of `value` by keys (rank floor(f n) + 1, at most n; or ceil(f n)), exact and without gathering a group: values are ranked
     by counts of equal ones, so a group costs as many rows as it has distinct values."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*keys)
     ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
-    at = lambda f: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(f))), F.col(value)))
+    rank = lambda f: F.ceil(F.col("n") * F.lit(f)) if ceil else F.least(F.col("n"), F.floor(F.col("n") * F.lit(f)) + 1)
+    at = lambda f: F.min(F.when(F.col("upto") >= rank(f), F.col(value)))
     return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[at(f).alias(name) for name, f in fractions.items()], F.max(value).alias("longest"))

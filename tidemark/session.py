@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +28,13 @@ def local_session(cpus: int | None = None, app: str = "tidemark") -> SparkSessio
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table `name` of the folder `sf_dir`; any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or in local tests our own."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.gettempdir() + "/tidemark-shared"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

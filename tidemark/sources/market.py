@@ -31,10 +31,15 @@ def pair_name(number: Column) -> Column:
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, pair, venue, ns, kind, bid, ask, bid_size, ask_size): top-of-book events in the order of
     (ns, event_id); kind is snapshot, delta or reset."""
+    return quotes_of(table(spark, sf_dir, "events"))
+
+
+def quotes_of(events: DataFrame) -> DataFrame:
+    """The same of a table or stream of events."""
     number = F.floor(F.col("user_id") / 3).cast("long") % 9
     off = F.round(F.col("value") * 100).cast("long") % 200
     kind = F.when(F.col("event_type") == "error", "reset").when(F.col("event_type") == "signup", "snapshot").otherwise("delta")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         pair_name(number).alias("pair"),
         F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("venue"),
