@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, row_key
 
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Letters of either case, digits and all beyond ASCII make terms.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Kind, quick test, pattern. Possessive repeats and the look-behinds only keep a run of
 # characters from being tried again from each of its places; what matches stays the same.
