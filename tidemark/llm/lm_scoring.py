@@ -31,7 +31,10 @@ from .common import binary_array, binary_parts, crc_text, materialize, row_key,
 SHORTLIST, DIM, NOISE, ROUNDS = 1023, 24, 32, 2
 #: Words that a partition takes together when it counts or trains.
 CHUNK_WORDS = 2_000_000
-BATCH = 2048
+BATCH = 1024
+#: Occurrences of one context and word that a step takes together; more are spread over further steps, so
+#: that the most frequent ones don't fill the batches they are in.
+TOGETHER = 8
 #: Stands for the end of a text among word hashes.
 END = 0
 #: Parameters in one row of the averaging, and groups in which the first level averages.
@@ -153,7 +156,7 @@ class LogBilinear:
             own = order[a : a + BATCH]
             code = codes[own]
             drawn = np.minimum(np.searchsorted(sums, rng.random(noise)), m - 1)
-            self.step(code % m, code // m % m, code // (m * m), counts[own].astype(float), drawn, rate)
+            self.step(code % m, code // m % m, code // (m * m), counts[own], drawn, rate)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by (before, class) and (before2, class), and log normalisers by (before, before2)."""
@@ -183,7 +186,9 @@ def _train(short: Shortlist, params: np.ndarray | None, dim: int, noise: int, ro
         size, total, mark = 0, 0, 0
 
         def learn() -> None:
-            model.train(*np.unique(np.concatenate(held), return_counts=True), rng, noise)
+            codes, counts = np.unique(np.concatenate(held), return_counts=True)
+            shares = -(-counts // TOGETHER)
+            model.train(np.repeat(codes, shares), np.repeat(counts / shares, shares), rng, noise)
 
         for part in slices(batches):
             w, i1, i2, *_ = _tokens(part, 0, short)
