@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +26,18 @@ def local_session(cpus: int | None = None, app: str = "tidemark") -> SparkSessio
     )
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it. Workers on other
+    machines need it installed or shipped with --py-files."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([*parts, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table `name` of the folder `sf_dir`; any path that Spark's readers open."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
