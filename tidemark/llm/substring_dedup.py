@@ -29,7 +29,7 @@ from .common import binary_array, binary_parts, row_key, slices, window_hashes,
 
 WINDOW = 35
 #: Bytes of text for each bucket of hashes, and for each group of texts.
-BUCKET_BYTES, GROUP_BYTES = 2 << 20, 8 << 20
+BUCKET_BYTES, GROUP_BYTES = 8 << 20, 8 << 20
 #: Bytes of a hash that are stored beside its bucket when hits are looked for, and when they are confirmed.
 SHORT, WHOLE = 3, 8
 
