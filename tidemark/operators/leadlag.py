@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Surrogates of each sign without which the p-value couldn't come down to NULL_ALPHA.
+LEAST_SURROGATES = 10
+NULL_ALPHA = 0.05
+
 
 def ticks(quotes: DataFrame, width: int) -> DataFrame:
     """(pair, venue, bin, ns, mid2): twice the mid price at the last valid quote of each bin."""
@@ -73,3 +77,42 @@ def shifted(returns_: DataFrame, shifts: DataFrame, bounds: DataFrame, keys: lis
     at = lambda c: F.pmod(F.col(c) - F.col("lo") + F.col("shift"), span) + F.col("lo")
     out = rows.select(*keys, "shift", at("start_ns").alias("start_ns"), (at("start_ns") + F.col("end_ns") - F.col("start_ns")).alias("end_ns"), "value", "hi")
     return out.where("end_ns <= hi").drop("hi")
+
+
+def surrogate_shifts(base: int, surrogates: int) -> list[int]:
+    """Shifts of both signs, base * (1 + 5k) for k from 1, all far outside a grid of lags up to `base`."""
+    if surrogates < LEAST_SURROGATES:
+        raise ValueError(f"at least {LEAST_SURROGATES} surrogates of each sign, or no p-value comes down to {NULL_ALPHA}")
+    return [sign * base * (1 + 5 * k) for k in range(1, surrogates + 1) for sign in (1, -1)]
+
+
+def surrogate_null(left: DataFrame, right: DataFrame, lags: DataFrame, shifts: DataFrame, keys: list[str], least_overlaps: int, step: int, max_lag: int, width: int) -> DataFrame:
+    """(keys, status, lag, rho, surrogates, p95, exceedance, p_value): best_lag with the last step of its ladder.
+
+    Where a lag was identified, the right series is moved around the span of both series by each shift, and the
+    greatest |rho| over the grid is taken again, by the same least number of overlaps. `surrogates` counts the
+    shifts that gave a value; p95 is the ceil(0.95 n)-th of these, exceedance their share that reaches the
+    |rho| found, and p_value (times + 1) / (n + 1). Above NULL_ALPHA the status is null_not_rejected.
+    """
+    points = contrast(left, right, lags, keys, width)
+    best = best_lag(points, keys, least_overlaps, step, max_lag)
+    height = F.round(F.max(F.abs("rho")), 10)
+    enough = (F.col("overlaps") >= least_overlaps) & F.col("rho").isNotNull()
+    found = points.where(enough).groupBy(*keys).agg(height.alias("found"))
+    asked = best.where("status = 'ok'").select(*keys)
+    ends = lambda rows: rows.select(*keys, "start_ns", "end_ns")
+    bounds = ends(left).unionByName(ends(right)).groupBy(*keys).agg(F.min("start_ns").alias("lo"), F.max("end_ns").alias("hi"))
+    moved = shifted(right.join(asked, keys, "left_semi"), shifts, bounds, keys)
+    again = left.join(asked, keys, "left_semi").crossJoin(F.broadcast(shifts))
+    tops = contrast(again, moved, lags, [*keys, "shift"], width).where(enough).groupBy(*keys, "shift").agg(height.alias("top"))
+    times, n = F.count_if(F.col("top") >= F.col("found")), F.count("*")
+    null = tops.join(found, keys).groupBy(*keys).agg(n.alias("surrogates"), times.alias("times"), F.sort_array(F.collect_list("top")).alias("tops"))
+    null = null.select(
+        *keys,
+        "surrogates",
+        F.element_at("tops", F.ceil(F.lit(0.95) * F.col("surrogates")).cast("int")).alias("p95"),
+        (F.col("times") / F.col("surrogates")).alias("exceedance"),
+        ((F.col("times") + 1) / (F.col("surrogates") + 1)).alias("p_value"),
+    )
+    status = F.when((F.col("status") == "ok") & (F.col("p_value") > NULL_ALPHA), "null_not_rejected").otherwise(F.col("status"))
+    return best.join(null, keys, "left").select(*keys, status.alias("status"), "lag", "rho", F.coalesce("surrogates", F.lit(0)).alias("surrogates"), "p95", "exceedance", "p_value")

@@ -256,19 +256,15 @@ def window_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signs.select(*_KEYS, "ok_parts", F.when(F.col("ok_parts") >= 2, F.col("signs") == 1).alias("stable"))
 
 
+SURROGATES = 20  # of each sign
+
+
 def surrogate_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often circular shifts of the right series reach the |rho| found, as (1 + times) / (1 + shifts)."""
-    rows = leadlag.returns(_ticks(spark, sf_dir))
-    left, right = _sides(rows, spark)
-    n, base = 8, 37 * market.NS_HOUR
-    shifts = spark.createDataFrame([((1 + 5 * k) * base * (1 if k % 2 else -1),) for k in range(n)], "shift long")
-    bounds = right.groupBy(*_KEYS).agg(F.min("start_ns").alias("lo"), F.max("end_ns").alias("hi"))
-    moved = leadlag.shifted(right, shifts, bounds, _KEYS)
-    again = left.crossJoin(F.broadcast(shifts))
-    found = leadlag.contrast(left, right, _lags(spark), _KEYS, 12 * market.NS_HOUR).groupBy(*_KEYS).agg(F.max(F.abs("rho")).alias("found"))
-    null = leadlag.contrast(again, moved, _lags(spark), [*_KEYS, "shift"], 12 * market.NS_HOUR).groupBy(*_KEYS, "shift").agg(F.max(F.abs("rho")).alias("top"))
-    reached = null.join(found, _KEYS).groupBy(*_KEYS).agg(F.count_if(F.col("top") >= F.col("found")).alias("times"))
-    return reached.select(*_KEYS, F.round((F.col("times") + 1) / (n + 1), 6).alias("p_value"))
+    """lead_lag with the null of circular shifts of the right series as the last step of its status."""
+    left, right = _sides(leadlag.returns(_ticks(spark, sf_dir)), spark)
+    shifts = spark.createDataFrame([(x,) for x in leadlag.surrogate_shifts(LAGS[-1], SURROGATES)], "shift long")
+    rows = leadlag.surrogate_null(left, right, _lags(spark), shifts, _KEYS, 10, market.NS_HOUR, LAGS[-1], 12 * market.NS_HOUR)
+    return rows.select(*_KEYS, "status", "lag", "rho", "surrogates", *[F.round(c, 6).alias(c) for c in ("p95", "exceedance", "p_value")])
 
 
 QUERIES = {
