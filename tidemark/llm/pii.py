@@ -4,9 +4,10 @@ Patterns find e-mail and IP addresses, card and phone numbers with code-point of
 is a protected entity. Over the whole corpus the operator counts, for each entity and each term within a
 window of words around it, how often they stand together, and for each such term how often it occurs at
 all. A term discloses an entity by PMI(term; entity) / IC(entity), the share of the entity's information
-content that seeing the term gives away. Beside an occurrence of the entity, terms at or above one
-threshold are generalised, at or above a higher one removed. A pair counts only if it was seen in several
-different contexts, so copies of one passage are no evidence. Everything is built of DataFrame functions.
+content that seeing the term gives away. A term at or above one threshold for some entity is generalised,
+at or above a higher one removed, at all its places in all texts, whether they name the entity or not. A
+pair counts only if it was seen in several different contexts, so copies of one passage are no evidence.
+Everything is built of DataFrame functions.
 
 Defined cases: a null text counts as empty and has no spans. Repeated rows each get their row. An empty
 table gives no rows. Other columns are ignored, whatever their names. A longest match that fails its test
@@ -42,6 +43,9 @@ GENERALISE, REMOVE = 0.75, 0.9
 #: Different contexts in which a term must stand beside an entity before it counts as evidence.
 CONTEXTS = 3
 
+#: Terms located in one go.
+CHUNK = 256
+
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -62,6 +66,34 @@ def _located(text: Column, pattern: str, kind: int, at: Column | None = None) ->
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
+def _places(text: Column) -> Column:
+    """Spans of all terms of a text. Chunks of words are located by themselves and then moved, as the time
+    of one fold grows with the square of the words."""
+    none = F.expr(f"cast(array() as {_SPAN})")
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["gap"])
+        end = begin + F.length(x["match"])
+        one = F.struct(begin.alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end"), x["match"].alias("value"))
+        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+
+    def move(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + acc["at"]).alias("end"), s["value"].alias("value")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def located(pairs: Column) -> Column:
+        own = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        last = F.floor((F.size(pairs) - 1) / CHUNK).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(pairs, k * CHUNK + 1, F.lit(CHUNK)), own, step))
+        every = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out"))
+        return F.flatten(F.aggregate(chunks, every, move, lambda acc: acc["out"]))
+
+    matches, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    # As a lambda's argument the pairs are made once and not once for each chunk.
+    return F.element_at(F.transform(F.array(pairs), located), 1)
+
+
 def _luhn(digits: Column) -> Column:
     n = F.length(digits)
 
@@ -154,15 +186,16 @@ def find(docs: DataFrame, contexts: int = CONTEXTS, generalise: float = GENERALI
     windows = materialize(_windows(spans), "pii-windows")
     told = disclosures(docs, windows, contexts, generalise)
     action = F.when(F.max("disclosure") >= remove, F.lit("gone")).otherwise(F.lit("term"))
-    terms = (
-        windows.join(told, ["entity", "term"])
-        .groupBy("key", "start", "end")
-        .agg(action.alias("value"))
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "value"))).alias("terms"))
-    )
+    actions = materialize(told.groupBy("term").agg(action.alias("value")), "pii-told")
+    # Words are cheap to look up and dear to locate: only texts with a told term are located.
+    words = keyed.select("key", F.explode(F.array_distinct(F.split("text", SEPARATORS, -1))).alias("word"))
+    telling = materialize(words.select("key", F.lower("word").alias("term")).join(actions, "term", "left_semi").select("key").distinct(), "pii-telling")
+    every = keyed.join(telling, "key", "left_semi").select("key", F.explode(_places(F.col("text"))).alias("t")).select("key", F.lower("t.value").alias("term"), "t.start", "t.end")
+    terms = every.join(actions, "term").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "value"))).alias("terms"))
     none = F.expr(f"cast(array() as {_SPAN})")
-    return spans.select("key", "doc_id", F.col("spans").alias("base")).join(terms, "key", "left").withColumn("terms", F.coalesce(F.col("terms"), none))
+    free = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    found = spans.select("key", "doc_id", F.col("spans").alias("base")).join(terms, "key", "left")
+    return found.withColumn("terms", F.coalesce(free, none))
 
 
 def listing(spans: Column) -> Column:
