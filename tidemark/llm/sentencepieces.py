@@ -11,6 +11,9 @@ and a text's ids are its chunks' ids on end. Each batch encodes its distinct chu
 Defined cases: a null or empty text has no ids and decodes to the empty text; repeated rows each get their
 row; an empty table gives no rows; other columns are kept or ignored, whatever their names. A chunk whose
 ids differ from the sentencepiece library's makes its texts' `parity` false.
+For a model whose texts are cut, `parity` is the AND of its chunks' comparisons: the whole text isn't compared,
+so joining the chunks rests on the check at load. A chunk of markers for which the library gives no ids is
+compared with its own ids.
 """
 
 from __future__ import annotations
