@@ -61,8 +61,8 @@ def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    digest = F.sha2(F.col("kept").cast("binary"), 256)
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), kept=digest).withColumnRenamed("kept", "kept_sha256")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
