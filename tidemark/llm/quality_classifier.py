@@ -6,8 +6,8 @@ few of them; and the kept rules are compiled into one Spark column, so scoring r
 documents. Labels, language, source and id are never inputs of a score.
 
 Defined cases: null and empty texts have all statistics 0 and are scored like any other; without
-labelled rows every score is 0.5; rows with a null label don't teach; repeated rows each get their row;
-an empty table gives no rows; other columns are ignored, whatever their names.
+labelled rows every score is 0.5; rows with a null label don't teach; an id that stands for several texts
+teaches with the least of them; repeated rows each get their row; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_text
+from .common import crc_text, once
 
 #: Labelled rows that teach at most: the ones with the smallest hash of their id.
 TRAIN_ROWS = 20_000
@@ -51,13 +51,12 @@ FEATURES = ["n_chars", "n_words", "word_length", "upper", "digits", "symbols", "
 def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """(kept columns, FEATURES) of every row; docs: (kept columns, text)."""
     s = F.coalesce(F.col("text"), F.lit(""))
-    parts = docs.select(
-        *keep,
-        s.alias("s"),
-        F.array_remove(F.split(s, r"[\x20\x09-\x0D]+", -1), "").alias("words"),
-        F.array_remove(F.split(s, r"\n", -1), "").alias("lines"),
-    )
-    return parts.select(*keep, *[c.cast("double").alias(k) for k, c in statistics().items()])
+    blanks = s
+    for c in "\t\n\x0b\x0c\r":  # one blank to cut at is much cheaper than a class of them
+        blanks = F.replace(blanks, F.lit(c), F.lit(" "))
+    words, lines = (F.array_remove(F.split(c, cut, -1), "") for c, cut in ((blanks, " "), (s, "\n")))
+    parts = once(docs, list(keep), s=s, words=words, lines=lines)
+    return once(parts, list(keep), **{k: c.cast("double") for k, c in statistics().items()})
 
 
 #: A condition: (feature index, is at most, threshold).
@@ -183,7 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, held_out
     if share < 1:
         known = known.where(F.xxhash64("doc_id") < int(-(2**63) + share * 2**64))
     taught = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id"), "doc_id", "y")
+    # One text for each labelled id, so that repeated ids don't make the sample grow.
+    texts = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = with_statistics(texts, "doc_id", "y")
     found = rows.orderBy("doc_id", *FEATURES, "y").select("y", *FEATURES).toArrow()
     data = np.stack([c.to_numpy() for c in found.columns], 1)
     return fit_rules(data[:, 1:], data[:, 0])
@@ -191,9 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, held_out
 
 def score(docs: DataFrame, model: RuleModel, *keep: str) -> DataFrame:
     """(kept columns, score, predicted) of every row; the text may be among the kept."""
-    rows = with_statistics(docs.select(F.col("text").alias("whole"), *[c for c in keep if c != "text"]).withColumn("text", F.col("whole")), "whole", *[c for c in keep if c != "text"])
-    out = rows.select(*[F.col("whole").alias(c) if c == "text" else F.col(c) for c in keep], model.score().alias("score"))
-    return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    rows = with_statistics(docs.select(F.struct(*keep).alias("row"), "text"), "row")
+    out = rows.select("row", model.score().alias("score"))
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def keep(docs: DataFrame, model: RuleModel, least: float = 0.5) -> DataFrame:
