@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array
+from .common import binary_array, materialize, slices
 
 BLOCK = 64
 RATE = 8000
@@ -91,36 +91,28 @@ def _digest(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
-            yield part, part.column(part.schema.get_field_index("text")).to_pylist()
-
-
 def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, own in _texts(batches):
-        media = [_digest(wave(payload_of(t))) for t in own]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in own], pa.int64()), binary_array(media)], names=["doc_id", "n_bytes", "media"])
-
-
-def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, own in _texts(batches):
-        rows = []
-        for t in own:
-            data = wave(payload_of(t))
-            parts = _chunks(data)
-            name = _digest(data)
-            rows += [(name, k, len(parts), _digest(p)) for k, p in enumerate(parts)]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([binary_array(list(cols[0])), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), binary_array(list(cols[3]))], names=["media", "seq", "parts", "digest"])
+    for part in slices(batches):
+        n, media, digests = [], [], []
+        for text in part.column(1):
+            text = text.as_py()
+            data = wave(payload_of(text))
+            n.append(len(text))
+            media.append(_digest(data))
+            digests.append([_digest(p) for p in _chunks(data)])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), binary_array(media), pa.array(digests, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "media", "digests"])
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
-    for _, own in _texts(batches):
-        parts = [p for t in own for p in _chunks(wave(payload_of(t)))]
-        yield pa.RecordBatch.from_arrays([binary_array([_digest(p) for p in parts]), binary_array([pack.compress(p) for p in parts])], names=["digest", "bytes"])
+    for part in slices(batches):
+        parts: dict[bytes, bytes] = {}
+        for text in part.column(0):
+            for chunk in _chunks(wave(payload_of(text.as_py()))):
+                name = _digest(chunk)
+                if name not in parts:
+                    parts[name] = pack.compress(chunk)
+        yield pa.RecordBatch.from_arrays([binary_array(list(parts)), binary_array(list(parts.values()))], names=["digest", "bytes"])
 
 
 def _source(docs: DataFrame, *keep: Column) -> DataFrame:
@@ -128,14 +120,14 @@ def _source(docs: DataFrame, *keep: Column) -> DataFrame:
 
 
 def files(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) of every row; media is the digest of its stored file."""
-    return _source(docs, F.col("doc_id")).mapInArrow(_files, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    """(doc_id, n_bytes, media, digests) of every row: the digest of its stored file, and of its chunks in order."""
+    return _source(docs, F.col("doc_id")).mapInArrow(_files, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary, digests array<binary>")
 
 
-def manifest(docs: DataFrame) -> DataFrame:
-    """(media, seq, parts, digest): the ordered chunks of each distinct file."""
-    rows = _source(docs).mapInArrow(_manifest, "media binary, seq int, parts int, digest binary")
-    return rows.groupBy("media", "seq").agg(F.first("parts").alias("parts"), F.first("digest").alias("digest"))
+def manifest(files_: DataFrame) -> DataFrame:
+    """(media, seq, parts, digest): the ordered chunks of each distinct file of `files`."""
+    distinct = files_.groupBy("media").agg(F.first("digests").alias("digests"))
+    return distinct.select("media", F.size("digests").alias("parts"), F.posexplode("digests").alias("seq", "digest")).select("media", "seq", "parts", "digest")
 
 
 def chunk_store(docs: DataFrame) -> DataFrame:
@@ -167,20 +159,18 @@ _FEATURES = "media binary, payload_bytes long, payload_sha256 string, tail_crc32
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of files given as (media, chunks), chunks being (seq, parts, digest, bytes) structs."""
     unpack = zstandard.ZstdDecompressor()
+    kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
-        for a in range(0, batch.num_rows, 64):
-            part = batch.slice(a, 64)
-            rows = []
-            for media, chunks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                chunks = sorted(chunks, key=lambda c: c["seq"])
-                if [c["seq"] for c in chunks] != list(range(chunks[0]["parts"])):
-                    raise ValueError("a file's list of chunks has gaps")
-                data = _joined(media, [c["bytes"] for c in chunks], [c["digest"] for c in chunks], unpack)
-                payload = samples(data)
-                rows.append((media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), media.hex(), feature(payload)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in _FEATURES.split(", ")])
+        rows = []
+        for media, chunks in zip(batch.column(0), batch.column(1), strict=True):  # one file's bytes at a time
+            media, chunks = media.as_py(), sorted(chunks.as_py(), key=lambda c: c["seq"])
+            if [c["seq"] for c in chunks] != list(range(chunks[0]["parts"])):
+                raise ValueError("a file's list of chunks has gaps")
+            data = _joined(media, [c["bytes"] for c in chunks], [c["digest"] for c in chunks], unpack)
+            payload = samples(data)
+            rows.append((media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), media.hex(), feature(payload)))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in _FEATURES.split(", ")])
 
 
 def read_back(manifest_: DataFrame, store: DataFrame) -> DataFrame:
@@ -194,5 +184,6 @@ def read_back(manifest_: DataFrame, store: DataFrame) -> DataFrame:
 def stored(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of
     every row of docs: (doc_id, text)."""
-    features = read_back(manifest(docs), chunk_store(docs))
-    return files(docs).join(features, "media").drop("media").select("doc_id", "n_bytes", *[f.split()[0] for f in _FEATURES.split(", ")[1:]])
+    rows = materialize(files(docs), "media-files")
+    features = read_back(manifest(rows), chunk_store(docs))
+    return rows.join(features, "media").select("doc_id", "n_bytes", *[f.split()[0] for f in _FEATURES.split(", ")[1:]])
