@@ -32,8 +32,8 @@ from .graph import components
 ROWS, BANDS, BATCH = 5, 32, 32
 #: Chance to drop a pair at the threshold in one look at a batch.
 MISS = 1e-9
-#: Shingles on either side of a comparison in one task.
-BLOCK_SHINGLES = 1_000_000
+#: Shingles on either side of a comparison in one task, and tasks that a group's nodes are sized in.
+BLOCK_SHINGLES, SALTS = 100_000, 16
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = np.random.Generator(np.random.PCG64(78)).integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,7 +158,9 @@ def _links(sides: DataFrame, nodes: DataFrame, text: DataFrame, size: int, perce
     sized = sides.join(nodes.select("node", "key", "bits", "n_shingles"), "node")
     weight = lambda side: F.sum(F.when(F.col("is_left") == side, F.col("n_shingles")).otherwise(0))
     blocks = sized.groupBy("group").agg(*[F.ceil((weight(s) + 1) / shingles).cast("int").alias(n) for s, n in ((True, "lefts"), (False, "rights"))])
-    cut = sized.join(blocks, "group")
+    # The sizes are copied so that the nodes of a large group meet them in several tasks.
+    dealt_in = blocks.select("group", "lefts", "rights", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    cut = sized.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(dealt_in, ["group", "salt"])
     own = lambda n: F.array(F.pmod(F.xxhash64("node"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     dealt = cut.withColumn("i", F.explode(F.when(F.col("is_left"), own("lefts")).otherwise(every("lefts"))))
@@ -187,7 +189,7 @@ def dedup(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS,
     """
     source = texts(docs, row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("doc_id"))
     sketches = materialize(
-        source.select("key", "doc_id", "text").mapInArrow(_sketch(size), f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, bands array<long>, bits binary"),
+        source.select("key", "doc_id", "text").mapInArrow(_sketch(size), f"key binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, bands array<long>, bits binary"),
         "dedup-sketches",
     )
     full = sketches.where(F.col("node").isNotNull())
