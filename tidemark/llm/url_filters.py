@@ -21,8 +21,9 @@ from .common import lower_ascii
 
 #: Words of a block; one bit is set in each.
 WORDS = 8
-#: The filter is broadcast up to this size and joined by shuffle beyond it.
-BROADCAST_BYTES = 32 << 20
+#: The filter never outgrows this size: beyond it, more keys share its bits, so that more pages reach the
+#: exact join and the results stay the same. It is thus safe to broadcast.
+FILTER_BYTES = 32 << 20
 #: Query parameters that never tell pages apart, as a pattern over `name=value`.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|\z)"
 
@@ -103,16 +104,15 @@ def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, bits_per_key:
     Bloom filter let the URL pass, listed that the exact join confirmed it.
     """
     listed = listed.select(canonical(F.col("url")).alias("key")).where("key <> ''").distinct()
+    wanted = listed.count() * bits_per_key / (64 * WORDS)
     blocks = 1
-    while blocks * 64 * WORDS < listed.count() * bits_per_key:
+    while blocks < wanted and 2 * blocks * (WORDS + 1) * 8 <= FILTER_BYTES:
         blocks *= 2
-    bloom = bloom_blocks(listed, blocks)
-    if blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES:
-        bloom = F.broadcast(bloom)
+    bloom = F.broadcast(bloom_blocks(listed, blocks))
     url = F.col("url")
-    rows = pages.select("page_id", "url").select(
-        "page_id", host(url).alias("host"), path(url).alias("path"), canonical(url).alias("key"), _block(canonical(url), blocks).alias("block")
-    )
+    # A page without a host has no block to look up.
+    own = F.when(canonical(url) != "", _block(canonical(url), blocks))
+    rows = pages.select("page_id", "url").select("page_id", host(url).alias("host"), path(url).alias("path"), canonical(url).alias("key"), own.alias("block"))
     set_ = F.lit(True)
     for i, m in enumerate(_bits(F.col("key"))):
         set_ = set_ & (F.col(f"w{i}").bitwiseAND(m) != 0)
