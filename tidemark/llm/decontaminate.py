@@ -28,15 +28,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import binary_array, binary_parts, materialize, slices, texts, window_hashes, word_hashes
+from .common import binary_array, binary_parts, materialize, row_key, slices, texts, window_hashes, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles of a block of the smallest class; the next class doubles it.
 UNIT = 8
 HASHES = 64
-#: Bytes of item shingles that go to the tasks at a time.
-PIECE_BYTES = 8 << 20
+#: Bytes of item shingles that go to the tasks at a time, and pieces that one pass of `decontaminate` takes.
+PIECE_BYTES, CHAINED = 8 << 20, 4
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(97)).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -183,7 +184,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = SHINGLE, percent: int
     (doc_id, text); items: (item_id, text).
     """
     doc_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"]
-    arrow_item = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type.dataType.simpleString()]
+    arrow_item = to_arrow_type(item_type.dataType)
     schema = f"doc_id {doc_type}, item_id {item_type.dataType.simpleString()}, n_shingles long, n_shared long"
 
     def search(ids: list, index):
@@ -221,7 +222,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SHINGLE, percen
 
         return run
 
-    out = docs
-    for _, index in _pieces(items, size, piece_bytes):
-        out = out.mapInArrow(keep(percent, docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
-    return out
+    pieces = [docs.sparkSession.sparkContext.broadcast(index) for _, index in _pieces(items, size, piece_bytes)]
+    if len(pieces) <= CHAINED:
+        out = docs
+        for index in pieces:
+            out = out.mapInArrow(keep(percent, index), docs.schema)
+        return out
+    # Many pieces search a pass each, and what they find leaves by key.
+    keyed = docs.withColumn("doc_id", row_key(F.col("doc_id"), F.col("text"))).select("doc_id", "text")
+    held = materialize(matches(keyed, items, size, percent, piece_bytes).select(F.col("doc_id").alias("held")).distinct(), "held")
+    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.struct("*").alias("row"))
+    return rows.join(held, F.col("key") == F.col("held"), "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
