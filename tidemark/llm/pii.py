@@ -2,16 +2,21 @@
 
 Patterns find e-mail and IP addresses, card and phone numbers with code-point offsets. Every value found
 is a protected entity. Over the whole corpus the operator counts, for each entity and each term within a
-window of words around it, how often they stand together, and for each such term how often it occurs at
+window of characters around it, how often they stand together, and for each such term how often it occurs at
 all. A term discloses an entity by PMI(term; entity) / IC(entity), the share of the entity's information
-content that seeing the term gives away. A term at or above one threshold for some entity is generalised,
-at or above a higher one removed, at all its places in all texts, whether they name the entity or not. A
-pair counts only if it was seen in several different contexts, so copies of one passage are no evidence.
-Everything is built of DataFrame functions.
+content that seeing the term gives away; a term beside several places of an entity counts at each, so the
+share is taken as 1 at most. A term at or above one threshold for some entity is generalised to its class
+(number, code, name, word), at or above a higher one removed, at all its places in all texts, whether they
+name the entity or not. A pair counts only if it was seen in several different contexts, so copies of one
+passage are no evidence. Everything is built of DataFrame functions.
+
+Texts are cut once into the pieces between their spans; windows, terms and sanitised texts are made of these
+pieces, so the work grows with the length of a text and the number of its spans, not with their product.
 
 Defined cases: a null text counts as empty and has no spans. Repeated rows each get their row. An empty
 table gives no rows. Other columns are ignored, whatever their names. A longest match that fails its test
-(range, digits, Luhn) is dropped and not searched again.
+(range, digits, Luhn) is dropped and not searched again. A window reaches over at most `NEIGHBOURS` spans to
+either side; a term that touches a span is cut at it.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import materialize, once, row_key
 
 # Letters of either case, digits and all beyond ASCII make terms.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -33,65 +38,63 @@ KINDS = [
     ("card", r"[0-9](?:[\x20-]?[0-9]){13}", r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
 ]
-# What stands in place of a span.
-TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "gone": ""}
+# What stands in place of a span, and of a term by its class.
+TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+CLASSES = [("[NUMBER]", r"^[0-9]+\z"), ("[CODE]", r"[0-9]"), ("[NAME]", r"^\p{Lu}"), ("[WORD]", "")]
 
-#: Characters on each side of an entity whose words count as its window.
-WINDOW_CHARS = 120
+#: Characters on each side of an entity whose words count as its window, and spans that it may reach over.
+WINDOW_CHARS, NEIGHBOURS = 120, 16
 #: Share of an entity's information content at which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.75, 0.9
 #: Different contexts in which a term must stand beside an entity before it counts as evidence.
 CONTEXTS = 3
 
-#: Terms located in one go.
-CHUNK = 256
+#: Elements that are folded in one go, as the time of one fold grows with the square of what it gathers, and
+#: characters of the blocks that pieces are cut from, as cutting counts characters from a string's start.
+CHUNK, BLOCK_CHARS = 256, 16384
 
-_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+_SPAN = "struct<start:int,kind:int,end:int,value:string>"
+_PIECE = "struct<kind:int,value:string,from:int,to:int,free:boolean>"
 
 
-def _located(text: Column, pattern: str, kind: int, at: Column | None = None) -> Column:
-    """Spans of a pattern's matches, with offsets in code points from `at`."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    first = F.lit(0) if at is None else at
-    start = F.struct(first.cast("int").alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["match"])
-        one = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+def _let(value: Column, body) -> Column:
+    """body(value), where the value is made once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
+def _folded(items: Column, step, element: str, first: Column | None = None) -> Column:
+    """What a fold over `items` gives: step(at, item) is a struct of the next `at`, an int, and of `one`, an
+    element or null."""
+    none, many = F.expr(f"cast(array() as array<{element}>)"), F.expr(f"cast(array() as array<array<{element}>>)")
 
-def _places(text: Column) -> Column:
-    """Spans of all terms of a text. Chunks of words are located by themselves and then moved, as the time
-    of one fold grows with the square of the words."""
-    none = F.expr(f"cast(array() as {_SPAN})")
+    def inner(acc: Column, x: Column) -> Column:
+        got = step(acc["at"], x)
+        return F.struct(got["at"].alias("at"), F.when(got["one"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(got["one"]))).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["match"])
-        one = F.struct(begin.alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end"), x["match"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+    def whole(items_: Column) -> Column:
+        def outer(acc: Column, k: Column) -> Column:
+            chunk = F.aggregate(F.slice(items_, k * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), none.alias("out")), inner)
+            return _let(chunk, lambda c: F.struct(c["at"].alias("at"), F.concat(acc["out"], F.array(c["out"])).alias("out")))
 
-    def move(acc: Column, x: Column) -> Column:
-        moved = F.transform(x["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + acc["at"]).alias("end"), s["value"].alias("value")))
-        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+        start = F.struct((F.lit(0) if first is None else first).cast("int").alias("at"), many.alias("out"))
+        last = F.floor((F.size(items_) - 1) / CHUNK).cast("int")
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), start, outer, lambda acc: acc["out"]))
 
-    def located(pairs: Column) -> Column:
-        own = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        last = F.floor((F.size(pairs) - 1) / CHUNK).cast("int")
-        chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(pairs, k * CHUNK + 1, F.lit(CHUNK)), own, step))
-        every = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out"))
-        return F.flatten(F.aggregate(chunks, every, move, lambda acc: acc["out"]))
+    return _let(items, whole)
 
-    matches, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
-    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    # As a lambda's argument the pairs are made once and not once for each chunk.
-    return F.element_at(F.transform(F.array(pairs), located), 1)
+
+def _located(text: Column, pattern: str | Column, kind: int, at: Column | None = None) -> Column:
+    """Spans of a pattern's matches, with offsets in code points from `at`."""
+
+    def step(at_: Column, x: Column) -> Column:
+        begin = at_ + F.length(x["gap"])
+        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
+        one = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("value"))
+        return F.struct(end.alias("at"), F.when(x["match"].isNotNull(), one).alias("one"))
+
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    matches, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    return _folded(F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))), step, _SPAN, at)
 
 
 def _luhn(digits: Column) -> Column:
@@ -127,7 +130,7 @@ def _of_kind(k: int):
 
 def base_spans(text: Column) -> Column:
     """All base spans of a text that isn't null, by start and then kind."""
-    none = F.expr(f"cast(array() as {_SPAN})")
+    none = F.expr(f"cast(array() as array<{_SPAN}>)")
     found = []
     for k, (kind, test, pattern) in enumerate(KINDS):
         quick = F.contains(text, F.lit(test)) if test == "@" else text.rlike(test)
@@ -135,24 +138,50 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.flatten(F.array(*found)))
 
 
+def with_pieces(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """(kept columns, spans, pieces) of rows: (kept columns, text, spans). A piece is the text between a span
+    and all before it, as (kind, value, from, free, piece) with the kind and value of the span that follows it;
+    the last one has kind -1. A span that begins before another has ended isn't free."""
+
+    def step(at: Column, s: Column) -> Column:
+        one = F.struct(s["kind"].alias("kind"), s["value"].alias("value"), at.alias("from"), F.greatest(at, s["start"]).alias("to"), (s["start"] >= at).alias("free"))
+        return F.struct(F.greatest(at, s["end"]).alias("at"), one.alias("one"))
+
+    text, n = F.col("text"), F.col("n")
+    rows = once(rows, [*keep, "text", "spans"], n=F.length(text))
+    last = F.struct(F.lit(-1).alias("kind"), F.lit("").alias("value"), F.coalesce(F.array_max(F.col("spans")["end"]), F.lit(0)).alias("from"), n.alias("to"), F.lit(False).alias("free"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(n / BLOCK_CHARS).cast("int")), lambda k: F.substring(text, k * BLOCK_CHARS + 1, F.lit(BLOCK_CHARS)))
+    rows = once(rows, [*keep, "spans"], cut=F.concat(_folded(F.col("spans"), step, _PIECE), F.array(last)), blocks=blocks)
+
+    def piece(c: Column) -> Column:
+        a, b = (F.floor(c[x] / BLOCK_CHARS).cast("int") for x in ("from", "to"))
+        begin = lambda k: F.greatest(c["from"] - k * BLOCK_CHARS, F.lit(0))
+        own = F.transform(F.sequence(a, b), lambda k: F.substring(F.get("blocks", k), begin(k) + 1, c["to"] - k * BLOCK_CHARS - begin(k)))
+        return F.struct(c["kind"].alias("kind"), c["value"].alias("value"), c["from"].alias("from"), c["free"].alias("free"), F.array_join(own, "").alias("piece"))
+
+    return once(rows, [*keep, "spans"], pieces=F.transform("cut", piece))
+
+
 def _windows(rows: DataFrame) -> DataFrame:
-    """(key, entity, term, start, end, context) of each term beside each entity. rows: (key, text, spans)."""
-    one = rows.where(F.size("spans") > 0).select("key", "text", "spans", F.explode("spans").alias("e"))
-    left_at = F.greatest(F.col("e.start") - WINDOW_CHARS, F.lit(0))
-    left = F.substring(F.col("text"), left_at + 1, F.col("e.start") - left_at)
-    right = F.substring(F.col("text"), F.col("e.end") + 1, F.lit(WINDOW_CHARS))
-    sides = one.select(
-        "key",
-        "spans",
-        F.sha2(F.concat(F.col("e.kind").cast("string"), F.lit(":"), F.lower("e.value")), 256).alias("entity"),
-        F.xxhash64(left, right).alias("context"),
-        # a word that the window's outer edge cuts is dropped
-        F.when(left_at > 0, F.filter(_located(left, TERM, len(KINDS), left_at), lambda x: x["start"] > left_at)).otherwise(_located(left, TERM, len(KINDS), left_at)).alias("before"),
-        F.filter(_located(right, TERM, len(KINDS), F.col("e.end")), lambda x: x["end"] < F.col("e.end") + WINDOW_CHARS).alias("after"),
-    )
-    term = sides.select("key", "spans", "entity", "context", F.explode(F.concat("before", "after")).alias("t"))
-    free = ~F.exists("spans", lambda s: (s["start"] < F.col("t.end")) & (F.col("t.start") < s["end"]))
-    return term.where(free).select("key", "entity", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"), "context")
+    """(entity, term, context) of each term beside each entity. rows: (spans, pieces)."""
+    head = F.transform("pieces", lambda p: F.substring(p["piece"], F.lit(1), F.lit(WINDOW_CHARS)))
+    tail = F.transform("pieces", lambda p: F.substring(p["piece"], F.greatest(F.length(p["piece"]) - WINDOW_CHARS, F.lit(0)) + 1, F.lit(WINDOW_CHARS)))
+    rows = once(rows.where(F.size("spans") > 0), ["pieces"], heads=head, tails=tail)
+    reach = NEIGHBOURS + 1
+
+    def sides(p: Column, i: Column) -> Column:
+        left = F.array_join(F.slice("tails", F.greatest(i + 2 - reach, F.lit(1)), F.least(i + 1, F.lit(reach))), "\n")
+        right = F.array_join(F.slice("heads", i + 2, F.lit(reach)), "\n")
+        left = F.substring(left, F.greatest(F.length(left) - WINDOW_CHARS, F.lit(0)) + 1, F.lit(WINDOW_CHARS))
+        return F.struct(p["kind"].alias("kind"), p["value"].alias("value"), left.alias("left"), F.substring(right, F.lit(1), F.lit(WINDOW_CHARS)).alias("right"))
+
+    one = rows.select(F.explode(F.filter(F.transform("pieces", sides), lambda e: e["kind"] >= 0)).alias("e")).select("e.*")
+    # a word that the window's outer edge may have cut is dropped
+    cut = lambda c, at: F.when(F.length(c) < WINDOW_CHARS, F.col(c)).otherwise(F.regexp_replace(c, at, ""))
+    both = F.concat(cut("left", f"^{TERM}"), F.lit("\n"), cut("right", rf"{TERM}\z"))
+    entity = F.sha2(F.concat(F.col("kind").cast("string"), F.lit(":"), F.lower("value")), 256)
+    terms = one.select(entity.alias("entity"), F.xxhash64("left", "right").alias("context"), F.explode(F.regexp_extract_all(F.lower(both), F.lit(TERM), F.lit(0))).alias("term"))
+    return terms.select("entity", "term", "context")
 
 
 def disclosures(docs: DataFrame, windows: DataFrame, contexts: int = CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
@@ -173,29 +202,36 @@ def disclosures(docs: DataFrame, windows: DataFrame, contexts: int = CONTEXTS, g
     both = pairs.where(F.col("contexts") >= contexts).join(counts.where("asked").select("term", "n_term"), "term").join(sizes, "entity")
     pmi = F.log2(F.col("n_both") * float(max(total, 1)) / (F.col("n_term") * F.col("n_entity").cast("double")))
     content = F.log2(float(max(total, 1)) / F.col("n_entity"))
-    share = F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
+    share = F.when(content > 0, F.least(pmi / content, F.lit(1.0))).otherwise(F.lit(0.0))
     return both.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
 def find(docs: DataFrame, contexts: int = CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(key, doc_id, base, terms) of every row; spans are (start, kind, end, value), and a term's value
-    tells what becomes of it: `term` to generalise, `gone` to remove. docs: (doc_id, text)."""
+    """(key, doc_id, base, terms) of every row; spans are (start, kind, end, value), and a term's value is
+    what stands in its place: its class, or nothing if it is removed. docs: (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", text.alias("text"))
-    spans = keyed.withColumn("spans", base_spans(F.col("text")))
-    windows = materialize(_windows(spans), "pii-windows")
+    spans = once(keyed, ["key", "doc_id", "text"], spans=base_spans(F.col("text")))
+    windows = materialize(_windows(with_pieces(spans.where(F.size("spans") > 0).select("text", "spans"), [])), "pii-windows")
     told = disclosures(docs, windows, contexts, generalise)
-    action = F.when(F.max("disclosure") >= remove, F.lit("gone")).otherwise(F.lit("term"))
-    actions = materialize(told.groupBy("term").agg(action.alias("value")), "pii-told")
-    # Words are cheap to look up and dear to locate: only texts with a told term are located.
+    actions = materialize(told.groupBy("term").agg((F.max("disclosure") >= remove).alias("gone")), "pii-told")
+    # Words are cheap to look up and dear to locate: a text is searched for its own told words only.
     words = keyed.select("key", F.explode(F.array_distinct(F.split("text", SEPARATORS, -1))).alias("word"))
-    telling = materialize(words.select("key", F.lower("word").alias("term")).join(actions, "term", "left_semi").select("key").distinct(), "pii-telling")
-    every = keyed.join(telling, "key", "left_semi").select("key", F.explode(_places(F.col("text"))).alias("t")).select("key", F.lower("t.value").alias("term"), "t.start", "t.end")
-    terms = every.join(actions, "term").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "value"))).alias("terms"))
-    none = F.expr(f"cast(array() as {_SPAN})")
-    free = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    telling = words.join(actions.select("term"), F.lower("word") == F.col("term"), "left_semi").groupBy("key")
+    inside = TERM.removesuffix("+")
+    pattern = F.concat(F.lit(f"(?<!{inside})(?:"), F.array_join(F.array_sort(F.collect_set("word")), "|"), F.lit(f")(?!{inside})"))
+    telling = materialize(telling.agg(pattern.alias("pattern")), "pii-telling")
+    pieces = with_pieces(spans.select("key", "text", "spans").join(telling, "key"), ["key", "pattern"])
+    places = F.flatten(F.transform("pieces", lambda p: _located(p["piece"], F.col("pattern"), len(KINDS), p["from"])))
+    every = pieces.select("key", F.explode(places).alias("t")).select("key", F.lower("t.value").alias("term"), "t")
+    class_ = F.lit(CLASSES[-1][0])
+    for tag, pattern in reversed(CLASSES[:-1]):
+        class_ = F.when(F.col("t.value").rlike(pattern), F.lit(tag)).otherwise(class_)
+    one = F.struct("t.start", "t.kind", "t.end", F.when(F.col("gone"), F.lit("")).otherwise(class_).alias("value"))
+    terms = every.join(actions, "term").groupBy("key").agg(F.array_sort(F.collect_set(one)).alias("terms"))
+    none = F.expr(f"cast(array() as array<{_SPAN}>)")
     found = spans.select("key", "doc_id", F.col("spans").alias("base")).join(terms, "key", "left")
-    return found.withColumn("terms", F.coalesce(free, none))
+    return found.withColumn("terms", F.coalesce("terms", none))
 
 
 def listing(spans: Column) -> Column:
@@ -217,36 +253,24 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its tag; of overlapping spans the first gives the tag."""
-    names = [*[k[0] for k in KINDS], "term"]
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def tag(s: Column) -> Column:
-        out = F.when(s["value"] == "gone", F.lit(TAGS["gone"])).otherwise(F.lit(TAGS["term"]))
-        for k, name in enumerate(names[:-1]):
-            out = F.when(s["kind"] == k, F.lit(TAGS[name])).otherwise(out)
-        return out
-
-    def step(acc: Column, s: Column) -> Column:
-        free = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), tag(s))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, piece).otherwise(acc["out"]).alias("out"))
-
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
-
-
 def sanitise(docs: DataFrame) -> DataFrame:
-    """All rows and columns of docs, their text without personal data and telling terms.
+    """All rows and columns of docs, their text without personal data and telling terms; of overlapping spans
+    the first gives what stands in their place.
 
     Other columns keep their values whatever their names; a null text stays null.
     """
     found = find(docs).select("key", F.array_sort(F.concat("base", "terms")).alias("spans")).groupBy("key").agg(F.first("spans").alias("spans"))
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.struct("*").alias("row"))
-    return rows.join(found.where(F.size("spans") > 0), "key", "left").select(
-        *[
-            (F.when(F.col("spans").isNotNull(), redacted(F.col("row")["text"], F.col("spans"))).otherwise(F.col("row")["text"]) if c == "text" else F.col("row")[c]).alias(c)
-            for c in docs.columns
-        ]
-    )
+    both = rows.join(found.where(F.size("spans") > 0), "key", "left").select("row", "spans")
+    names = docs.columns
+    same = both.where(F.col("spans").isNull()).select(*[F.col("row")[c].alias(c) for c in names])
+    pieces = with_pieces(both.where(F.col("spans").isNotNull()).select("row", F.col("row")["text"].alias("text"), "spans"), ["row"])
+
+    def replaced(p: Column) -> Column:
+        out = p["value"]
+        for k, (name, *_) in enumerate(KINDS):
+            out = F.when(p["kind"] == k, F.lit(TAGS[name])).otherwise(out)
+        return F.concat(p["piece"], F.when(p["free"], out).otherwise(F.lit("")))
+
+    text = F.array_join(F.transform("pieces", replaced), "")
+    return same.unionByName(pieces.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in names]))
