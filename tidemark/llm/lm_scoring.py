@@ -1,15 +1,18 @@
 """Text scores of a log-bilinear language model, trained in numpy by noise-contrastive estimation.
 
-Words of all training documents are counted. The most frequent ones form a shortlist of classes; the rest
-share one class, within which a word has its smoothed share of the count, and the end of a text is a class
-of its own. The log-bilinear model predicts the class's vector from the two preceding classes' vectors,
-each through a matrix. Every partition of the corpus trains it over its own training words, with noise
-words drawn from the unigram distribution in place of a normaliser, and the partitions' parameters are
-averaged, weighted by their words, through a tree of groups; some rounds of this cover all documents.
+Words of all training documents are counted, and every word belongs to a class of the model: the most
+frequent words are classes of their own, all others fall into the class of their ending, of which the most
+frequent have one each. The numbers of both kinds grow with the cube root of the vocabulary, so that the
+tables of pairs of classes stay small beside it. Within the class of an ending a word has its smoothed share
+of the count, and the end of a text is a class of its own. The log-bilinear model predicts the class's vector
+from the two preceding classes' vectors, each through a matrix. Every partition of the corpus trains it over
+its own training words, with noise words drawn from the unigram distribution in place of a normaliser, and
+the partitions' parameters are averaged, weighted by their words, through a tree of groups; some rounds of
+this cover all documents. How the input is split thus moves the scores a little.
 
 Scores are normalised exactly. Matrix products give the score of each class after each preceding class at
 either distance; the normalisers of all pairs of preceding classes are one more product of the two tables'
-exponentials. A word's log probability is then three look-ups.
+exponentials. A word's log probability is then three look-ups and its share of its class.
 
 Defined cases: a null text counts as empty and has its end as the only token; repeated rows each get their
 row; without training documents all words are unknown and the model stays the one it starts from; an
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import binary_array, binary_parts, crc_text, materialize, row_key, slices, texts, word_hashes
 
-SHORTLIST, DIM, NOISE, ROUNDS = 1023, 24, 32, 2
+DIM, NOISE, ROUNDS = 24, 32, 2
+#: Classes of single words, and of endings, for each cube root of the vocabulary.
+WORD_CLASSES, ENDING_CLASSES = 5, 2
 #: Words that a partition takes together when it counts or trains.
 CHUNK_WORDS = 2_000_000
 BATCH = 1024
@@ -42,74 +47,98 @@ BLOCK, SALTS = 4096, 1024
 
 
 @dataclass(frozen=True)
-class Shortlist:
-    """Hashes of the frequent words in order, their counts, and what the corpus holds beside them."""
+class Classes:
+    """The model's classes: words by hash, in order, then endings, in order, all other words, and the end; the
+    tokens of each, and its distinct words."""
 
     hashes: np.ndarray
+    endings: np.ndarray
     counts: np.ndarray
-    end: int
-    total: int
-    distinct: int
+    distinct: np.ndarray
 
     @property
     def size(self) -> int:
-        """Classes: the words, any other word, the end."""
-        return len(self.hashes) + 2
+        return len(self.counts)
 
     @property
-    def other(self) -> int:
-        return self.total - int(self.counts.sum()) - self.end
+    def end(self) -> int:
+        return self.size - 1
 
     @property
-    def other_distinct(self) -> int:
-        return self.distinct - len(self.hashes) - (self.end > 0)
-
-    def classes(self, h: np.ndarray) -> np.ndarray:
-        k = len(self.hashes)
-        if not k:
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), k - 1)
-        return np.where(self.hashes[at] == h, at, k)
+    def total(self) -> int:
+        return int(self.counts.sum())
+
+    def is_word(self, classes: np.ndarray) -> np.ndarray:
+        """Which classes hold one token only: a frequent word, or the end."""
+        return (classes < len(self.hashes)) | (classes == self.end)
+
+    def of(self, h: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        words, endings = len(self.hashes), len(self.endings)
+        out = np.full(len(h), words + endings, np.int64)
+        for known, asked, base in ((self.endings, ending, words), (self.hashes, h, 0)):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                out = np.where(known[at] == asked, base + at, out)
+        return out
 
     def unigram(self) -> np.ndarray:
-        own = np.concatenate([self.counts, [self.other, self.end]]) + 0.5
+        own = self.counts + 0.5
         return own / own.sum()
 
+    def denominator(self) -> np.ndarray:
+        """By class, log10 of what a word's smoothed count is divided by for its share; 0 for single words."""
+        out = np.log10(self.counts + 0.1 * (self.distinct + 1))
+        out[self.is_word(np.arange(self.size))] = 0
+        return out
+
+
+def _endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The last three bytes of each word, lower-cased, as a number; fewer of a shorter word."""
+    out = np.zeros(len(ends), np.int64)
+    for k in range(3):
+        at = ends - 1 - k
+        byte = data[np.maximum(at, 0)].astype(np.int64)
+        byte += 32 * ((byte >= 65) & (byte <= 90))
+        out |= np.where(at >= starts, byte, 0) << (8 * k)
+    return out
+
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c) of the words of training rows, summed over many texts at a time."""
-    held: list[np.ndarray] = []
+    """(h, e, c) of the words of training rows and their endings, summed over many texts at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size, ends = 0, 0
 
     def flush() -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+        h, e = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        h, at, c = np.unique(h, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(e[at].astype(np.int32)), pa.array(c.astype(np.int64))], names=["h", "e", "c"])
 
     for part in slices(batches):
         data, offsets = binary_parts(part.column(0))
-        words = word_hashes(data, offsets, lower=True)[0]
-        held.append(words)
+        words, starts, stops, _ = word_hashes(data, offsets, lower=True)
+        held.append((words, _endings(data, starts, stops)))
         size, ends = size + len(words), ends + part.num_rows
         if size > CHUNK_WORDS:
             yield flush()
             held, size = [], 0
     yield flush()
-    yield pa.RecordBatch.from_arrays([pa.array([END] if ends else [], pa.int64()), pa.array([ends] if ends else [], pa.int64())], names=["h", "c"])
+    some = [END] if ends else []
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([0] if ends else [], pa.int32()), pa.array([ends] if ends else [], pa.int64())], names=["h", "e", "c"])
 
 
-def _tokens(part: pa.RecordBatch, column: int, short: Shortlist) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each token, the class before it, the one before that, first token of each text; word
-    hashes, first word of each text); each text ends in the end class, which also stands before its start."""
+def _tokens(part: pa.RecordBatch, column: int, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class of each token, the class before it, the one before that, first token of each text); each text
+    ends in the end class, which also stands before its start."""
     data, offsets = binary_parts(part.column(column))
-    h, _, _, first = word_hashes(data, offsets, lower=True)
-    n, end = len(first) - 1, short.size - 1
+    h, begin, stop, first = word_hashes(data, offsets, lower=True)
+    n, end = len(first) - 1, classes.end
     w = np.full(len(h) + n, end, np.int64)
-    w[np.arange(len(h)) + np.repeat(np.arange(n), np.diff(first))] = short.classes(h)
+    w[np.arange(len(h)) + np.repeat(np.arange(n), np.diff(first))] = classes.of(h, _endings(data, begin, stop))
     starts = first[:-1] + np.arange(n)
     before = np.concatenate(([end], w[:-1]))
     before2 = np.concatenate(([end, end], w[:-2]))[: len(w)]
     before2[starts] = end
-    return w, before, before2, starts, h, first
+    return w, before, before2, starts
 
 
 class LogBilinear:
@@ -160,7 +189,7 @@ class LogBilinear:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by (before, class) and (before2, class), and log normalisers by (before, before2)."""
-        t1, t2 = self.r @ self.c1 @ self.out.T, self.r @ self.c2 @ self.out.T + self.b
+        t1, t2 = (self.r @ self.c1 @ self.out.T).astype(np.float32), (self.r @ self.c2 @ self.out.T + self.b).astype(np.float32)
         m1, m2 = t1.max(1, keepdims=True), t2.max(1, keepdims=True)
         z = np.log(np.maximum(np.exp(t1 - m1) @ np.exp(t2 - m2).T, 1e-300)) + m1 + m2.T
         return t1, t2, z
@@ -179,9 +208,9 @@ def _scatter(size: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _train(short: Shortlist, params: np.ndarray | None, dim: int, noise: int, round_: int):
+def _train(classes: Classes, params: np.ndarray | None, dim: int, noise: int, round_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rng, m = LogBilinear(short.unigram(), dim, params), np.random.default_rng(100 + round_), short.size
+        model, rng, m = LogBilinear(classes.unigram(), dim, params), np.random.default_rng(100 + round_), classes.size
         held: list[np.ndarray] = []
         size, total, mark = 0, 0, 0
 
@@ -191,7 +220,7 @@ def _train(short: Shortlist, params: np.ndarray | None, dim: int, noise: int, ro
             model.train(np.repeat(codes, shares), np.repeat(counts / shares, shares), rng, noise)
 
         for part in slices(batches):
-            w, i1, i2, *_ = _tokens(part, 0, short)
+            w, i1, i2, _ = _tokens(part, 0, classes)
             held.append((i2 * m + i1) * m + w)
             size, total = size + len(w), total + len(w)
             mark ^= hash((len(w), int(held[-1].sum()) & 0xFFFFFFFF))
@@ -223,19 +252,27 @@ def _mean(table: pa.Table) -> pa.Table:
 _PARAMS = "block int, salt int, weight double, params binary"
 
 
-def shortlist(counts: DataFrame, size: int = SHORTLIST) -> Shortlist:
-    """The `size` most frequent words; counts: (h, c) of all words and the end."""
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    end = counts.where(F.col("h") == END).first()
-    top = sorted((r.h & (2**64 - 1), r.c) for r in counts.where(F.col("h") != END).orderBy(F.desc("c"), "h").limit(size).collect())
-    return Shortlist(np.array([h for h, _ in top], np.uint64), np.array([c for _, c in top], np.int64), end.c if end else 0, total, distinct)
+def classes_of(counts: DataFrame, words: int = WORD_CLASSES, endings: int = ENDING_CLASSES) -> Classes:
+    """Classes whose number grows with the cube root of the vocabulary. counts: (h, e, c) of all words and the
+    end."""
+    grow = max(1, counts.count()) ** (1 / 3)
+    own = counts.where(F.col("h") != END)
+    top = sorted((r.h & (2**64 - 1), r.c) for r in own.orderBy(F.desc("c"), "h").limit(int(np.ceil(words * grow))).collect())
+    rest = own.where(~F.col("h").isin([h - 2**64 if h >= 2**63 else h for h, _ in top])) if top else own
+    sums = [F.sum("c").alias("c"), F.count("*").alias("n")]
+    kinds = sorted((r.e, r.c, r.n) for r in rest.groupBy("e").agg(*sums).orderBy(F.desc("c"), "e").limit(int(np.ceil(endings * grow))).collect())
+    every = rest.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count("*").alias("n")).first()
+    ends = counts.where(F.col("h") == END).first()
+    c = [n for _, n in top] + [n for _, n, _ in kinds] + [every.c - sum(n for _, n, _ in kinds), ends.c if ends else 0]
+    n = [1] * len(top) + [k for *_, k in kinds] + [every.n - sum(k for *_, k in kinds), int(ends is not None)]
+    return Classes(np.array([h for h, _ in top], np.uint64), np.array([e for e, *_ in kinds], np.int64), np.array(c, np.int64), np.array(n, np.int64))
 
 
-def fit(training: DataFrame, short: Shortlist, dim: int = DIM, noise: int = NOISE, rounds: int = ROUNDS) -> np.ndarray | None:
+def fit(training: DataFrame, classes: Classes, dim: int = DIM, noise: int = NOISE, rounds: int = ROUNDS) -> np.ndarray | None:
     """Parameters of the model, from all training texts. training: (text as binary)."""
     params = None
     for k in range(rounds):
-        rows = training.mapInArrow(_train(short, params, dim, noise, k), _PARAMS)
+        rows = training.mapInArrow(_train(classes, params, dim, noise, k), _PARAMS)
         for keys in (("block", "salt"), ("block",)):
             rows = rows.groupBy(*keys).applyInArrow(_mean, _PARAMS)
         blocks = rows.orderBy("block").collect()
@@ -243,87 +280,83 @@ def fit(training: DataFrame, short: Shortlist, dim: int = DIM, noise: int = NOIS
     return params
 
 
-def _rare(short: Shortlist):
+def _rare(classes: Classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             data, offsets = binary_parts(part.column(1))
-            h, _, _, first = word_hashes(data, offsets, lower=True)
+            h, begin, stop, first = word_hashes(data, offsets, lower=True)
             doc = np.repeat(np.arange(part.num_rows), np.diff(first))
-            rare = short.classes(h) == len(short.hashes)
+            rare = ~classes.is_word(classes.of(h, _endings(data, begin, stop)))
             h, doc = h[rare], doc[rare]
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
             at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
             tf = np.diff(at, append=len(h))
             head = np.diff(doc[at], prepend=-1) != 0
-            keys = np.asarray(part.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[doc[at]]), pa.array(h[at].view(np.int64)), pa.array(tf.astype(np.int32)), pa.array(head.astype(np.int32))], names=["key", "h", "tf", "copies"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[at])), pa.array(h[at].view(np.int64)), pa.array(tf.astype(np.int32)), pa.array(head.astype(np.int32))], names=["key", "h", "tf", "copies"])
 
     return run
 
 
-def _score(short: Shortlist, params: np.ndarray | None, dim: int):
+def _score(classes: Classes, params: np.ndarray | None, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t1, t2, z = LogBilinear(short.unigram(), dim, params).tables()
-        k = len(short.hashes)
-        log_c = np.log10(np.concatenate([short.counts + 0.1, [1.0, short.end + 0.1]]))
+        t1, t2, z = LogBilinear(classes.unigram(), dim, params).tables()
+        word = classes.is_word(np.arange(classes.size))
+        log_c, share = np.where(word, np.log10(classes.counts + 0.1), 0.0), classes.denominator()
+        sure = word & (classes.counts > 0)
         for part in slices(batches):
-            w, i1, i2, starts, _, _ = _tokens(part, 2, short)
+            w, i1, i2, starts = _tokens(part, 2, classes)
             if not len(starts):
                 continue
-            other = w == k
-            known = ~other
-            known[w == k + 1] = short.end > 0
             sums = lambda x: np.add.reduceat(x, starts)
+            model = t1[i1, w].astype(float) + t2[i2, w] - z[i1, i2]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     part.column(1),
                     pa.array(np.diff(starts, append=len(w)), pa.int64()),
-                    pa.array(sums(known.astype(np.int64))),
-                    pa.array(sums(other.astype(np.int64))),
+                    pa.array(sums(sure[w].astype(np.int64))),
                     pa.array(sums(log_c[w])),
-                    pa.array(sums(t1[i1, w] + t2[i2, w] - z[i1, i2]) / np.log(10)),
+                    pa.array(sums(model / np.log(10) - share[w])),
                 ],
-                names=["key", "doc_id", "n_tokens", "n_short", "n_other", "base", "model"],
+                names=["key", "doc_id", "n_tokens", "n_sure", "base", "model"],
             )
 
     return run
 
 
-def score(docs: DataFrame, training: DataFrame | None = None, size: int = SHORTLIST, dim: int = DIM, noise: int = NOISE, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame | None = None, words: int = WORD_CLASSES, endings: int = ENDING_CLASSES, dim: int = DIM, noise: int = NOISE, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
     base_score sums log10((c + 0.1) / (N + 0.1 (V + 1))) over tokens, score is the model's log10
     probability. docs: (doc_id, text); training: (text), those that teach; all of docs unless given.
     """
     taught = texts(docs if training is None else training)
-    counts = materialize(taught.mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
-    short = shortlist(counts, size)
-    params = fit(taught, short, dim, noise, rounds)
+    counts = materialize(taught.mapInArrow(_count, "h long, e int, c long").groupBy("h").agg(F.min("e").alias("e"), F.sum("c").alias("c")), "lm-counts")
+    classes = classes_of(counts, words, endings)
+    params = fit(taught, classes, dim, noise, rounds)
 
     key = row_key(F.col("doc_id"), F.col("text")).alias("key")
-    rare = texts(docs, key).mapInArrow(_rare(short), "key long, h long, tf int, copies int")
+    rare = texts(docs, key).mapInArrow(_rare(classes), "key binary, h long, tf int, copies int")
     c = F.coalesce("c", F.lit(0))
     # Repeated rows share a key, so their sums are divided by their number.
     sums = (
-        rare.join(counts.hint("shuffle_hash"), "h", "left")
+        rare.join(counts.select("h", "c").hint("shuffle_hash"), "h", "left")
         .groupBy("key")
         .agg(F.sum(F.col("tf") * F.log10(c + 0.1)).alias("log_c"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum("copies").alias("copies"))
         .select("key", (F.col("log_c") / F.col("copies")).alias("log_c"), (F.col("known") / F.col("copies")).cast("long").alias("known"))
     )
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts(docs, key, F.col("doc_id")).mapInArrow(_score(short, params, dim), f"key long, doc_id {id_type}, n_tokens long, n_short long, n_other long, base double, model double")
+    rows = texts(docs, key, F.col("doc_id")).mapInArrow(_score(classes, params, dim), f"key binary, doc_id {id_type}, n_tokens long, n_sure long, base double, model double")
     log_c = F.coalesce("log_c", F.lit(0.0))
-    base_total = float(np.log10(short.total + 0.1 * (short.distinct + 1)))
-    other_total = float(np.log10(short.other + 0.1 * (short.other_distinct + 1)))
+    base_total = float(np.log10(classes.total + 0.1 * (int(classes.distinct.sum()) + 1)))
     return rows.join(sums, "key", "left").select(
         "doc_id",
         "n_tokens",
-        (F.col("n_short") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(short.total).cast("long").alias("train_tokens"),
+        (F.col("n_sure") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.lit(classes.total).cast("long").alias("train_tokens"),
         (F.col("base") + log_c - F.col("n_tokens") * base_total).alias("base_score"),
-        (F.col("model") + log_c - F.col("n_other") * other_total).alias("score"),
+        (F.col("model") + log_c).alias("score"),
     )
 
 
