@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,5 +36,35 @@ def test_places_of_all_terms(spark, n):
     rng = random.Random(n)
     text = "".join(rng.choice(["Wort", "üx", "\U0001f642", "a1"]) + rng.choice([" ", ", ", "\n\n"]) for _ in range(n))
     for t in (text, " " + text, text + "end"):
-        got = spark.createDataFrame([(1, t)], SCHEMA).select(pii._places(F.col("text")).alias("p")).first().p
+        got = spark.createDataFrame([(1, t)], SCHEMA).select(pii._located(F.col("text"), pii.TERM, 4).alias("p")).first().p
         assert [(x.start, x.end, x.value) for x in got] == [(m.start(), m.end(), m[0]) for m in re.finditer(pii.TERM, t)]
+
+
+def test_terms_are_generalised_to_their_class(spark):
+    rng = random.Random(3)
+    # Each term stands beside the entity in 20 contexts and 3 times elsewhere: generalised, but not removed.
+    rows = [(i, f"{prose(rng, 30)} Quorn vex7 88123 blip ann@home.org {prose(rng, 30)}") for i in range(20)]
+    rows += [(100 + i, f"{prose(rng, 30)} {w} {prose(rng, 30)}") for i, w in enumerate(["Quorn", "vex7", "88123", "blip"] * 12)]
+    rows += [(200 + i, prose(rng, 500)) for i in range(60)]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert "[NAME] [CODE] [NUMBER] [WORD] [EMAIL]" in got[0]
+    assert "[NAME]" in got[100] and "[CODE]" in got[101] and "[NUMBER]" in got[102] and "[WORD]" in got[103]
+
+
+def test_a_text_of_very_many_spans(spark):
+    text = " ".join(f"name{i} u{i}@example{i % 7}.org" for i in range(20_000))
+    began = time.perf_counter()
+    got = pii.report(spark.createDataFrame([(1, text), (2, None)], SCHEMA)).collect()
+    assert {r.doc_id: r.n_email for r in got} == {1: 20_000, 2: 0}
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame([(1, text)], SCHEMA)).collect()}
+    assert "@" not in clean[1] and clean[1].count("[EMAIL]") == 20_000
+    assert time.perf_counter() - began < 90
+
+
+def test_pieces_of_overlapping_spans_and_long_texts(spark):
+    text = "x" * 20_000 + " card 4111 1111 1111 1111 +1 (234) 567-8901 " + "é" * 40_000 + "a@b.cc"
+    rows = spark.createDataFrame([(1, text)], SCHEMA).select("doc_id", "text", pii.base_spans(F.col("text")).alias("spans"))
+    r = pii.with_pieces(rows, ["doc_id"]).first()
+    ends = [0, *[s.end for s in r.spans]]
+    assert [p.piece for p in r.pieces] == [text[max(ends[: k + 1]) : max(max(ends[: k + 1]), r.spans[k].start) if k < len(r.spans) else len(text)] for k in range(len(r.pieces))]
+    assert pii.sanitise(spark.createDataFrame([(1, text)], SCHEMA)).first().text.endswith("é[EMAIL]")

@@ -58,7 +58,7 @@ def words(text, lower=True):
 
 def test_lm_scores(spark, docs):
     held = lm_scoring.held_out(F.col("doc_id"))
-    got = lm_scoring.score(docs, docs.where(~held), size=50, dim=8, rounds=1).collect()
+    got = lm_scoring.score(docs, docs.where(~held), words=10, endings=4, dim=8, rounds=1).collect()
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     train = Counter()
     for i, t in rows:
@@ -87,7 +87,7 @@ def test_lm_is_normalised_and_learns(spark):
         docs.append((i, " ".join(own)))
     df = table(spark, docs)
     held = lm_scoring.held_out(F.col("doc_id"))
-    got = lm_scoring.score(df, df.where(~held), size=15, dim=8, rounds=4).where(held).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    got = lm_scoring.score(df, df.where(~held), words=4, endings=2, dim=8, rounds=4).where(held).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert got[0] > got[1] + 0.1 * got[2]  # each word follows from the one before
     model = lm_scoring.LogBilinear(np.full(6, 1 / 6), 4)
     t1, t2, z = model.tables()
@@ -95,8 +95,50 @@ def test_lm_is_normalised_and_learns(spark):
     assert np.allclose(p.sum(2), 1)
 
 
+def test_lm_probabilities_of_all_words_sum_to_one(spark):
+    """Scores of "a x" for every known word x, one unknown word and the end are the whole probability."""
+    rng = random.Random(2)
+    train = table(spark, [(i, " ".join(rng.choice(["a", "b", "cat", "bat", "rat", "dog", "fog", "Ab"]) for _ in range(30))) for i in range(50)])
+    known = ["a", "b", "cat", "bat", "rat", "dog", "fog", "ab"]
+    rows = [(0, "a")] + [(1 + i, f"a {x}") for i, x in enumerate(known)]
+    for words_, endings in ((1, 1), (0.5, 0.4), (9, 9)):
+        counts = train.select(F.col("text").cast("binary").alias("text")).mapInArrow(lm_scoring._count, "h long, e int, c long").groupBy("h").agg(F.min("e").alias("e"), F.sum("c").alias("c"))
+        classes = lm_scoring.classes_of(counts, words_, endings)
+        params = lm_scoring.fit(train.select(F.col("text").cast("binary").alias("text")), classes, 4, 8, 1)
+        t1, t2, z = lm_scoring.LogBilinear(classes.unigram(), 4, params).tables()
+        got = {r.doc_id: r.score for r in lm_scoring.score(table(spark, rows), train, words_, endings, 4, 8, 1).collect()}
+
+        def kind(x):
+            import pyarrow as pa
+            from tidemark.llm.common import binary_parts, word_hashes
+
+            data, offsets = binary_parts(pa.array([x.encode()], pa.binary()))
+            h, a, b, _ = word_hashes(data, offsets, True)
+            return int(classes.of(h, lm_scoring._endings(data, a, b))[0])
+
+        tf = Counter(w for r in train.collect() for w in words(r.text))
+        log = lambda c, before, before2: t1[before, c] + t2[before2, c] - z[before, before2]
+        for i, x in enumerate(known):
+            ca, cx, end = kind("a"), kind(x), classes.end
+            share = lambda w, c: 0.0 if classes.is_word(np.array([c]))[0] else math.log10(tf[w] + 0.1) - math.log10(classes.counts[c] + 0.1 * (classes.distinct[c] + 1))
+            want = (log(ca, end, end) + log(cx, ca, end) + log(end, cx, ca)) / math.log(10) + share("a", ca) + share(x, cx)
+            assert got[1 + i] == pytest.approx(want, abs=1e-4)
+        for c in range(classes.size):  # the words of a class and one unknown word share it whole
+            own = [w for w in tf if kind(w) == c]
+            if own and not classes.is_word(np.array([c]))[0]:
+                assert sum((tf[w] + 0.1) for w in own) + 0.1 == pytest.approx(classes.counts[c] + 0.1 * (classes.distinct[c] + 1))
+
+
+def test_lm_scores_hardly_depend_on_how_rows_are_split(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 60, 400)) for i in range(300)]
+    one, many = (lm_scoring.score(table(spark, rows).repartition(n), words=6, endings=2, dim=8).collect() for n in (2, 7))
+    a, b = ({r.doc_id: r.score / r.n_tokens for r in x} for x in (one, many))
+    assert max(abs(a[i] - b[i]) for i in a) < 0.1
+
+
 def test_lm_without_training_rows(spark, docs):
-    got = lm_scoring.score(docs, docs.limit(0), size=5, dim=4).collect()
+    got = lm_scoring.score(docs, docs.limit(0), dim=4).collect()
     assert {r.n_known for r in got} == {0} and {r.base_score for r in got} == {0.0}
     assert lm_scoring.score(docs.limit(0)).count() == 0
 
@@ -180,7 +222,7 @@ def test_pii_terms_equal_brute_force_and_go(spark):
             lo, hi = max(0, a - pii.WINDOW_CHARS), b + pii.WINDOW_CHARS
             name = (k, t[a:b].lower())
             for m in re.finditer(pii.TERM, t[lo:a]):
-                if (lo == 0 or m.start() > 0) and not any(x < lo + m.end() and lo + m.start() < y for x, _, y, _ in spans):
+                if (a - lo < pii.WINDOW_CHARS or m.start() > 0) and not any(x < lo + m.end() and lo + m.start() < y for x, _, y, _ in spans):
                     where.append((i, name, m[0].lower(), lo + m.start(), lo + m.end(), t[lo:a] + "|" + t[b:hi]))
             for m in re.finditer(pii.TERM, t[b:hi]):
                 if m.end() < pii.WINDOW_CHARS and not any(x < b + m.end() and b + m.start() < y for x, _, y, _ in spans):
@@ -214,7 +256,7 @@ def test_media(spark, docs):
         file = media_chunks.wave(payload)
         want.append((r.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), media_chunks.feature(payload)))
     assert got == sorted(want, key=repr)
-    store, manifest = media_chunks.chunk_store(docs), media_chunks.manifest(docs)
+    store, manifest = media_chunks.chunk_store(docs), media_chunks.manifest(media_chunks.files(docs))
     digests = [bytes(r.digest) for r in store.collect()]
     assert len(digests) == len(set(digests)) < manifest.count() + 2
     assert media_chunks.stored(docs.limit(0)).count() == 0
@@ -238,7 +280,7 @@ def test_substring_dedup(spark, docs, window):
     for i, w in rows:
         gone = {j for k in range(len(w) - window + 1) if count[tuple(w[k : k + window])] > 1 for j in range(k, k + window)}
         want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
-    assert collected(substring_dedup.dedup(docs, window, bucket_bytes=4000, group_bytes=9000)) == sorted(want, key=repr)
+    assert collected(substring_dedup.dedup(docs, window, bucket_bytes=4000, part_bytes=9000)) == sorted(want, key=repr)
     assert substring_dedup.dedup(docs.limit(0)).count() == 0
 
 
