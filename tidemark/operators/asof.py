@@ -33,6 +33,36 @@ def latest_by_series(events: DataFrame, group: list[str], series: str, names: tu
     )
 
 
+def running(rows: DataFrame, group: list[str], order: list[str], values: dict[str, tuple[str, Column, bool]]) -> DataFrame:
+    """rows with running aggregates over a group in order, block by block. rows have a column `block` that
+    grows with the order. values: name to (sum or max, value, whether the row itself counts)."""
+    fn = {"sum": F.sum, "max": F.max}
+    held = rows.select("*", *[v.alias(f"_v_{name}") for name, (_, v, _) in values.items()])
+    ends = held.groupBy(*group, "block").agg(*[fn[kind](f"_v_{name}").alias(f"_o_{name}") for name, (kind, *_) in values.items()])
+    before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    opening = ends.select(*group, "block", *[fn[kind](f"_o_{name}").over(before).alias(f"_o_{name}") for name, (kind, *_) in values.items()])
+    joined = held.join(opening, [*group, "block"])
+    out = []
+    for name, (kind, _, own) in values.items():
+        inside = Window.partitionBy(*group, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+        here, earlier = fn[kind](f"_v_{name}").over(inside), F.col(f"_o_{name}")
+        # greatest() passes over nulls; a sum of nothing is null as well.
+        value = F.greatest(here, earlier) if kind == "max" else F.when(here.isNotNull() | earlier.isNotNull(), F.coalesce(here, F.lit(0)) + F.coalesce(earlier, F.lit(0)))
+        out.append(value.alias(name))
+    return joined.select(*rows.columns, *out)
+
+
+def following(rows: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """rows with `name`: the value at the next row of the group, null at its last one. rows have a column
+    `block` that grows with the order, and the value is never null."""
+    held = rows.withColumn("_v", value)
+    firsts = held.groupBy(*group, "block").agg(F.min_by("_v", F.struct(*order)).alias("_f"))
+    after = Window.partitionBy(*group).orderBy("block")
+    closing = firsts.select(*group, "block", F.lead("_f").over(after).alias("_n"))
+    inside = Window.partitionBy(*group, "block").orderBy(*order)
+    return held.join(closing, [*group, "block"]).select(*rows.columns, F.coalesce(F.lead("_v").over(inside), F.col("_n")).alias(name))
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, right_order: list[str], values: list[str], block: int, tolerance: int | None = None) -> DataFrame:
     """left with `values` of the last right row of equal keys at or before it in time, null without one or
     beyond the tolerance. Both sides are dealt out by keys and block of time."""

@@ -1,8 +1,9 @@
 """Order books: acceptance of sequenced updates, live levels, tops, depth and eligibility.
 
-Acceptance needs no fold. A chain starts at each snapshot or reset; within it the running maximum of the
-sequence numbers before an update tells whether the update is late, next or past a gap, and the first gap
-ends the chain's trust.
+Acceptance needs no fold. A chain starts at each snapshot, reset, disconnection or connection; within it the
+running maximum of the sequence numbers before an update tells whether the update is late, next or past a
+gap, and the first gap ends the chain's trust. All of these run by blocks of time, so a book's whole history
+is in no task.
 """
 
 from __future__ import annotations
@@ -10,52 +11,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import block_of, following, latest_by_series, running
+
 BOOK = ["pair", "venue"]
+ORDER = ["ns", "event_id"]
+#: Nanoseconds in one block: a day.
+BLOCK = 86_400 * 10**9
 
 
-def with_trust(quotes: DataFrame, order: tuple[str, ...] = ("ns", "event_id")) -> DataFrame:
+def with_trust(quotes: DataFrame, order: tuple[str, ...] = ("ns", "event_id"), block: int = BLOCK) -> DataFrame:
     """Quotes with `trusted`: a snapshot, or a delta whose last snapshot has no reset after it."""
-    before = Window.partitionBy(*BOOK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") != "delta", F.col("kind")), ignorenulls=True).over(before)
-    return quotes.withColumn("trusted", F.coalesce(last == "snapshot", F.lit(False)))
+    marked = quotes.withColumn("_mark", F.when(F.col("kind") != "delta", F.lit("mark")))
+    last = latest_by_series(marked, BOOK, "_mark", ("mark",), F.col("kind"), list(order), order[0], block)
+    return last.select(*quotes.columns, F.coalesce(F.col("at_mark") == "snapshot", F.lit(False)).alias("trusted"))
+
+
+def with_expiries(trusted: DataFrame, max_age: int, block: int = BLOCK) -> DataFrame:
+    """Quotes and, wherever a book hears nothing for longer than `max_age`, a row of kind expiry just after:
+    at its last receipt + max_age + 1. None comes after the input's last row; expiry rows change no book."""
+    blocked = trusted.withColumn("block", block_of(F.col("ns"), block))
+    at = F.col("ns") + max_age + 1
+    end = F.broadcast(trusted.agg(F.max("ns").alias("_end")))
+    lapsed = following(blocked, BOOK, ORDER, F.col("ns"), "_next").crossJoin(end).where((F.col("_next").isNull() | (F.col("_next") > at)) & (at <= F.col("_end")))
+    expiry = [at.alias(c) if c == "ns" else F.lit("expiry").alias(c) if c == "kind" else F.col(c) for c in trusted.columns]
+    return trusted.unionByName(lapsed.select(*expiry))
 
 
-def sequenced(quotes: DataFrame) -> DataFrame:
+def sequenced(quotes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Quotes with a local sequence number that repeats at some events and skips one at others."""
-    n = F.row_number().over(Window.partitionBy(*BOOK).orderBy("ns", "event_id")).cast("long")
+    blocked = quotes.withColumn("block", block_of(F.col("ns"), block))
+    n = F.col("n").cast("long")
     seq = F.when(F.col("event_id") % 37 == 0, n - 1).when(F.col("event_id") % 41 == 0, n + 1).otherwise(n)
-    return quotes.withColumn("seq", seq)
+    return running(blocked, BOOK, ORDER, {"n": ("sum", F.lit(1), True)}).select(*quotes.columns, seq.alias("seq"))
 
 
-def apply_reasons(events: DataFrame) -> DataFrame:
+def apply_reasons(events: DataFrame, block: int = BLOCK) -> DataFrame:
     """events: (pair, venue, ns, event_id, kind, seq, bid, ask) with chain, reason and accepted.
 
-    Reasons: ok, adapter_reset, snapshot_crossed, book_stale, out_of_order, sequence_gap, crossed_book.
-    A crossed update or a gap ends the chain; what follows is stale until the next snapshot.
+    Kinds: snapshot, delta, reset, and for a venue's link down and up, which are no updates themselves and
+    aren't returned. Reasons: ok, disconnected, adapter_reset, snapshot_incomplete, snapshot_crossed,
+    book_stale, out_of_order, sequence_gap, crossed_book. A crossed update or a gap ends the chain; what
+    follows is stale until the next snapshot. While the link is down nothing is applied, not even a snapshot.
     """
-    by_book = Window.partitionBy(*BOOK).orderBy("ns", "event_id")
-    chains = events.withColumn("chain", F.sum(F.when(F.col("kind") != "delta", 1).otherwise(0)).over(by_book.rowsBetween(Window.unboundedPreceding, 0)))
-    in_chain = Window.partitionBy(*BOOK, "chain").orderBy("ns", "event_id")
-    earlier = in_chain.rowsBetween(Window.unboundedPreceding, -1)
-    first = F.first("kind").over(in_chain.rowsBetween(Window.unboundedPreceding, 0))
-    rows = chains.withColumn("head", F.when(F.col("chain") == 0, F.lit("none")).otherwise(first)).withColumn("top_seq", F.max("seq").over(earlier))
-    crossed = F.col("bid") >= F.col("ask")
-    head_bad = F.max(F.when((F.col("kind") == "snapshot") & crossed, 1).otherwise(0)).over(in_chain.rowsBetween(Window.unboundedPreceding, 0))
+    names = events.columns
+    linked = events.withColumn("_link", F.when(F.col("kind").isin("down", "up"), F.lit("link")))
+    rows = latest_by_series(linked, BOOK, "_link", ("link",), F.col("kind"), ORDER, "ns", block)
+    cut = (F.col("at_link") == "down") & (F.col("kind") != "down")
+    rows = rows.select(*names, "block", F.coalesce(cut, F.lit(False)).alias("cut"))
+    crossed = F.coalesce(F.col("bid") >= F.col("ask"), F.lit(False))
+    empty = F.col("bid").isNull() | F.col("ask").isNull()
+    is_mark = (F.col("kind") != "delta") & ~F.col("cut")
+    state = F.struct("kind", (crossed | empty).alias("bad"))
+    rows = rows.withColumn("_mark", F.when(is_mark, F.lit("mark")))
+    rows = latest_by_series(rows, BOOK, "_mark", ("mark",), state, ORDER, "ns", block).select(*names, "block", "cut", "at_mark", is_mark.alias("is_mark"))
+    rows = running(rows, BOOK, ORDER, {"chain": ("sum", F.col("is_mark").cast("int"), True)})
+    rows = running(rows, [*BOOK, "chain"], ORDER, {"top_seq": ("max", F.when(~F.col("cut"), F.col("seq")), False)})
     gap = (F.col("kind") == "delta") & (F.col("seq") > F.col("top_seq") + 1)
     fresh = (F.col("kind") == "delta") & (F.col("seq") == F.col("top_seq") + 1)
-    rows = rows.withColumn("head_bad", head_bad).withColumn("ends", F.when(gap | (fresh & crossed), 1).otherwise(0))
-    rows = rows.withColumn("dead", F.coalesce(F.max("ends").over(earlier), F.lit(0)))
+    ends = F.when(~F.col("cut") & (gap | (fresh & crossed)), 1).otherwise(0)
+    rows = running(rows, [*BOOK, "chain"], ORDER, {"dead": ("max", ends, False)})
+    lost = F.col("at_mark").isNull() | (F.col("at_mark.kind") != "snapshot") | F.col("at_mark.bad") | (F.coalesce("dead", F.lit(0)) == 1)
     reason = (
-        F.when(F.col("kind") == "reset", "adapter_reset")
+        F.when(F.col("cut"), "disconnected")
+        .when(F.col("kind") == "reset", "adapter_reset")
+        .when((F.col("kind") == "snapshot") & empty, "snapshot_incomplete")
         .when((F.col("kind") == "snapshot") & crossed, "snapshot_crossed")
         .when(F.col("kind") == "snapshot", "ok")
-        .when((F.col("head") != "snapshot") | (F.col("head_bad") == 1) | (F.col("dead") == 1), "book_stale")
+        .when(lost, "book_stale")
         .when(F.col("seq") <= F.col("top_seq"), "out_of_order")
         .when(gap, "sequence_gap")
         .when(crossed, "crossed_book")
         .otherwise("ok")
     )
-    return rows.withColumn("reason", reason).withColumn("accepted", F.col("reason").isin("ok", "adapter_reset")).drop("head", "top_seq", "head_bad", "ends", "dead")
+    rows = rows.where(~F.col("kind").isin("down", "up"))
+    return rows.select(*names, "chain", reason.alias("reason")).withColumn("accepted", F.col("reason").isin("ok", "adapter_reset"))
 
 
 def verify(events: DataFrame, snapshots: DataFrame) -> DataFrame:

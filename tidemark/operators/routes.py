@@ -21,7 +21,9 @@ def spread(bid: Column, ask: Column) -> Column:
 def aligned(trusted: DataFrame, venues: tuple[str, ...], block: int) -> DataFrame:
     """Each event of a pair with every venue's latest top, trusted or not (`at_<venue>`)."""
     state = F.struct("ns", "trusted", "bid", "ask", "bid_size", "ask_size")
-    return latest_by_series(trusted, ["pair"], "venue", venues, state, ["ns", "event_id"], "ns", block)
+    # An expiry row is a time to look at the books again and changes none of them.
+    heard = trusted.withColumn("_heard", F.when(F.col("kind") != "expiry", F.col("venue")))
+    return latest_by_series(heard, ["pair"], "_heard", venues, state, ["ns", "event_id"], "ns", block).drop("_heard")
 
 
 def route_rows(aligned_: DataFrame, venues: tuple[str, ...], max_age: int, threshold: int) -> DataFrame:

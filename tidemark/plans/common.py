@@ -27,11 +27,22 @@ TRUSTED = (
 )"""
 )
 
-ROUTES = (
+#: Quotes and a row just after each book's lapse.
+EXPIRIES = (
     TRUSTED
+    + f""", hs AS (
+  SELECT *, lead(ns) OVER (PARTITION BY pair, venue ORDER BY ns, event_id) AS nx, max(ns) OVER () AS last_ns FROM tr
+), te AS (
+  SELECT event_id, pair, venue, ns, kind, bid, ask, bid_size, ask_size, trusted FROM tr
+  UNION ALL SELECT event_id, pair, venue, ns + {MAX_AGE + 1}, 'expiry', bid, ask, bid_size, ask_size, trusted FROM hs WHERE (nx IS NULL OR nx > ns + {MAX_AGE + 1}) AND ns + {MAX_AGE + 1} <= last_ns
+)"""
+)
+
+ROUTES = (
+    EXPIRIES
     + f""", al AS (
-  SELECT pair, ns, event_id, {", ".join(f"last_value(CASE WHEN venue = '{v}' THEN {{'ns': ns, 'trusted': trusted, 'bid': bid, 'ask': ask, 'bid_size': bid_size, 'ask_size': ask_size}} END IGNORE NULLS) OVER w AS at_{v}" for v in market.VENUES)}
-  FROM tr WINDOW w AS (PARTITION BY pair ORDER BY ns, event_id)
+  SELECT pair, ns, event_id, {", ".join(f"last_value(CASE WHEN venue = '{v}' AND kind <> 'expiry' THEN {{'ns': ns, 'trusted': trusted, 'bid': bid, 'ask': ask, 'bid_size': bid_size, 'ask_size': ask_size}} END IGNORE NULLS) OVER w AS at_{v}" for v in market.VENUES)}
+  FROM te WINDOW w AS (PARTITION BY pair ORDER BY ns, event_id)
 ), legs AS (
   {" UNION ALL ".join(f"SELECT pair, {k} AS route, '{b}' AS buy, '{s}' AS sell, ns, event_id, at_{b} AS x, at_{s} AS y FROM al" for k, (b, s) in enumerate((b, s) for b in market.VENUES for s in market.VENUES if b != s))}
 ), rt AS (
@@ -85,7 +96,7 @@ def trusted_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = routes.aligned(trusted_quotes(spark, sf_dir), market.VENUES, BLOCK)
+    rows = routes.aligned(book.with_expiries(trusted_quotes(spark, sf_dir), MAX_AGE, BLOCK), market.VENUES, BLOCK)
     return routes.route_rows(rows, market.VENUES, MAX_AGE, THRESHOLD)
 
 
