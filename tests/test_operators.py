@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import symbols
 from tidemark.operators import asof, audits, book, episodes, fillrates, history, leadlag, netsignal, pricing, routes, stats
+from tidemark.sources.store import EpisodeStore
 from tidemark.sources import capture, messages
 
 EVENTS = "pair string, venue string, ns long, event_id long, kind string, seq long, bid long, ask long"
@@ -146,20 +147,47 @@ def test_percentiles_equal_sorting(spark, ceil):
 def test_pages_traverse_everything_once(spark):
     rows = [(i, i % 7, None if i % 5 == 0 else "x", i % 5 or None) for i in range(43)]
     df = spark.createDataFrame(rows, "id long, start_ns long, close_reason string, end_ns long")
-    filters, seen, cursor = history.Filters(state="closed"), [], None
+    asked, seen, token = history.search(closed=True), [], None
     while True:
-        page, cursor = history.page(df, filters, 10, cursor)
+        page, token = history.page(df, asked, 10, token)
         seen += [(r.start_ns, r.id) for r in page.collect()]
-        if cursor is None:
+        if token is None:
             break
     assert seen == sorted(((s, i) for i, s, c, _ in rows if c), reverse=True)
-    with pytest.raises(ValueError):
-        history.decode_cursor(history.encode_cursor(1, 2, 3, filters), history.Filters())
-    for bad in ("", "!!", "a" * 600):
+    assert history.Place.of(history.Place(1, 2, 3).token(asked), asked) == (1, 2, 3)
+    for bad in (history.Place(1, 2, 3).token(history.search()), "", "!!", "a" * 600, "ab" * 32):
         with pytest.raises(ValueError):
-            history.decode_cursor(bad, filters)
+            history.Place.of(bad, asked)
     with pytest.raises(ValueError):
-        history.Filters(from_ns=5, to_ns=5)
+        history.search(since=5, until=5)
+    assert history.search(pair="P", since=1).mark == history.Search(("start_ns", ">=", 1), ("pair", "=", "P")).mark
+
+
+def test_a_page_does_not_see_what_comes_later(spark):
+    rows = [(i, i, None, None) for i in range(20)]
+    schema = "id long, start_ns long, close_reason string, end_ns long"
+    asked = history.search(closed=False)
+    _, token = history.page(spark.createDataFrame(rows, schema), asked, 5)
+    later = spark.createDataFrame([*rows, (99, 3, None, None)], schema)
+    assert [r.id for r in history.page(later, asked, 30, token)[0].collect()] == list(range(14, -1, -1))
+
+
+def test_store_folds_changes_and_rebuilds_its_rollup(spark, tmp_path):
+    day = 86_400 * 10**9
+    made = EpisodeStore(spark, str(tmp_path / "store"))
+    row = lambda i, start, end, reason, spread: (i, "P-USD", "USD", "a", "b", start, end, reason, spread, 2 * spread)
+    schema = "id long, pair string, quote string, buy string, sell string, start_ns long, end_ns long, close_reason string, peak_spread long, peak_profit long"
+    first = [row(1, 5, None, None, 10), row(2, day + 7, day + 9, "spread_closed", 20), row(3, 2 * day, None, None, 5)]
+    made.flush(spark.createDataFrame(first, schema))
+    second = [row(1, 5, 50, "spread_closed", 30), row(2, day + 7, None, None, 99), row(4, day + 8, None, None, 1)]
+    made.flush(spark.createDataFrame(second, schema))
+    made.flush(spark.createDataFrame([], schema))
+    got = {r.id: (r.end_ns, r.peak_spread) for r in made.episodes().collect()}
+    assert got == {1: (50, 30), 2: (day + 9, 20), 3: (None, 5), 4: (None, 1)}
+    want = {tuple(r) for r in stats.rollup(made.episodes(), 60 * 10**9).collect()}
+    assert {tuple(r) for r in made.rollup().select("bucket_ns", "pair", "quote", "n", "max_spread", "sum_spread", "sum_profit").collect()} == want
+    assert [r.id for r in made.episodes(since=day, until=2 * day).orderBy("id").collect()] == [2, 4]
+    assert "PartitionFilters: [isnotnull(day" in made.episodes(since=day)._jdf.queryExecution().toString()
 
 
 def signal(spark, rows):

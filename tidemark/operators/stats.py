@@ -10,6 +10,12 @@ def floor_to(time: Column, width: int) -> Column:
     return F.floor(time / width).cast("long") * width
 
 
+def window_ns(label: str) -> int:
+    """Nanoseconds of a window such as 4h, 1d or 1w; an hour for what isn't one of the known ones."""
+    hours = {"1h": 1, "4h": 4, "24h": 24, "1d": 24, "72h": 72, "1w": 168}
+    return hours.get(label, 1) * 3600 * 10**9
+
+
 def nearest_rank(values: Column, fraction: float) -> Column:
     """The element at min(n - 1, floor(fraction * n)), from 0, of a sorted array; null if it is empty."""
     n = F.size(values)

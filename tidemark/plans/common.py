@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import book, episodes, routes
-from tidemark.sources import market
+from tidemark.session import table
+from tidemark.sources import market, store
 
 MAX_AGE = 6 * market.NS_HOUR
 THRESHOLD = 100_000  # 1e-8, 0.1 %
@@ -106,3 +107,8 @@ def episode_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def live_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.live_levels(market.levels(spark, sf_dir))
+
+
+def episode_store(spark: SparkSession, sf_dir: str) -> store.EpisodeStore:
+    """All episodes of the events as a store by day, with its rollup; made at the first use."""
+    return store.store_of(spark, table(spark, sf_dir, "events"), episode_table(spark, sf_dir))

@@ -14,7 +14,7 @@ WINDOWS = {"1h": market.NS_HOUR, "4h": 4 * market.NS_HOUR, "24h": market.NS_DAY,
 
 
 def minute_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.rollup(common.episode_table(spark, sf_dir), market.NS_MINUTE)
+    return common.episode_store(spark, sf_dir).rollup()
 
 
 def _rollup_sql(rows: str, width: int) -> str:
@@ -25,7 +25,7 @@ ROLLUP_SQL = f"WITH {E} {_rollup_sql('ep', market.NS_MINUTE)}"
 
 
 def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.by_window(common.episode_table(spark, sf_dir), WINDOWS)
+    return stats.by_window(common.episode_store(spark, sf_dir).episodes(), WINDOWS)
 
 
 WINDOWS_SQL = f"""WITH {E} SELECT label, quote, count(*) AS n, max(peak_spread) AS max_spread, sum(peak_profit)::BIGINT AS profit
@@ -35,11 +35,10 @@ FROM ep, (VALUES {", ".join(f"('{k}', {v})" for k, v in WINDOWS.items())}) w(lab
 def rollup_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals from 2024-01-12 00:30:30 on: the part of the first minute from the episodes, whole minutes
     from the rollup."""
-    found = common.episode_table(spark, sf_dir)
+    store = common.episode_store(spark, sf_dir)
     start = 1_705_019_430 * 10**9
     whole = (start + market.NS_MINUTE - 1) // market.NS_MINUTE * market.NS_MINUTE
-    first = stats.rollup(found.where((F.col("start_ns") >= start) & (F.col("start_ns") < whole)), market.NS_MINUTE)
-    rest = stats.rollup(found, market.NS_MINUTE).where(F.col("bucket_ns") >= whole)
+    first, rest = stats.rollup(store.episodes(start, whole), market.NS_MINUTE), store.rollup(whole)
     return first.unionByName(rest).groupBy("quote").agg(F.sum("n").alias("n"), F.max("max_spread").alias("max_spread"), F.sum("sum_profit").alias("profit"))
 
 
@@ -47,7 +46,7 @@ ROLLUP_WINDOW_SQL = f"WITH {E} SELECT quote, count(*) AS n, max(peak_spread) AS
 
 
 def extended_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = common.episode_table(spark, sf_dir)
+    found = common.episode_store(spark, sf_dir).episodes()
     by_pair = found.groupBy("pair").agg(F.count("*").alias("n"), F.max("peak_spread").alias("max_spread"), F.sum("peak_spread").alias("total"))
     all_ = by_pair.agg(F.sum("n").alias("n"), F.max("max_spread").alias("max_spread"), F.floor(F.sum("total") / F.sum("n")).cast("long").alias("mean_spread"))
     best = stats.most_common(by_pair, "pair", latest=False).select(F.col("pair").alias("top_pair"), F.col("n").alias("top_n"))
@@ -59,7 +58,7 @@ SELECT count(*) AS n, max(peak_spread) AS max_spread, CAST(floor(sum(peak_spread
 
 
 def peak_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = common.episode_table(spark, sf_dir).groupBy(stats.floor_to(F.col("start_ns"), market.NS_MINUTE).alias("bucket_ns")).agg(F.count("*").alias("n"))
+    counts = common.episode_store(spark, sf_dir).episodes().groupBy(stats.floor_to(F.col("start_ns"), market.NS_MINUTE).alias("bucket_ns")).agg(F.count("*").alias("n"))
     return stats.most_common(counts, "bucket_ns", latest=True)
 
 
@@ -68,14 +67,14 @@ PEAK_SQL = f"WITH {E} SELECT start_ns // {market.NS_MINUTE} * {market.NS_MINUTE}
 
 def timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucket = stats.floor_to(F.col("start_ns"), 6 * market.NS_HOUR).alias("bucket_ns")
-    return common.episode_table(spark, sf_dir).groupBy(bucket).agg(F.count("*").alias("n"), F.max("peak_spread").alias("max_spread"))
+    return common.episode_store(spark, sf_dir).episodes().groupBy(bucket).agg(F.count("*").alias("n"), F.max("peak_spread").alias("max_spread"))
 
 
 SERIES_SQL = f"WITH {E} SELECT start_ns // {6 * market.NS_HOUR} * {6 * market.NS_HOUR} AS bucket_ns, count(*) AS n, max(peak_spread) AS max_spread FROM ep GROUP BY ALL"
 
 
 def lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = common.episode_table(spark, sf_dir).where("end_ns is not null").withColumn("life", F.col("end_ns") - F.col("start_ns"))
+    rows = common.episode_store(spark, sf_dir).episodes().where("end_ns is not null").withColumn("life", F.col("end_ns") - F.col("start_ns"))
     return stats.percentiles(rows, ["pair"], "life", {"p50": 0.5, "p90": 0.9})
 
 
@@ -84,7 +83,7 @@ SELECT pair, len(v) AS n, v[1 + least(len(v) - 1, CAST(floor(len(v) * 0.5) AS BI
 
 
 def open_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return common.episode_table(spark, sf_dir).agg(F.count_if(F.col("end_ns").isNull() & F.col("close_reason").isNull()).alias("open"), F.count("*").alias("n"), F.count_distinct("pair").alias("pairs"))
+    return common.episode_store(spark, sf_dir).episodes().agg(F.count_if(F.col("end_ns").isNull() & F.col("close_reason").isNull()).alias("open"), F.count("*").alias("n"), F.count_distinct("pair").alias("pairs"))
 
 
 OPEN_SQL = f"WITH {E} SELECT count(*) FILTER (end_ns IS NULL) AS open, count(*) AS n, count(DISTINCT pair) AS pairs FROM ep"
@@ -93,32 +92,32 @@ _COLUMNS = ["id", "pair", "buy", "sell", "start_ns", "end_ns", "close_reason", "
 
 
 def recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return common.episode_table(spark, sf_dir).orderBy(F.desc("start_ns"), F.desc("id")).limit(50).select(*_COLUMNS)
+    return common.episode_store(spark, sf_dir).episodes().orderBy(F.desc("start_ns"), F.desc("id")).limit(50).select(*_COLUMNS)
 
 
 RECENT_SQL = f"WITH {E} SELECT {', '.join(_COLUMNS)} FROM ep ORDER BY start_ns DESC, id DESC LIMIT 50"
-_FILTERS = history.Filters(pair="P4-USD", state="closed", close_reason="spread_closed")
+_ASKED = history.search(pair="P4-USD", closed=True, close_reason="spread_closed")
 _WHERE = "pair = 'P4-USD' AND close_reason = 'spread_closed'"
 
 
 def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.page(common.episode_table(spark, sf_dir), _FILTERS, 25)[0].select(*_COLUMNS)
+    return history.page(common.episode_store(spark, sf_dir).episodes(), _ASKED, 25)[0].select(*_COLUMNS)
 
 
 PAGE_SQL = f"WITH {E} SELECT {', '.join(_COLUMNS)} FROM ep WHERE {_WHERE} ORDER BY start_ns DESC, id DESC LIMIT 25"
 
 
 def history_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = common.episode_table(spark, sf_dir)
-    _, cursor = history.page(found, _FILTERS, 25)
-    return (history.page(found, _FILTERS, 25, cursor)[0] if cursor else found.limit(0)).select(*_COLUMNS)
+    found = common.episode_store(spark, sf_dir).episodes()
+    _, token = history.page(found, _ASKED, 25)
+    return (history.page(found, _ASKED, 25, token)[0] if token else found.limit(0)).select(*_COLUMNS)
 
 
 SECOND_SQL = f"WITH {E} SELECT {', '.join(_COLUMNS)} FROM ep WHERE {_WHERE} ORDER BY start_ns DESC, id DESC LIMIT 25 OFFSET 25"
 
 
 def export_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.export_lines(common.episode_table(spark, sf_dir), history.Filters(buy="v0", state="closed"), ["id", "pair", "buy", "sell", "start_ns", "end_ns", "peak_spread", "close_spread"], 100_000)
+    return history.export_lines(common.episode_store(spark, sf_dir).episodes(), history.search(buy="v0", closed=True), ["id", "pair", "buy", "sell", "start_ns", "end_ns", "peak_spread", "close_spread"], 100_000)
 
 
 EXPORT_SQL = f"""WITH {E}, x AS (SELECT * FROM ep WHERE buy = 'v0' AND close_reason IS NOT NULL ORDER BY start_ns DESC, id DESC LIMIT 100000)
@@ -128,8 +127,72 @@ UNION ALL SELECT 1, to_json({{'type': 'end', 'count': count(*)}})::VARCHAR FROM
 _CUTOFF = 1_705_019_430 * 10**9
 
 
+def prune_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred oldest episodes before the cutoff, which one bounded prune takes."""
+    return history.prune_batch(common.episode_store(spark, sf_dir).episodes(until=_CUTOFF), _CUTOFF, 100).select(*_COLUMNS)
+
+
+PRUNE_BATCH_SQL = f"WITH {E} SELECT {', '.join(_COLUMNS)} FROM ep WHERE start_ns < {_CUTOFF} ORDER BY start_ns, id LIMIT 100"
+
+
+def unique_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts by the hour, moved on so that no route has two episodes of one start."""
+    hour = stats.floor_to(F.col("start_ns"), market.NS_HOUR).alias("hour_ns")
+    rows = common.episode_store(spark, sf_dir).episodes().select("id", "pair", "buy", "sell", hour)
+    return history.unique_starts(rows, ["pair", "buy", "sell"], "hour_ns")
+
+
+UNIQUE_SQL = f"""WITH RECURSIVE {E}, h AS (SELECT id, pair, buy, sell, start_ns // {market.NS_HOUR} * {market.NS_HOUR} AS hour_ns, row_number() OVER (PARTITION BY pair, buy, sell ORDER BY start_ns // {market.NS_HOUR}, id) AS n FROM ep
+), u AS (SELECT id, pair, buy, sell, hour_ns, n, hour_ns AS unique_ns FROM h WHERE n = 1
+  UNION ALL SELECT h.id, h.pair, h.buy, h.sell, h.hour_ns, h.n, greatest(h.hour_ns, u.unique_ns + 1) FROM u JOIN h ON h.pair = u.pair AND h.buy = u.buy AND h.sell = u.sell AND h.n = u.n + 1)
+SELECT id, pair, buy, sell, hour_ns, unique_ns FROM u"""
+
+
+def last_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest episode of each pair with its lifetime; an open one comes before closed ones."""
+    rows = common.episode_store(spark, sf_dir).episodes()
+    rank = F.struct(F.col("end_ns").isNull(), "start_ns", "id")
+    last = rows.groupBy("pair").agg(F.max_by(F.struct("id", "start_ns", "end_ns"), rank).alias("e"))
+    return last.select("pair", "e.id", F.col("e.end_ns").isNull().alias("open"), (F.col("e.end_ns") - F.col("e.start_ns")).alias("lifetime"))
+
+
+LAST_SQL = f"""WITH {E} SELECT pair, id, end_ns IS NULL AS open, end_ns - start_ns AS lifetime FROM (
+  SELECT *, row_number() OVER (PARTITION BY pair ORDER BY end_ns IS NULL DESC, start_ns DESC, id DESC) AS r FROM ep) WHERE r = 1"""
+
+
+def episode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes by pair, by close reason and by route, with the profit of each quote asset."""
+    rows = common.episode_store(spark, sf_dir).episodes().withColumn("close_reason", F.coalesce("close_reason", F.lit("open")))
+    sets = [["quote", "pair"], ["quote", "close_reason"], ["quote", "pair", "buy", "sell"], ["quote"]]
+    return rows.groupingSets(sets, "quote", "pair", "close_reason", "buy", "sell").agg(F.count("*").alias("n"), F.sum("peak_profit").alias("profit"))
+
+
+COUNTS_SQL = f"""WITH {E}, c AS (SELECT *, coalesce(close_reason, 'open') AS cr FROM ep)
+SELECT quote, pair, cr AS close_reason, buy, sell, count(*) AS n, sum(peak_profit)::BIGINT AS profit FROM c GROUP BY GROUPING SETS ((quote, pair), (quote, cr), (quote, pair, buy, sell), (quote))"""
+
+
+def ages_at_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of the older leg's age, in quarters of an hour, at the opening of episodes only."""
+    age = F.greatest("buy_age", "sell_age")
+    bucket = F.floor(age / (market.NS_HOUR // 4)).cast("long").alias("quarter")
+    return common.episode_store(spark, sf_dir).episodes().groupBy("pair", bucket).agg(F.count("*").alias("n"))
+
+
+AGES_SQL = f"WITH {E} SELECT pair, greatest(buy_age, sell_age) // {market.NS_HOUR // 4} AS quarter, count(*) AS n FROM ep GROUP BY ALL"
+
+
+def window_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes in the trailing windows of some labels; 1d is 24h and an unknown label one hour."""
+    labels = {k: stats.window_ns(k) for k in ("1h", "4h", "1d", "72h", "1w", "fortnight", "")}
+    return stats.by_window(common.episode_store(spark, sf_dir).episodes(), labels).groupBy("label").agg(F.sum("n").alias("n"))
+
+
+LABELS_SQL = f"""WITH {E} SELECT label, count(*) AS n FROM ep, (VALUES ('1h', 1), ('4h', 4), ('1d', 24), ('72h', 72), ('1w', 168), ('fortnight', 1), ('', 1)) w(label, hours)
+WHERE start_ns >= (SELECT max(start_ns) FROM ep) - hours * {market.NS_HOUR} GROUP BY label"""
+
+
 def prune_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = common.episode_table(spark, sf_dir)
+    found = common.episode_store(spark, sf_dir).episodes()
     kept, _ = history.prune(found, stats.rollup(found, market.NS_HOUR), _CUTOFF, market.NS_HOUR, lambda rows: stats.rollup(rows, market.NS_HOUR))
     return kept.select(*_COLUMNS)
 
@@ -138,7 +201,7 @@ PRUNE_SQL = f"WITH {E} SELECT {', '.join(_COLUMNS)} FROM ep WHERE start_ns >= {_
 
 
 def prune_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = common.episode_table(spark, sf_dir)
+    found = common.episode_store(spark, sf_dir).episodes()
     return history.prune(found, stats.rollup(found, market.NS_HOUR), _CUTOFF, market.NS_HOUR, lambda rows: stats.rollup(rows, market.NS_HOUR))[1]
 
 
@@ -159,4 +222,10 @@ QUERIES = {
     "export_ndjson": (export_ndjson, EXPORT_SQL),
     "prune_survivors": (prune_survivors, PRUNE_SQL),
     "prune_rollup": (prune_rollup, PRUNE_ROLLUP_SQL),
+    "prune_batch": (prune_batch, PRUNE_BATCH_SQL),
+    "unique_starts": (unique_starts, UNIQUE_SQL),
+    "last_lifetimes": (last_lifetimes, LAST_SQL),
+    "episode_counts": (episode_counts, COUNTS_SQL),
+    "ages_at_open": (ages_at_open, AGES_SQL),
+    "window_labels": (window_labels, LABELS_SQL),
 }
