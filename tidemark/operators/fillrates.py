@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
@@ -43,3 +43,29 @@ def window(buckets_: DataFrame, start: int, end: int) -> DataFrame:
     total = buckets_.where((F.col("bucket_ns") >= start) & (F.col("bucket_ns") < end)).groupBy(*BOOK, "notional", "side").agg(*[F.sum(c).alias(c) for c in ["samples", *OUTCOMES]])
     tried = F.col("filled") + F.col("insufficient")
     return total.withColumn("fill_rate", F.floor(F.try_divide(F.col("filled") * 1_000_000, tried)).cast("long")).withColumn("eligible_share", F.floor(tried * 1_000_000 / F.col("samples")).cast("long"))
+
+
+def fingerprint(*settings: Column) -> Column:
+    """SHA-256 of settings' texts, joined by |."""
+    return F.sha2(F.concat_ws("|", *[s.cast("string") for s in settings]).cast("binary"), 256)
+
+
+def session_id(started_ns: Column, print_: Column) -> Column:
+    """<start>-<first 16 digits of the fingerprint>."""
+    return F.concat_ws("-", started_ns.cast("string"), F.substring(print_, 1, 16))
+
+
+def upserted(buckets_: DataFrame, keys: list[str]) -> DataFrame:
+    """Buckets that came in several parts, summed by their keys; parts of one key are added, not replaced."""
+    counts = [c for c in buckets_.columns if c not in keys]
+    return buckets_.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def by_config(buckets_: DataFrame, sessions: DataFrame, start: int, end: int, interval: int) -> DataFrame:
+    """Counts of the buckets of [start, end) by the configuration of their session and row key, with the share of
+    the span (1e-6) that the samples of a row key cover. Sessions are few and broadcast by size only."""
+    own = buckets_.where((F.col("bucket_ns") >= start) & (F.col("bucket_ns") < end)).join(sessions.select("session", "config"), "session")
+    total = own.groupBy("config", *BOOK, "notional", "side").agg(*[F.sum(c).alias(c) for c in ["samples", *OUTCOMES]])
+    tried = F.col("filled") + F.col("insufficient")
+    rate = F.floor(F.try_divide(F.col("filled") * 1_000_000, tried)).cast("long")
+    return total.withColumn("fill_rate", rate).withColumn("coverage", F.floor(F.col("samples") * (interval // 10**9 * 1_000_000) / ((end - start) // 10**9)).cast("long"))
