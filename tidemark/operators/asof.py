@@ -18,8 +18,8 @@ def block_of(time: Column, size: int) -> Column:
 def latest_by_series(events: DataFrame, group: list[str], series: str, names: tuple[str, ...], state: Column, order: list[str], time: str, block: int) -> DataFrame:
     """The events with a column `at_<name>` for each series: its state at the last event of its own that
     isn't after this one in `order`, else null. A state must never be null itself."""
-    rows = events.withColumn("block", block_of(F.col(time), block)).withColumn("state", state)
-    own = lambda name: F.when(F.col(series) == name, F.col("state"))
+    rows = events.withColumn("block", block_of(F.col(time), block)).withColumn("_state", state)
+    own = lambda name: F.when(F.col(series) == name, F.col("_state"))
     place = F.struct(*order)
     ends = rows.groupBy(*group, "block").agg(*[F.max_by(own(n), F.when(F.col(series) == n, place)).alias(f"end_{n}") for n in names])
     before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,19 +35,28 @@ def latest_by_series(events: DataFrame, group: list[str], series: str, names: tu
 
 def running(rows: DataFrame, group: list[str], order: list[str], values: dict[str, tuple[str, Column, bool]]) -> DataFrame:
     """rows with running aggregates over a group in order, block by block. rows have a column `block` that
-    grows with the order. values: name to (sum or max, value, whether the row itself counts)."""
-    fn = {"sum": F.sum, "max": F.max}
+    grows with the order. values: name to (sum, max or last, value, whether the row itself counts); last is the
+    last value that isn't null. rows are read twice, so settle them first if they are dear."""
     held = rows.select("*", *[v.alias(f"_v_{name}") for name, (_, v, _) in values.items()])
-    ends = held.groupBy(*group, "block").agg(*[fn[kind](f"_v_{name}").alias(f"_o_{name}") for name, (kind, *_) in values.items()])
+
+    def whole(kind: str, name: str) -> Column:
+        v = F.col(f"_v_{name}")
+        return F.sum(v) if kind == "sum" else F.max(v) if kind == "max" else F.max_by(v, F.when(v.isNotNull(), F.struct(*order)))
+
+    over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+    ends = held.groupBy(*group, "block").agg(*[whole(kind, name).alias(f"_o_{name}") for name, (kind, *_) in values.items()])
     before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    opening = ends.select(*group, "block", *[fn[kind](f"_o_{name}").over(before).alias(f"_o_{name}") for name, (kind, *_) in values.items()])
+    opening = ends.select(*group, "block", *[over[kind](f"_o_{name}").over(before).alias(f"_o_{name}") for name, (kind, *_) in values.items()])
     joined = held.join(opening, [*group, "block"])
     out = []
     for name, (kind, _, own) in values.items():
         inside = Window.partitionBy(*group, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
-        here, earlier = fn[kind](f"_v_{name}").over(inside), F.col(f"_o_{name}")
+        here, earlier = over[kind](f"_v_{name}").over(inside), F.col(f"_o_{name}")
         # greatest() passes over nulls; a sum of nothing is null as well.
-        value = F.greatest(here, earlier) if kind == "max" else F.when(here.isNotNull() | earlier.isNotNull(), F.coalesce(here, F.lit(0)) + F.coalesce(earlier, F.lit(0)))
+        if kind == "sum":
+            value = F.when(here.isNotNull() | earlier.isNotNull(), F.coalesce(here, F.lit(0)) + F.coalesce(earlier, F.lit(0)))
+        else:
+            value = F.greatest(here, earlier) if kind == "max" else F.coalesce(here, earlier)
         out.append(value.alias(name))
     return joined.select(*rows.columns, *out)
 
@@ -63,6 +72,16 @@ def following(rows: DataFrame, group: list[str], order: list[str], value: Column
     return held.join(closing, [*group, "block"]).select(*rows.columns, F.coalesce(F.lead("_v").over(inside), F.col("_n")).alias(name))
 
 
+def preceding(rows: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """rows with `name`: the value at the row before of the group, null at its first one; like `following`."""
+    held = rows.withColumn("_v", value)
+    lasts = held.groupBy(*group, "block").agg(F.max_by("_v", F.struct(*order)).alias("_l"))
+    before = Window.partitionBy(*group).orderBy("block")
+    opening = lasts.select(*group, "block", F.lag("_l").over(before).alias("_p"))
+    inside = Window.partitionBy(*group, "block").orderBy(*order)
+    return held.join(opening, [*group, "block"]).select(*rows.columns, F.coalesce(F.lag("_v").over(inside), F.col("_p")).alias(name))
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, right_order: list[str], values: list[str], block: int, tolerance: int | None = None) -> DataFrame:
     """left with `values` of the last right row of equal keys at or before it in time, null without one or
     beyond the tolerance. Both sides are dealt out by keys and block of time."""

@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import block_of, preceding, running
+from tidemark.session import settled
+
 BOOK = ["pair", "venue"]
+#: Units of the first column of an order in one block; a day of nanoseconds.
+BLOCK = 86_400 * 10**9
+
+
+def _blocked(rows: DataFrame, order: list[str]) -> DataFrame:
+    return rows.withColumn("block", block_of(F.col(order[0]), BLOCK))
 
 
 def chain_classes(updates: DataFrame, keys: list[str], order: list[str], first: str, last: str) -> DataFrame:
     """Updates with their place in the chain of ids: first, already_covered, contiguous, overlapping, gap.
     What came before reaches to the greatest last id so far."""
-    before = F.max(last).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    rows = updates.withColumn("reach", before)
+    rows = running(_blocked(updates, order), keys, order, {"reach": ("max", F.col(last), False)}).drop("block")
     f, u, p = F.col(first), F.col(last), F.col("reach")
     kind = F.when(p.isNull(), "first").when(u <= p, "already_covered").when(f == p + 1, "contiguous").when(f > p + 1, "gap").otherwise("overlapping")
     return rows.withColumn("chain_class", kind)
@@ -20,8 +28,7 @@ def chain_classes(updates: DataFrame, keys: list[str], order: list[str], first:
 
 def envelope_classes(messages: DataFrame, keys: list[str], order: list[str], seq: str) -> DataFrame:
     """Messages as first, duplicate, next or gap by the greatest sequence number before them."""
-    before = F.max(seq).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    rows = messages.withColumn("reach", before)
+    rows = running(_blocked(messages, order), keys, order, {"reach": ("max", F.col(seq), False)}).drop("block")
     kind = F.when(F.col("reach").isNull(), "first").when(F.col(seq) <= F.col("reach"), "duplicate").when(F.col(seq) == F.col("reach") + 1, "next").otherwise("gap")
     return rows.withColumn("envelope_class", kind).drop("reach")
 
@@ -48,24 +55,28 @@ def nearest(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("distance", F.least(F.col("price") - below, above - F.col("price"))).where("own = 1").drop("own")
 
 
+def _numbered(rows: DataFrame, keys: list[str], order: list[str], state: Column) -> DataFrame:
+    """rows with `state`, `run` (its number among the key's runs of equal state) and `block`."""
+    marked = _blocked(rows, order).withColumn("state", state)
+    # As a struct the state before tells a null state from none.
+    changed = settled(preceding(marked, keys, order, F.struct("state"), "_was"), "states")
+    new = F.when(F.struct("state").eqNullSafe(F.col("_was")), 0).otherwise(1)
+    return running(changed, keys, order, {"run": ("sum", new, True)}).drop("_was")
+
+
 def runs(rows: DataFrame, keys: list[str], order: list[str], state: Column) -> DataFrame:
-    """(keys, state, start_ns, end_ns, rows): runs of equal state; end_ns is the start of the next run."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    marked = rows.withColumn("state", state).withColumn("new", F.when(F.col("state").eqNullSafe(F.lag("state").over(w)), 0).otherwise(1))
-    numbered = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = numbered.groupBy(*keys, "run").agg(F.first("state").alias("state"), F.min("ns").alias("start_ns"), F.count("*").alias("rows"))
+    """(keys, state, start_ns, end_ns, rows): runs of equal state; end_ns is the start of the next run. Only the
+    runs of a key, not its rows, are put in order together."""
+    out = _numbered(rows, keys, order, state).groupBy(*keys, "run").agg(F.first("state").alias("state"), F.min("ns").alias("start_ns"), F.count("*").alias("rows"))
     return out.select(*keys, "state", "start_ns", F.lead("start_ns").over(Window.partitionBy(*keys).orderBy("run")).alias("end_ns"), "rows")
 
 
 def streak_triggers(rows: DataFrame, keys: list[str], order: list[str], mismatch: Column, signature: Column, length: int) -> DataFrame:
     """Rows at which a streak of mismatches of one signature reaches `length`; a match or another signature
     begins anew."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    sign = F.when(mismatch, signature)
-    marked = rows.withColumn("sign", sign).withColumn("new", F.when(F.col("sign").eqNullSafe(F.lag("sign").over(w)), 0).otherwise(1))
-    numbered = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(*keys, "run").orderBy(*order))
-    return numbered.withColumn("streak", place).where(F.col("sign").isNotNull() & (F.col("streak") == length)).drop("new", "run", "streak")
+    numbered = _numbered(rows, keys, order, F.when(mismatch, signature)).withColumnRenamed("state", "sign")
+    placed = running(numbered, [*keys, "run"], order, {"streak": ("sum", F.lit(1), True)})
+    return placed.where(F.col("sign").isNotNull() & (F.col("streak") == length)).drop("run", "streak", "block")
 
 
 def recoveries(rows: DataFrame, keys: list[str], order: list[str], good: str) -> DataFrame:

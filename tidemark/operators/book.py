@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import block_of, following, latest_by_series, running
+from tidemark.operators.asof import block_of, following, running
+from tidemark.session import settled
 
 BOOK = ["pair", "venue"]
 ORDER = ["ns", "event_id"]
@@ -21,15 +22,16 @@ BLOCK = 86_400 * 10**9
 
 def with_trust(quotes: DataFrame, order: tuple[str, ...] = ("ns", "event_id"), block: int = BLOCK) -> DataFrame:
     """Quotes with `trusted`: a snapshot, or a delta whose last snapshot has no reset after it."""
-    marked = quotes.withColumn("_mark", F.when(F.col("kind") != "delta", F.lit("mark")))
-    last = latest_by_series(marked, BOOK, "_mark", ("mark",), F.col("kind"), list(order), order[0], block)
-    return last.select(*quotes.columns, F.coalesce(F.col("at_mark") == "snapshot", F.lit(False)).alias("trusted"))
+    blocked = quotes.withColumn("block", block_of(F.col(order[0]), block))
+    last = running(blocked, BOOK, list(order), {"_mark": ("last", F.when(F.col("kind") != "delta", F.col("kind")), True)})
+    return last.select(*quotes.columns, F.coalesce(F.col("_mark") == "snapshot", F.lit(False)).alias("trusted"))
 
 
 def with_expiries(trusted: DataFrame, max_age: int, block: int = BLOCK) -> DataFrame:
     """Quotes and, wherever a book hears nothing for longer than `max_age`, a row of kind expiry just after:
     at its last receipt + max_age + 1. None comes after the input's last row; expiry rows change no book."""
-    blocked = trusted.withColumn("block", block_of(F.col("ns"), block))
+    trusted = settled(trusted, "trusted")
+    blocked = trusted.select(*trusted.columns, block_of(F.col("ns"), block).alias("block"))
     at = F.col("ns") + max_age + 1
     end = F.broadcast(trusted.agg(F.max("ns").alias("_end")))
     lapsed = following(blocked, BOOK, ORDER, F.col("ns"), "_next").crossJoin(end).where((F.col("_next").isNull() | (F.col("_next") > at)) & (at <= F.col("_end")))
@@ -45,31 +47,34 @@ def sequenced(quotes: DataFrame, block: int = BLOCK) -> DataFrame:
     return running(blocked, BOOK, ORDER, {"n": ("sum", F.lit(1), True)}).select(*quotes.columns, seq.alias("seq"))
 
 
-def apply_reasons(events: DataFrame, block: int = BLOCK) -> DataFrame:
+def apply_reasons(events: DataFrame, block: int = BLOCK, links: bool = False) -> DataFrame:
     """events: (pair, venue, ns, event_id, kind, seq, bid, ask) with chain, reason and accepted.
 
-    Kinds: snapshot, delta, reset, and for a venue's link down and up, which are no updates themselves and
-    aren't returned. Reasons: ok, disconnected, adapter_reset, snapshot_incomplete, snapshot_crossed,
-    book_stale, out_of_order, sequence_gap, crossed_book. A crossed update or a gap ends the chain; what
-    follows is stale until the next snapshot. While the link is down nothing is applied, not even a snapshot.
+    Kinds: snapshot, delta, reset, and with `links` down and up for a venue's link, which are no updates
+    themselves and aren't returned. Reasons: ok, disconnected, adapter_reset, snapshot_incomplete,
+    snapshot_crossed, book_stale, out_of_order, sequence_gap, crossed_book. A crossed update or a gap ends the
+    chain; what follows is stale until the next snapshot. While the link is down nothing is applied, not even
+    a snapshot.
     """
     names = events.columns
-    linked = events.withColumn("_link", F.when(F.col("kind").isin("down", "up"), F.lit("link")))
-    rows = latest_by_series(linked, BOOK, "_link", ("link",), F.col("kind"), ORDER, "ns", block)
-    cut = (F.col("at_link") == "down") & (F.col("kind") != "down")
-    rows = rows.select(*names, "block", F.coalesce(cut, F.lit(False)).alias("cut"))
+    rows = events.withColumn("block", block_of(F.col("ns"), block)).withColumn("cut", F.lit(False))
+    if links:
+        rows = running(rows, BOOK, ORDER, {"link": ("last", F.when(F.col("kind").isin("down", "up"), F.col("kind")), True)})
+        rows = settled(rows.withColumn("cut", F.coalesce((F.col("link") == "down") & (F.col("kind") != "down"), F.lit(False))), "links")
     crossed = F.coalesce(F.col("bid") >= F.col("ask"), F.lit(False))
     empty = F.col("bid").isNull() | F.col("ask").isNull()
-    is_mark = (F.col("kind") != "delta") & ~F.col("cut")
-    state = F.struct("kind", (crossed | empty).alias("bad"))
-    rows = rows.withColumn("_mark", F.when(is_mark, F.lit("mark")))
-    rows = latest_by_series(rows, BOOK, "_mark", ("mark",), state, ORDER, "ns", block).select(*names, "block", "cut", "at_mark", is_mark.alias("is_mark"))
-    rows = running(rows, BOOK, ORDER, {"chain": ("sum", F.col("is_mark").cast("int"), True)})
-    rows = running(rows, [*BOOK, "chain"], ORDER, {"top_seq": ("max", F.when(~F.col("cut"), F.col("seq")), False)})
+    mark = F.when((F.col("kind") != "delta") & ~F.col("cut"), F.struct("kind", (crossed | empty).alias("bad")))
+    rows = running(rows, BOOK, ORDER, {"at_mark": ("last", mark, True), "chain": ("sum", mark.isNotNull().cast("int"), True)})
+    rows = settled(rows.select(*names, "block", "cut", "at_mark", "chain"), "chains")
+    # A chain's number comes first, so the greatest of all rows before is of this chain or of none.
+    top = F.when(~F.col("cut") & F.col("seq").isNotNull(), F.struct("chain", "seq"))
+    rows = running(rows, BOOK, ORDER, {"top": ("max", top, False)})
+    rows = rows.withColumn("top_seq", F.when(F.col("top.chain") == F.col("chain"), F.col("top.seq")))
     gap = (F.col("kind") == "delta") & (F.col("seq") > F.col("top_seq") + 1)
     fresh = (F.col("kind") == "delta") & (F.col("seq") == F.col("top_seq") + 1)
     ends = F.when(~F.col("cut") & (gap | (fresh & crossed)), 1).otherwise(0)
-    rows = running(rows, [*BOOK, "chain"], ORDER, {"dead": ("max", ends, False)})
+    rows = running(rows, BOOK, ORDER, {"ended": ("max", F.when(ends == 1, F.col("chain")), False)})
+    rows = rows.withColumn("dead", (F.col("ended") == F.col("chain")).cast("int"))
     lost = F.col("at_mark").isNull() | (F.col("at_mark.kind") != "snapshot") | F.col("at_mark.bad") | (F.coalesce("dead", F.lit(0)) == 1)
     reason = (
         F.when(F.col("cut"), "disconnected")

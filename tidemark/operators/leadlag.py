@@ -7,9 +7,14 @@ task holds a series.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import block_of, preceding
+
+#: Nanoseconds in one block of a series: a week.
+BLOCK = 7 * 86_400 * 10**9
+
 #: Surrogates of each sign without which the p-value couldn't come down to NULL_ALPHA.
 LEAST_SURROGATES = 10
 NULL_ALPHA = 0.05
@@ -24,8 +29,9 @@ def ticks(quotes: DataFrame, width: int) -> DataFrame:
 
 def returns(ticks_: DataFrame) -> DataFrame:
     """(pair, venue, start_ns, end_ns, value): log returns between consecutive ticks."""
-    w = Window.partitionBy("pair", "venue").orderBy("ns")
-    rows = ticks_.withColumn("p0", F.lag("mid2").over(w)).withColumn("start_ns", F.lag("ns").over(w))
+    blocked = ticks_.withColumn("block", block_of(F.col("ns"), BLOCK))
+    rows = preceding(blocked, ["pair", "venue"], ["ns"], F.struct("mid2", "ns"), "was")
+    rows = rows.withColumn("p0", F.col("was.mid2")).withColumn("start_ns", F.col("was.ns"))
     rows = rows.where("p0 > 0 and mid2 > 0 and start_ns < ns")
     return rows.select("pair", "venue", "start_ns", F.col("ns").alias("end_ns"), F.ln(F.col("mid2") / F.col("p0")).alias("value"))
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import block_of, following, preceding, running
+from tidemark.session import settled
+
 ROUTE = ["pair", "buy", "sell", "notional"]
 ORDER = ["ns", "event_id"]
+#: Nanoseconds in one block.
+BLOCK = 7 * 86_400 * 10**9
 
 
 def signals(route_rows: DataFrame, notionals: DataFrame, fees: DataFrame) -> DataFrame:
@@ -17,30 +22,31 @@ def signals(route_rows: DataFrame, notionals: DataFrame, fees: DataFrame) -> Dat
     state = F.when(F.col("state") == "absent", "ineligible").when(F.col("size") * F.col("ask") < F.col("notional"), "insufficient_depth").otherwise("priced")
     net = F.when(state == "priced", F.col("spread") - F.col("buy_fee") - F.col("sell_fee"))
     rows = rows.select(*ROUTE, *ORDER, "block", state.alias("state"), net.alias("net"))
-    # Inside a block first; what is left is compared across blocks.
-    for keys in ([*ROUTE, "block"], ROUTE):
-        w = Window.partitionBy(*keys).orderBy(*ORDER)
-        now, before = F.struct("state", "net"), F.lag(F.struct("state", "net")).over(w)
-        rows = rows.withColumn("same", F.coalesce(now.eqNullSafe(before) & before.isNotNull(), F.lit(False))).where("not same").drop("same")
-    return rows.drop("block")
+    # Each row against the one before it, whichever block that is in.
+    now = F.struct("state", "net")
+    rows = preceding(rows, ROUTE, ORDER, now, "was")
+    return rows.where(F.col("was").isNull() | ~now.eqNullSafe(F.col("was"))).drop("block", "was")
 
 
-def intervals(signals_: DataFrame, variants: DataFrame) -> DataFrame:
+def intervals(signals_: DataFrame, variants: DataFrame, block: int = BLOCK) -> DataFrame:
     """Intervals by variant (variant, threshold, hysteresis, delay): open once net > threshold, closed once
     net <= threshold - hysteresis or the route can't be priced, dropped if over before the delay.
 
     One pass for all variants. The state between is the last decisive one.
     """
-    rows = signals_.crossJoin(F.broadcast(variants))
+    rows = settled(signals_, "signals").crossJoin(F.broadcast(variants))
     keys = ["variant", *ROUTE]
-    w = Window.partitionBy(*keys).orderBy(*ORDER)
     up = F.col("net") > F.col("threshold")
     down = (F.col("state") != "priced") | (F.col("net") <= F.col("threshold") - F.col("hysteresis"))
     rows = rows.withColumn("flag", F.when(F.coalesce(up, F.lit(False)), 1).when(down, 0))
-    rows = rows.withColumn("on", F.coalesce(F.last("flag", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("on") != F.coalesce(F.lag("on").over(w), F.lit(0)), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("block", block_of(F.col("ns"), block))
+    # All of it by blocks of time: the last decision, the one before a row and the row after it, and the run.
+    rows = running(rows, keys, ORDER, {"on": ("last", F.col("flag"), True)})
+    rows = settled(rows.withColumn("on", F.coalesce("on", F.lit(0))), "decisions")
+    rows = following(preceding(rows, keys, ORDER, F.col("on"), "was"), keys, ORDER, F.struct("ns", "state"), "next")
+    rows = running(rows, keys, ORDER, {"run": ("sum", F.when(F.col("on") != F.coalesce("was", F.lit(0)), 1).otherwise(0), True)})
     # The row that closes a run tells why.
-    rows = rows.withColumn("next_ns", F.lead("ns").over(w)).withColumn("next_state", F.lead("state").over(w))
+    rows = rows.withColumn("next_ns", F.col("next.ns")).withColumn("next_state", F.col("next.state"))
     own = rows.where("on = 1").groupBy(*keys, "run").agg(
         F.min("ns").alias("open_ns"),
         F.max("net").alias("peak_net"),
@@ -49,7 +55,7 @@ def intervals(signals_: DataFrame, variants: DataFrame) -> DataFrame:
         F.max_by(F.coalesce("next_state", F.lit("end")), F.struct(*ORDER)).alias("why"),
         F.first("delay").alias("delay"),
     )
-    reason = F.when(F.col("why") == "end", "end_of_capture").when(F.col("why") == "priced", "spread_closed").when(F.col("why") == "ineligible", "invalidated").otherwise("insufficient_depth")
+    reason = F.when(F.col("why") == F.lit("end"), "end_of_capture").when(F.col("why") == "priced", "spread_closed").when(F.col("why") == "ineligible", "invalidated").otherwise("insufficient_depth")
     out = own.where("close_ns is null or close_ns > open_ns + delay")
     return out.select(*keys, (F.col("open_ns") + F.col("delay")).alias("open_ns"), "close_ns", "peak_net", "last_net", reason.alias("close_reason"))
 

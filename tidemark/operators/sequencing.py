@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join, block_of, running
 from tidemark.operators.book import BLOCK, BOOK, ORDER
+from tidemark.session import settled
 
 
 def resync_id(pair: Column, action: str, number: Column) -> Column:
@@ -33,16 +34,17 @@ def applied(updates: DataFrame, block: int = BLOCK) -> DataFrame:
     the snapshot; cause and request: why and how a resync is asked for.
     """
     rows = updates.withColumn("block", block_of(F.col("ns"), block))
-    rows = running(rows, BOOK, ORDER, {"chain": ("sum", (F.col("kind") == "snapshot").cast("int"), True)})
-    by_chain = [*BOOK, "chain"]
-    rows = running(rows, by_chain, ORDER, {"reach": ("max", F.col("last_id"), False)})
+    rows = settled(running(rows, BOOK, ORDER, {"chain": ("sum", (F.col("kind") == "snapshot").cast("int"), True)}), "chains")
+    # A chain's number comes first, so the greatest of all rows before is of this chain or of none.
+    rows = running(rows, BOOK, ORDER, {"before": ("max", F.struct("chain", "last_id"), False)})
+    rows = rows.withColumn("reach", F.when(F.col("before.chain") == F.col("chain"), F.col("before.last_id"))).drop("before")
     delta = F.col("kind") == "delta"
     gap = delta & (F.col("chain") > 0) & (F.col("first_id") > F.col("reach") + 1)
-    rows = running(rows, by_chain, ORDER, {"gone": ("max", gap.cast("int"), False)})
-    lost = (F.col("chain") == 0) | (F.coalesce("gone", F.lit(0)) == 1)
+    rows = running(rows, BOOK, ORDER, {"gone": ("max", F.when(gap, F.col("chain")), False)})
+    lost = (F.col("chain") == 0) | F.coalesce(F.col("gone") == F.col("chain"), F.lit(False))
     outcome = F.when(~delta, "snapshot").when(lost, "lost").when(F.col("last_id") <= F.col("reach"), "covered").when(gap, "gap").otherwise("applied")
-    rows = rows.withColumn("outcome", outcome)
-    rows = running(rows, by_chain, ORDER, {"local": ("sum", (F.col("outcome") == "applied").cast("int"), True)})
+    rows = settled(rows.withColumn("outcome", outcome), "outcomes")
+    rows = running(rows, [*BOOK, "chain"], ORDER, {"local": ("sum", (F.col("outcome") == "applied").cast("int"), True)})
     rows = running(rows, BOOK, ORDER, {"asked": ("sum", (F.col("outcome") == "gap").cast("int"), True)})
     is_gap = F.col("outcome") == "gap"
     return rows.select(

@@ -256,6 +256,16 @@ def window_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signs.select(*_KEYS, "ok_parts", F.when(F.col("ok_parts") >= 2, F.col("signs") == 1).alias("stable"))
 
 
+STABILITY_SQL = f"""WITH {TICKS}, vp(l, r) AS (VALUES {", ".join(str(v) for v in VENUE_PAIRS)}), lg(lag) AS (VALUES {", ".join(f"({x})" for x in LAGS)}
+), rp AS (SELECT re.*, least(3, (start_ns - lo) * 4 // (hi - lo + 1)) AS part FROM re, (SELECT min(start_ns) AS lo, max(end_ns) AS hi FROM re)
+), a AS (SELECT rp.*, l, r FROM rp JOIN vp ON venue = l), b AS (SELECT rp.*, l, r FROM rp JOIN vp ON venue = r
+), x AS (SELECT pair, l, r, part, sum(value * value) AS va FROM a GROUP BY ALL), y AS (SELECT pair, l, r, part, sum(value * value) AS vb FROM b GROUP BY ALL
+), s AS (SELECT a.pair, a.l, a.r, a.part, lag, count(*) AS n, sum(a.value * b.value) AS c FROM a JOIN b USING (pair, l, r, part), lg WHERE least(a.end_ns, b.end_ns - lag) > greatest(a.start_ns, b.start_ns - lag) GROUP BY ALL
+), pt AS (SELECT pair, l, r, part, lag, n, round(abs(c / sqrt(va * vb)), 10) AS h FROM x JOIN y USING (pair, l, r, part) LEFT JOIN s USING (pair, l, r, part) WHERE va > 0 AND vb > 0
+), g AS (SELECT * FROM pt WHERE n >= 5), m AS (SELECT pair, l, r, part, count(*) AS ties, min({{'away': abs(lag), 'lag': lag}}) AS b FROM g JOIN (SELECT pair, l, r, part, max(h) AS h FROM g GROUP BY ALL) USING (pair, l, r, part, h) GROUP BY ALL
+), k AS (SELECT DISTINCT pair, l, r, part FROM x JOIN y USING (pair, l, r, part)), o AS (SELECT k.*, b.lag AS lag, coalesce(ties = 1 AND b.away < {LAGS[-1]}, false) AS ok FROM k LEFT JOIN m USING (pair, l, r, part))
+SELECT pair, l, r, count(*) FILTER (ok) AS ok_parts, CASE WHEN count(*) FILTER (ok) >= 2 THEN count(DISTINCT sign(lag)) FILTER (ok) = 1 END AS stable FROM o GROUP BY pair, l, r"""
+
 SURROGATES = 20  # of each sign
 
 
@@ -280,6 +290,6 @@ QUERIES = {
     "return_intervals": (return_intervals, RETURNS_SQL),
     "hy_contrast": (hy_contrast, HY_SQL),
     "lead_lag": (lead_lag, LEAD_SQL),
-    "window_stability": (window_stability, None),
+    "window_stability": (window_stability, STABILITY_SQL),
     "surrogate_null": (surrogate_null, None),
 }

@@ -225,7 +225,7 @@ def book_terminators(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A venue's link is an event of each of its books, right after the event that it comes from.
     spread = links.join(books, "venue").select("pair", "venue", "ns", (2 * F.col("event_id") + 1).alias("event_id"), "kind", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("bid"), F.lit(None).cast("long").alias("ask"))
     both = rough.select("pair", "venue", "ns", (2 * F.col("event_id")).alias("event_id"), "kind", "seq", "bid", "ask").unionByName(spread)
-    return book.apply_reasons(both).select((F.col("event_id") / 2).cast("long").alias("event_id"), "pair", "venue", "reason", "accepted")
+    return book.apply_reasons(both, links=True).select((F.col("event_id") / 2).cast("long").alias("event_id"), "pair", "venue", "reason", "accepted")
 
 
 TERMINATORS_SQL = f"""WITH {Q}, sq AS (SELECT *, CASE WHEN event_id % 37 = 0 THEN n - 1 WHEN event_id % 41 = 0 THEN n + 1 ELSE n END AS seq FROM (SELECT *, row_number() OVER (PARTITION BY pair, venue ORDER BY ns, event_id) AS n FROM q)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.plans import common
+from tidemark.plans import common, market_queries
 from tidemark.session import table
 from tidemark.sources import market
 from tidemark.streaming import books
@@ -23,6 +24,12 @@ def stream_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOKS_SQL = f"WITH {common.TRUSTED} SELECT event_id, pair, venue, ns, trusted FROM tr"
 
 
+def stream_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book_apply_reasons as a keyed stream."""
+    off = F.when(F.col("event_id") % 37 == 0, -1).when(F.col("event_id") % 41 == 0, 1).otherwise(0).cast("long")
+    return books.run_to_table(books.reasons(_stream(spark, sf_dir).withColumn("off", off)), spark, "stream-reasons")
+
+
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.rollup_to_table(_stream(spark, sf_dir), spark, market.NS_HOUR, "stream-rollup")
 
@@ -40,6 +47,7 @@ WHERE (ns // {market.NS_HOUR} + 1) * {market.NS_HOUR} <= (SELECT max(ns) // 1000
 
 QUERIES = {
     "stream_books": (stream_books, BOOKS_SQL),
+    "stream_reasons": (stream_reasons, market_queries.REASONS_SQL),
     "stream_rollup": (stream_rollup, ROLLUP_SQL),
     "stream_windows": (stream_windows, WINDOWS_SQL),
 }

@@ -49,3 +49,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.gettempdir() + "/tidemark-shared"
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_settled: list[str] = []
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once as Parquet in the shared folder and read back, for steps that read it several times.
+    `sweep` removes such tables."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    _settled.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove all tables of `settled`, when no result that reads them is needed any more."""
+    while _settled:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

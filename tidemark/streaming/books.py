@@ -1,13 +1,15 @@
 """Streaming books: the keyed fold of quotes, and idempotent rollups per micro-batch.
 
-The state of a book is whether it is trusted. It lives in Spark's state store by (pair, venue); rows of a
-micro-batch are taken in event order, so the stream gives what the batch operators give on the same input.
+A book's state is what its chain says so far: its number, what it began with, the greatest sequence number,
+and whether it has ended. It lives in Spark's state store by (pair, venue); rows of a micro-batch are taken
+in event order, so the stream gives what the batch operators give on the same input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +22,56 @@ TRUSTED = "event_id long, pair string, venue string, ns long, trusted boolean"
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(batches)).sort_values(["ns", "event_id"], kind="stable")
-    trusted = state.get[0] if state.exists else False
-    out = []
-    for kind in rows["kind"]:
-        trusted = True if kind == "snapshot" else False if kind == "reset" else trusted
-        out.append(trusted)
-    state.update((trusted,))
-    yield pd.DataFrame({"event_id": rows["event_id"], "pair": key[0], "venue": key[1], "ns": rows["ns"], "trusted": out})
+    last = rows["kind"].where(rows["kind"] != "delta").ffill()
+    trusted = (last == "snapshot").where(last.notna(), state.get[0] if state.exists else False).astype(bool)
+    state.update((bool(trusted.iloc[-1]),))
+    yield pd.DataFrame({"event_id": rows["event_id"], "pair": key[0], "venue": key[1], "ns": rows["ns"], "trusted": trusted})
+
+
+REASONS = "event_id long, pair string, venue string, seq long, chain long, reason string, accepted boolean"
+_CHAIN = "n long, chain long, kind string, bad boolean, top long, dead boolean"
+#: Below every sequence number.
+_NONE = -(2**62)
+
+
+def _accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(batches)).sort_values(["ns", "event_id"], kind="stable")
+    n, chain, head, bad, top, dead = state.get if state.exists else (0, 0, "none", False, _NONE, False)
+    kind, crossed = rows["kind"].to_numpy(), (rows["bid"] >= rows["ask"]).to_numpy()
+    hollow = (rows["bid"].isna() | rows["ask"].isna()).to_numpy()
+    seq = n + 1 + np.arange(len(rows)) + rows["off"].to_numpy()
+    marks = np.flatnonzero(kind != "delta")
+    reasons, chains = np.empty(len(rows), object), np.empty(len(rows), np.int64)
+    # One stretch for each chain in the batch; the first one goes on with the state's.
+    for a, b in zip([0, *marks], [*marks, len(rows)], strict=True):
+        if a < b and kind[a] != "delta":
+            chain, head, bad, top, dead = chain + 1, kind[a], bool(crossed[a] | hollow[a]), _NONE, False
+        if a == b:
+            continue
+        own, delta = seq[a:b], kind[a:b] == "delta"
+        before = np.concatenate(([top], np.maximum(np.maximum.accumulate(own), top)[:-1]))
+        known = before > _NONE
+        gap, fresh = delta & known & (own > before + 1), delta & known & (own == before + 1)
+        ends = gap | (fresh & crossed[a:b])
+        over = np.concatenate(([dead], np.logical_or.accumulate(ends)[:-1] | dead))
+        lost = over | (head != "snapshot") | bad
+        late = known & (own <= before)
+        reasons[a:b] = np.select(
+            [kind[a:b] == "reset", (kind[a:b] == "snapshot") & hollow[a:b], (kind[a:b] == "snapshot") & crossed[a:b], kind[a:b] == "snapshot", lost, late, gap, crossed[a:b]],
+            ["adapter_reset", "snapshot_incomplete", "snapshot_crossed", "ok", "book_stale", "out_of_order", "sequence_gap", "crossed_book"],
+            "ok",
+        )
+        chains[a:b] = chain
+        top, dead = max(top, int(own.max())), bool(over[-1] | ends[-1])
+    state.update((int(n + len(rows)), int(chain), head, bad, int(top), dead))
+    yield pd.DataFrame({"event_id": rows["event_id"], "pair": key[0], "venue": key[1], "seq": seq, "chain": chains, "reason": reasons, "accepted": np.isin(reasons, ["ok", "adapter_reset"])})
+
+
+def reasons(quotes: DataFrame) -> DataFrame:
+    """A stream of (event_id, pair, venue, ns, kind, bid, ask, off) as REASONS rows, like book.apply_reasons. A
+    book's updates are numbered as they come, and `off` moves a number on or back."""
+    own = quotes.select("event_id", "pair", "venue", "ns", "kind", "bid", "ask", "off")
+    return own.groupBy("pair", "venue").applyInPandasWithState(_accept, REASONS, _CHAIN, "append", GroupStateTimeout.NoTimeout)
 
 
 def trusted(quotes: DataFrame) -> DataFrame:
