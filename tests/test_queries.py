@@ -18,7 +18,7 @@ def shown(rows, cols):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("events", "lineitem", "customer"):
+    for t in ("events", "lineitem", "customer", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 

@@ -50,8 +50,8 @@ def sequenced(quotes: DataFrame, block: int = BLOCK) -> DataFrame:
 def apply_reasons(events: DataFrame, block: int = BLOCK, links: bool = False) -> DataFrame:
     """events: (pair, venue, ns, event_id, kind, seq, bid, ask) with chain, reason and accepted.
 
-    Kinds: snapshot, delta, reset, and with `links` down and up for a venue's link, which are no updates
-    themselves and aren't returned. Reasons: ok, disconnected, adapter_reset, snapshot_incomplete,
+    Kinds: snapshot, delta, reset, invalidate (the book is given up until the next snapshot), and with `links` down and up for a venue's link, which are no updates
+    themselves and aren't returned. Reasons: ok, disconnected, adapter_reset, invalidated, snapshot_incomplete,
     snapshot_crossed, book_stale, out_of_order, sequence_gap, crossed_book. A crossed update or a gap ends the
     chain; what follows is stale until the next snapshot. While the link is down nothing is applied, not even
     a snapshot.
@@ -79,6 +79,7 @@ def apply_reasons(events: DataFrame, block: int = BLOCK, links: bool = False) ->
     reason = (
         F.when(F.col("cut"), "disconnected")
         .when(F.col("kind") == "reset", "adapter_reset")
+        .when(F.col("kind") == "invalidate", "invalidated")
         .when((F.col("kind") == "snapshot") & empty, "snapshot_incomplete")
         .when((F.col("kind") == "snapshot") & crossed, "snapshot_crossed")
         .when(F.col("kind") == "snapshot", "ok")

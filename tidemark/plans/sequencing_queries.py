@@ -216,10 +216,10 @@ SELECT pair, venue, state, start_ns, lead(start_ns) OVER (PARTITION BY pair, ven
 
 def book_terminators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates by reason where some quotes are crossed or lack a side, and venues go down and up: every 61st
-    event takes its venue's books down, every 67th brings them back."""
+    event takes its venue's books down, every 67th brings them back, every 97th gives its own book up."""
     rows = book.sequenced(market.quotes(spark, sf_dir))
     bid = F.when(F.col("event_id") % 23 == 0, F.col("ask") + 1).when(F.col("event_id") % 31 == 0, F.lit(None)).otherwise(F.col("bid"))
-    rough = rows.withColumn("bid", bid)
+    rough = rows.withColumn("bid", bid).withColumn("kind", F.when(F.col("event_id") % 97 == 0, "invalidate").otherwise(F.col("kind")))
     links = rows.where("event_id % 61 = 0 or event_id % 67 = 0").select("venue", "ns", "event_id", F.when(F.col("event_id") % 61 == 0, "down").otherwise("up").alias("kind"))
     books = rows.select("pair", "venue").distinct()
     # A venue's link is an event of each of its books, right after the event that it comes from.
@@ -230,14 +230,14 @@ def book_terminators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TERMINATORS_SQL = f"""WITH {Q}, sq AS (SELECT *, CASE WHEN event_id % 37 = 0 THEN n - 1 WHEN event_id % 41 = 0 THEN n + 1 ELSE n END AS seq FROM (SELECT *, row_number() OVER (PARTITION BY pair, venue ORDER BY ns, event_id) AS n FROM q)
 ), ev AS (
-  SELECT pair, venue, ns, 2 * event_id AS id, kind, seq, CASE WHEN event_id % 23 = 0 THEN ask + 1 WHEN event_id % 31 = 0 THEN NULL ELSE bid END AS bid, ask FROM sq
+  SELECT pair, venue, ns, 2 * event_id AS id, CASE WHEN event_id % 97 = 0 THEN 'invalidate' ELSE kind END AS kind, seq, CASE WHEN event_id % 23 = 0 THEN ask + 1 WHEN event_id % 31 = 0 THEN NULL ELSE bid END AS bid, ask FROM sq
   UNION ALL SELECT b.pair, l.venue, l.ns, 2 * l.event_id + 1, CASE WHEN l.event_id % 61 = 0 THEN 'down' ELSE 'up' END, NULL, NULL, NULL FROM sq l JOIN (SELECT DISTINCT pair, venue FROM sq) b ON b.venue = l.venue WHERE l.event_id % 61 = 0 OR l.event_id % 67 = 0
 ), lk AS (SELECT *, kind <> 'down' AND coalesce(last_value(CASE WHEN kind IN ('down', 'up') THEN kind END IGNORE NULLS) OVER (PARTITION BY pair, venue ORDER BY ns, id) = 'down', false) AS cut FROM ev
 ), mk AS (SELECT *, kind <> 'delta' AND NOT cut AS mark, coalesce(bid >= ask, false) AS crossed, bid IS NULL OR ask IS NULL AS hollow FROM lk
 ), ch AS (SELECT *, sum(mark::INT) OVER w AS chain, last_value(CASE WHEN mark THEN {{'k': kind, 'bad': crossed OR hollow}} END IGNORE NULLS) OVER w AS head FROM mk WINDOW w AS (PARTITION BY pair, venue ORDER BY ns, id)
 ), tp AS (SELECT *, max(CASE WHEN NOT cut THEN seq END) OVER (PARTITION BY pair, venue, chain ORDER BY ns, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ch
 ), dd AS (SELECT *, coalesce(bool_or(NOT cut AND kind = 'delta' AND (seq > top + 1 OR (seq = top + 1 AND crossed))) OVER (PARTITION BY pair, venue, chain ORDER BY ns, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS dead FROM tp
-), rs AS (SELECT *, CASE WHEN cut THEN 'disconnected' WHEN kind = 'reset' THEN 'adapter_reset' WHEN kind = 'snapshot' AND hollow THEN 'snapshot_incomplete' WHEN kind = 'snapshot' AND crossed THEN 'snapshot_crossed' WHEN kind = 'snapshot' THEN 'ok'
+), rs AS (SELECT *, CASE WHEN cut THEN 'disconnected' WHEN kind = 'reset' THEN 'adapter_reset' WHEN kind = 'invalidate' THEN 'invalidated' WHEN kind = 'snapshot' AND hollow THEN 'snapshot_incomplete' WHEN kind = 'snapshot' AND crossed THEN 'snapshot_crossed' WHEN kind = 'snapshot' THEN 'ok'
     WHEN head IS NULL OR head.k <> 'snapshot' OR head.bad OR dead THEN 'book_stale' WHEN seq <= top THEN 'out_of_order' WHEN seq > top + 1 THEN 'sequence_gap' WHEN crossed THEN 'crossed_book' ELSE 'ok' END AS reason FROM dd)
 SELECT id // 2 AS event_id, pair, venue, reason, reason IN ('ok', 'adapter_reset') AS accepted FROM rs WHERE kind NOT IN ('down', 'up')"""
 
