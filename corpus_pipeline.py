@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, minhash_dedup, pii, quality_classifier, sentencepieces
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize, scope
 from tidemark.llm.queries import model_path
 from tidemark.session import table
 
@@ -54,10 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. What a stage wrote for itself, and its predecessor's table, go once its own
+    table is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs, "pipeline")
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scope() as made:
+            after = materialize(stage(spark, docs, sf_dir), "pipeline")
+            made[:] = [df for df in made if df is not after]
+        discard(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
