@@ -36,7 +36,7 @@ DIM, NOISE, ROUNDS = 24, 32, 2
 WORD_CLASSES, ENDING_CLASSES = 5, 2
 #: Words that a partition takes together when it counts or trains.
 CHUNK_WORDS = 2_000_000
-BATCH = 1024
+BATCH = 2048
 #: Occurrences of one context and word that a step takes together; more are spread over further steps, so
 #: that the most frequent ones don't fill the batches they are in.
 TOGETHER = 8
@@ -145,16 +145,16 @@ class LogBilinear:
     """vector(next) ~ R[before] @ C1 + R[before2] @ C2; score = that @ Q[class] + b[class]."""
 
     def __init__(self, unigram: np.ndarray, dim: int, params: np.ndarray | None = None):
-        m, self.dim, self.q = len(unigram), dim, unigram
+        m, self.dim, self.q, self.log_q = len(unigram), dim, unigram, np.log(unigram).astype(np.float32)
         rng = np.random.default_rng(1)
         if params is None:
             eye = np.eye(dim).ravel()
             params = np.concatenate([rng.normal(0, 0.3, m * dim), rng.normal(0, 0.05, m * dim), eye, 0.5 * eye, np.log(unigram)])
-        self.params = params.astype(np.float64)
+        self.params = params.astype(np.float32)
         cut = np.cumsum([m * dim, m * dim, dim * dim, dim * dim])
         r, q, c1, c2, self.b = np.split(self.params, cut)
         self.r, self.out, self.c1, self.c2 = r.reshape(m, dim), q.reshape(m, dim), c1.reshape(dim, dim), c2.reshape(dim, dim)
-        self.seen = [np.full(x.shape, 1e-8) for x in (self.r, self.out, self.c1, self.c2, self.b)]
+        self.seen = [np.full(x.shape, 1e-8, np.float32) for x in (self.r, self.out, self.c1, self.c2, self.b)]
 
     def _move(self, k: int, param: np.ndarray, grad: np.ndarray, rate: float) -> None:
         self.seen[k] += grad * grad
@@ -164,20 +164,20 @@ class LogBilinear:
         """One noise-contrastive step over weighted (word, before, before2), with shared noise words."""
         r1, r2, qw, qn = self.r[i1], self.r[i2], self.out[w], self.out[noise]
         hat = r1 @ self.c1 + r2 @ self.c2
-        log_k, log_q = np.log(len(noise)), np.log(self.q)
+        log_k, log_q = np.float32(np.log(len(noise))), self.log_q
         good = _sigmoid((hat * qw).sum(1) + self.b[w] - log_k - log_q[w]) - 1
         bad = _sigmoid(hat @ qn.T + (self.b[noise] - log_k - log_q[noise]))
-        weight = weight / weight.sum()
+        weight = (weight / weight.sum()).astype(np.float32)
         good, bad = good * weight, bad * weight[:, None]
         d = good[:, None] * qw + bad @ qn
-        out, bias = _scatter(len(self.q), w, good[:, None] * hat), np.bincount(w, good, len(self.q))
+        out, bias = _scatter(len(self.q), w, good[:, None] * hat), np.bincount(w, good, len(self.q)).astype(np.float32)
         np.add.at(out, noise, bad.T @ hat)
         np.add.at(bias, noise, bad.sum(0))
         grads = [_scatter(len(self.q), i1, d @ self.c1.T) + _scatter(len(self.q), i2, d @ self.c2.T), out, r1.T @ d, r2.T @ d, bias]
         for k, (param, grad) in enumerate(zip((self.r, self.out, self.c1, self.c2, self.b), grads, strict=True)):
             self._move(k, param, grad, rate)
 
-    def train(self, codes: np.ndarray, counts: np.ndarray, rng: np.random.Generator, noise: int, rate: float = 0.05) -> None:
+    def train(self, codes: np.ndarray, counts: np.ndarray, rng: np.random.Generator, noise: int, rate: float = 0.03) -> None:
         """A pass over the distinct (before2, before, word), coded as one number, by their counts."""
         m, sums = len(self.q), np.cumsum(self.q)
         order = rng.permutation(len(codes))
@@ -201,7 +201,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _scatter(size: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of rows by index."""
-    out = np.zeros((size, rows.shape[1]))
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
     order = np.argsort(at, kind="stable")
     start = np.flatnonzero(np.diff(at[order], prepend=-1))
     out[at[order[start]]] = np.add.reduceat(rows[order], start)
@@ -230,7 +230,8 @@ def _train(classes: Classes, params: np.ndarray | None, dim: int, noise: int, ro
         if held:
             learn()
         if total:
-            blocks = [model.params[a : a + BLOCK] for a in range(0, len(model.params), BLOCK)]
+            learnt = model.params.astype(np.float64)
+            blocks = [learnt[a : a + BLOCK] for a in range(0, len(learnt), BLOCK)]
             n = len(blocks)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(n), pa.int32()), pa.array([mark % SALTS] * n, pa.int32()), pa.array([float(total)] * n), binary_array([b.tobytes() for b in blocks])],
