@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.plans import common, market_queries
 from tidemark.session import table
 from tidemark.sources import market
-from tidemark.streaming import books
+from tidemark.streaming import books, episodes
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,16 @@ def stream_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.run_to_table(books.reasons(_stream(spark, sf_dir).withColumn("off", off)), spark, "stream-reasons")
 
 
+def stream_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed episodes as a keyed stream; a lapse shows once its pair has a later event."""
+    found = episodes.closed_episodes(_stream(spark, sf_dir), market.VENUES, common.MAX_AGE, common.THRESHOLD)
+    return books.run_to_table(found, spark, "stream-episodes")
+
+
+EPISODES_SQL = f"""WITH {common.EPISODES} SELECT id, pair, buy, sell, start_ns, end_ns, close_reason, open_spread, peak_ns, peak_spread, close_spread FROM ep
+WHERE close_reason IS NOT NULL AND end_ns <= (SELECT max(ns) FROM q WHERE q.pair = ep.pair)"""
+
+
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.rollup_to_table(_stream(spark, sf_dir), spark, market.NS_HOUR, "stream-rollup")
 
@@ -48,6 +58,7 @@ WHERE (ns // {market.NS_HOUR} + 1) * {market.NS_HOUR} <= (SELECT max(ns) // 1000
 QUERIES = {
     "stream_books": (stream_books, BOOKS_SQL),
     "stream_reasons": (stream_reasons, market_queries.REASONS_SQL),
+    "stream_episodes": (stream_episodes, EPISODES_SQL),
     "stream_rollup": (stream_rollup, ROLLUP_SQL),
     "stream_windows": (stream_windows, WINDOWS_SQL),
 }
