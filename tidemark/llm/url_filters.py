@@ -17,13 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import blocks_for, with_possible
 from .common import lower_ascii
 
-#: Words of a block; one bit is set in each.
-WORDS = 8
-#: The filter never outgrows this size: beyond it, more keys share its bits, so that more pages reach the
-#: exact join and the results stay the same. It is thus safe to broadcast.
-FILTER_BYTES = 32 << 20
 #: Query parameters that never tell pages apart, as a pattern over `name=value`.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|\z)"
 
@@ -76,27 +72,6 @@ def rule_of(host_: Column, path_: Column, rules: list[Rule], value: str) -> Colu
     return out
 
 
-def _bits(key: Column) -> list[Column]:
-    """A mask with one bit for each word of a block."""
-    spread = F.xxhash64(key, F.lit(2))
-    one = F.lit(1).cast("long")
-    return [F.call_function("shiftleft", one, F.shiftrightunsigned(spread, 6 * i).bitwiseAND(63).cast("int")) for i in range(WORDS)]
-
-
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(blocks))
-
-
-def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
-    """(block, w0 .. w7): the filter's blocks that have bits. `listed`: (key)."""
-    masks = [m.alias(f"m{i}") for i, m in enumerate(_bits(F.col("key")))]
-    return (
-        listed.select(_block(F.col("key"), blocks).alias("block"), *masks)
-        .groupBy("block")
-        .agg(*[F.bit_or(f"m{i}").alias(f"w{i}") for i in range(WORDS)])
-    )
-
-
 def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, bits_per_key: int = 16) -> DataFrame:
     """(page_id, host, path, rule, verdict, possible_hit, listed) of every page.
 
@@ -104,19 +79,10 @@ def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, bits_per_key:
     Bloom filter let the URL pass, listed that the exact join confirmed it.
     """
     listed = listed.select(canonical(F.col("url")).alias("key")).where("key <> ''").distinct()
-    wanted = listed.count() * bits_per_key / (64 * WORDS)
-    blocks = 1
-    while blocks < wanted and 2 * blocks * (WORDS + 1) * 8 <= FILTER_BYTES:
-        blocks *= 2
-    bloom = F.broadcast(bloom_blocks(listed, blocks))
+    blocks = blocks_for(listed.count(), bits_per_key)
     url = F.col("url")
-    # A page without a host has no block to look up.
-    own = F.when(canonical(url) != "", _block(canonical(url), blocks))
-    rows = pages.select("page_id", "url").select("page_id", host(url).alias("host"), path(url).alias("path"), canonical(url).alias("key"), own.alias("block"))
-    set_ = F.lit(True)
-    for i, m in enumerate(_bits(F.col("key"))):
-        set_ = set_ & (F.col(f"w{i}").bitwiseAND(m) != 0)
-    probed = rows.join(bloom, "block", "left").select("page_id", "host", "path", "key", F.coalesce(set_, F.lit(False)).alias("possible_hit"))
+    rows = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), F.nullif(canonical(url), F.lit("")).alias("key"))
+    probed = with_possible(rows, "key", listed, blocks).withColumnRenamed("possible", "possible_hit")
     sure = probed.where(~F.col("possible_hit")).withColumn("listed", F.lit(False))
     exact = listed.withColumn("listed", F.lit(True)).hint("shuffle_hash")
     hits = probed.where("possible_hit").join(exact, "key", "left")
