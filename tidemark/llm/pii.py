@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import blocks_for, with_possible
 from .common import materialize, once, row_key
 
 # Letters of either case, digits and all beyond ASCII make terms.
@@ -221,7 +222,10 @@ def find(docs: DataFrame, contexts: int = CONTEXTS, generalise: float = GENERALI
     inside = TERM.removesuffix("+")
     pattern = F.concat(F.lit(f"(?<!{inside})(?:"), F.array_join(F.array_sort(F.collect_set("word")), "|"), F.lit(f")(?!{inside})"))
     telling = materialize(telling.agg(pattern.alias("pattern")), "pii-telling")
-    pieces = with_pieces(spans.select("key", "text", "spans").join(telling, "key"), ["key", "pattern"])
+    # Only texts that a filter of the telling keys lets pass are dealt out to meet their patterns.
+    likely = with_possible(keyed.select("key", "text"), "key", telling.select("key"), blocks_for(telling.count(), 16)).where("possible").drop("possible")
+    found = once(likely.join(telling.hint("merge"), "key"), ["key", "pattern", "text"], spans=base_spans(F.col("text")))
+    pieces = with_pieces(found, ["key", "pattern"])
     places = F.flatten(F.transform("pieces", lambda p: _located(p["piece"], F.col("pattern"), len(KINDS), p["from"])))
     every = pieces.select("key", F.explode(places).alias("t")).select("key", F.lower("t.value").alias("term"), "t")
     class_ = F.lit(CLASSES[-1][0])
