@@ -215,3 +215,15 @@ def test_an_id_of_many_rows_teaches_once(spark):
     many = one.unionByName(spark.range(30_000).select(F.lit(2).cast("long").alias("doc_id"), F.lit("good text here.").alias("text")))
     labels = spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, quality int")
     assert quality_classifier.fit(one, labels) == quality_classifier.fit(many, labels)
+
+
+def test_a_scope_removes_its_tables(spark):
+    import os
+
+    from tidemark.llm.common import materialize, scope
+
+    with scope() as made:
+        gone, stays = (materialize(spark.range(3), "scope-test") for _ in range(2))
+        made[:] = [df for df in made if df is not stays]
+        assert gone.count() == 3
+    assert stays.count() == 3 and not os.path.exists(gone._shared_path)

@@ -38,14 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def scope() -> Iterator[None]:
-    """Tables that `materialize` writes inside are removed at the end, when the caller has read its result."""
+def scope() -> Iterator[list[DataFrame]]:
+    """Tables that `materialize` writes inside are removed at the end, when the caller has read its result; those
+    that the caller takes out of the list stay."""
     made: list[DataFrame] = []
     _scopes.append(made)
     try:
-        yield
+        yield made
     finally:
-        _scopes.remove(made)
+        _scopes[:] = [own for own in _scopes if own is not made]
         discard(*made)
 
 
