@@ -149,6 +149,14 @@ def _compare(size: int, percent: int, looks: list[tuple[int, int]]):
     return run
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _links(sides: DataFrame, nodes: DataFrame, text: DataFrame, size: int, percent: int, miss: float, shingles: int) -> DataFrame:
     """The links (u, v) between left and right nodes of each group. sides: (group, node, root, is_left).
 
@@ -159,8 +167,7 @@ def _links(sides: DataFrame, nodes: DataFrame, text: DataFrame, size: int, perce
     weight = lambda side: F.sum(F.when(F.col("is_left") == side, F.col("n_shingles")).otherwise(0))
     blocks = sized.groupBy("group").agg(*[F.ceil((weight(s) + 1) / shingles).cast("int").alias(n) for s, n in ((True, "lefts"), (False, "rights"))])
     # The sizes are copied so that the nodes of a large group meet them in several tasks.
-    dealt_in = blocks.select("group", "lefts", "rights", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    cut = sized.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(dealt_in, ["group", "salt"])
+    cut = _salted(sized).join(_copied(blocks), ["group", "salt"])
     own = lambda n: F.array(F.pmod(F.xxhash64("node"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     dealt = cut.withColumn("i", F.explode(F.when(F.col("is_left"), own("lefts")).otherwise(every("lefts"))))
@@ -223,7 +230,7 @@ def dedup(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS,
     placed = placed.join(roots.select(F.col("node").alias("group"), F.col("root").alias("group_root")), "group", "left")
     placed = placed.withColumn("is_left", F.col("root") != F.coalesce("group_root", "group"))
     split = placed.groupBy("group").agg(F.sum(F.col("is_left").cast("int")).alias("lefts"), F.count("*").alias("n")).where("lefts > 0 and n > 1").select("group")
-    placed = materialize(placed.join(split, "group").select("group", "node", "root", "is_left"), "dedup-apart")
+    placed = materialize(_salted(placed).join(_copied(split), ["group", "salt"]).select("group", "node", "root", "is_left"), "dedup-apart")
     sides = placed.where("is_left").unionByName(placed.withColumn("is_left", F.lit(False)))
     more = materialize(_links(sides, nodes, text, size, percent, miss, shingles), "dedup-links")
     joined = links.unionByName(more).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
