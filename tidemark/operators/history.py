@@ -85,7 +85,9 @@ def page(episodes: DataFrame, asked: Search, limit: int, token: str | None = Non
         rows = rows.crossJoin(F.broadcast(episodes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_newest"))))
     else:
         after = Place.of(token, asked)
-        rows = rows.where((F.col("id") <= after.newest) & (F.struct(*_NEWEST_FIRST) < F.struct(F.lit(after.start_ns), F.lit(after.id)))).where(F.col("start_ns") <= after.start_ns)
+        # The first comparison alone reaches the scan; the second one leaves out what the last page showed.
+        rows = rows.where((F.col("start_ns") <= after.start_ns) & (F.col("id") <= after.newest))
+        rows = rows.where((F.col("start_ns") < after.start_ns) | (F.col("id") < after.id))
         rows = rows.withColumn("_newest", F.lit(after.newest))
     found = rows.orderBy(*[F.desc(c) for c in _NEWEST_FIRST]).limit(limit + 1).collect()  # as many rows as a page shows
     more = Place(found[limit - 1].start_ns, found[limit - 1].id, found[0]._newest).token(asked) if len(found) > limit else None

@@ -22,7 +22,8 @@ def aligned(trusted: DataFrame, venues: tuple[str, ...], block: int) -> DataFram
     """Each event of a pair with every venue's latest top, trusted or not (`at_<venue>`)."""
     state = F.struct("ns", "trusted", "bid", "ask", "bid_size", "ask_size")
     # An expiry row is a time to look at the books again and changes none of them.
-    heard = trusted.withColumn("_heard", F.when(F.col("kind") != "expiry", F.col("venue")))
+    is_heard = F.col("kind") != "expiry" if "kind" in trusted.columns else F.lit(True)
+    heard = trusted.withColumn("_heard", F.when(is_heard, F.col("venue")))
     return latest_by_series(heard, ["pair"], "_heard", venues, state, ["ns", "event_id"], "ns", block).drop("_heard")
 
 
