@@ -111,4 +111,4 @@ def live_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def episode_store(spark: SparkSession, sf_dir: str) -> store.EpisodeStore:
     """All episodes of the events as a store by day, with its rollup; made at the first use."""
-    return store.store_of(spark, table(spark, sf_dir, "events"), episode_table(spark, sf_dir))
+    return store.store_of(spark, table(spark, sf_dir, "events"), lambda: episode_table(spark, sf_dir))

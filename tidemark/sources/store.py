@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,13 +79,13 @@ class EpisodeStore:
 _made: dict[tuple[str, str], EpisodeStore] = {}
 
 
-def store_of(spark: SparkSession, source: DataFrame, episodes: DataFrame) -> EpisodeStore:
+def store_of(spark: SparkSession, source: DataFrame, episodes: Callable[[], DataFrame]) -> EpisodeStore:
     """The store of the episodes of a table's files, made at its first use in this application; files that
     change make another."""
     files = spark.sparkContext.applicationId, hashlib.sha256("\n".join(_stamps(spark, source)).encode()).hexdigest()
     if files not in _made:
         made = EpisodeStore(spark, shared_path(spark, "episode-store"))
-        made.flush(episodes)
+        made.flush(episodes())
         _made[files] = made
     return _made[files]
 
