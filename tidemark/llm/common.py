@@ -30,7 +30,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back, which cuts its lineage."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return owned(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def owned(out: DataFrame, path: str) -> DataFrame:
+    """`out`, which reads what was written to `path`; scopes and `discard` know it from now on."""
     out._shared_path = path
     for own in _scopes:
         own.append(out)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import table
 
-from . import decontaminate, license_scan, lm_scoring, media_chunks, minhash_dedup, pii, quality_classifier, sentencepieces, substring_dedup, url_filters
+from . import decontaminate, fill_in_middle, hard_negatives, license_scan, lm_scoring, media_chunks, minhash_dedup, pii, quality_classifier, sentencepieces, substring_dedup, url_filters, warc
 from .common import crc_text
 
 # The host and path rules of the URL query.
@@ -85,6 +85,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_text(F.col("doc_id")) % 3 == 1).alias("held_out"), "score", "predicted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.transform(table(spark, sf_dir, "documents"), digests=True)
+    return found.withColumnRenamed("output", "output_sha256").withColumnRenamed("restored", "restored_sha256")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 OP2_SQL = r"""
 WITH listed AS (
   SELECT h || '/' || l || '/' || n AS key
@@ -170,6 +185,53 @@ FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(text, '') AS t, doc_id, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents
+), l AS (
+  SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, list_transform(range(4), lambda i: CAST('0x' || substr(x, 8 * i + 1, 8) AS BIGINT)) AS h FROM d
+), c AS (
+  SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM l
+), o AS (
+  SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a+1:b], '') AS mid, array_to_string(u[b+1:], '') AS suf FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(pre || mid || suf) AS restored_sha256
+FROM o
+"""
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size FROM pages
+), m AS (SELECT *, CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY t) ELSE page_id END AS top FROM p)
+SELECT page_id, size AS payload_bytes, sha1(t) AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM m
+"""
+
+
 def queries() -> dict:
     found = (
         op1_lm_scoring,
@@ -182,9 +244,20 @@ def queries() -> dict:
         op8_license_scan,
         op9_minhash_dedup,
         op10_quality,
+        op11_hard_negatives,
+        op12_fill_in_middle,
+        op13_warc,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_minhash_dedup": OP9_SQL}
+    return {
+        "op2_url_filters": OP2_SQL,
+        "op6_substring_dedup": OP6_SQL,
+        "op7_decontamination": OP7_SQL,
+        "op9_minhash_dedup": OP9_SQL,
+        "op11_hard_negatives": OP11_SQL,
+        "op12_fill_in_middle": OP12_SQL,
+        "op13_warc": OP13_SQL,
+    }
