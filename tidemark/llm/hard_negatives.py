@@ -3,9 +3,9 @@ positives the best rows of other labels whose scores lie within given shares of
 
 Vectors become integers, so scores, which are inner products, are exact. Rows and anchors each have a tree: its
 upper part, at most `CELLS` cells cut by median planes, is fitted on a bounded sample and every row goes down it;
-below, each cell is dealt out to blocks of about `BLOCK` rows, and a block's own tree has a ball around each node.
-For two nodes with centres c, d and radii r, s all inner products lie within <c, d> +- (|c| s + |d| r + r s). A pair
-of cells, then of nodes, whose interval can't hold a score that some anchor of the group still needs is left out
+below, each cell is dealt out to blocks of about `BLOCK` rows, and a block's own tree has a ball and a cone around each
+node. For two nodes with centres c, d and radii r, s all inner products lie within <c, d> +- (|c| s + |d| r + r s), and
+for greatest angles a, b to c and d, within the norms' products times cos(angle of c and d -+ (a + b)). A pair of cells, then of nodes, whose interval can't hold a score that some anchor of the group still needs is left out
 with all its anchors at once; pairs of leaves that remain are scored by one product of matrices. What an anchor
 needs at first comes from its own block, and rises as blocks are searched, best pairs first.
 
@@ -167,27 +167,42 @@ def order_of(x: np.ndarray, leaf: int) -> tuple[np.ndarray, list[tuple[int, int]
     return order, nodes
 
 
-def balls(x: np.ndarray, nodes: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(centres, radii) of nodes over rows in their order."""
-    centres, radii = np.zeros((len(nodes), x.shape[1])), np.zeros(len(nodes))
+def balls(x: np.ndarray, nodes: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centres, radii, cones) of nodes over rows in their order; a cone is (greatest angle to the centre, least and
+    greatest norm), the angle pi where a vector or the centre is zero."""
+    centres, radii, cones = np.zeros((len(nodes), x.shape[1])), np.zeros(len(nodes)), np.zeros((len(nodes), 3))
+    norms = np.linalg.norm(x, axis=1)
     for k, (a, b) in enumerate(nodes):
         if b > a:
             centres[k] = x[a:b].mean(0)
             radii[k] = np.sqrt(((x[a:b] - centres[k]) ** 2).sum(1).max())
-    return centres, radii
-
-
-def intervals(c: np.ndarray, r: np.ndarray, d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the inner products of node pairs, a little wider than exact ones so that rounding can't matter."""
-    mid = (c * d).sum(-1)
-    wide = np.linalg.norm(c, axis=-1) * s + np.linalg.norm(d, axis=-1) * r + r * s
+            size = np.linalg.norm(centres[k])
+            low, high = norms[a:b].min(), norms[a:b].max()
+            angle = np.arccos(np.clip((x[a:b] @ centres[k]) / (norms[a:b] * size), -1, 1)).max() if low and size else np.pi
+            cones[k] = angle, low, high
+    return centres, radii, cones
+
+
+def intervals(c: np.ndarray, r: np.ndarray, d: np.ndarray, s: np.ndarray, a: np.ndarray | None = None, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the inner products of node pairs by their balls and, if given, cones; a little wider than exact ones so
+    that rounding can't matter."""
+    mid, u, v = (c * d).sum(-1), np.linalg.norm(c, axis=-1), np.linalg.norm(d, axis=-1)
+    wide = u * s + v * r + r * s
     wide = wide + 1e-6 * (np.abs(mid) + wide) + 1e-3
-    return mid - wide, mid + wide
-
-
-_BLOCK = "cell long, block long, n long, ids binary, labels binary, vecs binary, extra binary, nodes binary, centres binary, radii binary"
+    low, high = mid - wide, mid + wide
+    if a is not None:
+        apart, open_ = np.arccos(np.clip(mid / np.maximum(u * v, 1e-300), -1, 1)), a[:, 0] + b[:, 0]
+        most, least = np.cos(np.maximum(apart - open_, 0)), np.cos(np.minimum(apart + open_, np.pi))
+        near, far = a[:, 1] * b[:, 1], a[:, 2] * b[:, 2]
+        slack = 1e-6 * far + 1e-3
+        low = np.maximum(low, np.where(least >= 0, near, far) * least - slack)
+        high = np.minimum(high, np.where(most >= 0, far, near) * most + slack)
+    return low, high
+
+
+_BLOCK = "cell long, block long, n long, ids binary, labels binary, vecs binary, extra binary, nodes binary, centres binary, radii binary, cones binary"
 _NAMES = [f.split()[0] for f in _BLOCK.split(", ")]
-_KINDS = [pa.int64()] * 3 + [pa.binary()] * 7
+_KINDS = [pa.int64()] * 3 + [pa.binary()] * 8
 
 
 class Block:
@@ -201,6 +216,7 @@ class Block:
         self.nodes = np.frombuffer(row["nodes"], "<i8").reshape(-1, 2)
         self.centres = np.frombuffer(row["centres"], "<f8").reshape(len(self.nodes), space.dim)
         self.radii = np.frombuffer(row["radii"], "<f8")
+        self.cones = np.frombuffer(row["cones"], "<f8").reshape(-1, 3)
 
     def leaf(self, k: np.ndarray) -> np.ndarray:
         return 2 * k + 1 >= len(self.nodes)
@@ -209,8 +225,8 @@ class Block:
 def packed(cell: int, block: int, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, extra: np.ndarray, space: Space, leaf: int) -> list:
     order, nodes = order_of(x, leaf)
     x = x[order]
-    centres, radii = balls(x, nodes)
-    return [cell, block, len(ids), ids[order].astype("<i8").tobytes(), labels[order].astype("<i8").tobytes(), x.astype(space.held).tobytes(), extra[order].astype("<i8").tobytes(), np.array(nodes, "<i8").tobytes(), centres.tobytes(), radii.tobytes()]
+    centres, radii, cones = balls(x, nodes)
+    return [cell, block, len(ids), ids[order].astype("<i8").tobytes(), labels[order].astype("<i8").tobytes(), x.astype(space.held).tobytes(), extra[order].astype("<i8").tobytes(), np.array(nodes, "<i8").tobytes(), centres.tobytes(), radii.tobytes(), cones.tobytes()]
 
 
 def _column(table: pa.Table, k: int) -> np.ndarray:
@@ -333,7 +349,7 @@ def search(a: Block, b: Block, space: Space, wanted: Wanted, same: bool) -> int:
     high = np.array([most[x:y].max() if y > x else -inf for x, y in a.nodes], np.float64)
     p, q = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
-        lo, hi = intervals(a.centres[p], a.radii[p], b.centres[q], b.radii[q])
+        lo, hi = intervals(a.centres[p], a.radii[p], b.centres[q], b.radii[q], a.cones[p], b.cones[q])
         live = (hi >= low[p]) & (lo <= high[p]) & (a.nodes[p, 1] > a.nodes[p, 0]) & (b.nodes[q, 1] > b.nodes[q, 0])
         p, q, hi = p[live], q[live], hi[live]
         pl, ql = a.leaf(p), b.leaf(q)
