@@ -22,9 +22,9 @@ def fold(events):
             trusted = False
             out.append("adapter_reset")
         elif kind == "snapshot":
-            trusted = bid < ask
+            trusted = None not in (bid, ask) and bid < ask
             cur = seq
-            out.append("ok" if trusted else "snapshot_crossed")
+            out.append("ok" if trusted else "snapshot_incomplete" if None in (bid, ask) else "snapshot_crossed")
         elif not trusted:
             out.append("book_stale")
         elif seq <= cur:
@@ -32,16 +32,20 @@ def fold(events):
         elif seq != cur + 1:
             trusted = False
             out.append("sequence_gap")
-        elif bid >= ask:
+        elif None not in (bid, ask) and bid >= ask:
             trusted = False
             out.append("crossed_book")
+        elif None in (bid, ask):  # applied, and may be healed
+            cur = seq
+            out.append("book_incomplete")
         else:
             cur = seq
             out.append("ok")
     return out
 
 
-def test_acceptance_equals_the_fold(spark):
+@pytest.mark.parametrize("block", [4, 10**6])
+def test_acceptance_equals_the_fold(spark, block):
     rng, rows, want = random.Random(5), [], {}
     for b in range(40):
         own, seq = [], 0
@@ -49,12 +53,12 @@ def test_acceptance_equals_the_fold(spark):
             kind = rng.choices(["snapshot", "reset", "delta"], [1, 1, 8])[0]
             seq += rng.choices([0, 1, 2], [1, 12, 1])[0]
             bid = rng.randint(95, 105)
-            own.append((kind, seq, bid, bid + rng.choices([1, 0], [15, 1])[0]))
+            own.append((kind, seq, bid, rng.choices([bid + 1, bid, None], [15, 1, 1])[0]))
         rows += [(f"P{b}", "v", i, i, *e) for i, e in enumerate(own)]
         want |= {(f"P{b}", i): r for i, r in enumerate(fold(own))}
-    got = book.apply_reasons(spark.createDataFrame(rows, EVENTS)).collect()
+    got = book.apply_reasons(spark.createDataFrame(rows, EVENTS), block=block).collect()
     assert {(r.pair, r.event_id): r.reason for r in got} == want
-    assert {r.reason for r in got} >= {"ok", "book_stale", "out_of_order", "sequence_gap", "crossed_book", "snapshot_crossed", "adapter_reset"}
+    assert {r.reason for r in got} >= {"ok", "book_stale", "out_of_order", "sequence_gap", "crossed_book", "snapshot_crossed", "adapter_reset", "book_incomplete", "snapshot_incomplete"}
 
 
 @pytest.mark.parametrize("block", [1, 7, 1000])
@@ -117,19 +121,22 @@ def test_matched_route_prices_and_fee_gate(spark):
 
 
 def test_eligibility_order(spark):
-    rows = [(None, True, True, 1, 1, 2), (1, False, True, 1, 1, 2), (1, True, False, 1, 1, 2), (1, True, True, 99, 1, 2), (1, True, True, 1, None, 2), (1, True, True, 1, 2, 2), (1, True, True, 1, 1, 2)]
-    df = spark.createDataFrame(rows, "seen int, up boolean, trusted boolean, age int, bid int, ask int")
-    got = [r[0] for r in df.select(book.eligibility(F.col("trusted"), F.col("seen"), F.col("up"), F.col("age"), F.col("bid"), F.col("ask"), 10)).collect()]
-    assert got == ["missing", "disconnected", "uninitialized", "too_old", "incomplete", "crossed", None]
+    rows = [(None, True, True, True, 1, 1, 2), (1, False, True, True, 1, 1, 2), (1, True, False, True, 1, 1, 2), (1, True, True, False, 1, 1, 2), (1, True, True, True, 99, 1, 2), (1, True, True, True, 1, None, 2), (1, True, True, True, 1, 2, 2), (1, True, True, True, 1, 1, 2)]
+    df = spark.createDataFrame(rows, "seen int, up boolean, begun boolean, whole boolean, age int, bid int, ask int")
+    got = [r[0] for r in df.select(book.eligibility(F.col("seen"), F.col("up"), F.col("begun"), F.col("whole"), F.col("age"), F.col("bid"), F.col("ask"), 10)).collect()]
+    assert got == ["missing", "disconnected", "uninitialized", "discontinuous", "too_old", "incomplete", "crossed", None]
 
 
 def test_samples_count_each_outcome_once(spark):
-    quotes = spark.createDataFrame([("p", "a", 5, 1, True, 10, 11, 3, 1)], "pair string, venue string, ns long, event_id long, trusted boolean, bid long, ask long, bid_size long, ask_size long")
-    roster = spark.createDataFrame([("p", "a"), ("p", "z")], "pair string, venue string")
+    rows = [("a", 5, True, True, 10, 11), ("c", 1, True, True, 12, 11), ("i", 1, True, True, None, 11), ("u", 1, False, True, 10, 11), ("d", 1, False, False, None, None)]
+    quotes = spark.createDataFrame([("p", v, t, 1, b, c, x, y, 3, 1) for v, t, b, c, x, y in rows], "pair string, venue string, ns long, event_id long, initialized boolean, connected boolean, bid long, ask long, bid_size long, ask_size long")
+    roster = spark.createDataFrame([("p", v) for v in "aciudz"], "pair string, venue string")
     ticks, amounts = fillrates.grid(0, 20, 5, spark), spark.createDataFrame([(20,)], "notional long")
     found = fillrates.buckets(fillrates.samples(quotes, roster, ticks, amounts, 5, 7), 100).collect()
-    got = {(r.venue, r.side): (r.samples, r.filled, r.insufficient, r.missing, r.too_old) for r in found}
+    got = {(r.venue, r.side): (r.samples, r.filled, r.insufficient, r.missing, r.too_old) for r in found if r.venue in "az"}
     assert got == {("a", "buy"): (5, 0, 2, 1, 2), ("a", "sell"): (5, 2, 0, 1, 2), ("z", "buy"): (5, 0, 0, 5, 0), ("z", "sell"): (5, 0, 0, 5, 0)}
+    assert all(sum(r[o] for o in fillrates.OUTCOMES) == r.samples == 5 for r in found)
+    assert {r.venue: (r.crossed, r.incomplete, r.uninitialized, r.disconnected) for r in found if r.venue in "ciud"} == {"c": (1, 0, 0, 0), "i": (0, 1, 0, 0), "u": (0, 0, 4, 0), "d": (0, 0, 0, 4)}
 
 
 @pytest.mark.parametrize("ceil", [False, True])

@@ -20,13 +20,6 @@ ORDER = ["ns", "event_id"]
 BLOCK = 86_400 * 10**9
 
 
-def with_trust(quotes: DataFrame, order: tuple[str, ...] = ("ns", "event_id"), block: int = BLOCK) -> DataFrame:
-    """Quotes with `trusted`: a snapshot, or a delta whose last snapshot has no reset after it."""
-    blocked = quotes.withColumn("block", block_of(F.col(order[0]), block))
-    last = running(blocked, BOOK, list(order), {"_mark": ("last", F.when(F.col("kind") != "delta", F.col("kind")), True)})
-    return last.select(*quotes.columns, F.coalesce(F.col("_mark") == "snapshot", F.lit(False)).alias("trusted"))
-
-
 def with_expiries(trusted: DataFrame, max_age: int, block: int = BLOCK) -> DataFrame:
     """Quotes and, wherever a book hears nothing for longer than `max_age`, a row of kind expiry just after:
     at its last receipt + max_age + 1. None comes after the input's last row; expiry rows change no book."""
@@ -39,45 +32,68 @@ def with_expiries(trusted: DataFrame, max_age: int, block: int = BLOCK) -> DataF
     return trusted.unionByName(lapsed.select(*expiry))
 
 
+#: Kinds that are events of a venue's link and not of a book.
+LINKS = ["down", "up"]
+
+
 def sequenced(quotes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Quotes with a local sequence number that repeats at some events and skips one at others."""
+    """Quotes with a local sequence number: their number among the book's updates, moved by `off`."""
     blocked = quotes.withColumn("block", block_of(F.col("ns"), block))
-    n = F.col("n").cast("long")
-    seq = F.when(F.col("event_id") % 37 == 0, n - 1).when(F.col("event_id") % 41 == 0, n + 1).otherwise(n)
-    return running(blocked, BOOK, ORDER, {"n": ("sum", F.lit(1), True)}).select(*quotes.columns, seq.alias("seq"))
+    own = ~F.col("kind").isin(LINKS)
+    numbered = running(blocked, BOOK, ORDER, {"n": ("sum", F.when(own, F.lit(1)), True)})
+    return numbered.select(*[c for c in quotes.columns if c != "off"], F.when(own, F.col("n").cast("long") + F.col("off")).alias("seq"))
+
+
+def _chains(rows: DataFrame) -> DataFrame:
+    """rows with chain, at_mark (what the chain began with) and top (the greatest sequence number before, with its chain).
+
+    One pass: inside a block chains are numbered from its start, and a block's number of chains, its last mark and
+    its greatest (chain, seq) are carried over blocks together. A chain's number comes first, so the greatest of
+    all rows before is of this chain or of none.
+    """
+    inside = Window.partitionBy(*BOOK, "block").orderBy(*ORDER)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("local", F.coalesce(F.count("mark").over(so_far), F.lit(0))).withColumn("last_mark", F.last("mark", ignorenulls=True).over(so_far))
+    own = own.withColumn("place", F.when(~F.col("cut") & F.col("seq").isNotNull(), F.struct("local", "seq")))
+    ends = own.groupBy(*BOOK, "block").agg(F.max("local").alias("n"), F.max_by("mark", F.when(F.col("mark").isNotNull(), F.struct(*ORDER))).alias("m"), F.max("place").alias("p"))
+    over = Window.partitionBy(*BOOK).orderBy("block")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("m_before", F.last("m", ignorenulls=True).over(before))
+    ends = ends.withColumn("p", F.when(F.col("p").isNotNull(), F.struct((F.col("n_before") + F.col("p.local")).alias("chain"), F.col("p.seq").alias("seq"))))
+    opening = ends.select(*BOOK, "block", "n_before", "m_before", F.max("p").over(before).alias("p_before"))
+    joined = own.join(opening, [*BOOK, "block"]).withColumn("chain", F.col("n_before") + F.col("local"))
+    place = F.when(F.col("place").isNotNull(), F.struct("chain", "seq"))
+    top = F.greatest(F.max(place).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("p_before"))
+    return joined.select(*rows.columns, "chain", F.coalesce("last_mark", "m_before").alias("at_mark"), top.alias("top"))
 
 
 def apply_reasons(events: DataFrame, block: int = BLOCK, links: bool = False) -> DataFrame:
     """events: (pair, venue, ns, event_id, kind, seq, bid, ask) with chain, reason and accepted.
 
-    Kinds: snapshot, delta, reset, invalidate (the book is given up until the next snapshot), and with `links` down and up for a venue's link, which are no updates
-    themselves and aren't returned. Reasons: ok, disconnected, adapter_reset, invalidated, snapshot_incomplete,
-    snapshot_crossed, book_stale, out_of_order, sequence_gap, crossed_book. A crossed update or a gap ends the
-    chain; what follows is stale until the next snapshot. While the link is down nothing is applied, not even
-    a snapshot.
+    Kinds: snapshot, delta, reset, invalidate (the book is given up until the next snapshot), and with `links` down
+    and up for a venue's link, which are no updates and have the reasons link_down and link_up. Reasons: ok,
+    disconnected, adapter_reset, invalidated, snapshot_incomplete, snapshot_crossed, book_stale, out_of_order,
+    sequence_gap, crossed_book, and book_incomplete for an update that leaves a side empty, which is applied and
+    may be healed by the next. A crossed update or a gap ends the chain; what follows is stale until the next
+    snapshot. While the link is down nothing is applied, not even a snapshot.
     """
     names = events.columns
     rows = events.withColumn("block", block_of(F.col("ns"), block)).withColumn("cut", F.lit(False))
     if links:
-        rows = running(rows, BOOK, ORDER, {"link": ("last", F.when(F.col("kind").isin("down", "up"), F.col("kind")), True)})
+        rows = running(rows, BOOK, ORDER, {"link": ("last", F.when(F.col("kind").isin(LINKS), F.col("kind")), True)})
         rows = settled(rows.withColumn("cut", F.coalesce((F.col("link") == "down") & (F.col("kind") != "down"), F.lit(False))), "links")
     crossed = F.coalesce(F.col("bid") >= F.col("ask"), F.lit(False))
     empty = F.col("bid").isNull() | F.col("ask").isNull()
-    mark = F.when((F.col("kind") != "delta") & ~F.col("cut"), F.struct("kind", (crossed | empty).alias("bad")))
-    rows = running(rows, BOOK, ORDER, {"at_mark": ("last", mark, True), "chain": ("sum", mark.isNotNull().cast("int"), True)})
-    rows = settled(rows.select(*names, "block", "cut", "at_mark", "chain"), "chains")
-    # A chain's number comes first, so the greatest of all rows before is of this chain or of none.
-    top = F.when(~F.col("cut") & F.col("seq").isNotNull(), F.struct("chain", "seq"))
-    rows = running(rows, BOOK, ORDER, {"top": ("max", top, False)})
-    rows = rows.withColumn("top_seq", F.when(F.col("top.chain") == F.col("chain"), F.col("top.seq")))
+    rows = _chains(rows.withColumn("mark", F.when((F.col("kind") != "delta") & ~F.col("cut"), F.struct("kind", (crossed | empty).alias("bad")))))
+    rows = settled(rows.select(*names, "block", "cut", "chain", "at_mark", F.when(F.col("top.chain") == F.col("chain"), F.col("top.seq")).alias("top_seq")), "chains")
     gap = (F.col("kind") == "delta") & (F.col("seq") > F.col("top_seq") + 1)
     fresh = (F.col("kind") == "delta") & (F.col("seq") == F.col("top_seq") + 1)
-    ends = F.when(~F.col("cut") & (gap | (fresh & crossed)), 1).otherwise(0)
-    rows = running(rows, BOOK, ORDER, {"ended": ("max", F.when(ends == 1, F.col("chain")), False)})
-    rows = rows.withColumn("dead", (F.col("ended") == F.col("chain")).cast("int"))
-    lost = F.col("at_mark").isNull() | (F.col("at_mark.kind") != "snapshot") | F.col("at_mark.bad") | (F.coalesce("dead", F.lit(0)) == 1)
+    rows = running(rows, BOOK, ORDER, {"ended": ("max", F.when(~F.col("cut") & (gap | (fresh & crossed)), F.col("chain")), False)})
+    dead = F.coalesce(F.col("ended") == F.col("chain"), F.lit(False))
+    lost = F.col("at_mark").isNull() | (F.col("at_mark.kind") != "snapshot") | F.col("at_mark.bad") | dead
     reason = (
-        F.when(F.col("cut"), "disconnected")
+        F.when(F.col("kind").isin(LINKS), F.concat(F.lit("link_"), F.col("kind")))
+        .when(F.col("cut"), "disconnected")
         .when(F.col("kind") == "reset", "adapter_reset")
         .when(F.col("kind") == "invalidate", "invalidated")
         .when((F.col("kind") == "snapshot") & empty, "snapshot_incomplete")
@@ -87,12 +103,26 @@ def apply_reasons(events: DataFrame, block: int = BLOCK, links: bool = False) ->
         .when(F.col("seq") <= F.col("top_seq"), "out_of_order")
         .when(gap, "sequence_gap")
         .when(crossed, "crossed_book")
+        .when(empty, "book_incomplete")
         .otherwise("ok")
     )
-    rows = rows.where(~F.col("kind").isin("down", "up"))
     return rows.select(*names, "chain", reason.alias("reason")).withColumn("accepted", F.col("reason").isin("ok", "adapter_reset"))
 
 
+def tops_over_time(applied: DataFrame) -> DataFrame:
+    """What each row of `apply_reasons` leaves of its book: trusted (a usable top), initialized (perhaps with a side
+    empty) and connected. Late updates and those that come while the link is down leave it as it was and are left
+    out."""
+    rows = applied.where(~F.col("reason").isin("out_of_order", "disconnected"))
+    reason = F.col("reason")
+    return rows.select(
+        *[c for c in applied.columns if c not in ("seq", "chain", "reason", "accepted")],
+        (reason == "ok").alias("trusted"),
+        reason.isin("ok", "book_incomplete").alias("initialized"),
+        (reason != "link_down").alias("connected"),
+    )
+
+
 def verify(events: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Snapshots held against the accepted book of exactly their sequence: verified, mismatch or skipped.
 
@@ -134,12 +164,14 @@ def tops(levels: DataFrame) -> DataFrame:
     )
 
 
-def eligibility(trusted: Column, seen: Column, connected: Column, age: Column, bid: Column, ask: Column, max_age: int) -> Column:
-    """The first reason, in fixed order, that keeps a book from use; null for an eligible one."""
+def eligibility(seen: Column, connected: Column, initialized: Column, continuous: Column, age: Column, bid: Column, ask: Column, max_age: int) -> Column:
+    """The first reason, in fixed order, that keeps a book from use; null for an eligible one. A book that is given
+    up is neither initialized nor continuous; discontinuous is for a source that knows of a break in what it holds."""
     return (
         F.when(seen.isNull(), "missing")
         .when(~connected, "disconnected")
-        .when(~trusted, "uninitialized")
+        .when(~initialized, "uninitialized")
+        .when(~continuous, "discontinuous")
         .when(age.isNull() | (age > max_age), "too_old")
         .when(bid.isNull() | ask.isNull(), "incomplete")
         .when(bid >= ask, "crossed")

@@ -60,6 +60,7 @@ def episodes(rows: DataFrame) -> DataFrame:
         F.col("first.size").alias("max_size"),
         F.col("first.spread").alias("open_spread"),
         F.col("peak.ns").alias("peak_ns"),
+        F.col("peak.event_id").alias("peak_id"),
         F.col("peak.spread").alias("peak_spread"),
         F.col("peak.size").alias("peak_size"),
         (F.col("peak.size") * (F.col("peak.bid") - F.col("peak.ask"))).alias("peak_profit"),

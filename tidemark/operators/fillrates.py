@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.asof import asof_join
 from tidemark.operators.book import BOOK, eligibility
 
-OUTCOMES = ["filled", "insufficient", "missing", "uninitialized", "too_old"]
+#: Why a book can't be tried, in the order in which it is judged, and every outcome of a sample.
+REASONS = ["missing", "disconnected", "uninitialized", "discontinuous", "too_old", "incomplete", "crossed"]
+OUTCOMES = ["filled", "insufficient", *REASONS]
 
 
 def grid(start: int, end: int, interval: int, spark) -> DataFrame:
@@ -20,11 +22,12 @@ def samples(quotes: DataFrame, roster: DataFrame, ticks: DataFrame, notionals: D
     """(tick, pair, venue, notional, side, outcome) of the whole roster: a book that was never seen or
     can't be used has its reason as the outcome.
 
-    quotes: trusted tops with sizes. The roster, ticks and notionals are small and span the result.
+    quotes: (pair, venue, ns, event_id, initialized, connected, bid, ask, bid_size, ask_size), what each row leaves of
+    its book. The roster, ticks and notionals are small and span the result.
     """
     books = ticks.crossJoin(F.broadcast(roster))
-    state = asof_join(books, quotes, BOOK, "tick", "ns", ["event_id"], ["ns", "trusted", "bid", "ask", "bid_size", "ask_size"], block)
-    why = eligibility(F.col("trusted"), F.col("ns"), F.lit(True), F.col("tick") - F.col("ns"), F.col("bid"), F.col("ask"), max_age)
+    state = asof_join(books, quotes, BOOK, "tick", "ns", ["event_id"], ["ns", "initialized", "connected", "bid", "ask", "bid_size", "ask_size"], block)
+    why = eligibility(F.col("ns"), F.col("connected"), F.col("initialized"), F.col("initialized"), F.col("tick") - F.col("ns"), F.col("bid"), F.col("ask"), max_age)
     sides = F.explode(F.array(F.struct(F.lit("buy").alias("side"), (F.col("ask") * F.col("ask_size")).alias("depth")), F.struct(F.lit("sell").alias("side"), (F.col("bid") * F.col("bid_size")).alias("depth"))))
     rows = state.withColumn("why", why).select("tick", *BOOK, "why", sides.alias("s")).crossJoin(F.broadcast(notionals))
     outcome = F.coalesce("why", F.when(F.col("s.depth") >= F.col("notional"), "filled").otherwise("insufficient"))

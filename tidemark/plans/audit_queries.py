@@ -272,7 +272,7 @@ def venue_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HEALTH_SQL = f"""WITH {T}, l AS (SELECT pair, venue, max({{'ns': ns, 'id': event_id, 'trusted': trusted}}) AS x FROM tr GROUP BY ALL),
-r AS (SELECT venue, CASE WHEN NOT x.trusted THEN 2 WHEN (SELECT max(ns) FROM q) - x.ns > {common.MAX_AGE} THEN 1 ELSE 0 END AS k FROM l)
+r AS (SELECT venue, CASE WHEN NOT x.trusted THEN 2 WHEN (SELECT max(ns) FROM tr) - x.ns > {common.MAX_AGE} THEN 1 ELSE 0 END AS k FROM l)
 SELECT venue, count(*) AS books, count(*) FILTER (k = 2) AS down, CASE WHEN count(*) FILTER (k = 2) = count(*) THEN 'down' WHEN max(k) = 2 THEN 'degraded' WHEN max(k) = 1 THEN 'stale' ELSE 'ok' END AS health FROM r GROUP BY venue"""
 
 

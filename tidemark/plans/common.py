@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import book, episodes, routes
-from tidemark.session import table
+from tidemark.session import derived, table
 from tidemark.sources import market, store
 
 MAX_AGE = 6 * market.NS_HOUR
@@ -21,10 +21,35 @@ q AS (
   FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS c FROM events)
 )"""
 
-TRUSTED = (
+#: What venues send, with what goes wrong, and why each update was accepted or not.
+APPLIED = (
     QUOTES
+    + f""", sq AS (
+  SELECT event_id, pair, venue, ns, kind, CASE WHEN event_id % 59 = 0 THEN NULL ELSE bid END AS bid, CASE WHEN event_id % 53 = 0 THEN bid - 1 ELSE ask END AS ask, bid_size, ask_size,
+    n + CASE WHEN event_id % 37 = 0 THEN -1 WHEN event_id % 41 = 0 THEN 1 ELSE 0 END AS seq
+  FROM (SELECT *, row_number() OVER (PARTITION BY pair, venue ORDER BY ns, event_id) AS n FROM q)
+), sent AS (
+  SELECT * FROM sq
+  UNION ALL SELECT event_id, p, venue, ns + 1, CASE WHEN event_id % 401 = 0 THEN 'down' ELSE 'up' END, NULL, NULL, NULL, NULL, NULL FROM sq, (SELECT unnest({list(market.PAIRS)}) AS p) WHERE event_id % 401 = 0 OR event_id % 43 = 0
+), lk AS (SELECT *, kind <> 'down' AND coalesce(last_value(CASE WHEN kind IN ('down', 'up') THEN kind END IGNORE NULLS) OVER (PARTITION BY pair, venue ORDER BY ns, event_id) = 'down', false) AS cut FROM sent
+), mk AS (SELECT *, kind <> 'delta' AND NOT cut AS mark, coalesce(bid >= ask, false) AS crossed, bid IS NULL OR ask IS NULL AS hollow FROM lk
+), ch AS (SELECT *, sum(mark::INT) OVER w AS chain, last_value(CASE WHEN mark THEN {{'k': kind, 'bad': crossed OR hollow}} END IGNORE NULLS) OVER w AS head FROM mk WINDOW w AS (PARTITION BY pair, venue ORDER BY ns, event_id)
+), tp AS (SELECT *, max(CASE WHEN NOT cut THEN seq END) OVER (PARTITION BY pair, venue, chain ORDER BY ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ch
+), dd AS (SELECT *, coalesce(bool_or(NOT cut AND kind = 'delta' AND (seq > top + 1 OR (seq = top + 1 AND crossed))) OVER (PARTITION BY pair, venue, chain ORDER BY ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS dead FROM tp
+), ap AS (
+  SELECT event_id, pair, venue, ns, kind, bid, ask, bid_size, ask_size, seq, chain::BIGINT AS chain, CASE WHEN kind IN ('down', 'up') THEN 'link_' || kind WHEN cut THEN 'disconnected' WHEN kind = 'reset' THEN 'adapter_reset'
+    WHEN kind = 'snapshot' AND hollow THEN 'snapshot_incomplete' WHEN kind = 'snapshot' AND crossed THEN 'snapshot_crossed' WHEN kind = 'snapshot' THEN 'ok'
+    WHEN head IS NULL OR head.k <> 'snapshot' OR head.bad OR dead THEN 'book_stale' WHEN seq <= top THEN 'out_of_order' WHEN seq > top + 1 THEN 'sequence_gap' WHEN crossed THEN 'crossed_book'
+    WHEN hollow THEN 'book_incomplete' ELSE 'ok' END AS reason FROM dd
+)"""
+)
+
+#: Books after each update that changed them.
+TRUSTED = (
+    APPLIED
     + """, tr AS (
-  SELECT *, coalesce(last_value(CASE WHEN kind <> 'delta' THEN kind END IGNORE NULLS) OVER (PARTITION BY pair, venue ORDER BY ns, event_id) = 'snapshot', false) AS trusted FROM q
+  SELECT event_id, pair, venue, ns, kind, bid, ask, bid_size, ask_size, reason = 'ok' AS trusted, reason IN ('ok', 'book_incomplete') AS initialized, reason <> 'link_down' AS connected
+  FROM ap WHERE reason NOT IN ('out_of_order', 'disconnected')
 )"""
 )
 
@@ -34,8 +59,8 @@ EXPIRIES = (
     + f""", hs AS (
   SELECT *, lead(ns) OVER (PARTITION BY pair, venue ORDER BY ns, event_id) AS nx, max(ns) OVER () AS last_ns FROM tr
 ), te AS (
-  SELECT event_id, pair, venue, ns, kind, bid, ask, bid_size, ask_size, trusted FROM tr
-  UNION ALL SELECT event_id, pair, venue, ns + {MAX_AGE + 1}, 'expiry', bid, ask, bid_size, ask_size, trusted FROM hs WHERE (nx IS NULL OR nx > ns + {MAX_AGE + 1}) AND ns + {MAX_AGE + 1} <= last_ns
+  SELECT * FROM tr
+  UNION ALL SELECT event_id, pair, venue, ns + {MAX_AGE + 1}, 'expiry', bid, ask, bid_size, ask_size, trusted, initialized, connected FROM hs WHERE (nx IS NULL OR nx > ns + {MAX_AGE + 1}) AND ns + {MAX_AGE + 1} <= last_ns
 )"""
 )
 
@@ -65,14 +90,14 @@ EPISODES = (
 ), islands AS (
   SELECT pair, route, buy, sell, run, any_value(state) AS state,
     arg_min({'ns': ns, 'id': event_id, 'ask': ask, 'bid': bid, 'size': size, 'spread': spread, 'buy_age': buy_age, 'sell_age': sell_age, 'skew': skew}, (ns, event_id)) AS f,
-    arg_max({'ns': ns, 'ask': ask, 'bid': bid, 'size': size, 'spread': spread}, (spread, -ns, -event_id)) AS p, max(skew) AS max_skew, count(*) AS evaluations
+    arg_max({'ns': ns, 'id': event_id, 'ask': ask, 'bid': bid, 'size': size, 'spread': spread}, (spread, -ns, -event_id)) AS p, max(skew) AS max_skew, count(*) AS evaluations
   FROM runs GROUP BY ALL
 ), nx AS (
   SELECT *, lead({'state': state, 'ns': f.ns, 'spread': f.spread}) OVER (PARTITION BY pair, route ORDER BY run) AS n FROM islands
 ), ep AS (
   SELECT f.id * 8 + route AS id, pair, string_split(pair, '-')[-1] AS quote, buy, sell, f.ns AS start_ns, n.ns AS end_ns,
     CASE n.state WHEN 'below' THEN 'spread_closed' WHEN 'absent' THEN 'book_ineligible' END AS close_reason,
-    f.ask AS buy_price, f.bid AS sell_price, f.size AS max_size, f.spread AS open_spread, p.ns AS peak_ns, p.spread AS peak_spread, p.size AS peak_size,
+    f.ask AS buy_price, f.bid AS sell_price, f.size AS max_size, f.spread AS open_spread, p.ns AS peak_ns, p.id AS peak_id, p.spread AS peak_spread, p.size AS peak_size,
     p.size * (p.bid - p.ask) AS peak_profit, CASE WHEN n.state = 'below' THEN n.spread END AS close_spread,
     f.buy_age AS buy_age, f.sell_age AS sell_age, f.skew AS skew, max_skew, evaluations
   FROM nx WHERE state = 'above'
@@ -93,7 +118,18 @@ lv AS (
 
 
 def trusted_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book.with_trust(market.quotes(spark, sf_dir))
+    """Books after each update that changed them: what was accepted, and what gave a book up."""
+    events = table(spark, sf_dir, "events")
+    return derived(events, "books", lambda: book.tops_over_time(applied(spark, sf_dir)))
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What venues send, numbered by book."""
+    return book.sequenced(market.feed_of(table(spark, sf_dir, "events")))
+
+
+def applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return book.apply_reasons(feed(spark, sf_dir), links=True)
 
 
 def route_table(spark: SparkSession, sf_dir: str) -> DataFrame:

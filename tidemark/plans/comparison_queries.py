@@ -235,7 +235,7 @@ def adapter_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.crossJoin(worst).select("venue", (F.col("now") - F.col("last")).alias("age"), "snapshots", "deltas", "resets", host.alias("connectivity"), name(F.col("rank")).alias("health"), name(F.col("top")).alias("worst"))
 
 
-STATUS_SQL = f"""WITH {T}, b AS (SELECT venue, max(ns) AS last, count(*) FILTER (kind = 'snapshot') AS snapshots, count(*) FILTER (kind = 'delta') AS deltas, count(*) FILTER (kind = 'reset') AS resets, arg_max(trusted, (ns, event_id)) AS up, (SELECT max(ns) FROM q) AS now FROM tr GROUP BY venue
+STATUS_SQL = f"""WITH {T}, b AS (SELECT venue, max(ns) AS last, count(*) FILTER (kind = 'snapshot') AS snapshots, count(*) FILTER (kind = 'delta') AS deltas, count(*) FILTER (kind = 'reset') AS resets, arg_max(trusted, (ns, event_id)) AS up, (SELECT max(ns) FROM tr) AS now FROM tr GROUP BY venue
 ), r AS (SELECT *, CASE WHEN NOT up THEN 3 WHEN now - last > {HOUR} THEN 2 WHEN resets > 0 THEN 1 ELSE 0 END AS k FROM b)
 SELECT venue, now - last AS age, snapshots, deltas, resets, CASE WHEN up AND resets % 2 = 0 THEN 'connected' WHEN up THEN 'host_offline' WHEN resets % 2 = 0 THEN 'backend_down' ELSE 'both_down' END AS connectivity,
   ['ok', 'degraded', 'stale', 'down'][k + 1] AS health, ['ok', 'degraded', 'stale', 'down'][max(k) OVER () + 1] AS worst FROM r"""

@@ -7,53 +7,37 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import book, episodes
 from tidemark.plans import common
+from tidemark.session import settled
 from tidemark.sources import market
 
 
 def book_apply_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = book.apply_reasons(book.sequenced(market.quotes(spark, sf_dir)))
+    rows = common.applied(spark, sf_dir).where(~F.col("kind").isin(book.LINKS))
     return rows.select("event_id", "pair", "venue", "seq", "chain", "reason", "accepted")
 
 
-SEQUENCED = (
-    common.QUOTES
-    + """, sq AS (
-  SELECT *, CASE WHEN event_id % 37 = 0 THEN n - 1 WHEN event_id % 41 = 0 THEN n + 1 ELSE n END AS seq,
-    sum(CASE WHEN kind <> 'delta' THEN 1 ELSE 0 END) OVER (PARTITION BY pair, venue ORDER BY ns, event_id) AS chain
-  FROM (SELECT *, row_number() OVER (PARTITION BY pair, venue ORDER BY ns, event_id) AS n FROM q)
-), ch AS (
-  SELECT *, max(seq) OVER b AS top_seq, CASE WHEN chain = 0 THEN 'none' ELSE first_value(kind) OVER w END AS head
-  FROM sq WINDOW w AS (PARTITION BY pair, venue, chain ORDER BY ns, event_id), b AS (PARTITION BY pair, venue, chain ORDER BY ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), dd AS (
-  SELECT *, coalesce(max(CASE WHEN kind = 'delta' AND seq > top_seq + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY pair, venue, chain ORDER BY ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dead FROM ch
-), ap AS (
-  SELECT *, CASE WHEN kind = 'reset' THEN 'adapter_reset' WHEN kind = 'snapshot' THEN 'ok' WHEN head <> 'snapshot' OR dead = 1 THEN 'book_stale'
-    WHEN seq <= top_seq THEN 'out_of_order' WHEN seq > top_seq + 1 THEN 'sequence_gap' ELSE 'ok' END AS reason FROM dd
-)"""
-)
-REASONS_SQL = f"WITH {SEQUENCED} SELECT event_id, pair, venue, seq, chain::BIGINT AS chain, reason, reason IN ('ok', 'adapter_reset') AS accepted FROM ap"
+REASONS_SQL = f"WITH {common.APPLIED} SELECT event_id, pair, venue, seq, chain, reason, reason IN ('ok', 'adapter_reset') AS accepted FROM ap WHERE kind NOT IN ('down', 'up')"
 
 
 def acceptance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates by reason: for each pair and reason, for each reason, and in all."""
-    rows = book.apply_reasons(book.sequenced(market.quotes(spark, sf_dir)))
-    return rows.groupingSets([["pair", "reason"], ["reason"], []], "pair", "reason").agg(F.count("*").alias("n"))
+    return common.applied(spark, sf_dir).groupingSets([["pair", "reason"], ["reason"], []], "pair", "reason").agg(F.count("*").alias("n"))
 
 
-ACCEPTANCE_SQL = f"WITH {SEQUENCED} SELECT pair, reason, count(*) AS n FROM ap GROUP BY GROUPING SETS ((pair, reason), (reason), ())"
+ACCEPTANCE_SQL = f"WITH {common.APPLIED} SELECT pair, reason, count(*) AS n FROM ap GROUP BY GROUPING SETS ((pair, reason), (reason), ())"
 
 
 def book_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth quote comes back as a snapshot of its sequence, with a wrong ask at every thirtieth."""
-    events = book.sequenced(market.quotes(spark, sf_dir))
-    again = events.where("event_id % 10 = 0 and kind <> 'reset'").select("pair", "venue", "seq", "bid", (F.col("ask") + F.when(F.col("event_id") % 30 == 0, 1).otherwise(0)).alias("ask"))
-    found = book.verify(book.apply_reasons(events), again)
+    events = settled(common.applied(spark, sf_dir), "applied")
+    again = events.where("event_id % 10 = 0 and kind in ('snapshot', 'delta')").select("pair", "venue", "seq", "bid", (F.col("ask") + F.when(F.col("event_id") % 30 == 0, 1).otherwise(0)).alias("ask"))
+    found = book.verify(events, again)
     return found.groupBy("pair", "venue", "outcome").agg(F.count("*").alias("n"))
 
 
-VERIFY_SQL = f"""WITH {SEQUENCED}, own AS (
+VERIFY_SQL = f"""WITH {common.APPLIED}, own AS (
   SELECT pair, venue, seq, max({{'b': bid, 'a': ask}}) AS o FROM ap WHERE reason = 'ok' GROUP BY ALL
-), again AS (SELECT pair, venue, seq, bid, ask + CASE WHEN event_id % 30 = 0 THEN 1 ELSE 0 END AS ask FROM ap WHERE event_id % 10 = 0 AND kind <> 'reset')
+), again AS (SELECT pair, venue, seq, bid, ask + CASE WHEN event_id % 30 = 0 THEN 1 ELSE 0 END AS ask FROM ap WHERE event_id % 10 = 0 AND kind IN ('snapshot', 'delta'))
 SELECT pair, venue, CASE WHEN o IS NULL THEN 'verification_skipped' WHEN o.b = bid AND o.a = ask THEN 'verified' ELSE 'mismatch' END AS outcome, count(*) AS n
 FROM again LEFT JOIN own USING (pair, venue, seq) GROUP BY ALL"""
 
@@ -77,24 +61,24 @@ DEPTH_SQL = f"""WITH {common.LEVELS} SELECT pair, venue, side, price, size, rank
 def _last_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each book's last event, and the time of the last one of all."""
     rows = common.trusted_quotes(spark, sf_dir)
-    last = rows.groupBy(*book.BOOK).agg(F.max(F.struct("ns", "event_id", "trusted", "bid", "ask")).alias("top"))
+    last = rows.groupBy(*book.BOOK).agg(F.max(F.struct("ns", "event_id", "trusted", "initialized", "connected", "bid", "ask")).alias("top"))
     return last.crossJoin(F.broadcast(rows.agg(F.max("ns").alias("now"))))
 
 
 def eligibility_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why each book of the roster can't be used at the last instant; v2 of P8 is down and v9 was never seen."""
+    """Why each book of the roster can't be used at the last instant; v9 was never seen."""
     tracked = spark.createDataFrame([(f"P{k}-EUR" if k % 3 == 0 else f"P{k}-USD", "v9") for k in (0, 1)], "pair string, venue string")
     now = _last_tops(spark, sf_dir)
     books = book.roster(tracked, now).join(now, book.BOOK, "left")
-    up = ~((F.col("pair") == "P8-USD") & (F.col("venue") == "v2"))
-    reason = book.eligibility(F.col("top.trusted"), F.col("top"), up, F.col("now") - F.col("top.ns"), F.col("top.bid"), F.col("top.ask"), common.MAX_AGE)
+    state = F.col("top.initialized")
+    reason = book.eligibility(F.col("top"), F.col("top.connected"), state, state, F.col("now") - F.col("top.ns"), F.col("top.bid"), F.col("top.ask"), common.MAX_AGE)
     return books.select(*book.BOOK, F.coalesce(reason, F.lit("eligible")).alias("status"))
 
 
-LADDER_SQL = f"""WITH {common.TRUSTED}, l AS (SELECT pair, venue, max({{'ns': ns, 'id': event_id, 'trusted': trusted, 'bid': bid, 'ask': ask}}) AS t FROM tr GROUP BY ALL),
+LADDER_SQL = f"""WITH {common.TRUSTED}, l AS (SELECT pair, venue, arg_max({{'ns': ns, 'initialized': initialized, 'connected': connected, 'bid': bid, 'ask': ask}}, (ns, event_id)) AS t FROM tr GROUP BY ALL),
 r AS (SELECT pair, venue FROM l UNION SELECT * FROM (VALUES ('P0-EUR', 'v9'), ('P1-USD', 'v9')))
-SELECT pair, venue, CASE WHEN t IS NULL THEN 'missing' WHEN pair = 'P8-USD' AND venue = 'v2' THEN 'disconnected' WHEN NOT t.trusted THEN 'uninitialized'
-  WHEN (SELECT max(ns) FROM q) - t.ns > {common.MAX_AGE} THEN 'too_old' WHEN t.bid >= t.ask THEN 'crossed' ELSE 'eligible' END AS status
+SELECT pair, venue, CASE WHEN t IS NULL THEN 'missing' WHEN NOT t.connected THEN 'disconnected' WHEN NOT t.initialized THEN 'uninitialized'
+  WHEN (SELECT max(ns) FROM tr) - t.ns > {common.MAX_AGE} THEN 'too_old' WHEN t.bid IS NULL OR t.ask IS NULL THEN 'incomplete' WHEN t.bid >= t.ask THEN 'crossed' ELSE 'eligible' END AS status
 FROM r LEFT JOIN l USING (pair, venue)"""
 
 
@@ -104,8 +88,8 @@ def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.groupBy("pair").agg(F.max("top.bid").alias("best_bid"), F.min("top.ask").alias("best_ask"), F.count("*").alias("venues"), F.max(F.col("now") - F.col("top.ns")).alias("oldest_ns")).where("venues >= 2")
 
 
-SUMMARY_SQL = f"""WITH {common.TRUSTED}, l AS (SELECT pair, venue, max({{'ns': ns, 'id': event_id, 'trusted': trusted, 'bid': bid, 'ask': ask}}) AS t FROM tr GROUP BY ALL)
-SELECT pair, max(t.bid) AS best_bid, min(t.ask) AS best_ask, count(*) AS venues, max((SELECT max(ns) FROM q) - t.ns) AS oldest_ns FROM l WHERE t.trusted GROUP BY pair HAVING count(*) >= 2"""
+SUMMARY_SQL = f"""WITH {common.TRUSTED}, l AS (SELECT pair, venue, arg_max({{'ns': ns, 'trusted': trusted, 'bid': bid, 'ask': ask}}, (ns, event_id)) AS t FROM tr GROUP BY ALL)
+SELECT pair, max(t.bid) AS best_bid, min(t.ask) AS best_ask, count(*) AS venues, max((SELECT max(ns) FROM tr) - t.ns) AS oldest_ns FROM l WHERE t.trusted GROUP BY pair HAVING count(*) >= 2"""
 
 
 def route_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,13 +111,13 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLES = (
     common.TRUSTED
     + f""", nl(notional) AS (VALUES {_NOTIONALS}), tick AS (
-  SELECT unnest(range((min(ns) // {market.NS_HOUR}) * {market.NS_HOUR}, max(ns) + 1, {TICK})) AS tick FROM q
-), ro AS (SELECT DISTINCT pair, venue FROM q UNION SELECT 'P0-EUR', 'v9'
+  SELECT unnest(range((min(ns) // {market.NS_HOUR}) * {market.NS_HOUR}, max(ns) + 1, {TICK})) AS tick FROM tr
+), ro AS (SELECT DISTINCT pair, venue FROM tr UNION SELECT 'P0-EUR', 'v9'
 ), stt AS (
-  SELECT r.pair, r.venue, tick, (SELECT arg_max({{'ns': ns, 'trusted': trusted, 'bid': bid, 'ask': ask, 'bid_size': bid_size, 'ask_size': ask_size}}, (ns, event_id)) FROM tr WHERE tr.pair = r.pair AND tr.venue = r.venue AND tr.ns <= tick) AS t
+  SELECT r.pair, r.venue, tick, (SELECT arg_max({{'ns': ns, 'initialized': initialized, 'connected': connected, 'bid': bid, 'ask': ask, 'bid_size': bid_size, 'ask_size': ask_size}}, (ns, event_id)) FROM tr WHERE tr.pair = r.pair AND tr.venue = r.venue AND tr.ns <= tick) AS t
   FROM ro r, tick
 ), sm AS (
-  SELECT tick, pair, venue, notional, side, CASE WHEN t IS NULL THEN 'missing' WHEN NOT t.trusted THEN 'uninitialized' WHEN tick - t.ns > {common.MAX_AGE} THEN 'too_old' WHEN t.bid >= t.ask THEN 'crossed'
+  SELECT tick, pair, venue, notional, side, CASE WHEN t IS NULL THEN 'missing' WHEN NOT t.connected THEN 'disconnected' WHEN NOT t.initialized THEN 'uninitialized' WHEN tick - t.ns > {common.MAX_AGE} THEN 'too_old' WHEN t.bid IS NULL OR t.ask IS NULL THEN 'incomplete' WHEN t.bid >= t.ask THEN 'crossed'
     WHEN CASE WHEN side = 'buy' THEN t.ask * t.ask_size ELSE t.bid * t.bid_size END >= notional THEN 'filled' ELSE 'insufficient' END AS outcome
   FROM stt, nl, (VALUES ('buy'), ('sell')) sd(side)
 )"""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import audit_queries, common, comparison_queries, history_queries, market_queries, pricing_queries, research_queries, sequencing_queries, session_queries, stream_queries, view_queries
+from tidemark.plans import audit_queries, common, comparison_queries, depth_queries, history_queries, market_queries, pricing_queries, research_queries, sequencing_queries, session_queries, stream_queries, view_queries
 
-MODULES = (market_queries, pricing_queries, history_queries, research_queries, audit_queries, sequencing_queries, comparison_queries, session_queries, stream_queries, view_queries)
+MODULES = (market_queries, pricing_queries, history_queries, research_queries, audit_queries, sequencing_queries, comparison_queries, session_queries, stream_queries, view_queries, depth_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import audits, book, sequencing
-from tidemark.operators.asof import asof_join
+from tidemark.operators import audits, book, recovery, sequencing
+from tidemark.operators.asof import asof_join, block_of, running
 from tidemark.plans import common
 from tidemark.plans.audit_queries import IDS, ORDER, _ids
 from tidemark.sources import capture, market
-from tidemark.session import shared_path
+from tidemark.session import settled, shared_path
 
 Q = common.QUOTES
 HOUR, DAY = market.NS_HOUR, market.NS_DAY
@@ -217,7 +217,8 @@ SELECT pair, venue, state, start_ns, lead(start_ns) OVER (PARTITION BY pair, ven
 def book_terminators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates by reason where some quotes are crossed or lack a side, and venues go down and up: every 61st
     event takes its venue's books down, every 67th brings them back, every 97th gives its own book up."""
-    rows = book.sequenced(market.quotes(spark, sf_dir))
+    off = F.when(F.col("event_id") % 37 == 0, -1).when(F.col("event_id") % 41 == 0, 1).otherwise(0)
+    rows = book.sequenced(market.quotes(spark, sf_dir).withColumn("off", off))
     bid = F.when(F.col("event_id") % 23 == 0, F.col("ask") + 1).when(F.col("event_id") % 31 == 0, F.lit(None)).otherwise(F.col("bid"))
     rough = rows.withColumn("bid", bid).withColumn("kind", F.when(F.col("event_id") % 97 == 0, "invalidate").otherwise(F.col("kind")))
     links = rows.where("event_id % 61 = 0 or event_id % 67 = 0").select("venue", "ns", "event_id", F.when(F.col("event_id") % 61 == 0, "down").otherwise("up").alias("kind"))
@@ -225,7 +226,7 @@ def book_terminators(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A venue's link is an event of each of its books, right after the event that it comes from.
     spread = links.join(books, "venue").select("pair", "venue", "ns", (2 * F.col("event_id") + 1).alias("event_id"), "kind", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("bid"), F.lit(None).cast("long").alias("ask"))
     both = rough.select("pair", "venue", "ns", (2 * F.col("event_id")).alias("event_id"), "kind", "seq", "bid", "ask").unionByName(spread)
-    return book.apply_reasons(both, links=True).select((F.col("event_id") / 2).cast("long").alias("event_id"), "pair", "venue", "reason", "accepted")
+    return book.apply_reasons(both, links=True).where(~F.col("kind").isin(book.LINKS)).select((F.col("event_id") / 2).cast("long").alias("event_id"), "pair", "venue", "reason", "accepted")
 
 
 TERMINATORS_SQL = f"""WITH {Q}, sq AS (SELECT *, CASE WHEN event_id % 37 = 0 THEN n - 1 WHEN event_id % 41 = 0 THEN n + 1 ELSE n END AS seq FROM (SELECT *, row_number() OVER (PARTITION BY pair, venue ORDER BY ns, event_id) AS n FROM q)
@@ -238,7 +239,7 @@ TERMINATORS_SQL = f"""WITH {Q}, sq AS (SELECT *, CASE WHEN event_id % 37 = 0 THE
 ), tp AS (SELECT *, max(CASE WHEN NOT cut THEN seq END) OVER (PARTITION BY pair, venue, chain ORDER BY ns, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ch
 ), dd AS (SELECT *, coalesce(bool_or(NOT cut AND kind = 'delta' AND (seq > top + 1 OR (seq = top + 1 AND crossed))) OVER (PARTITION BY pair, venue, chain ORDER BY ns, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS dead FROM tp
 ), rs AS (SELECT *, CASE WHEN cut THEN 'disconnected' WHEN kind = 'reset' THEN 'adapter_reset' WHEN kind = 'invalidate' THEN 'invalidated' WHEN kind = 'snapshot' AND hollow THEN 'snapshot_incomplete' WHEN kind = 'snapshot' AND crossed THEN 'snapshot_crossed' WHEN kind = 'snapshot' THEN 'ok'
-    WHEN head IS NULL OR head.k <> 'snapshot' OR head.bad OR dead THEN 'book_stale' WHEN seq <= top THEN 'out_of_order' WHEN seq > top + 1 THEN 'sequence_gap' WHEN crossed THEN 'crossed_book' ELSE 'ok' END AS reason FROM dd)
+    WHEN head IS NULL OR head.k <> 'snapshot' OR head.bad OR dead THEN 'book_stale' WHEN seq <= top THEN 'out_of_order' WHEN seq > top + 1 THEN 'sequence_gap' WHEN crossed THEN 'crossed_book' WHEN hollow THEN 'book_incomplete' ELSE 'ok' END AS reason FROM dd)
 SELECT id // 2 AS event_id, pair, venue, reason, reason IN ('ok', 'adapter_reset') AS accepted FROM rs WHERE kind NOT IN ('down', 'up')"""
 
 
@@ -291,7 +292,47 @@ def capture_frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRAME_COUNTS_SQL = f"WITH {FRAMES} SELECT kind, count(*) AS attempted, count(*) FILTER (event_id % 53 <> 0 AND event_id % 59 <> 0) AS accepted, count(*) FILTER (event_id % 53 = 0) AS queue_full, count(*) FILTER (event_id % 53 <> 0 AND event_id % 59 = 0) AS writer_closed FROM fr GROUP BY kind"
 
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes as frames of a connection: every 97th takes its book's link down and every 89th brings it up; of snapshots
+    asked for, every 5th has no answer and every 3rd is older than the last update; every 11th update skips an id, as does one after a reset."""
+    rows = market.quotes(spark, sf_dir).withColumn("block", block_of(F.col("ns"), market.NS_DAY))
+    n = F.col("event_id")
+    update = F.col("kind") != "snapshot"
+    rows = running(rows, book.BOOK, book.ORDER, {"heard": ("sum", F.when(update, 1), True)})
+    heard = F.coalesce("heard", F.lit(0))
+    # An update covers [first, its number]; the one before it ended at its number - 1.
+    first = heard + F.when((n % 11 == 0) | (F.col("kind") == "reset"), 1).otherwise(0)
+    answer = heard - F.when(n % 3 == 2, 1).otherwise(0)
+    frame = F.when(n % 97 == 0, "down").when(n % 89 == 0, "up").when(update, F.when(first > heard, "gap").otherwise("update"))
+    frame = frame.when(n % 5 == 4, "failed").when(answer < heard, "stale").otherwise("snapshot")
+    return settled(rows.select("pair", "venue", "ns", "event_id", "block", frame.alias("frame")), "frames")
+
+
+def replay_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each frame: applied, buffered, skipped, a resync, a retry, or a reconnect."""
+    return recovery.replay(_frames(spark, sf_dir))
+
+
+RECOVERY_SQL = f"""WITH RECURSIVE {Q}, fr AS (
+  SELECT pair, venue, ns, event_id, row_number() OVER (PARTITION BY pair, venue ORDER BY ns, event_id) AS n, CASE WHEN event_id % 97 = 0 THEN 'down' WHEN event_id % 89 = 0 THEN 'up'
+    WHEN kind <> 'snapshot' THEN CASE WHEN event_id % 11 = 0 OR kind = 'reset' THEN 'gap' ELSE 'update' END WHEN event_id % 5 = 4 THEN 'failed' WHEN event_id % 3 = 2 THEN 'stale' ELSE 'snapshot' END AS frame FROM q
+), st AS (
+  SELECT pair, venue, 0::BIGINT AS n, 0::BIGINT AS ns, 0::BIGINT AS event_id, '' AS frame, '' AS outcome, 'waiting' AS mode, 1 AS attempt, 0 AS resyncs FROM (SELECT DISTINCT pair, venue FROM q)
+  UNION ALL
+  SELECT f.pair, f.venue, f.n, f.ns, f.event_id, f.frame,
+    CASE WHEN f.frame = 'up' THEN 'connected' WHEN f.frame = 'down' THEN 'disconnected' WHEN mode = 'down' THEN 'skipped'
+      WHEN mode = 'aligned' THEN CASE f.frame WHEN 'gap' THEN CASE WHEN resyncs < {recovery.RESYNCS} THEN 'resync' ELSE 'reconnect' END WHEN 'update' THEN 'applied' ELSE 'unasked' END
+      WHEN f.frame IN ('update', 'gap') THEN 'buffered' WHEN f.frame = 'snapshot' THEN 'aligned' WHEN attempt < {recovery.ATTEMPTS} THEN 'retry' ELSE 'reconnect' END,
+    CASE WHEN f.frame = 'up' THEN 'waiting' WHEN f.frame = 'down' OR mode = 'down' THEN 'down' WHEN mode = 'aligned' THEN CASE WHEN f.frame <> 'gap' THEN 'aligned' WHEN resyncs < {recovery.RESYNCS} THEN 'waiting' ELSE 'down' END
+      WHEN f.frame = 'snapshot' THEN 'aligned' WHEN f.frame IN ('stale', 'failed') AND attempt >= {recovery.ATTEMPTS} THEN 'down' ELSE 'waiting' END,
+    CASE WHEN f.frame = 'up' OR (mode = 'aligned' AND f.frame = 'gap') THEN 1 WHEN mode = 'waiting' AND f.frame IN ('stale', 'failed') THEN attempt + 1 WHEN mode = 'waiting' THEN attempt ELSE 0 END,
+    CASE WHEN f.frame IN ('up', 'down') OR mode = 'down' OR (mode = 'aligned' AND f.frame = 'gap' AND resyncs >= {recovery.RESYNCS}) OR (mode = 'waiting' AND f.frame IN ('stale', 'failed') AND attempt >= {recovery.ATTEMPTS}) THEN 0
+      WHEN mode = 'aligned' AND f.frame = 'gap' THEN resyncs + 1 ELSE resyncs END
+  FROM st JOIN fr f ON f.pair = st.pair AND f.venue = st.venue AND f.n = st.n + 1
+) SELECT event_id, pair, venue, ns, frame, outcome, CASE WHEN mode = 'waiting' THEN 'waiting:' || attempt ELSE mode END AS state, resyncs FROM st WHERE n > 0"""
+
 QUERIES = {
+    "replay_recovery": (replay_recovery, RECOVERY_SQL),
     "sequencing_apply": (sequencing_apply, APPLY_SQL),
     "resync_requests": (resync_requests, REQUESTS_SQL),
     "sequencing_align": (sequencing_align, ALIGN_SQL),

@@ -11,14 +11,13 @@ from tidemark.sources import market
 from tidemark.streaming import books, episodes
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return market.quotes_of(raw)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def stream_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return books.run_to_table(books.trusted(_stream(spark, sf_dir)), spark, "stream-books")
+    return books.run_to_table(books.trusted(market.feed_of(_events(spark, sf_dir))), spark, "stream-books")
 
 
 BOOKS_SQL = f"WITH {common.TRUSTED} SELECT event_id, pair, venue, ns, trusted FROM tr"
@@ -26,22 +25,22 @@ BOOKS_SQL = f"WITH {common.TRUSTED} SELECT event_id, pair, venue, ns, trusted FR
 
 def stream_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_apply_reasons as a keyed stream."""
-    off = F.when(F.col("event_id") % 37 == 0, -1).when(F.col("event_id") % 41 == 0, 1).otherwise(0).cast("long")
-    return books.run_to_table(books.reasons(_stream(spark, sf_dir).withColumn("off", off)), spark, "stream-reasons")
+    rows = books.reasons(market.feed_of(_events(spark, sf_dir))).where(~F.col("reason").isin("link_down", "link_up"))
+    return books.run_to_table(rows.drop("ns"), spark, "stream-reasons")
 
 
 def stream_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed episodes as a keyed stream; a lapse shows once its pair has a later event."""
-    found = episodes.closed_episodes(_stream(spark, sf_dir), market.VENUES, common.MAX_AGE, common.THRESHOLD)
+    found = episodes.closed_episodes(market.feed_of(_events(spark, sf_dir)), market.VENUES, common.MAX_AGE, common.THRESHOLD)
     return books.run_to_table(found, spark, "stream-episodes")
 
 
 EPISODES_SQL = f"""WITH {common.EPISODES} SELECT id, pair, buy, sell, start_ns, end_ns, close_reason, open_spread, peak_ns, peak_spread, close_spread FROM ep
-WHERE close_reason IS NOT NULL AND end_ns <= (SELECT max(ns) FROM q WHERE q.pair = ep.pair)"""
+WHERE close_reason IS NOT NULL AND end_ns <= (SELECT max(ns) FROM sent WHERE sent.pair = ep.pair)"""
 
 
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return books.rollup_to_table(_stream(spark, sf_dir), spark, market.NS_HOUR, "stream-rollup")
+    return books.rollup_to_table(market.quotes_of(_events(spark, sf_dir)), spark, market.NS_HOUR, "stream-rollup")
 
 
 ROLLUP_SQL = f"WITH {common.QUOTES} SELECT ns // {market.NS_HOUR} * {market.NS_HOUR} AS bucket_ns, kind, count(*) AS n FROM q GROUP BY ALL"
@@ -49,7 +48,7 @@ ROLLUP_SQL = f"WITH {common.QUOTES} SELECT ns // {market.NS_HOUR} * {market.NS_H
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that the watermark has closed: those that end an hour or more before the last event."""
-    return books.run_to_table(books.minute_counts(_stream(spark, sf_dir)), spark, "stream-windows")
+    return books.run_to_table(books.minute_counts(market.quotes_of(_events(spark, sf_dir))), spark, "stream-windows")
 
 
 WINDOWS_SQL = f"""WITH {common.QUOTES} SELECT ns // {market.NS_HOUR} * 3600000000 AS start_us, pair, count(*) AS n FROM q

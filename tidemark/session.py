@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,33 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_derived: dict[tuple, DataFrame] = {}
+
+
+def derived(source: DataFrame, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that follows from `source`'s files, written at its first use in this application and read from then
+    on; files of another name, size or time make another."""
+    spark = source.sparkSession
+    key = spark.sparkContext.applicationId, name, *stamps(source)
+    if key not in _derived:
+        path = shared_path(spark, name)
+        df = make()
+        df.write.parquet(path)
+        _derived[key] = spark.read.schema(df.schema).parquet(path)
+    return _derived[key]
+
+
+def stamps(source: DataFrame) -> list[tuple[str, int, int]]:
+    """(name, size, time) of each input file, from the file system's listing; no row is read."""
+    spark = source.sparkSession
+    conf, out = spark._jsc.hadoopConfiguration(), []
+    for name in source.inputFiles():
+        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = at.getFileSystem(conf).getFileStatus(at)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return sorted(out)
+
+
 def sweep(spark: SparkSession) -> None:
     """Remove all tables of `settled`, when no result that reads them is needed any more."""
     while _settled:

@@ -52,6 +52,30 @@ def quotes_of(events: DataFrame) -> DataFrame:
     )
 
 
+#: The pairs of the derived quotes.
+PAIRS = tuple(f"P{k}-{'EUR' if k % 3 == 0 else 'USD'}" for k in range(9))
+
+
+def feed_of(events: DataFrame) -> DataFrame:
+    """Quotes as a venue sends them, with what goes wrong, of a table or stream of events: every 59th lacks its bid,
+    every 53rd is crossed, every 37th repeats a number and every 41st skips one (`off`). Every 401st takes its venue's
+    link down and every 43rd brings it back, each as a row for every pair, one nanosecond later."""
+    n = F.col("event_id")
+    rough = quotes_of(events).withColumns(
+        {
+            "off": F.when(n % 37 == 0, -1).when(n % 41 == 0, 1).otherwise(0).cast("long"),
+            "ask": F.when(n % 53 == 0, F.col("bid") - 1).otherwise(F.col("ask")),
+            "bid": F.when(n % 59 == 0, F.lit(None)).otherwise(F.col("bid")),
+        }
+    )
+    kind = F.when(n % 401 == 0, "down").when(n % 43 == 0, "up")
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("bid", "ask", "bid_size", "ask_size", "off")]
+    own = F.struct("pair", "ns", "kind", "bid", "ask", "bid_size", "ask_size", "off")
+    link = [F.struct(F.lit(p).alias("pair"), (F.col("ns") + 1).alias("ns"), kind.alias("kind"), *nothing) for p in PAIRS]
+    rows = F.when(kind.isNotNull(), F.array(own, *link)).otherwise(F.array(own))
+    return rough.select("event_id", "venue", F.explode(rows).alias("r")).select("event_id", "r.pair", "venue", *[f"r.{c}" for c in ("ns", "kind", "bid", "ask", "bid_size", "ask_size", "off")])
+
+
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair, venue, side, price, size, ns, seq): level updates in the order of (ns, seq); size 0 deletes."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("long") % 200

@@ -15,69 +15,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.book import LINKS
 from tidemark.session import shared_path
 
-TRUSTED = "event_id long, pair string, venue string, ns long, trusted boolean"
+REASONS = "event_id long, pair string, venue string, ns long, seq long, chain long, reason string, accepted boolean"
+_CHAIN = "n long, chain long, kind string, bad boolean, top long, dead boolean, cut boolean"
+#: Below every sequence number; what is held of a book before its first row.
+NONE = -(2**62)
+EMPTY = (0, 0, "none", False, NONE, False, False)
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["ns", "event_id"], kind="stable")
-    last = rows["kind"].where(rows["kind"] != "delta").ffill()
-    trusted = (last == "snapshot").where(last.notna(), state.get[0] if state.exists else False).astype(bool)
-    state.update((bool(trusted.iloc[-1]),))
-    yield pd.DataFrame({"event_id": rows["event_id"], "pair": key[0], "venue": key[1], "ns": rows["ns"], "trusted": trusted})
-
-
-REASONS = "event_id long, pair string, venue string, seq long, chain long, reason string, accepted boolean"
-_CHAIN = "n long, chain long, kind string, bad boolean, top long, dead boolean"
-#: Below every sequence number.
-_NONE = -(2**62)
-
-
-def _accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["ns", "event_id"], kind="stable")
-    n, chain, head, bad, top, dead = state.get if state.exists else (0, 0, "none", False, _NONE, False)
+def accept(rows: pd.DataFrame, held: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """(reasons, sequence numbers, chains, what is held after) of one book's rows in event order: (kind, bid, ask,
+    off). held: (n, chain, kind, bad, top, dead, cut), at first `EMPTY`."""
+    n, chain, head, bad, top, dead, cut = held
     kind, crossed = rows["kind"].to_numpy(), (rows["bid"] >= rows["ask"]).to_numpy()
     hollow = (rows["bid"].isna() | rows["ask"].isna()).to_numpy()
-    seq = n + 1 + np.arange(len(rows)) + rows["off"].to_numpy()
-    marks = np.flatnonzero(kind != "delta")
+    link = np.isin(kind, LINKS)
+    last = pd.Series(np.where(link, kind, None)).ffill().to_numpy()
+    down = np.where(pd.isna(last), cut, last == "down") & (kind != "down")
+    seq = n + np.cumsum(~link) + rows["off"].fillna(0).to_numpy(dtype=np.int64)
+    marks = np.flatnonzero((kind != "delta") & ~down)
     reasons, chains = np.empty(len(rows), object), np.empty(len(rows), np.int64)
-    # One stretch for each chain in the batch; the first one goes on with the state's.
+    # One stretch for each chain in the batch; the first one goes on with what is held.
     for a, b in zip([0, *marks], [*marks, len(rows)], strict=True):
-        if a < b and kind[a] != "delta":
-            chain, head, bad, top, dead = chain + 1, kind[a], bool(crossed[a] | hollow[a]), _NONE, False
+        if a < b and kind[a] != "delta" and not down[a]:
+            chain, head, bad, top, dead = chain + 1, kind[a], bool(crossed[a] | hollow[a]), NONE, False
         if a == b:
             continue
-        own, delta = seq[a:b], kind[a:b] == "delta"
+        own, delta = np.where(down[a:b] | link[a:b], NONE, seq[a:b]), (kind[a:b] == "delta") & ~down[a:b]
         before = np.concatenate(([top], np.maximum(np.maximum.accumulate(own), top)[:-1]))
-        known = before > _NONE
+        known = before > NONE
         gap, fresh = delta & known & (own > before + 1), delta & known & (own == before + 1)
         ends = gap | (fresh & crossed[a:b])
         over = np.concatenate(([dead], np.logical_or.accumulate(ends)[:-1] | dead))
         lost = over | (head != "snapshot") | bad
-        late = known & (own <= before)
+        snapshot = kind[a:b] == "snapshot"
         reasons[a:b] = np.select(
-            [kind[a:b] == "reset", (kind[a:b] == "snapshot") & hollow[a:b], (kind[a:b] == "snapshot") & crossed[a:b], kind[a:b] == "snapshot", lost, late, gap, crossed[a:b]],
-            ["adapter_reset", "snapshot_incomplete", "snapshot_crossed", "ok", "book_stale", "out_of_order", "sequence_gap", "crossed_book"],
+            [kind[a:b] == "down", kind[a:b] == "up", down[a:b], kind[a:b] == "reset", snapshot & hollow[a:b], snapshot & crossed[a:b], snapshot, lost, known & (own <= before), gap, crossed[a:b], hollow[a:b]],
+            ["link_down", "link_up", "disconnected", "adapter_reset", "snapshot_incomplete", "snapshot_crossed", "ok", "book_stale", "out_of_order", "sequence_gap", "crossed_book", "book_incomplete"],
             "ok",
         )
         chains[a:b] = chain
         top, dead = max(top, int(own.max())), bool(over[-1] | ends[-1])
-    state.update((int(n + len(rows)), int(chain), head, bad, int(top), dead))
-    yield pd.DataFrame({"event_id": rows["event_id"], "pair": key[0], "venue": key[1], "seq": seq, "chain": chains, "reason": reasons, "accepted": np.isin(reasons, ["ok", "adapter_reset"])})
+    cut = bool(last[-1] == "down") if len(last) and not pd.isna(last[-1]) else cut
+    return reasons, seq, chains, (int(n + (~link).sum()), int(chain), head, bad, int(top), dead, cut)
+
+
+def _accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(batches)).sort_values(["ns", "event_id"], kind="stable")
+    found, seq, chains, held = accept(rows, tuple(state.get) if state.exists else EMPTY)
+    state.update(held)
+    out = pd.DataFrame({"event_id": rows["event_id"], "pair": key[0], "venue": key[1], "ns": rows["ns"], "seq": seq, "chain": chains, "reason": found, "accepted": np.isin(found, ["ok", "adapter_reset"])})
+    out["seq"] = out["seq"].astype("Int64").where(~out["reason"].isin(["link_down", "link_up"]))
+    yield out
 
 
-def reasons(quotes: DataFrame) -> DataFrame:
+def reasons(feed: DataFrame) -> DataFrame:
     """A stream of (event_id, pair, venue, ns, kind, bid, ask, off) as REASONS rows, like book.apply_reasons. A
     book's updates are numbered as they come, and `off` moves a number on or back."""
-    own = quotes.select("event_id", "pair", "venue", "ns", "kind", "bid", "ask", "off")
+    own = feed.select("event_id", "pair", "venue", "ns", "kind", "bid", "ask", "off")
     return own.groupBy("pair", "venue").applyInPandasWithState(_accept, REASONS, _CHAIN, "append", GroupStateTimeout.NoTimeout)
 
 
-def trusted(quotes: DataFrame) -> DataFrame:
-    """A stream of (event_id, pair, venue, ns, kind) as TRUSTED rows."""
-    own = quotes.select("event_id", "pair", "venue", "ns", "kind")
-    return own.groupBy("pair", "venue").applyInPandasWithState(_fold, TRUSTED, "trusted boolean", "append", GroupStateTimeout.NoTimeout)
+def trusted(feed: DataFrame) -> DataFrame:
+    """The same as rows (event_id, pair, venue, ns, trusted) of what changed a book, like book.tops_over_time."""
+    rows = reasons(feed).where(~F.col("reason").isin("out_of_order", "disconnected"))
+    return rows.select("event_id", "pair", "venue", "ns", (F.col("reason") == "ok").alias("trusted"))
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:

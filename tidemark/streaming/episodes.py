@@ -17,26 +17,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.routes import UNIT
+from tidemark.streaming.books import EMPTY, accept
 
 CLOSED = "id long, pair string, buy string, sell string, start_ns long, end_ns long, close_reason string, open_spread long, peak_ns long, peak_spread long, close_spread long"
 ABSENT, BELOW, ABOVE = 0, 1, 2
 _TOP = ["ns", "event_id", "trusted", "bid", "ask"]
 
 
-def _tops(rows: pd.DataFrame, venue: str, held: dict | None, max_age: int, end: int) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
-    """(a venue's tops, the held one first; its lapses as (ns, event_id))."""
+def _tops(rows: pd.DataFrame, venue: str, held: dict | None, max_age: int, end: int) -> tuple[pd.DataFrame, list[tuple[int, int]], tuple]:
+    """(what a venue's rows leave of its book, the held one first; its lapses as (ns, event_id); its chain)."""
     own = rows[rows["venue"] == venue]
-    mark = own["kind"].where(own["kind"] != "delta").ffill()
-    before = bool(held["trusted"]) if held else False
-    own = own.assign(trusted=(mark == "snapshot").where(mark.notna(), before).astype(bool))[_TOP]
+    found, _, _, chain = accept(own, tuple(held["chain"]) if held else EMPTY)
+    own = own.assign(trusted=found == "ok")[~np.isin(found, ["out_of_order", "disconnected"])][_TOP]
     seen = bool(held and held["lapsed"])
-    if held:
+    if held and held["ns"] is not None:
         own = pd.concat([pd.DataFrame([{c: held[c] for c in _TOP}]), own], ignore_index=True)
+    own = own.assign(bid=own["bid"].fillna(0).astype(np.int64), ask=own["ask"].fillna(1).astype(np.int64))
     at, following = own["ns"].to_numpy() + max_age + 1, np.append(own["ns"].to_numpy()[1:], np.iinfo(np.int64).max)
     lapse = (following > at) & (at <= end)
-    if held and seen:
+    if held and seen and len(lapse):
         lapse[0] = False
-    return own.reset_index(drop=True), list(zip(at[lapse].tolist(), own["event_id"].to_numpy()[lapse].tolist(), strict=True))
+    return own.reset_index(drop=True), list(zip(at[lapse].tolist(), own["event_id"].to_numpy()[lapse].tolist(), strict=True)), chain
 
 
 def _route(pair: str, route: int, buy: str, sell: str, ns: np.ndarray, ids: np.ndarray, code: np.ndarray, spread: np.ndarray, held: dict | None) -> tuple[list[tuple], dict]:
@@ -67,12 +68,14 @@ def _fold(venues: tuple[str, ...], max_age: int, threshold: int):
         end = int(rows["ns"].max())
         tops, lapses = {}, []
         for v in venues:
-            tops[v], gone = _tops(rows, v, held["tops"].get(v), max_age, end)
+            tops[v], gone, chain = _tops(rows, v, held["tops"].get(v), max_age, end)
             lapses += gone
+            now = dict.fromkeys(_TOP) | {"lapsed": False}
             if len(tops[v]):
                 newest = tops[v].iloc[-1]
-                held["tops"][v] = {c: (bool if c == "trusted" else int)(newest[c]) for c in _TOP} | {"lapsed": bool(newest["ns"] + max_age + 1 <= end)}
-        times = sorted([*zip(rows["ns"].tolist(), rows["event_id"].tolist(), strict=True), *lapses])
+                now = {c: (bool if c == "trusted" else int)(newest[c]) for c in _TOP} | {"lapsed": bool(newest["ns"] + max_age + 1 <= end)}
+            held["tops"][v] = now | {"chain": list(chain)}
+        times = sorted({*zip(rows["ns"].tolist(), rows["event_id"].tolist(), strict=True), *lapses})
         ns, ids = np.array([t for t, _ in times]), np.array([i for _, i in times])
         legs = {}
         for v, own in tops.items():
@@ -97,8 +100,8 @@ def _fold(venues: tuple[str, ...], max_age: int, threshold: int):
     return run
 
 
-def closed_episodes(quotes: DataFrame, venues: tuple[str, ...], max_age: int, threshold: int) -> DataFrame:
-    """A stream of (event_id, pair, venue, ns, kind, bid, ask) as the episodes that close, in CLOSED rows. A lapse
+def closed_episodes(feed: DataFrame, venues: tuple[str, ...], max_age: int, threshold: int) -> DataFrame:
+    """A stream of (event_id, pair, venue, ns, kind, bid, ask, off) as the episodes that close, in CLOSED rows. A lapse
     is noticed once a later row of its pair has come."""
-    own = quotes.select("event_id", "pair", "venue", "ns", "kind", "bid", "ask")
+    own = feed.select("event_id", "pair", "venue", "ns", "kind", "bid", "ask", "off")
     return own.groupBy("pair").applyInPandasWithState(_fold(venues, max_age, threshold), CLOSED, "held string", "append", GroupStateTimeout.NoTimeout)
