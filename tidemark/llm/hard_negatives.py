@@ -152,17 +152,23 @@ def widest(x: np.ndarray) -> np.ndarray:
 
 
 def order_of(x: np.ndarray, leaf: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(order of rows, nodes): a tree of halves over rows put in that order. Node k spans rows nodes[k], its
-    children are 2k + 1 and 2k + 2, and it is a leaf where these are empty."""
+    """(order of rows, nodes): a tree over rows put in that order, each node cut at the widest gap along its widest
+    direction that leaves a quarter on either side. Node k spans rows nodes[k], its children are 2k + 1 and 2k + 2."""
     order = np.arange(len(x))
-    depth = max(0, int(np.ceil(np.log2(max(1, len(x) / leaf)))))
+    depth = max(0, int(np.ceil(np.log2(max(1, len(x) / leaf))))) + (len(x) > leaf)
     nodes = [(0, len(x))]
     for k in range(2**depth - 1):
         a, b = nodes[k]
         half = a + (b - a + 1) // 2
         if b - a > 1:
             own = order[a:b]
-            order[a:b] = own[np.argsort(x[own] @ widest(x[own]), kind="stable")]
+            along = x[own] @ widest(x[own])
+            by = np.argsort(along, kind="stable")
+            order[a:b] = own[by]
+            least = max(1, (b - a) // 4)
+            gaps = np.diff(along[by])[least - 1 : b - a - least]
+            if len(gaps) and gaps.max() > 0:
+                half = a + least + int(np.argmax(gaps))
         nodes += [(a, half), (half, b)]
     return order, nodes
 
