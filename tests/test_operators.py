@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import symbols
 from tidemark.operators import asof, audits, book, episodes, fillrates, history, leadlag, netsignal, pricing, routes, stats
-from tidemark.sources.store import EpisodeStore
 from tidemark.sources import capture, messages
 
 EVENTS = "pair string, venue string, ns long, event_id long, kind string, seq long, bid long, ask long"
@@ -179,24 +178,6 @@ def test_a_page_does_not_see_what_comes_later(spark):
     assert [r.id for r in history.page(later, asked, 30, token)[0].collect()] == list(range(14, -1, -1))
 
 
-def test_store_folds_changes_and_rebuilds_its_rollup(spark, tmp_path):
-    day = 86_400 * 10**9
-    made = EpisodeStore(spark, str(tmp_path / "store"))
-    row = lambda i, start, end, reason, spread: (i, "P-USD", "USD", "a", "b", start, end, reason, spread, 2 * spread)
-    schema = "id long, pair string, quote string, buy string, sell string, start_ns long, end_ns long, close_reason string, peak_spread long, peak_profit long"
-    first = [row(1, 5, None, None, 10), row(2, day + 7, day + 9, "spread_closed", 20), row(3, 2 * day, None, None, 5)]
-    made.flush(spark.createDataFrame(first, schema))
-    second = [row(1, 5, 50, "spread_closed", 30), row(2, day + 7, None, None, 99), row(4, day + 8, None, None, 1)]
-    made.flush(spark.createDataFrame(second, schema))
-    made.flush(spark.createDataFrame([], schema))
-    got = {r.id: (r.end_ns, r.peak_spread) for r in made.episodes().collect()}
-    assert got == {1: (50, 30), 2: (day + 9, 20), 3: (None, 5), 4: (None, 1)}
-    want = {tuple(r) for r in stats.rollup(made.episodes(), 60 * 10**9).collect()}
-    assert {tuple(r) for r in made.rollup().select("bucket_ns", "pair", "quote", "n", "max_spread", "sum_spread", "sum_profit").collect()} == want
-    assert [r.id for r in made.episodes(since=day, until=2 * day).orderBy("id").collect()] == [2, 4]
-    assert "PartitionFilters: [isnotnull(day" in made.episodes(since=day)._jdf.queryExecution().toString()
-
-
 def signal(spark, rows):
     data = [("p", "a", "b", 1, t, t, state, net) for t, state, net in rows]
     return spark.createDataFrame(data, "pair string, buy string, sell string, notional long, ns long, event_id long, state string, net long")

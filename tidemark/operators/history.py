@@ -77,11 +77,14 @@ class Place(NamedTuple):
 _NEWEST_FIRST = ("start_ns", "id")
 
 
-def page(episodes: DataFrame, asked: Search, limit: int, token: str | None = None) -> tuple[DataFrame, str | None]:
-    """(the newest `limit` episodes, token of the next page or None). The first page fixes the greatest id, so
-    that later ones don't see what comes in between. A page is read once, with one row more than it shows."""
+def page(episodes: DataFrame, asked: Search, limit: int, token: str | None = None, newest: int | None = None) -> tuple[DataFrame, str | None]:
+    """(the newest `limit` episodes, token of the next page or None). The first page fixes the greatest id, which a
+    store may know (`newest`), so that later ones don't see what comes in between. A page is read once, with one row
+    more than it shows."""
     rows = asked.where(episodes)
-    if token is None:
+    if token is None and newest is not None:
+        rows = rows.withColumn("_newest", F.lit(newest).cast("long"))
+    elif token is None:
         rows = rows.crossJoin(F.broadcast(episodes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_newest"))))
     else:
         after = Place.of(token, asked)

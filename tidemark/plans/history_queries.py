@@ -101,15 +101,17 @@ _WHERE = "pair = 'P4-USD' AND close_reason = 'spread_closed'"
 
 
 def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.page(common.episode_store(spark, sf_dir).episodes(), _ASKED, 25)[0].select(*_COLUMNS)
+    store = common.episode_store(spark, sf_dir)
+    return history.page(store.episodes(), _ASKED, 25, newest=store.newest())[0].select(*_COLUMNS)
 
 
 PAGE_SQL = f"WITH {E} SELECT {', '.join(_COLUMNS)} FROM ep WHERE {_WHERE} ORDER BY start_ns DESC, id DESC LIMIT 25"
 
 
 def history_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = common.episode_store(spark, sf_dir).episodes()
-    _, token = history.page(found, _ASKED, 25)
+    store = common.episode_store(spark, sf_dir)
+    found = store.episodes()
+    _, token = history.page(found, _ASKED, 25, newest=store.newest())
     return (history.page(found, _ASKED, 25, token)[0] if token else found.limit(0)).select(*_COLUMNS)
 
 
