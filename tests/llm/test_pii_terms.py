@@ -68,3 +68,35 @@ def test_pieces_of_overlapping_spans_and_long_texts(spark):
     ends = [0, *[s.end for s in r.spans]]
     assert [p.piece for p in r.pieces] == [text[max(ends[: k + 1]) : max(max(ends[: k + 1]), r.spans[k].start) if k < len(r.spans) else len(text)] for k in range(len(r.pieces))]
     assert pii.sanitise(spark.createDataFrame([(1, text)], SCHEMA)).first().text.endswith("é[EMAIL]")
+
+
+def brute_windows(text):
+    """(left, right) of each span: the nearest characters outside spans, each span between as a line's end."""
+    spans, pieces, at = [], [], 0
+    for m in re.finditer(r"[a-z0-9]+@[a-z]+(?:\.[a-z]+)+|(?<![0-9])[0-9]+(?:\.[0-9]+){3}", text):
+        pieces.append(text[at : m.start()])
+        spans.append(m[0])
+        at = m.end()
+    pieces.append(text[at:])
+    n = pii.WINDOW_CHARS
+    return [(s, "\n".join(pieces[: i + 1])[-n:], "\n".join(pieces[i + 1 :])[:n]) for i, s in enumerate(spans)]
+
+
+def test_windows_reach_over_any_number_of_spans(spark):
+    rng = random.Random(11)
+    texts = [f"Zorblatt {' '.join('10.0.0.%d' % i for i in range(n))} ann@home.org {prose(rng, 40)}" for n in (0, 1, 10, 20, 60, 130)]
+    for _ in range(30):
+        texts.append(" ".join(rng.choice(["w%d" % rng.randrange(99), "u%d@home.org" % rng.randrange(5), "10.0.0.%d" % rng.randrange(9), "x" * rng.randrange(1, 150)]) for _ in range(rng.randrange(1, 60))))
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    rows = df.select("doc_id", "text", pii.base_spans(F.col("text")).alias("spans"))
+    got = pii._windows(pii.with_pieces(rows, ["doc_id"])).groupBy("entity", "term").count().collect()
+    want = {}
+    for t in texts:
+        for span, left, right in brute_windows(t):
+            left = left if len(left) < pii.WINDOW_CHARS else re.sub(f"^{pii.TERM}", "", left)
+            right = right if len(right) < pii.WINDOW_CHARS else re.sub(f"{pii.TERM}$", "", right)
+            for term in re.findall(pii.TERM, f"{left}\n{right}".lower()):
+                want[span, term] = want.get((span, term), 0) + 1
+    assert sorted(r["count"] for r in got) == sorted(want.values())
+    # Up to sixty addresses between take 60 of the 120 characters and their spaces the rest.
+    assert want["ann@home.org", "zorblatt"] == 4

@@ -129,12 +129,45 @@ def test_lm_probabilities_of_all_words_sum_to_one(spark):
                 assert sum((tf[w] + 0.1) for w in own) + 0.1 == pytest.approx(classes.counts[c] + 0.1 * (classes.distinct[c] + 1))
 
 
-def test_lm_scores_hardly_depend_on_how_rows_are_split(spark):
+def test_lm_scores_do_not_depend_on_how_rows_are_split(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, 60, 400)) for i in range(300)]
-    one, many = (lm_scoring.score(table(spark, rows).repartition(n), words=6, endings=2, dim=8).collect() for n in (2, 7))
-    a, b = ({r.doc_id: r.score / r.n_tokens for r in x} for x in (one, many))
-    assert max(abs(a[i] - b[i]) for i in a) < 0.1
+    runs = [lm_scoring.score(table(spark, rows).repartition(n), words=6, endings=2, dim=8, group=2000).collect() for n in (1, 8, 32)]
+    first, *others = ({r.doc_id: r.score for r in x} for x in runs)
+    assert all(x[i] == pytest.approx(first[i], rel=1e-9) for x in others for i in first)
+
+
+def test_lm_shares_are_all_occurrences_dealt_evenly(spark):
+    counts = [(7, 100_001), (8, 1), (9, 8), (10, 9), *[(20 + i, 1 + i % 30) for i in range(500)]]
+    got = lm_scoring.shares_of(spark.createDataFrame(counts, "code long, c long"), group=900).collect()
+    sums, sizes = Counter(), []
+    for r in got:
+        code, n, w = np.frombuffer(r.code, "<i8"), np.frombuffer(r.shares, "<i8"), np.frombuffer(r.weight)
+        assert (w <= lm_scoring.TOGETHER).all() and (np.diff(code) > 0).all()
+        sizes.append(n.sum())
+        for c, x in zip(code.tolist(), (n * w).tolist()):
+            sums[c] += x
+    assert {c: round(x, 6) for c, x in sums.items()} == dict(counts)
+    assert len(got) == -(-sum(-(-c // lm_scoring.TOGETHER) for _, c in counts) // 900) and max(sizes) < 1.1 * min(sizes)
+
+
+def test_lm_learns_more_from_more_data(spark):
+    rng = np.random.default_rng(1)
+    follow = rng.integers(0, 60, (60, 60, 2))
+
+    def text():
+        own = [int(x) for x in rng.integers(0, 60, 2)]
+        for _ in range(80):
+            own.append(int(follow[own[-2], own[-1]][rng.integers(2)]))
+        return " ".join(f"x{w}" for w in own)
+
+    rows = [(i, text()) for i in range(1600)]
+    held = table(spark, rows[:100])
+    means = []
+    for n in (50, 300, 1500):
+        got = lm_scoring.score(held, table(spark, rows[100 : 100 + n]), words=30, endings=2, dim=16, group=20_000)
+        means.append(got.agg(F.sum("score") / F.sum("n_tokens")).first()[0])
+    assert means[0] + 0.01 < means[1] < means[2] - 0.01
 
 
 def test_lm_without_training_rows(spark, docs):

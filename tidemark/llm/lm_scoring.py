@@ -5,10 +5,14 @@ frequent words are classes of their own, all others fall into the class of their
 frequent have one each. The numbers of both kinds grow with the cube root of the vocabulary, so that the
 tables of pairs of classes stay small beside it. Within the class of an ending a word has its smoothed share
 of the count, and the end of a text is a class of its own. The log-bilinear model predicts the class's vector
-from the two preceding classes' vectors, each through a matrix. Every partition of the corpus trains it over
-its own training words, with noise words drawn from the unigram distribution in place of a normaliser, and
-the partitions' parameters are averaged, weighted by their words, through a tree of groups; some rounds of
-this cover all documents. How the input is split thus moves the scores a little.
+from the two preceding classes' vectors, each through a matrix.
+
+What is learnt from are the counts of all (class, class, class) triples of the corpus, summed over all documents. A
+triple's occurrences are cut into shares of at most `TOGETHER`, and shares are dealt out evenly over groups of about
+`GROUP` shares, so a group is a fair part of the corpus and their number follows from the corpus alone. Every group
+trains the model over its shares, with noise words drawn from the unigram distribution in place of a normaliser, and
+the groups' parameters are averaged, weighted by their occurrences, through a tree; some rounds of this cover all
+documents each. How the input is split over files or tasks moves nothing: the groups hold the same shares in the same order.
 
 Scores are normalised exactly. Matrix products give the score of each class after each preceding class at
 either distance; the normalisers of all pairs of preceding classes are one more product of the two tables'
@@ -34,12 +38,12 @@ from .common import binary_array, binary_parts, crc_text, materialize, row_key,
 DIM, NOISE, ROUNDS = 24, 32, 2
 #: Classes of single words, and of endings, for each cube root of the vocabulary.
 WORD_CLASSES, ENDING_CLASSES = 5, 2
-#: Words that a partition takes together when it counts or trains.
+#: Words that a task takes together when it counts.
 CHUNK_WORDS = 2_000_000
 BATCH = 2048
-#: Occurrences of one context and word that a step takes together; more are spread over further steps, so
-#: that the most frequent ones don't fill the batches they are in.
-TOGETHER = 8
+#: Occurrences of one triple that a step takes together; more are spread over further steps and groups, so that
+#: the most frequent ones don't fill the batches they are in. Shares of one group.
+TOGETHER, GROUP = 8, 1_000_000
 #: Stands for the end of a text among word hashes.
 END = 0
 #: Parameters in one row of the averaging, and groups in which the first level averages.
@@ -208,35 +212,67 @@ def _scatter(size: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _train(classes: Classes, params: np.ndarray | None, dim: int, noise: int, round_: int):
+def _triples(classes: Classes):
+    """Texts to (code, c): their triples (before2, before, word), coded as one number, with their counts."""
+    m = classes.size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rng, m = LogBilinear(classes.unigram(), dim, params), np.random.default_rng(100 + round_), classes.size
         held: list[np.ndarray] = []
-        size, total, mark = 0, 0, 0
+        size = 0
 
-        def learn() -> None:
+        def counted() -> pa.RecordBatch:
             codes, counts = np.unique(np.concatenate(held), return_counts=True)
-            shares = -(-counts // TOGETHER)
-            model.train(np.repeat(codes, shares), np.repeat(counts / shares, shares), rng, noise)
+            return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], names=["code", "c"])
 
         for part in slices(batches):
             w, i1, i2, _ = _tokens(part, 0, classes)
             held.append((i2 * m + i1) * m + w)
-            size, total = size + len(w), total + len(w)
-            mark ^= hash((len(w), int(held[-1].sum()) & 0xFFFFFFFF))
+            size += len(w)
             if size > CHUNK_WORDS:
-                learn()
+                yield counted()
                 held, size = [], 0
         if held:
-            learn()
-        if total:
-            learnt = model.params.astype(np.float64)
-            blocks = [learnt[a : a + BLOCK] for a in range(0, len(learnt), BLOCK)]
-            n = len(blocks)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(n), pa.int32()), pa.array([mark % SALTS] * n, pa.int32()), pa.array([float(total)] * n), binary_array([b.tobytes() for b in blocks])],
-                names=["block", "salt", "weight", "params"],
-            )
+            yield counted()
+
+    return run
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """One group's shares (code, shares, weight) as arrays in the order of their codes."""
+    code, shares, weight = (table.column(c).to_numpy() for c in ("code", "shares", "weight"))
+    order = np.argsort(code, kind="stable")
+    parts = [x[order].astype(t).tobytes() for x, t in ((code, "<i8"), (shares, "<i8"), (weight, "<f8"))]
+    return pa.table([table.slice(0, 1).column("grp"), *[binary_array([p]) for p in parts]], names=["grp", "code", "shares", "weight"])
+
+
+def shares_of(triples: DataFrame, group: int = GROUP) -> DataFrame:
+    """(grp, code, shares, weight as arrays) of triples (code, c): the shares of each group, written."""
+    n = F.ceil(F.col("c") / TOGETHER)
+    groups = max(1, -(-(triples.agg(F.sum(n)).first()[0] or 0) // group))
+    dealt = triples.withColumn("n", n).select("code", "c", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(groups)) - 1)).alias("j"))
+    dealt = dealt.select(
+        F.pmod(F.xxhash64("code") + F.col("j"), F.lit(groups)).alias("grp"), "code", (F.floor((F.col("n") - F.col("j") - 1) / groups) + 1).cast("long").alias("shares"), (F.col("c") / F.col("n")).alias("weight")
+    )
+    return materialize(dealt.groupBy("grp").applyInArrow(_packed, "grp long, code binary, shares binary, weight binary"), "lm-shares")
+
+
+def _train(classes: Classes, params: np.ndarray | None, dim: int, noise: int, round_: int):
+    """Groups of `shares_of` to their parameters after a pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                grp = batch.column(0)[i].as_py()
+                code, shares, weight = (np.frombuffer(batch.column(k)[i].as_py(), t) for k, t in ((1, "<i8"), (2, "<i8"), (3, "<f8")))
+                model, rng = LogBilinear(classes.unigram(), dim, params), np.random.default_rng([100 + round_, grp])
+                model.train(np.repeat(code, shares), np.repeat(weight, shares), rng, noise)
+                learnt = model.params.astype(np.float64)
+                blocks = [learnt[a : a + BLOCK] for a in range(0, len(learnt), BLOCK)]
+                n = len(blocks)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(n), pa.int32()), pa.array([grp % SALTS] * n, pa.int32()), pa.array([float((shares * weight).sum())] * n), binary_array([b.tobytes() for b in blocks])],
+                    names=["block", "salt", "weight", "params"],
+                )
 
     return run
 
@@ -269,11 +305,12 @@ def classes_of(counts: DataFrame, words: int = WORD_CLASSES, endings: int = ENDI
     return Classes(np.array([h for h, _ in top], np.uint64), np.array([e for e, *_ in kinds], np.int64), np.array(c, np.int64), np.array(n, np.int64))
 
 
-def fit(training: DataFrame, classes: Classes, dim: int = DIM, noise: int = NOISE, rounds: int = ROUNDS) -> np.ndarray | None:
+def fit(training: DataFrame, classes: Classes, dim: int = DIM, noise: int = NOISE, rounds: int = ROUNDS, group: int = GROUP) -> np.ndarray | None:
     """Parameters of the model, from all training texts. training: (text as binary)."""
-    params = None
+    triples = training.mapInArrow(_triples(classes), "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    shares, params = shares_of(materialize(triples, "lm-triples"), group), None
     for k in range(rounds):
-        rows = training.mapInArrow(_train(classes, params, dim, noise, k), _PARAMS)
+        rows = shares.mapInArrow(_train(classes, params, dim, noise, k), _PARAMS)
         for keys in (("block", "salt"), ("block",)):
             rows = rows.groupBy(*keys).applyInArrow(_mean, _PARAMS)
         blocks = rows.orderBy("block").collect()
@@ -326,7 +363,7 @@ def _score(classes: Classes, params: np.ndarray | None, dim: int):
     return run
 
 
-def score(docs: DataFrame, training: DataFrame | None = None, words: int = WORD_CLASSES, endings: int = ENDING_CLASSES, dim: int = DIM, noise: int = NOISE, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame | None = None, words: int = WORD_CLASSES, endings: int = ENDING_CLASSES, dim: int = DIM, noise: int = NOISE, rounds: int = ROUNDS, group: int = GROUP) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
     base_score sums log10((c + 0.1) / (N + 0.1 (V + 1))) over tokens, score is the model's log10
@@ -335,7 +372,7 @@ def score(docs: DataFrame, training: DataFrame | None = None, words: int = WORD_
     taught = texts(docs if training is None else training)
     counts = materialize(taught.mapInArrow(_count, "h long, e int, c long").groupBy("h").agg(F.min("e").alias("e"), F.sum("c").alias("c")), "lm-counts")
     classes = classes_of(counts, words, endings)
-    params = fit(taught, classes, dim, noise, rounds)
+    params = fit(taught, classes, dim, noise, rounds, group)
 
     key = row_key(F.col("doc_id"), F.col("text")).alias("key")
     rare = texts(docs, key).mapInArrow(_rare(classes), "key binary, h long, tf int, copies int")

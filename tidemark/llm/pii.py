@@ -15,8 +15,8 @@ pieces, so the work grows with the length of a text and the number of its spans,
 
 Defined cases: a null text counts as empty and has no spans. Repeated rows each get their row. An empty
 table gives no rows. Other columns are ignored, whatever their names. A longest match that fails its test
-(range, digits, Luhn) is dropped and not searched again. A window reaches over at most `NEIGHBOURS` spans to
-either side; a term that touches a span is cut at it.
+(range, digits, Luhn) is dropped and not searched again. A window is the nearest `WINDOW_CHARS` characters on either
+side that lie outside spans, over however many spans; each span between counts as one character, at which terms end.
 """
 
 from __future__ import annotations
@@ -43,8 +43,8 @@ KINDS = [
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 CLASSES = [("[NUMBER]", r"^[0-9]+\z"), ("[CODE]", r"[0-9]"), ("[NAME]", r"^\p{Lu}"), ("[WORD]", "")]
 
-#: Characters on each side of an entity whose words count as its window, and spans that it may reach over.
-WINDOW_CHARS, NEIGHBOURS = 120, 16
+#: Characters outside spans on each side of an entity whose words count as its window.
+WINDOW_CHARS = 120
 #: Share of an entity's information content at which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.75, 0.9
 #: Different contexts in which a term must stand beside an entity before it counts as evidence.
@@ -168,7 +168,7 @@ def _windows(rows: DataFrame) -> DataFrame:
     head = F.transform("pieces", lambda p: F.substring(p["piece"], F.lit(1), F.lit(WINDOW_CHARS)))
     tail = F.transform("pieces", lambda p: F.substring(p["piece"], F.greatest(F.length(p["piece"]) - WINDOW_CHARS, F.lit(0)) + 1, F.lit(WINDOW_CHARS)))
     rows = once(rows.where(F.size("spans") > 0), ["pieces"], heads=head, tails=tail)
-    reach = NEIGHBOURS + 1
+    reach = WINDOW_CHARS + 1  # each piece comes with a character of its own, so further ones are out of the window
 
     def sides(p: Column, i: Column) -> Column:
         left = F.array_join(F.slice("tails", F.greatest(i + 2 - reach, F.lit(1)), F.least(i + 1, F.lit(reach))), "\n")
