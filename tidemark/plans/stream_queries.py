@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from tidemark.plans import common, market_queries
 from tidemark.session import table
 from tidemark.sources import market
-from tidemark.streaming import books, episodes
+from tidemark.streaming import books, episodes, levels
+
+
+#: Bytes of input that one micro-batch takes.
+BATCH_BYTES = 256 << 20
+
+
+def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return _source(spark, sf_dir, "events")
 
 
 def stream_books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +47,28 @@ EPISODES_SQL = f"""WITH {common.EPISODES} SELECT id, pair, buy, sell, start_ns,
 WHERE close_reason IS NOT NULL AND end_ns <= (SELECT max(ns) FROM sent WHERE sent.pair = ep.pair)"""
 
 
+LATE_MS = 3_600_000
+
+
+def stream_lapses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed episodes as a stream with timers, as far as its watermark has come: an episode of a pair that hears nothing
+    more closes at its lapse, without a later event of its pair."""
+    found = episodes.timed_episodes(market.feed_of(_events(spark, sf_dir)), market.VENUES, common.MAX_AGE, common.THRESHOLD, f"{LATE_MS} milliseconds")
+    end = market.feed_of(table(spark, sf_dir, "events")).agg((F.floor(F.max("ns") / 1_000_000).cast("long") - LATE_MS - 1).alias("ms"))
+    rows = books.run_to_table(found, spark, "stream-lapses").crossJoin(F.broadcast(end))
+    return rows.where(F.col("end_ns") <= F.col("ms") * 1_000_000).drop("ms")
+
+
+LAPSES_SQL = f"""WITH {common.EPISODES} SELECT id, pair, buy, sell, start_ns, end_ns, close_reason, open_spread, peak_ns, peak_spread, close_spread FROM ep
+WHERE close_reason IS NOT NULL AND end_ns <= (SELECT max(ns) // 1000000 - {LATE_MS} - 1 FROM sent) * 1000000"""
+
+
+def stream_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ten levels of each side of every book, by a stream that keeps levels in its state."""
+    found = levels.top_n(market.levels_of(_source(spark, sf_dir, "lineitem")), 10)
+    return levels.newest(books.run_to_table(found, spark, "stream-depth"))
+
+
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.rollup_to_table(market.quotes_of(_events(spark, sf_dir)), spark, market.NS_HOUR, "stream-rollup")
 
@@ -58,6 +88,8 @@ QUERIES = {
     "stream_books": (stream_books, BOOKS_SQL),
     "stream_reasons": (stream_reasons, market_queries.REASONS_SQL),
     "stream_episodes": (stream_episodes, EPISODES_SQL),
+    "stream_lapses": (stream_lapses, LAPSES_SQL),
+    "stream_depth": (stream_depth, market_queries.DEPTH_SQL),
     "stream_rollup": (stream_rollup, ROLLUP_SQL),
     "stream_windows": (stream_windows, WINDOWS_SQL),
 }

@@ -78,10 +78,15 @@ def feed_of(events: DataFrame) -> DataFrame:
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair, venue, side, price, size, ns, seq): level updates in the order of (ns, seq); size 0 deletes."""
+    return levels_of(table(spark, sf_dir, "lineitem"))
+
+
+def levels_of(lineitem: DataFrame) -> DataFrame:
+    """The same of a table or stream of line items."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("long") % 200
     venue = F.col("l_suppkey") % 3
     side = F.when(F.col("l_linestatus") == "O", "bid").otherwise("ask")
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         pair_name(F.col("l_partkey") % 9).alias("pair"),
         F.concat(F.lit("v"), venue.cast("string")).alias("venue"),
         side.alias("side"),

@@ -86,10 +86,28 @@ def trusted(feed: DataFrame) -> DataFrame:
 
 def run_to_table(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """All that is there now, written as Parquet with a checkpoint in the shared folder, and read back."""
-    path = shared_path(spark, name)
+    return run_into(stream, shared_path(spark, name))
+
+
+#: The state store that keeps one entry for each key of a map, with timers.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_into(stream: DataFrame, path: str) -> DataFrame:
+    """The same into a folder; another run goes on where the last one ended."""
+    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        _run(stream, path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def _run(stream: DataFrame, path: str) -> None:
     query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def rollup_to_table(quotes: DataFrame, spark: SparkSession, width: int, name: str) -> DataFrame:

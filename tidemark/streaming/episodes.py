@@ -14,7 +14,9 @@ from itertools import permutations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.routes import UNIT
 from tidemark.streaming.books import EMPTY, accept
@@ -61,47 +63,101 @@ def _route(pair: str, route: int, buy: str, sell: str, ns: np.ndarray, ids: np.n
     return out, {"code": int(code[-1]), "open": now}
 
 
+def advance(pair: str, rows: pd.DataFrame, held: dict, end: int, venues: tuple[str, ...], max_age: int, threshold: int) -> list[tuple]:
+    """What closes by `end` once some rows of a pair have come, in event order; brings `held` up to date."""
+    tops, lapses = {}, []
+    for v in venues:
+        tops[v], gone, chain = _tops(rows, v, held["tops"].get(v), max_age, end)
+        lapses += gone
+        now = dict.fromkeys(_TOP) | {"lapsed": False}
+        if len(tops[v]):
+            newest = tops[v].iloc[-1]
+            now = {c: (bool if c == "trusted" else int)(newest[c]) for c in _TOP} | {"lapsed": bool(newest["ns"] + max_age + 1 <= end)}
+        held["tops"][v] = now | {"chain": list(chain)}
+    times = pd.DataFrame([*zip(rows["ns"], rows["event_id"], strict=True), *lapses], columns=["ns", "event_id"], dtype=np.int64)
+    times = times.drop_duplicates().sort_values(["ns", "event_id"])
+    ns, ids = times["ns"].to_numpy(), times["event_id"].to_numpy()
+    if not len(ns):
+        return []
+    legs = {}
+    for v, own in tops.items():
+        # The latest top at each time: both are in event order, so a merge of the two finds it.
+        place = np.lexsort((np.concatenate([np.zeros(len(own)), np.ones(len(ns))]), np.concatenate([own["event_id"], ids]), np.concatenate([own["ns"], ns])))
+        is_top = place < len(own)
+        at = (np.cumsum(is_top) - 1)[~is_top]
+        pick = lambda c, fill, own=own, at=at: np.where(at >= 0, own[c].to_numpy()[np.maximum(at, 0)], fill) if len(own) else np.full(len(at), fill)
+        legs[v] = (pick("trusted", False).astype(bool) & (ns - pick("ns", 0).astype(np.int64) <= max_age), pick("bid", 0).astype(np.int64), pick("ask", 1).astype(np.int64))
+    out: list[tuple] = []
+    for k, (b, s) in enumerate(permutations(venues, 2)):
+        both, bid, ask = legs[b][0] & legs[s][0], legs[s][1], legs[b][2]
+        above = (bid > ask) & ((bid - ask) * UNIT >= threshold * ask)
+        code = np.where(~both, ABSENT, np.where(above, ABOVE, BELOW))
+        closed, held["routes"][str(k)] = _route(pair, k, b, s, ns, ids, code, (bid - ask) * UNIT // ask, held["routes"].get(str(k)))
+        out += closed
+    return out
+
+
+def _frame(closed: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(closed, columns=[f.split()[0] for f in CLOSED.split(", ")]).astype({"close_spread": "Int64"})
+
+
 def _fold(venues: tuple[str, ...], max_age: int, threshold: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["ns", "event_id"], kind="stable")
         held = json.loads(state.get[0]) if state.exists else {"tops": {}, "routes": {}}
-        end = int(rows["ns"].max())
-        tops, lapses = {}, []
-        for v in venues:
-            tops[v], gone, chain = _tops(rows, v, held["tops"].get(v), max_age, end)
-            lapses += gone
-            now = dict.fromkeys(_TOP) | {"lapsed": False}
-            if len(tops[v]):
-                newest = tops[v].iloc[-1]
-                now = {c: (bool if c == "trusted" else int)(newest[c]) for c in _TOP} | {"lapsed": bool(newest["ns"] + max_age + 1 <= end)}
-            held["tops"][v] = now | {"chain": list(chain)}
-        times = sorted({*zip(rows["ns"].tolist(), rows["event_id"].tolist(), strict=True), *lapses})
-        ns, ids = np.array([t for t, _ in times]), np.array([i for _, i in times])
-        legs = {}
-        for v, own in tops.items():
-            # The latest top at each row: tops are in event order, and a lapse is never a top's own row.
-            order = {(t, i): k for k, (t, i) in enumerate(zip(own["ns"].tolist(), own["event_id"].tolist(), strict=True))}
-            first = 0 if len(own) and (int(own["ns"][0]), int(own["event_id"][0])) not in set(times) else -1
-            at = np.maximum.accumulate(np.array([order.get(x, -1) for x in times])) if len(own) else np.full(len(times), -1)
-            at = np.maximum(at, first)
-            pick = lambda c, fill, own=own, at=at: np.where(at >= 0, own[c].to_numpy()[np.maximum(at, 0)], fill) if len(own) else np.full(len(times), fill)
-            legs[v] = (pick("trusted", False).astype(bool) & (ns - pick("ns", 0).astype(np.int64) <= max_age), pick("bid", 0).astype(np.int64), pick("ask", 1).astype(np.int64))
-        out: list[tuple] = []
-        for k, (b, s) in enumerate(permutations(venues, 2)):
-            both, bid, ask = legs[b][0] & legs[s][0], legs[s][1], legs[b][2]
-            above = (bid > ask) & ((bid - ask) * UNIT >= threshold * ask)
-            code = np.where(~both, ABSENT, np.where(above, ABOVE, BELOW))
-            closed, held["routes"][str(k)] = _route(key[0], k, b, s, ns, ids, code, (bid - ask) * UNIT // ask, held["routes"].get(str(k)))
-            out += closed
+        closed = advance(key[0], rows, held, int(rows["ns"].max()), venues, max_age, threshold)
         state.update((json.dumps(held),))
-        frame = pd.DataFrame(out, columns=[f.split()[0] for f in CLOSED.split(", ")])
-        yield frame.astype({"close_spread": "Int64"})
+        yield _frame(closed)
 
     return run
 
 
+_COLUMNS = ["event_id", "pair", "venue", "ns", "kind", "bid", "ask", "off"]
+
+
 def closed_episodes(feed: DataFrame, venues: tuple[str, ...], max_age: int, threshold: int) -> DataFrame:
     """A stream of (event_id, pair, venue, ns, kind, bid, ask, off) as the episodes that close, in CLOSED rows. A lapse
     is noticed once a later row of its pair has come."""
-    own = feed.select("event_id", "pair", "venue", "ns", "kind", "bid", "ask", "off")
-    return own.groupBy("pair").applyInPandasWithState(_fold(venues, max_age, threshold), CLOSED, "held string", "append", GroupStateTimeout.NoTimeout)
+    return feed.select(*_COLUMNS).groupBy("pair").applyInPandasWithState(_fold(venues, max_age, threshold), CLOSED, "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+class _Closing(StatefulProcessor):
+    """`closed_episodes` with a timer at the lapse of each venue's book, so that a quiet pair's episodes close too."""
+
+    def __init__(self, venues: tuple[str, ...], max_age: int, threshold: int):
+        self.venues, self.max_age, self.threshold = venues, max_age, threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("held", "held string")
+
+    def _advance(self, pair: str, rows: pd.DataFrame, end: int) -> pd.DataFrame:
+        held = json.loads(self.held.get()[0]) if self.held.exists() else {"tops": {}, "routes": {}, "timers": []}
+        closed = advance(pair, rows, held, end, self.venues, self.max_age, self.threshold)
+        # The first whole millisecond at which a book that still holds has lapsed.
+        wanted = sorted({-(-(t["ns"] + self.max_age + 1) // 10**6) for t in held["tops"].values() if t["ns"] is not None and t["trusted"] and not t["lapsed"]})
+        for at in set(held["timers"]) - set(wanted):
+            self.handle.deleteTimer(at)
+        for at in set(wanted) - set(held["timers"]):
+            self.handle.registerTimer(at)
+        held["timers"] = wanted
+        self.held.update((json.dumps(held),))
+        return _frame(closed)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        own = pd.concat(list(rows)).sort_values(["ns", "event_id"], kind="stable")
+        yield self._advance(key[0], own, int(own["ns"].max()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        held = json.loads(self.held.get()[0])
+        held["timers"] = [t for t in held["timers"] if t != at]
+        self.held.update((json.dumps(held),))
+        yield self._advance(key[0], pd.DataFrame(columns=_COLUMNS), at * 10**6)
+
+
+def timed_episodes(feed: DataFrame, venues: tuple[str, ...], max_age: int, threshold: int, late: str = "1 hour") -> DataFrame:
+    """The same with lapses by timers: an episode of a pair that hears nothing more closes at last receipt + max age
+    + 1 ns, once the watermark, `late` behind the newest row of all pairs, has passed it. Rows that come later than `late`
+    are dropped."""
+    timed = feed.select(*_COLUMNS, F.timestamp_micros(F.floor(F.col("ns") / 1000).cast("long")).alias("at")).withWatermark("at", late)
+    return timed.groupBy("pair").transformWithStateInPandas(_Closing(venues, max_age, threshold), CLOSED, "Append", "EventTime")
