@@ -40,10 +40,10 @@ DIM, NOISE, ROUNDS = 24, 32, 2
 WORD_CLASSES, ENDING_CLASSES = 5, 2
 #: Words that a task takes together when it counts.
 CHUNK_WORDS = 2_000_000
-BATCH = 2048
+BATCH = 1024
 #: Occurrences of one triple that a step takes together; more are spread over further steps and groups, so that
 #: the most frequent ones don't fill the batches they are in. Shares of one group.
-TOGETHER, GROUP = 8, 1_000_000
+TOGETHER, GROUP = 8, 250_000
 #: Stands for the end of a text among word hashes.
 END = 0
 #: Parameters in one row of the averaging, and groups in which the first level averages.
