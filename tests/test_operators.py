@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import symbols
-from tidemark.operators import asof, audits, book, episodes, fillrates, history, leadlag, netsignal, pricing, routes, stats
+from tidemark.operators import asof, audits, book, comparisons, episodes, fillrates, history, leadlag, netsignal, pricing, routes, stats
 from tidemark.sources import capture, messages
 
 EVENTS = "pair string, venue string, ns long, event_id long, kind string, seq long, bid long, ask long"
@@ -281,3 +281,31 @@ def test_leg_ages_are_null_without_their_leg(spark):
     quotes = spark.createDataFrame([("p", "v0", 10, 1, True, 100, 101, 1, 1), ("p", "v1", 12, 2, True, 103, 104, 1, 1)], "pair string, venue string, ns long, event_id long, trusted boolean, bid long, ask long, bid_size long, ask_size long")
     rows = routes.route_rows(routes.aligned(quotes, ("v0", "v1"), 5), ("v0", "v1"), 100, 100_000).orderBy("ns", "route").collect()
     assert [(r.state, r.buy_age, r.sell_age, r.skew) for r in rows] == [("absent", 0, None, None), ("absent", None, 0, None), ("above", 2, 0, 2), ("below", 0, 2, 2)]
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_each_request_gets_the_first_unused_response_at_or_after_it(spark, block):
+    rng = random.Random(block)
+    asked = [(rng.choice("ab"), rng.randint(0, 30), i) for i in range(40)]
+    given = [(rng.choice("ab"), rng.randint(0, 30), i) for i in range(40)]
+    want = []
+    for k in "ab":
+        used: set[tuple] = set()
+        for rank, (ns, _) in enumerate(sorted((t, i) for x, t, i in asked if x == k)):
+            free = sorted((t, i) for x, t, i in given if x == k and t >= ns and (t, i) not in used)
+            used |= set(free[:1])
+            want.append((k, rank + 1, ns, free[0][0] if free else None))
+    frame = lambda rows: spark.createDataFrame(rows, "k string, ns long, event_id long")
+    got = audits.first_unused(frame(asked), frame(given), ["k"], block)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and any(r[3] is None for r in want)
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_streaks_of_equal_sets(spark, block):
+    """Sets that stay, change, shrink, come back, are empty for a while, and are listed in another order."""
+    weeks = {"P": ["ab", "ba", "ab", "a", "a", "ab", "", "ab", "ab"], "Q": ["c", "d", "d", "d"]}
+    rows = [(k, w, x) for k, sets in weeks.items() for w, s in enumerate(sets) for x in s + s[:1]]
+    signs = comparisons.signatures(spark.createDataFrame(rows, "k string, week long, x string"), ["k", "week"], ["x"])
+    got = sorted((r.k, r.week, r.n, r.streak) for r in comparisons.set_streaks(signs, ["k"], "week", block).collect())
+    want = [("P", 0, 2, 1), ("P", 1, 2, 2), ("P", 2, 2, 3), ("P", 3, 1, 1), ("P", 4, 1, 2), ("P", 5, 2, 1), ("P", 7, 2, 1), ("P", 8, 2, 2), ("Q", 0, 1, 1), ("Q", 1, 1, 1), ("Q", 2, 1, 2), ("Q", 3, 1, 3)]
+    assert got == want

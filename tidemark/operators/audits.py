@@ -100,11 +100,21 @@ def within(rows: DataFrame, others: DataFrame, keys: list[str], time: str, other
     return own.join(near, [*on, F.abs(own[time] - near["o_ns"]) <= span], how).drop("bin")
 
 
-def ranked_match(requests: DataFrame, responses: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first response for the first request of equal keys, the second for the second, and so on."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    a = requests.withColumn("rank", rank).select(*keys, "rank", F.col("ns").alias("request_ns"))
-    b = responses.withColumn("rank", rank).select(*keys, "rank", F.col("ns").alias("response_ns"))
+def first_unused(requests: DataFrame, responses: DataFrame, keys: list[str], block: int = 86_400 * 10**9) -> DataFrame:
+    """(keys, rank, request_ns, response_ns): each request (keys, ns, event_id), in order, with the first response of
+    equal keys at or after it that no earlier request has taken, null without one.
+
+    No fold is needed: requests wait in line, so a response is taken by the longest waiting one, and goes unused if
+    none waits. Of all responses so far as many are unused as the greatest lead that they ever had over requests.
+    """
+    both = requests.select(*keys, "ns", F.lit(0).alias("side"), "event_id").unionByName(responses.select(*keys, "ns", F.lit(1).alias("side"), "event_id"))
+    order = ["ns", "side", "event_id"]
+    rows = running(settled(both.withColumn("block", block_of(F.col("ns"), block)), "line"), keys, order, {"asked": ("sum", 1 - F.col("side"), True), "given": ("sum", F.col("side"), True)})
+    lead = F.col("given") - F.col("asked")
+    rows = running(settled(rows, "leads"), keys, order, {"most": ("max", lead, True), "before": ("max", lead, False)})
+    rows = rows.withColumn("unused", F.greatest("most", F.lit(0))).withColumn("taken", (F.col("side") == 1) & (F.col("unused") == F.greatest("before", F.lit(0))))
+    a = rows.where("side = 0").select(*keys, F.col("asked").alias("rank"), F.col("ns").alias("request_ns"))
+    b = rows.where("taken").select(*keys, (F.col("given") - F.col("unused")).alias("rank"), F.col("ns").alias("response_ns"))
     return a.join(b, [*keys, "rank"], "left")
 
 

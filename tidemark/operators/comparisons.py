@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import preceding, running
+from tidemark.session import settled
+
 LEVEL = ["pair", "side", "price"]
 
 
@@ -53,6 +56,24 @@ def run_lengths(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return rows.withColumn("_run", F.col(ordinal) - place).groupBy(*keys, "_run").agg(F.min(ordinal).alias("first"), F.count("*").alias("length")).drop("_run")
 
 
+def signatures(rows: DataFrame, keys: list[str], element: list[str]) -> DataFrame:
+    """(keys, n, sign): the set of elements of each key as a fingerprint that no order bears on, the sum of their
+    hashes beside their number, so that a set is one small row whatever its size. Elements that repeat count once."""
+    own = rows.select(*keys, *element).distinct()
+    half = lambda seed: F.sum(F.xxhash64(F.lit(seed), *element).cast("decimal(38,0)"))
+    return own.groupBy(*keys).agg(F.count("*").alias("n"), F.struct(half(1).alias("a"), half(2).alias("b")).alias("sign"))
+
+
+def set_streaks(signs: DataFrame, keys: list[str], ordinal: str, block: int) -> DataFrame:
+    """Signatures with `streak`: how many comparisons in a row, up to this one, have found the same set. A comparison
+    without any element has no row and ends a streak, as does another set."""
+    rows = settled(signs.withColumn("block", F.floor(F.col(ordinal) / block).cast("long")), "signs")
+    rows = preceding(rows, keys, [ordinal], F.struct("sign", ordinal), "was")
+    goes_on = F.coalesce((F.col("was.sign") == F.col("sign")) & (F.col(f"was.{ordinal}") == F.col(ordinal) - 1), F.lit(False))
+    rows = running(settled(rows.withColumn("first", F.when(~goes_on, F.col(ordinal))), "firsts"), keys, [ordinal], {"start": ("last", F.col("first"), True)})
+    return rows.select(*keys, ordinal, "n", "sign", (F.col(ordinal) - F.col("start") + 1).alias("streak"))
+
+
 def rank_bucket(rank: Column) -> Column:
     """best, 1-4 or 5-19 by the number of levels before one; deeper beyond."""
     return F.when(rank == 0, "best").when(rank <= 4, "1-4").when(rank <= 19, "5-19").otherwise("deeper")

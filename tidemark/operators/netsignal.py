@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import block_of, following, preceding, running
+from tidemark.operators.asof import block_of, preceding
 from tidemark.session import settled
 
 ROUTE = ["pair", "buy", "sell", "notional"]
@@ -32,30 +32,33 @@ def intervals(signals_: DataFrame, variants: DataFrame, block: int = BLOCK) -> D
     """Intervals by variant (variant, threshold, hysteresis, delay): open once net > threshold, closed once
     net <= threshold - hysteresis or the route can't be priced, dropped if over before the delay.
 
-    One pass for all variants. The state between is the last decisive one.
+    The state between is the last decisive one. Rows are dealt out once, by route, variant and block: each block
+    gives its last decision and its first row, a window over blocks carries these, and inside a block the rows
+    of one state in a row become a segment. Only segments are put together over a whole route.
     """
     rows = settled(signals_, "signals").crossJoin(F.broadcast(variants))
     keys = ["variant", *ROUTE]
     up = F.col("net") > F.col("threshold")
     down = (F.col("state") != "priced") | (F.col("net") <= F.col("threshold") - F.col("hysteresis"))
-    rows = rows.withColumn("flag", F.when(F.coalesce(up, F.lit(False)), 1).when(down, 0))
-    rows = rows.withColumn("block", block_of(F.col("ns"), block))
-    # All of it by blocks of time: the last decision, the one before a row and the row after it, and the run.
-    rows = running(rows, keys, ORDER, {"on": ("last", F.col("flag"), True)})
-    rows = settled(rows.withColumn("on", F.coalesce("on", F.lit(0))), "decisions")
-    rows = following(preceding(rows, keys, ORDER, F.col("on"), "was"), keys, ORDER, F.struct("ns", "state"), "next")
-    rows = running(rows, keys, ORDER, {"run": ("sum", F.when(F.col("on") != F.coalesce("was", F.lit(0)), 1).otherwise(0), True)})
-    # The row that closes a run tells why.
-    rows = rows.withColumn("next_ns", F.col("next.ns")).withColumn("next_state", F.col("next.state"))
-    own = rows.where("on = 1").groupBy(*keys, "run").agg(
-        F.min("ns").alias("open_ns"),
-        F.max("net").alias("peak_net"),
-        F.max_by("net", F.struct(*ORDER)).alias("last_net"),
-        F.max_by("next_ns", F.struct(*ORDER)).alias("close_ns"),
-        F.max_by(F.coalesce("next_state", F.lit("end")), F.struct(*ORDER)).alias("why"),
-        F.first("delay").alias("delay"),
+    rows = rows.withColumn("flag", F.when(F.coalesce(up, F.lit(False)), 1).when(down, 0)).withColumn("block", block_of(F.col("ns"), block))
+    place = F.struct(*ORDER)
+    ends = rows.groupBy(*keys, "block").agg(F.max_by("flag", F.when(F.col("flag").isNotNull(), place)).alias("last"), F.min_by(F.struct("ns", "state"), place).alias("first"))
+    over = Window.partitionBy(*keys).orderBy("block")
+    carried = ends.select(*keys, "block", F.coalesce(F.last("last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("opening"), F.lead("first").over(over).alias("after"))
+    inside = Window.partitionBy(*keys, "block").orderBy(*ORDER)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(carried, [*keys, "block"]).withColumn("on", F.coalesce(F.last("flag", ignorenulls=True).over(so_far), "opening"))
+    rows = rows.withColumn("was", F.coalesce(F.lag("on").over(inside), "opening")).withColumn("next", F.coalesce(F.lead(F.struct("ns", "state")).over(inside), "after"))
+    rows = rows.withColumn("part", F.sum(F.when(F.col("on") != F.col("was"), 1).otherwise(0)).over(so_far)).where("on = 1")
+    # A segment that begins with a row before which it was off opens an interval; others go on with one.
+    segments = rows.groupBy(*keys, "block", "part").agg(
+        F.min_by(F.col("was") == 0, place).alias("opens"), F.min("ns").alias("open_ns"), F.max("net").alias("peak_net"), F.max(F.struct(*ORDER, "net", "next")).alias("last"), F.first("delay").alias("delay")
     )
-    reason = F.when(F.col("why") == F.lit("end"), "end_of_capture").when(F.col("why") == "priced", "spread_closed").when(F.col("why") == "ineligible", "invalidated").otherwise("insufficient_depth")
+    runs = segments.withColumn("run", F.sum(F.col("opens").cast("int")).over(Window.partitionBy(*keys).orderBy("block", "part").rowsBetween(Window.unboundedPreceding, 0)))
+    # The row that closes a run tells why.
+    own = runs.groupBy(*keys, "run").agg(F.min("open_ns").alias("open_ns"), F.max("peak_net").alias("peak_net"), F.max("last").alias("last"), F.first("delay").alias("delay"))
+    own = own.select(*keys, "open_ns", "peak_net", F.col("last.net").alias("last_net"), F.col("last.next.ns").alias("close_ns"), F.col("last.next.state").alias("why"), "delay")
+    reason = F.when(F.col("why").isNull(), "end_of_capture").when(F.col("why") == "priced", "spread_closed").when(F.col("why") == "ineligible", "invalidated").otherwise("insufficient_depth")
     out = own.where("close_ns is null or close_ns > open_ns + delay")
     return out.select(*keys, (F.col("open_ns") + F.col("delay")).alias("open_ns"), "close_ns", "peak_net", "last_net", reason.alias("close_reason"))
 

@@ -185,7 +185,7 @@ UNMATCHED_SQL = f"WITH {Q} SELECT pair, venue, CASE WHEN event_id % 11 = 0 THEN
 def phantom_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each episode with its buy venue's last snapshot at or before the start, at most four hours earlier,
     and whether that snapshot showed the price."""
-    found = common.episode_table(spark, sf_dir).select("id", "pair", "buy", "start_ns", "buy_price")
+    found = common.episode_store(spark, sf_dir).episodes().select("id", "pair", "buy", "start_ns", "buy_price")
     shots = market.quotes(spark, sf_dir).where("kind = 'snapshot'").select("pair", F.col("venue").alias("buy"), "ns", "event_id", F.col("ask").alias("shot_ask"), F.col("event_id").alias("shot_id"))
     rows = asof.asof_join(found, shots, ["pair", "buy"], "start_ns", "ns", ["event_id"], ["shot_ask", "shot_id"], common.BLOCK, 4 * market.NS_HOUR)
     verdict = F.when(F.col("shot_id").isNull(), "unaligned").when(F.col("shot_ask") == F.col("buy_price"), "confirmed").otherwise("phantom")
@@ -212,12 +212,25 @@ SUPPORT_SQL = f"""WITH {Q} SELECT event_id, EXISTS (SELECT 1 FROM q b WHERE b.ki
 
 
 def snapshot_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reset of a book with the first unused snapshot at or after it."""
     rows = market.quotes(spark, sf_dir)
-    return audits.ranked_match(rows.where("kind = 'reset'"), rows.where("kind = 'snapshot'"), audits.BOOK, ORDER)
+    return audits.first_unused(rows.where("kind = 'reset'"), rows.where("kind = 'snapshot'"), audits.BOOK)
 
 
-MATCH_SQL = f"""WITH {Q}, a AS (SELECT pair, venue, row_number() OVER (PARTITION BY pair, venue ORDER BY ns, event_id) AS rank, ns FROM q WHERE kind = 'reset'), b AS (SELECT pair, venue, row_number() OVER (PARTITION BY pair, venue ORDER BY ns, event_id) AS rank, ns FROM q WHERE kind = 'snapshot')
-SELECT pair, venue, rank, a.ns AS request_ns, b.ns AS response_ns FROM a LEFT JOIN b USING (pair, venue, rank)"""
+def line_sql(keys: list[str], requests: str, responses: str) -> str:
+    """CTEs of requests and responses (keys, ns, event_id) that wait in line, worked through one after another, and the
+    final query."""
+    k = ", ".join(keys)
+    same = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in keys)
+    return f"""e AS (SELECT {k}, ns, 0 AS side, event_id FROM {requests} UNION ALL SELECT {k}, ns, 1, event_id FROM {responses}
+), o AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY ns, side, event_id) AS i FROM e
+), f AS (
+  SELECT {k}, 0::BIGINT AS i, 0::BIGINT AS ns, -1 AS side, 0::BIGINT AS asked, 0::BIGINT AS used, false AS takes FROM (SELECT DISTINCT {k} FROM o)
+  UNION ALL SELECT {", ".join(f"o.{c}" for c in keys)}, o.i, o.ns, o.side, asked + 1 - o.side, used + CASE WHEN o.side = 1 AND asked > used THEN 1 ELSE 0 END, o.side = 1 AND asked > used FROM f JOIN o ON {same("o", "f")} AND o.i = f.i + 1)
+SELECT {", ".join(f"a.{c}" for c in keys)}, a.asked AS rank, a.ns AS request_ns, b.ns AS response_ns FROM f a LEFT JOIN f b ON b.takes AND {same("b", "a")} AND b.used = a.asked WHERE a.side = 0"""
+
+
+MATCH_SQL = f"""WITH RECURSIVE {Q}, a0 AS (SELECT * FROM q WHERE kind = 'reset'), b0 AS (SELECT * FROM q WHERE kind = 'snapshot'), {line_sql(["pair", "venue"], "a0", "b0")}"""
 
 
 def resync_rate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,8 +133,13 @@ def applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = routes.aligned(book.with_expiries(trusted_quotes(spark, sf_dir), MAX_AGE, BLOCK), market.VENUES, BLOCK)
-    return routes.route_rows(rows, market.VENUES, MAX_AGE, THRESHOLD)
+    """Every route at every change of a pair's books."""
+
+    def make() -> DataFrame:
+        rows = routes.aligned(book.with_expiries(trusted_quotes(spark, sf_dir), MAX_AGE, BLOCK), market.VENUES, BLOCK)
+        return routes.route_rows(rows, market.VENUES, MAX_AGE, THRESHOLD)
+
+    return derived(table(spark, sf_dir, "events"), "routes", make)
 
 
 def episode_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,7 +270,23 @@ def time_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 LITERALS_SQL = """WITH n AS (SELECT n_nationkey, n_nationkey || ['s', 'm', 'h', 'd', 'ms'][n_nationkey % 5 + 1] AS text, epoch_us(make_timestamp(2024, 1, (n_nationkey % 28 + 1)::BIGINT, 10, 0, 0)) * 1000 - CASE WHEN n_nationkey % 3 = 0 THEN 7200000000000 ELSE 0 END AS t FROM nation)
 SELECT n_nationkey, text, CASE n_nationkey % 5 WHEN 0 THEN n_nationkey::BIGINT * 1000000000 WHEN 1 THEN n_nationkey::BIGINT * 60000000000 WHEN 2 THEN n_nationkey::BIGINT * 3600000000000 END AS duration_ns, CASE WHEN n_nationkey % 3 < 2 THEN t END AS zoned_ns, t AS utc_ns FROM n"""
 
+def reconcile_set_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly comparisons of each book whose wrong levels are the same set as the weeks before: a side and hundred of
+    prices is wrong in a week where its sizes add up to a multiple of three."""
+    week = F.floor(F.col("ns") / (7 * DAY)).cast("long")
+    rows = market.levels(spark, sf_dir).groupBy("pair", "venue", week.alias("week"), "side", F.floor(F.col("price") / 100).cast("long").alias("hundred")).agg(F.sum("size").alias("total"))
+    signs = comparisons.signatures(rows.where("total % 3 = 0"), ["pair", "venue", "week"], ["side", "hundred"])
+    return comparisons.set_streaks(signs, ["pair", "venue"], "week", 26).drop("sign")
+
+
+SET_STREAKS_SQL = f"""WITH {common.LEVELS}, t AS (SELECT pair, venue, ns // {7 * DAY} AS week, side, price // 100 AS hundred FROM lv GROUP BY ALL HAVING sum(size) % 3 = 0
+), s AS (SELECT pair, venue, week, count(*) AS n, list(side || hundred ORDER BY side, hundred) AS own FROM t GROUP BY ALL
+), f AS (SELECT *, CASE WHEN own = lag(own) OVER w AND week = lag(week) OVER w + 1 THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY pair, venue ORDER BY week)
+), r AS (SELECT *, sum(new) OVER (PARTITION BY pair, venue ORDER BY week) AS run FROM f)
+SELECT pair, venue, week, n, row_number() OVER (PARTITION BY pair, venue, run ORDER BY week) AS streak FROM r"""
+
 QUERIES = {
+    "reconcile_set_streaks": (reconcile_set_streaks, SET_STREAKS_SQL),
     "snapshot_audit": (snapshot_audit, AUDIT_SQL),
     "snapshot_counts": (snapshot_counts, COUNTS_SQL),
     "discrepancy_ranks": (discrepancy_ranks, RANKS_SQL),

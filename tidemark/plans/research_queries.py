@@ -23,7 +23,7 @@ LEDGERS = (
 
 
 def _ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return research.ledgers(common.episode_table(spark, sf_dir), market.notionals(spark), market.fees(spark))
+    return research.ledgers(common.episode_store(spark, sf_dir).episodes(), market.notionals(spark), market.fees(spark))
 
 
 def survival_by_notional(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ SURVIVAL_SQL = f"""WITH {LEDGERS} SELECT notional, quote, count(*) AS observatio
 
 def fee_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("halved", v, f // 2) for v, f in market.FEES.items()] + [("full", v, f) for v, f in market.FEES.items()] + [("without_v2", v, f) for v, f in market.FEES.items() if v != "v2"]
-    return research.fee_scenario(common.episode_table(spark, sf_dir), spark.createDataFrame(rows, "scenario string, venue string, fee long"))
+    return research.fee_scenario(common.episode_store(spark, sf_dir).episodes(), spark.createDataFrame(rows, "scenario string, venue string, fee long"))
 
 
 _SCENARIOS = ", ".join(
@@ -52,7 +52,7 @@ SELECT scenario, quote, count(*) AS episodes, count(*) FILTER (net IS NULL) AS u
 
 
 def episode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = common.episode_table(spark, sf_dir)
+    found = common.episode_store(spark, sf_dir).episodes()
     spreads = stats.percentiles(found, ["buy", "sell"], "peak_spread", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
     reasons = found.groupBy("buy", "sell").agg(F.count_if(F.col("close_reason") == "spread_closed").alias("spread_closed"), F.count_if(F.col("close_reason") == "book_ineligible").alias("ineligible"), F.sum("peak_profit").alias("profit"))
     return spreads.join(reasons, ["buy", "sell"])
@@ -73,7 +73,7 @@ _OLDEST = "CASE WHEN buy_age IS NOT NULL AND sell_age IS NOT NULL THEN greatest(
 
 def age_skew_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.route_table(spark, sf_dir)
-    return research.band_table(rows, common.episode_table(spark, sf_dir), spark)
+    return research.band_table(rows, common.episode_store(spark, sf_dir).episodes(), spark)
 
 
 BANDS_SQL = f"""WITH {E}, k AS (SELECT unnest(['age', 'skew']) AS dimension, r.band FROM range({len(research.BAND_EDGES_MS) + 1}) r(band)),
@@ -148,7 +148,7 @@ INTERVALS_SQL = f"WITH {INTERVALS} SELECT * FROM iv"
 
 def theoretical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = market.quotes(spark, sf_dir).agg(F.max("ns")).first()[0] or 0
-    return netsignal.overlap(_intervals(spark, sf_dir).where("variant = 'plain'"), common.episode_table(spark, sf_dir), market.NS_HOUR, end)
+    return netsignal.overlap(_intervals(spark, sf_dir).where("variant = 'plain'"), common.episode_store(spark, sf_dir).episodes(), market.NS_HOUR, end)
 
 
 OVERLAP_SQL = f"""WITH {INTERVALS}, m AS (SELECT max(ns) AS e FROM q), a AS (SELECT *, coalesce(close_ns, e) AS stop FROM iv, m WHERE variant = 'plain' AND coalesce(close_ns, e) > open_ns),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import fillrates, leadlag, netsignal, pricing, research, stats
 from tidemark.plans import common, pricing_queries, research_queries
-from tidemark.sources import market
+from tidemark.session import settled, shared_path
+from tidemark.sources import market, store
 
 DAY, HOUR = market.NS_DAY, market.NS_HOUR
 START = 1_704_844_800 * 10**9  # 2024-01-10
@@ -97,27 +100,85 @@ SELECT session, NULL::BIGINT AS tick FROM se WHERE session NOT IN (SELECT sessio
 UNION ALL SELECT session, tick FROM (SELECT DISTINCT session, tick FROM ss) t WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.session = t.session AND k.bucket_ns = t.tick // {DAY} * {DAY})"""
 
 
+_CUTOFF = START + 5 * DAY + 30 * 10**9
+
+
+def store_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store holds after a prune of at most a hundred episodes before a cutoff: by table, rows and a checksum. The
+    episodes, the rollup of their days, buckets, ticks and sessions go in one commit."""
+    made = store.EpisodeStore(spark, shared_path(spark, "retention-store"))
+    made.flush(common.episode_store(spark, sf_dir).episodes())
+    buckets = _session_buckets(spark, sf_dir)
+    sessions = _sessions(spark, sf_dir).select("session", F.col("first_tick").alias("started_ns"))
+    made.append(buckets=buckets.select("session", "bucket_ns", "pair", "venue", "notional", "side", "samples"), ticks=buckets.select("bucket_ns", "session").distinct(), sessions=sessions)
+    made.prune(_CUTOFF, 100)
+    sums = {"episodes": F.sum("id"), "rollup": F.sum("sum_profit"), "buckets": F.sum("samples"), "ticks": F.sum(F.col("bucket_ns") / DAY), "sessions": F.sum(F.floor(F.col("started_ns") / HOUR))}
+    out = [made.table(t).agg(F.lit(t).alias("held"), F.count("*").alias("n"), F.coalesce(c, F.lit(0)).cast("long").alias("checksum")) for t, c in sums.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+_LAST_MINUTE = _CUTOFF - 60 * 10**9
+RETENTION_SQL = f"""WITH {E}, {BUCKETS.split(common.TRUSTED, 1)[1].lstrip(", ")}, gone AS (SELECT id FROM ep WHERE start_ns < {_CUTOFF} ORDER BY start_ns, id LIMIT 100
+), le AS (SELECT * FROM ep WHERE id NOT IN (SELECT id FROM gone)), kb AS (SELECT * FROM sb WHERE bucket_ns > {_LAST_MINUTE}
+), kt AS (SELECT DISTINCT bucket_ns, session FROM sb b WHERE bucket_ns > {_LAST_MINUTE}), ks AS (SELECT * FROM se WHERE first_tick >= {_CUTOFF} OR session IN (SELECT session FROM kt))
+SELECT 'episodes' AS held, count(*) AS n, coalesce(sum(id), 0)::BIGINT AS checksum FROM le
+UNION ALL SELECT 'rollup', count(*), coalesce(sum(p), 0)::BIGINT FROM (SELECT start_ns // 60000000000 AS m, pair, quote, sum(peak_profit) AS p FROM le GROUP BY ALL)
+UNION ALL SELECT 'buckets', count(*), coalesce(sum(samples), 0)::BIGINT FROM kb UNION ALL SELECT 'ticks', count(*), coalesce(sum(bucket_ns // {DAY}), 0)::BIGINT FROM kt
+UNION ALL SELECT 'sessions', count(*), coalesce(sum(first_tick // {HOUR}), 0)::BIGINT FROM ks"""
+
+
+#: Variant: (hours of a bin, least overlaps, half hours of a lag step, windows).
+KNOBS = {"base": (2, 10, 2, 4), "bin_half": (1, 10, 2, 4), "bin_double": (4, 10, 2, 4), "overlap_half": (2, 5, 2, 4), "overlap_double": (2, 20, 2, 4), "step_half": (2, 10, 1, 4), "step_double": (2, 10, 4, 4), "windows_half": (2, 10, 2, 2), "windows_double": (2, 10, 2, 8)}
+_LAST = research_queries.LAGS[-1]
+
+
 def lead_lag_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best lags with the bins halved and doubled, and the least overlap halved and doubled, one at a time."""
-    settings = {"base": (2, 10), "bin_half": (1, 10), "bin_double": (4, 10), "overlap_half": (2, 5), "overlap_double": (2, 20)}
+    """Best lags with each of four settings halved and doubled: the bins, the least overlap, the lag step, and the windows,
+    for which the sign of the lag must be the same in all parts that have one.
+
+    One contrast over all bins and parts: returns are made once for each bin, over a grid of the finest step, and a
+    variant picks its lags."""
+    quotes = common.trusted_quotes(spark, sf_dir)
+    rows = None
+    for hours in sorted({k[0] for k in KNOBS.values()}):
+        one = leadlag.returns(leadlag.ticks(quotes, hours * HOUR)).withColumn("hours", F.lit(hours))
+        rows = one if rows is None else rows.unionByName(one)
+    rows = settled(rows, "returns")
+    span = F.broadcast(rows.where("hours = 2").agg(F.min("start_ns").alias("lo"), F.max("end_ns").alias("hi")))
+    parts = [F.struct(F.lit(0).alias("windows"), F.lit(0).alias("part"))]
+    parts += [F.when(F.col("hours") == 2, F.struct(F.lit(n).alias("windows"), leadlag.part_of(F.col("start_ns"), F.col("lo"), F.col("hi"), n).alias("part"))) for n in (2, 8)]
+    rows = rows.crossJoin(span).withColumn("w", F.explode(F.array_compact(F.array(*parts)))).select("pair", "venue", "start_ns", "end_ns", "value", "hours", "w.windows", "w.part")
+    left, right = research_queries._sides(rows, spark)
+    keys = [*research_queries._KEYS, "hours", "windows", "part"]
+    lags = spark.createDataFrame([(x,) for x in range(-_LAST, _LAST + 1, HOUR // 2)], "lag long")
+    points = settled(leadlag.contrast(left, right, lags, keys, 12 * HOUR), "points")
     out = None
-    for name, (hours, least) in settings.items():
-        rows = leadlag.returns(leadlag.ticks(common.trusted_quotes(spark, sf_dir), hours * HOUR))
-        left, right = research_queries._sides(rows, spark)
-        points = leadlag.contrast(left, right, research_queries._lags(spark), research_queries._KEYS, 12 * HOUR)
-        one = leadlag.best_lag(points, research_queries._KEYS, least, HOUR, research_queries.LAGS[-1]).select(F.lit(name).alias("variant"), *research_queries._KEYS, "status", "lag")
+    for name, (hours, least, step, windows) in KNOBS.items():
+        own = points.where((F.col("hours") == hours) & (F.col("windows") == (0 if windows == 4 else windows)) & (F.col("lag") % (step * HOUR // 2) == 0))
+        best = leadlag.best_lag(own, keys, least if windows == 4 else 5, step * HOUR // 2, _LAST)
+        if windows == 4:
+            one = best.select(F.lit(name).alias("variant"), *research_queries._KEYS, "status", "lag")
+        else:
+            ok = F.col("status") == "ok"
+            signs = best.groupBy(*research_queries._KEYS).agg(F.count_if(ok).alias("n"), F.count_distinct(F.when(ok, F.signum("lag"))).alias("signs"))
+            status = F.when(F.col("n") < 2, "insufficient_data").when(F.col("signs") == 1, "stable").otherwise("unstable")
+            one = signs.select(F.lit(name).alias("variant"), *research_queries._KEYS, status.alias("status"), F.lit(None).cast("long").alias("lag"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _variant_sql(name: str, hours: int, least: int) -> str:
+def _variant_sql(name: str, hours: int, least: int, step: int, windows: int) -> str:
+    if windows != 4:
+        parts = research_queries.STABILITY_SQL.replace("least(3, (start_ns - lo) * 4 ", f"least({windows - 1}, (start_ns - lo) * {windows} ")
+        return f"SELECT '{name}' AS variant, pair, l, r, CASE WHEN ok_parts < 2 THEN 'insufficient_data' WHEN stable THEN 'stable' ELSE 'unstable' END AS status, NULL::BIGINT AS lag FROM ({parts})"
     points = research_queries.POINTS.replace(f"ns // {research_queries.BIN} ", f"ns // {hours * HOUR} ")
+    points = points.replace(", ".join(f"({x})" for x in research_queries.LAGS), ", ".join(f"({x})" for x in range(-_LAST, _LAST + 1, step * HOUR // 2)))
     return f"""SELECT '{name}' AS variant, * FROM (WITH {points}, g AS (SELECT *, round(abs(rho), 10) AS h FROM pt WHERE novl >= {least} AND rho IS NOT NULL),
 t AS (SELECT pair, l, r, count(*) AS ties, min({{'away': abs(lag), 'lag': lag}}) AS b FROM g JOIN (SELECT pair, l, r, max(h) AS h FROM g GROUP BY ALL) USING (pair, l, r, h) GROUP BY pair, l, r)
-SELECT k.pair, k.l, k.r, CASE WHEN b IS NULL THEN 'insufficient_data' WHEN ties > 1 THEN 'tied_maximum' WHEN b.away >= {research_queries.LAGS[-1]} THEN 'maximum_at_grid_edge' ELSE 'ok' END AS status, b.lag AS lag FROM (SELECT DISTINCT pair, l, r FROM pt) k LEFT JOIN t USING (pair, l, r))"""
+SELECT k.pair, k.l, k.r, CASE WHEN b IS NULL THEN 'insufficient_data' WHEN ties > 1 THEN 'tied_maximum' WHEN b.away >= {_LAST} THEN 'maximum_at_grid_edge' ELSE 'ok' END AS status, b.lag AS lag FROM (SELECT DISTINCT pair, l, r FROM pt) k LEFT JOIN t USING (pair, l, r))"""
 
 
-SENSITIVITY_SQL = " UNION ALL ".join(_variant_sql(n, h, o) for n, h, o in (("base", 2, 10), ("bin_half", 1, 10), ("bin_double", 4, 10), ("overlap_half", 2, 5), ("overlap_double", 2, 20)))
+SENSITIVITY_SQL = " UNION ALL ".join(_variant_sql(n, *knobs) for n, knobs in KNOBS.items())
 
 
 def lag_runner_up(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +215,7 @@ SELECT notional, cutoff, quote, retained, rejected, unknown, survivors, CASE WHE
 
 def band_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifetimes of episodes by the band of their age and skew at the opening: p50 and p90 at rank ceil(f n)."""
-    rows = research.dimensions(common.episode_table(spark, sf_dir)).withColumn("life", F.col("end_ns") - F.col("start_ns"))
+    rows = research.dimensions(common.episode_store(spark, sf_dir).episodes()).withColumn("life", F.col("end_ns") - F.col("start_ns"))
     return stats.percentiles(rows, ["dimension", "band"], "life", {"p50": 0.5, "p90": 0.9}, ceil=True)
 
 
@@ -166,7 +227,7 @@ SELECT dimension, band::INTEGER AS band, len(v) AS n, v[CAST(ceil(len(v) * 0.5)
 def theoretical_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """theoretical_overlap of every variant: by variant, intervals, covered starts and the mean coverage."""
     end = market.quotes(spark, sf_dir).agg(F.max("ns")).first()[0] or 0
-    rows = netsignal.overlap(research_queries._intervals(spark, sf_dir), common.episode_table(spark, sf_dir), HOUR, end)
+    rows = netsignal.overlap(research_queries._intervals(spark, sf_dir), common.episode_store(spark, sf_dir).episodes(), HOUR, end)
     return rows.groupBy("variant").agg(F.count("*").alias("n"), F.count_if("start_covered").alias("covered_starts"), F.floor(F.sum("coverage") / F.count("*")).cast("long").alias("mean_coverage"))
 
 
@@ -187,6 +248,7 @@ def route_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROUTE_SQL = f"WITH {pricing_queries.MATCHED} SELECT pair, buy, sell, notional, gross, net, gross IS NULL AS insufficient_depth FROM mr WHERE pair = 'P1-USD' AND buy = 'v0' AND sell = 'v2'"
 
 QUERIES = {
+    "store_retention": (store_retention, RETENTION_SQL),
     "fill_sessions": (fill_sessions, SESSIONS_SQL),
     "fill_upsert": (fill_upsert, UPSERT_SQL),
     "fill_rate_by_config": (fill_rate_by_config, BY_CONFIG_SQL),

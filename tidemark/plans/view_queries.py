@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, audits, book
-from tidemark.plans import common, market_queries, research_queries, sequencing_queries
+from tidemark.plans import audit_queries, common, market_queries, research_queries, sequencing_queries
 from tidemark.session import shared_path
 from tidemark.sources import datasets, market
 
@@ -96,17 +96,15 @@ SELECT pair, venue, session::BIGINT AS session, min(ns) AS start_ns, max(ns) AS
 
 
 def snapshot_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests and responses of equal book, purpose and connection generation, first to first."""
+    """Requests with the first unused response at or after them of equal book, purpose and connection generation."""
     rows = market.quotes(spark, sf_dir).withColumn("block", F.floor(F.col("ns") / DAY).cast("long"))
     gens = asof.running(rows, book.BOOK, ["ns", "event_id"], {"generation": ("sum", (F.col("kind") == "reset").cast("int"), True)})
     gens = gens.where("kind <> 'reset'").withColumn("purpose", F.when(F.col("event_id") % 2 == 0, "audit").otherwise("resync"))
-    return audits.ranked_match(gens.where("event_id % 5 = 0"), gens.where("kind = 'snapshot'"), [*book.BOOK, "purpose", "generation"], ["ns", "event_id"])
+    return audits.first_unused(gens.where("event_id % 5 = 0"), gens.where("kind = 'snapshot'"), [*book.BOOK, "purpose", "generation"])
 
 
-REQUESTS_SQL = f"""WITH {Q}, g AS (SELECT *, (sum(CASE WHEN kind = 'reset' THEN 1 ELSE 0 END) OVER (PARTITION BY pair, venue ORDER BY ns, event_id))::BIGINT AS generation, CASE WHEN event_id % 2 = 0 THEN 'audit' ELSE 'resync' END AS purpose FROM q
-), a AS (SELECT pair, venue, purpose, generation, ns, row_number() OVER (PARTITION BY pair, venue, purpose, generation ORDER BY ns, event_id) AS rank FROM g WHERE kind <> 'reset' AND event_id % 5 = 0
-), b AS (SELECT pair, venue, purpose, generation, ns, row_number() OVER (PARTITION BY pair, venue, purpose, generation ORDER BY ns, event_id) AS rank FROM g WHERE kind = 'snapshot')
-SELECT pair, venue, purpose, generation, rank, a.ns AS request_ns, b.ns AS response_ns FROM a LEFT JOIN b USING (pair, venue, purpose, generation, rank)"""
+REQUESTS_SQL = f"""WITH RECURSIVE {Q}, g AS (SELECT *, (sum(CASE WHEN kind = 'reset' THEN 1 ELSE 0 END) OVER (PARTITION BY pair, venue ORDER BY ns, event_id))::BIGINT AS generation, CASE WHEN event_id % 2 = 0 THEN 'audit' ELSE 'resync' END AS purpose FROM q
+), a0 AS (SELECT * FROM g WHERE kind <> 'reset' AND event_id % 5 = 0), b0 AS (SELECT * FROM g WHERE kind = 'snapshot'), {audit_queries.line_sql(["pair", "venue", "purpose", "generation"], "a0", "b0")}"""
 
 
 def rebuild_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
