@@ -292,7 +292,25 @@ def capture_frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRAME_COUNTS_SQL = f"WITH {FRAMES} SELECT kind, count(*) AS attempted, count(*) FILTER (event_id % 53 <> 0 AND event_id % 59 <> 0) AS accepted, count(*) FILTER (event_id % 53 = 0) AS queue_full, count(*) FILTER (event_id % 53 <> 0 AND event_id % 59 = 0) AS writer_closed FROM fr GROUP BY kind"
 
-def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def capture_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames recorded as captures whose footers come from what was written, and read back: v0 loses every 53rd frame to a
+    full queue and every 59th to a closed writer; v1's snapshots come without provenance for every third."""
+    n = F.col("event_id")
+    rows = _frames(spark, sf_dir).withColumn("reason", F.when((F.col("exchange") == "v0") & (n % 53 == 0), "queue_full").when((F.col("exchange") == "v0") & (n % 59 == 0), "writer_closed"))
+    told = F.when((F.col("kind") == "snapshot") & ~((F.col("exchange") == "v1") & (n % 3 == 0)), F.struct(F.lit("resync").alias("purpose"), "pair", F.lit(1).cast("long").alias("connection_generation")))
+    frames = rows.select("exchange", "kind", F.col("ns").alias("wall_ns"), F.col("ns").alias("mono_ns"), F.when(F.col("kind") == "ws", "{}").alias("raw"), F.when(F.col("kind") == "snapshot", "{}").alias("payload"), F.when(F.col("kind") == "connection", F.col("connected")).alias("connected"), told.alias("snapshot_provenance"), "reason")
+    path = shared_path(spark, "recorded")
+    capture.record(frames, path, list(market.VENUES), 0, gzip=True)
+    records = capture.read(spark, path)
+    found = capture.integrity(records.withColumn("file", F.regexp_extract("file", r"exchange=(\w+)", 1)), allow_lossy=True)
+    return found.select(F.col("file").alias("exchange"), "frames", "provenance", "verdict")
+
+
+RECORDED_SQL = f"""WITH {FRAMES}, k AS (SELECT *, exchange = 'v0' AND (event_id % 53 = 0 OR event_id % 59 = 0) AS lost, kind = 'snapshot' AND exchange = 'v1' AND event_id % 3 = 0 AS bare FROM fr)
+SELECT exchange, count(*) FILTER (NOT lost) AS frames, CASE WHEN bool_or(bare AND NOT lost) THEN 'incomplete' ELSE 'complete' END AS provenance, CASE WHEN bool_or(lost) THEN 'lossy' ELSE 'lossless' END AS verdict FROM k GROUP BY exchange"""
+
+
+def _link_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes as frames of a connection: every 97th takes its book's link down and every 89th brings it up; of snapshots
     asked for, every 5th has no answer and every 3rd is older than the last update; every 11th update skips an id, as does one after a reset."""
     rows = market.quotes(spark, sf_dir).withColumn("block", block_of(F.col("ns"), market.NS_DAY))
@@ -310,7 +328,7 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replay_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each frame: applied, buffered, skipped, a resync, a retry, or a reconnect."""
-    return recovery.replay(_frames(spark, sf_dir))
+    return recovery.replay(_link_frames(spark, sf_dir))
 
 
 RECOVERY_SQL = f"""WITH RECURSIVE {Q}, fr AS (
@@ -332,6 +350,7 @@ RECOVERY_SQL = f"""WITH RECURSIVE {Q}, fr AS (
 ) SELECT event_id, pair, venue, ns, frame, outcome, CASE WHEN mode = 'waiting' THEN 'waiting:' || attempt ELSE mode END AS state, resyncs FROM st WHERE n > 0"""
 
 QUERIES = {
+    "capture_recorded": (capture_recorded, RECORDED_SQL),
     "replay_recovery": (replay_recovery, RECOVERY_SQL),
     "sequencing_apply": (sequencing_apply, APPLY_SQL),
     "resync_requests": (resync_requests, REQUESTS_SQL),

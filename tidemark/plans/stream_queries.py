@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans import common, market_queries
-from tidemark.session import table
-from tidemark.sources import market
+from tidemark.session import shared_path, table
+from tidemark.sources import market, metrics
 from tidemark.streaming import books, episodes, levels
 
 
@@ -69,6 +69,38 @@ def stream_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.newest(books.run_to_table(found, spark, "stream-depth"))
 
 
+def _metrics() -> metrics.Metrics:
+    reasons = ["ok", "adapter_reset", "disconnected", "snapshot_incomplete", "snapshot_crossed", "book_stale", "out_of_order", "sequence_gap", "crossed_book", "book_incomplete"]
+    return metrics.Metrics({"updates_total": {r: F.col("reason") == r for r in reasons}}, {"chain_length": (F.col("chain"), CHAIN_EDGES)})
+
+
+CHAIN_EDGES = [5, 20, 80]
+
+
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of reasons and a histogram of chain numbers, of a batch run and a streaming run over the same feed."""
+    out = None
+    for run in ("batch", "stream"):
+        registry = metrics.Registry()
+        if run == "batch":
+            rows = common.applied(spark, sf_dir).where(~F.col("kind").isin("down", "up"))
+            metrics.batch(rows, _metrics(), registry, lambda df: df.write.format("noop").mode("overwrite").save())
+        else:
+            rows = books.reasons(market.feed_of(_events(spark, sf_dir))).where(~F.col("reason").isin("link_down", "link_up"))
+            metrics.stream(rows, _metrics(), registry, "updates", lambda df: books.started(df, shared_path(spark, "run-metrics")))
+        one = registry.rows(spark).select(F.lit(run).alias("run"), "metric", "label", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_OF = "SELECT reason, chain FROM ap WHERE kind NOT IN ('down', 'up')"
+METRICS_SQL = f"""WITH {common.APPLIED}, o AS ({_OF}), m AS (
+  SELECT 'updates_total' AS metric, label, count(o.reason) AS value FROM (SELECT unnest(['ok', 'adapter_reset', 'disconnected', 'snapshot_incomplete', 'snapshot_crossed', 'book_stale', 'out_of_order', 'sequence_gap', 'crossed_book', 'book_incomplete']) AS label) l LEFT JOIN o ON o.reason = l.label GROUP BY label
+  UNION ALL SELECT 'chain_length_bucket', e::VARCHAR, count(*) FILTER (chain <= e) FROM o, (SELECT unnest({CHAIN_EDGES}) AS e) GROUP BY e
+  UNION ALL SELECT 'chain_length_bucket', '+Inf', count(chain) FROM o UNION ALL SELECT 'chain_length_sum', '', sum(chain)::BIGINT FROM o)
+SELECT run, m.* FROM m, (VALUES ('batch'), ('stream')) r(run)"""
+
+
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.rollup_to_table(market.quotes_of(_events(spark, sf_dir)), spark, market.NS_HOUR, "stream-rollup")
 
@@ -88,6 +120,7 @@ QUERIES = {
     "stream_books": (stream_books, BOOKS_SQL),
     "stream_reasons": (stream_reasons, market_queries.REASONS_SQL),
     "stream_episodes": (stream_episodes, EPISODES_SQL),
+    "run_metrics": (run_metrics, METRICS_SQL),
     "stream_lapses": (stream_lapses, LAPSES_SQL),
     "stream_depth": (stream_depth, market_queries.DEPTH_SQL),
     "stream_rollup": (stream_rollup, ROLLUP_SQL),

@@ -6,7 +6,9 @@ by their monotonic time and connection before snapshot before message.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = (
@@ -75,3 +77,34 @@ def integrity(records: DataFrame, allow_lossy: bool = False) -> DataFrame:
 def write(lines: DataFrame, path: str, gzip: bool = False) -> None:
     """Lines (line) as text files."""
     lines.select("line").write.option("compression", "gzip" if gzip else "none").text(path)
+
+
+#: Why a writer drops a frame.
+REASONS = ("queue_full", "writer_closed", "writer_failed", "serialization_error")
+
+
+def record(frames_: DataFrame, path: str, exchanges: list[str], started_wall_ns: int, gzip: bool = False) -> None:
+    """Write frames as one capture for each exchange, in folders exchange=<name>. frames_: RECORD's columns of frames and
+    `reason`, why a frame was dropped, else null.
+
+    What a footer says is observed while the frames are written, so it counts what this run let through and lost, and
+    nothing is read twice. A run that dies leaves no footer."""
+    spark = frames_.sparkSession
+    own = [c for c in frames_.columns if c != "reason"]
+    counts = {f"{what}|{e}|{k}": F.count_if((F.col("exchange") == e) & (F.col("kind") == k) & c) for e in exchanges for k in KINDS for what, c in [("accepted", F.col("reason").isNull()), *[(r, F.col("reason") == r) for r in REASONS]]}
+    seen = Observation()
+    lines = frames_.observe(seen, *[c.alias(n) for n, c in counts.items()]).where("reason is null")
+    lines = lines.select("exchange", F.to_json(F.struct(F.lit("frame").alias("type"), *own)).alias("line"))
+    packed = "gzip" if gzip else "none"
+    lines.write.partitionBy("exchange").option("compression", packed).text(path)
+    got, edges = seen.get, []
+    for e in exchanges:
+        accepted = {k: got[f"accepted|{e}|{k}"] for k in KINDS}
+        dropped = {k: {r: got[f"{r}|{e}|{k}"] for r in REASONS if got[f"{r}|{e}|{k}"]} for k in KINDS}
+        lost = {k: sum(d.values()) for k, d in dropped.items()}
+        total = sum(accepted.values())
+        header = {"type": "header", "format": "capture", "version": 2, "exchanges": {e: []}, "started_wall_ns": started_wall_ns}
+        frame_counts = {"attempted": total + sum(lost.values()), "accepted": total, "flushed": total, "attempted_by_kind": {k: accepted[k] + lost[k] for k in KINDS}, "accepted_by_kind": accepted, "dropped": {k: d for k, d in dropped.items() if d}}
+        footer = {"type": "footer", "frame_count": total, "counts": accepted, "clean": True, "status": "complete", "frame_counts": frame_counts}
+        edges += [(e, json.dumps(x)) for x in (header, footer)]
+    spark.createDataFrame(edges, "exchange string, line string").coalesce(1).write.mode("append").partitionBy("exchange").option("compression", packed).text(path)

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.book import LINKS
@@ -99,15 +100,15 @@ def run_into(stream: DataFrame, path: str) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, ROCKSDB)
     try:
-        _run(stream, path)
+        started(stream, path).awaitTermination()
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def _run(stream: DataFrame, path: str) -> None:
-    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+def started(stream: DataFrame, path: str) -> StreamingQuery:
+    """A query over all that is there now, to Parquet with a checkpoint in a folder."""
+    return stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
 
 
 def rollup_to_table(quotes: DataFrame, spark: SparkSession, width: int, name: str) -> DataFrame:
