@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, audits, book
+from tidemark.operators import asof, audits, book, episodes, routes
 from tidemark.plans import audit_queries, common, market_queries, research_queries, sequencing_queries
-from tidemark.session import shared_path
-from tidemark.sources import datasets, market
+from tidemark.session import settled, shared_path
+from tidemark.sources import capture, datasets, market, replay
 
 Q, T, E = common.QUOTES, common.TRUSTED, common.EPISODES
 DAY, HOUR = market.NS_DAY, market.NS_HOUR
@@ -118,6 +118,28 @@ CAUSES_SQL = f"""{_TERMINATORS} SELECT pair, venue, reason, count(*) AS n FROM r
 GROUP BY GROUPING SETS ((reason), (pair, reason), (venue, reason))"""
 
 
+def replay_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed recorded as a capture of three venues, read back, decoded, and taken through acceptance, routes and
+    episodes: how many episodes each pair has, and a digest of all of them in order."""
+    path = shared_path(spark, "replayed")
+    capture.record(replay.frames(common.feed(spark, sf_dir), market.PAIRS), path, list(market.VENUES), 0, gzip=True)
+    records = capture.read(spark, path)
+    events = settled(replay.events(capture.frames(records).where("wrong is null"), market.PAIRS), "events")
+    tops = book.tops_over_time(book.apply_reasons(events, links=True))
+    aligned = routes.aligned(book.with_expiries(tops, common.MAX_AGE, common.BLOCK), market.VENUES, common.BLOCK)
+    found = settled(episodes.episodes(routes.route_rows(aligned, market.VENUES, common.MAX_AGE, common.THRESHOLD)), "replayed-episodes")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    line = F.concat_ws("|", *map(text, _REPLAYED))
+    marks = audits.digest(found, "pair", F.floor(F.col("start_ns") / DAY).cast("long"), line, ["start_ns", "id"])
+    return found.groupBy("pair").agg(F.count("*").alias("episodes")).join(marks, "pair")
+
+
+_REPLAYED = ["id", "buy", "sell", "start_ns", "end_ns", "close_reason", "buy_price", "sell_price", "max_size", "open_spread", "peak_ns", "peak_spread", "peak_size", "peak_profit", "close_spread"]
+REPLAY_SQL = f"""WITH {E}, l AS (SELECT pair, start_ns, id, concat_ws('|', {", ".join(f"coalesce({c}::VARCHAR, '-')" for c in _REPLAYED)}) AS line FROM ep
+), b AS (SELECT pair, start_ns // {DAY} AS block, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY start_ns, id)) AS h FROM l GROUP BY ALL)
+SELECT pair, sum(n)::BIGINT AS episodes, sha256(string_agg(h, chr(10) ORDER BY block)) AS digest FROM b GROUP BY pair"""
+
+
 def research_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The datasets of a research run written as JSON lines, and how many rows each has when it is read back."""
     made = {
@@ -142,6 +164,7 @@ UNION ALL SELECT 'net_signal', (SELECT count(*) FROM ({research_queries.SIGNAL_S
 UNION ALL SELECT 'ticks', (SELECT count(*) FROM ({research_queries.TICKS_SQL})) UNION ALL SELECT 'transitions', (SELECT count(*) FROM ({_TRANSITIONS}))"""
 
 QUERIES = {
+    "replay_capture": (replay_capture, REPLAY_SQL),
     "depth_eligible": (depth_eligible, DEPTH_SQL),
     "pair_spreads": (pair_spreads, SPREADS_SQL),
     "episode_clocks": (episode_clocks, CLOCKS_SQL),
