@@ -7,20 +7,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import preceding, running
+from tidemark.operators.asof import following, preceding, running
 from tidemark.session import settled
 
 LEVEL = ["pair", "side", "price"]
 
 
-def book_at(actions: DataFrame, targets: DataFrame) -> DataFrame:
-    """(id, side, price, size, action_id): the levels of each target's book at its very update id, deleted ones
-    with size 0. actions: (pair, side, price, size, update_id); targets: (id, pair, at_id), few by pair.
+def book_at(actions: DataFrame, targets: DataFrame, width: int) -> DataFrame:
+    """(id, pair, side, price, size, action_id): the levels of each target's book at its very update id, deleted ones
+    with size 0. actions: (pair, side, price, size, update_id); targets: (id, pair, at_id).
 
-    Of actions of one id a deletion counts last.
+    Of actions of one id a deletion counts last. A level's state holds from its action to the next of its price, so
+    states and targets meet by pair and bin of `width` ids, and the history is read once however many targets there are.
     """
-    before = actions.join(F.broadcast(targets), "pair").where("update_id <= at_id")
-    return before.groupBy("id", "pair", "side", "price").agg(F.max(F.struct("update_id", (F.col("size") <= 0).alias("gone"), "size")).alias("a")).select("id", "pair", "side", "price", F.col("a.size").alias("size"), F.col("a.update_id").alias("action_id"))
+    said = actions.groupBy(*LEVEL, "update_id").agg(F.max(F.struct((F.col("size") <= 0).alias("gone"), "size")).alias("a")).select(*LEVEL, "update_id", F.col("a.size").alias("size"))
+    bin_ = lambda c: F.floor(c / width).cast("long")
+    rows = settled(said.withColumn("block", bin_(F.col("update_id") / 16)), "actions")
+    states = following(rows, LEVEL, ["update_id"], F.col("update_id"), "to_id").drop("block")
+    last = targets.groupBy("pair").agg(F.max("at_id").alias("last"))
+    until = F.least(F.col("to_id") - 1, F.col("last"))  # least() passes over a null, the end of a level's last state
+    binned = states.join(last, "pair").where(until >= F.col("update_id")).withColumn("bin", F.explode(F.sequence(bin_(F.col("update_id")), bin_(until))))
+    met = binned.join(targets.withColumn("bin", bin_(F.col("at_id"))), ["pair", "bin"]).where("update_id <= at_id and (to_id is null or at_id < to_id)")
+    return met.select("id", "pair", "side", "price", "size", F.col("update_id").alias("action_id"))
 
 
 def snapshot_comparison(snapshot: DataFrame, stream: DataFrame, traded: DataFrame) -> DataFrame:

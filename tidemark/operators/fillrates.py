@@ -25,7 +25,7 @@ def samples(quotes: DataFrame, roster: DataFrame, ticks: DataFrame, notionals: D
     quotes: (pair, venue, ns, event_id, initialized, connected, bid, ask, bid_size, ask_size), what each row leaves of
     its book. The roster, ticks and notionals are small and span the result.
     """
-    books = ticks.crossJoin(F.broadcast(roster))
+    books = ticks.crossJoin(roster)
     state = asof_join(books, quotes, BOOK, "tick", "ns", ["event_id"], ["ns", "initialized", "connected", "bid", "ask", "bid_size", "ask_size"], block)
     why = eligibility(F.col("ns"), F.col("connected"), F.col("initialized"), F.col("initialized"), F.col("tick") - F.col("ns"), F.col("bid"), F.col("ask"), max_age)
     sides = F.explode(F.array(F.struct(F.lit("buy").alias("side"), (F.col("ask") * F.col("ask_size")).alias("depth")), F.struct(F.lit("sell").alias("side"), (F.col("bid") * F.col("bid_size")).alias("depth"))))

@@ -78,7 +78,7 @@ def part_of(time: Column, start: Column, end: Column, parts: int) -> Column:
 
 def shifted(returns_: DataFrame, shifts: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
     """Series moved around the circle of their bounds by each shift; intervals that straddle its end go."""
-    rows = returns_.join(F.broadcast(bounds), keys).crossJoin(F.broadcast(shifts))
+    rows = returns_.join(bounds, keys).crossJoin(F.broadcast(shifts))
     span = F.col("hi") - F.col("lo")
     at = lambda c: F.pmod(F.col(c) - F.col("lo") + F.col("shift"), span) + F.col("lo")
     out = rows.select(*keys, "shift", at("start_ns").alias("start_ns"), (at("start_ns") + F.col("end_ns") - F.col("start_ns")).alias("end_ns"), "value", "hi")

@@ -14,10 +14,13 @@ Q, T = common.QUOTES, common.TRUSTED
 DAY, HOUR = market.NS_DAY, market.NS_HOUR
 #: Update ids at which snapshots are taken, and how many rows a snapshot leaves out.
 AT_IDS = (20_000, 100_000, 200_000)
+#: Update ids of one bin in which levels and snapshots meet.
+ID_WIDTH = 20_000
 
 
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market.levels(spark, sf_dir).where("venue = 'v0'").select("pair", "side", "price", "size", F.col("seq").alias("update_id"), "ns")
+    """Level updates of every book, `pair` being its pair and venue."""
+    return market.levels(spark, sf_dir).select(F.concat_ws("/", "pair", "venue").alias("pair"), "side", "price", "size", F.col("seq").alias("update_id"), "ns")
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +32,13 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(what a REST snapshot shows, which missed every 19th action; the stream's books at the same ids)."""
     actions, targets = _actions(spark, sf_dir), _targets(spark, sf_dir)
-    rest = comparisons.book_at(actions.where("update_id % 19 <> 0"), targets).where("size > 0")
-    return rest, comparisons.book_at(actions, targets)
+    rest = comparisons.book_at(actions.where("update_id % 19 <> 0"), targets, ID_WIDTH).where("size > 0")
+    return rest, comparisons.book_at(actions, targets, ID_WIDTH)
 
 
 ACTIONS = (
     common.LEVELS
-    + f""", ac AS (SELECT pair, side, price, size, seq AS update_id, ns FROM lv WHERE venue = 'v0'
+    + f""", ac AS (SELECT pair || '/' || venue AS pair, side, price, size, seq AS update_id, ns FROM lv
 ), tg AS (SELECT pair || '@' || at_id AS id, pair, at_id FROM (SELECT DISTINCT pair FROM ac), (VALUES {", ".join(f"({x})" for x in AT_IDS)}) t(at_id)
 ), bk AS (SELECT id, pair, side, price, arg_max(size, (update_id, size <= 0)) AS size FROM ac JOIN tg USING (pair) WHERE update_id <= at_id GROUP BY ALL
 ), rt AS (SELECT id, pair, side, price, arg_max(size, (update_id, size <= 0)) AS size FROM ac JOIN tg USING (pair) WHERE update_id <= at_id AND update_id % 19 <> 0 GROUP BY ALL
@@ -81,7 +84,7 @@ SELECT outcome, CASE WHEN r = 0 THEN 'best' WHEN r <= 4 THEN '1-4' WHEN r <= 19
 
 
 def drift_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """v0's books, which missed every 23rd action, against fresh ones; a price not mentioned for two years is stale."""
+    """Books that missed every 23rd action, against fresh ones; a price not mentioned for two years is stale."""
     actions = _actions(spark, sf_dir)
     key = ["pair", "side", "price"]
     levels = lambda rows: rows.groupBy(*key).agg(F.max_by("size", "update_id").alias("size")).where("size > 0")
@@ -99,7 +102,7 @@ SELECT pair, drift, count(*) AS n FROM e GROUP BY GROUPING SETS ((pair, drift),
 
 
 def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of consecutive weeks in which a price of v0 got no lot of less than 20, as disagreements that last."""
+    """Runs of consecutive weeks in which a book's price got no lot of less than 20, as disagreements that last."""
     rows = _actions(spark, sf_dir).select("pair", "side", "price", F.floor(F.col("ns") / (7 * DAY)).cast("long").alias("week"), "size").groupBy("pair", "side", "price", "week").agg(F.min("size").alias("least")).where("least >= 20")
     return comparisons.run_lengths(rows, ["pair", "side", "price"], "week")
 
