@@ -52,3 +52,19 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, fractions: dict[st
     rank = lambda f: F.ceil(F.col("n") * F.lit(f)) if ceil else F.least(F.col("n"), F.floor(F.col("n") * F.lit(f)) + 1)
     at = lambda f: F.min(F.when(F.col("upto") >= rank(f), F.col(value)))
     return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[at(f).alias(name) for name, f in fractions.items()], F.max(value).alias("longest"))
+
+
+def window_summary(by_minute: DataFrame, lives: DataFrame) -> DataFrame:
+    """One row of a window's statistics from its rollup by minute (whole minutes and the rest of a partial one) and its
+    closed episodes (life): count, widest and mean spread, profit by quote as name=value, the busiest pair (ties to the
+    least), the busiest minute (ties to the latest), and lifetimes. Windows without episodes have null in all but the count."""
+    total = by_minute.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("max_spread").alias("max_spread"), F.floor(F.try_divide(F.sum("sum_spread"), F.sum("n"))).cast("long").alias("mean_spread"))
+    profits = by_minute.groupBy("quote").agg(F.sum("sum_profit").alias("p"))  # as many rows as quote assets
+    profit = profits.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "quote", F.col("p").cast("string")))), ";").alias("profit"))
+    pair = most_common(by_minute.groupBy("pair").agg(F.sum("n").alias("n")), "pair", latest=False).agg(F.max("pair").alias("top_pair"), F.max("n").alias("top_n"))
+    minute = most_common(by_minute.groupBy("bucket_ns").agg(F.sum("n").alias("n")), "bucket_ns", latest=True).agg(F.max("bucket_ns").alias("peak_minute_ns"), F.max("n").alias("peak_n"))
+    life = percentiles(lives.withColumn("all", F.lit(1)), ["all"], "life", {"p50": 0.5, "p90": 0.9}).agg(F.coalesce(F.max("n"), F.lit(0)).alias("closed"), F.max("p50").alias("life_p50"), F.max("p90").alias("life_p90"), F.max("longest").alias("life_max"))
+    out = total
+    for one in (profit, pair, minute, life):  # one row each
+        out = out.crossJoin(one)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import history, stats
-from tidemark.plans import common
+from tidemark.plans import common, market_queries
 from tidemark.sources import market
 
 E = common.EPISODES
@@ -65,6 +65,45 @@ def peak_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 PEAK_SQL = f"WITH {E} SELECT start_ns // {market.NS_MINUTE} * {market.NS_MINUTE} AS bucket_ns, count(*) AS n FROM ep GROUP BY ALL ORDER BY n DESC, bucket_ns DESC LIMIT 1"
 
 
+SINCE = 1_705_019_430 * 10**9
+
+
+def system_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics of the window from 2024-01-12 00:30:30 on in one row: what the first, partial minute has comes from its
+    episodes, whole minutes from the rollup, and lifetimes from the window's episodes."""
+    held = common.episode_store(spark, sf_dir)
+    whole = (SINCE + market.NS_MINUTE - 1) // market.NS_MINUTE * market.NS_MINUTE
+    by_minute = stats.rollup(held.episodes(SINCE, whole), market.NS_MINUTE).unionByName(held.rollup(whole))
+    lives = held.episodes(SINCE).where("end_ns is not null").select((F.col("end_ns") - F.col("start_ns")).alias("life"))
+    return stats.window_summary(by_minute, lives)
+
+
+_OF = f"(SELECT * FROM ep WHERE start_ns >= {SINCE})"
+STATS_SQL = f"""WITH {E}, w AS {_OF}, p AS (SELECT quote, sum(peak_profit) AS p FROM w GROUP BY quote), l AS (SELECT list(end_ns - start_ns ORDER BY end_ns - start_ns) AS v FROM w WHERE end_ns IS NOT NULL
+), t AS (SELECT pair, count(*) AS n FROM w GROUP BY pair ORDER BY n DESC, pair LIMIT 1), m AS (SELECT start_ns // {market.NS_MINUTE} * {market.NS_MINUTE} AS b, count(*) AS n FROM w GROUP BY b ORDER BY n DESC, b DESC LIMIT 1)
+SELECT count(*) AS n, max(peak_spread) AS max_spread, CAST(floor(sum(peak_spread) / count(*)) AS BIGINT) AS mean_spread, (SELECT string_agg(quote || '=' || p, ';' ORDER BY quote || '=' || p) FROM p) AS profit,
+  (SELECT pair FROM t) AS top_pair, (SELECT n FROM t) AS top_n, (SELECT b FROM m) AS peak_minute_ns, (SELECT n FROM m) AS peak_n, (SELECT coalesce(len(v), 0) FROM l) AS closed,
+  (SELECT v[1 + least(len(v) - 1, CAST(floor(len(v) * 0.5) AS BIGINT))] FROM l) AS life_p50, (SELECT v[1 + least(len(v) - 1, CAST(floor(len(v) * 0.9) AS BIGINT))] FROM l) AS life_p90, (SELECT v[-1] FROM l) AS life_max FROM w"""
+
+
+def system_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of the system in one row: open episodes, those of the last 24 hours with their widest spread, and how many
+    books can be used; ready if every venue has such a book."""
+    held = common.episode_store(spark, sf_dir)
+    found = held.episodes()
+    last = found.agg(F.max("start_ns").alias("now"))
+    day = found.crossJoin(F.broadcast(last)).agg(F.count_if(F.col("end_ns").isNull() & F.col("close_reason").isNull()).alias("open"), F.count_if(F.col("start_ns") >= F.col("now") - market.NS_DAY).alias("last_day"), F.max(F.when(F.col("start_ns") >= F.col("now") - market.NS_DAY, F.col("peak_spread"))).alias("widest"))
+    books = market_queries.eligibility_ladder(spark, sf_dir).where(F.col("venue").isin(list(market.VENUES)))
+    good = F.col("status") == "eligible"
+    usable = books.agg(F.count_if(good).alias("usable_books"), F.count("*").alias("books"), F.count_distinct(F.when(good, F.col("venue"))).alias("v"))
+    return day.crossJoin(usable).select("open", "last_day", "widest", "usable_books", "books", (F.col("v") == len(market.VENUES)).alias("ready"))
+
+
+OVERVIEW_SQL = f"""WITH {E}, n AS (SELECT max(start_ns) AS now FROM ep), b AS (SELECT * FROM ({market_queries.LADDER_SQL}) WHERE venue IN (SELECT unnest({list(market.VENUES)})))
+SELECT count(*) FILTER (end_ns IS NULL AND close_reason IS NULL) AS open, count(*) FILTER (start_ns >= now - {market.NS_DAY}) AS last_day, max(peak_spread) FILTER (start_ns >= now - {market.NS_DAY}) AS widest,
+  (SELECT count(*) FROM b WHERE status = 'eligible') AS usable_books, (SELECT count(*) FROM b) AS books, (SELECT count(DISTINCT venue) FROM b WHERE status = 'eligible') = {len(market.VENUES)} AS ready FROM ep, n"""
+
+
 def timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucket = stats.floor_to(F.col("start_ns"), 6 * market.NS_HOUR).alias("bucket_ns")
     return common.episode_store(spark, sf_dir).episodes().groupBy(bucket).agg(F.count("*").alias("n"), F.max("peak_spread").alias("max_spread"))
@@ -210,6 +249,8 @@ def prune_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRUNE_ROLLUP_SQL = f"WITH {E}, kept AS (SELECT * FROM ep WHERE start_ns >= {_CUTOFF}) {_rollup_sql('kept', market.NS_HOUR)}"
 
 QUERIES = {
+    "system_stats": (system_stats, STATS_SQL),
+    "system_overview": (system_overview, OVERVIEW_SQL),
     "minute_rollup": (minute_rollup, ROLLUP_SQL),
     "window_stats": (window_stats, WINDOWS_SQL),
     "rollup_window": (rollup_window, ROLLUP_WINDOW_SQL),
