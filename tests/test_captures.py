@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import capture, metrics
+from tidemark.operators import stats
+from tidemark.sources import capture, metrics, replay
 from tidemark.streaming import books
 
 FRAMES = "exchange string, kind string, wall_ns long, mono_ns long, raw string, payload string, connected boolean, reason string"
@@ -57,3 +58,23 @@ def test_metrics_of_a_batch_and_of_a_stream_of_several_batches(spark, tmp_path):
     metrics.stream(feed, made, many, "sizes", lambda df: books.started(df, str(tmp_path / "out")))
     assert one.totals == many.totals == want
     assert sorted(map(tuple, many.rows(spark).collect())) == sorted((n, label, v) for (n, label), v in want.items())
+
+
+def test_a_replayed_feed_is_the_feed(spark):
+    rows = [(1, "P", "v0", 10, "snapshot", 9, 11, 1, 2, 1), (2, "P", "v1", 10, "snapshot", 9, 11, 1, 2, 1), (3, "Q", "v2", 11, "snapshot", 9, None, 1, None, 1), (4, "P", "v0", 12, "delta", None, 12, None, 3, 2), (5, "Q", "v2", 13, "delta", 8, 9, 4, 5, 3)]
+    rows += [(6, "P", "v1", 14, "delta", 7, 8, 6, 5, 2), (7, "Q", "v2", 15, "reset", 1, 2, 3, 4, 9), (8, "P", "v1", 17, "down", *[None] * 5), (8, "Q", "v1", 17, "down", *[None] * 5)]
+    schema = "event_id long, pair string, venue string, ns long, kind string, bid long, ask long, bid_size long, ask_size long, seq long"
+    pairs = ("P", "Q")
+    made = replay.frames(spark.createDataFrame(rows, schema), pairs)
+    assert sorted(r.kind for r in made.collect()) == ["connection", *["snapshot"], *["ws"] * 6]
+    got = sorted(map(tuple, replay.events(made, pairs).collect()), key=repr)
+    want = [(*r[:5], *[None] * 5) if r[4] == "reset" else r for r in rows]
+    assert got == sorted(want, key=repr)
+    other = spark.createDataFrame([("v0", "ws", 1, t, None) for t in ("{}", "not json", '{"id": "resync:P:unsubscribe:4", "status": 400}', '{"id": 7, "status": 200}')], "exchange string, kind string, mono_ns long, raw string, payload string")
+    assert replay.events(other.withColumn("connected", F.lit(True)).withColumn("connection_generation", F.lit(1).cast("long")), pairs).count() == 0
+
+
+def test_a_window_without_episodes(spark):
+    minutes = spark.createDataFrame([], "bucket_ns long, pair string, quote string, n long, max_spread long, sum_spread long, sum_profit long")
+    (row,) = stats.window_summary(minutes, spark.createDataFrame([], "life long")).collect()
+    assert (row.n, row.closed, row.profit) == (0, 0, "") and {row.max_spread, row.mean_spread, row.top_pair, row.peak_minute_ns, row.life_p50} == {None}
