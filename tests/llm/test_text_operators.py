@@ -132,23 +132,29 @@ def test_lm_probabilities_of_all_words_sum_to_one(spark):
 def test_lm_scores_do_not_depend_on_how_rows_are_split(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, 60, 400)) for i in range(300)]
-    runs = [lm_scoring.score(table(spark, rows).repartition(n), words=6, endings=2, dim=8, group=2000).collect() for n in (1, 8, 32)]
+    runs = [lm_scoring.score(table(spark, rows).repartition(n), words=6, endings=2, dim=8, group=4000).collect() for n in (1, 8, 32)]
     first, *others = ({r.doc_id: r.score for r in x} for x in runs)
     assert all(x[i] == pytest.approx(first[i], rel=1e-9) for x in others for i in first)
 
 
-def test_lm_shares_are_all_occurrences_dealt_evenly(spark):
-    counts = [(7, 100_001), (8, 1), (9, 8), (10, 9), *[(20 + i, 1 + i % 30) for i in range(500)]]
-    got = lm_scoring.shares_of(spark.createDataFrame(counts, "code long, c long"), group=900).collect()
-    sums, sizes = Counter(), []
+def test_lm_groups_hold_all_triples_and_copies_are_dealt_evenly(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randint(0, 40), 60)) for i in range(300)] + [(1000 + i, "a b a b c") for i in range(500)] + [(2000, None), (2001, "")]
+    train = table(spark, rows).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    counts = train.mapInArrow(lm_scoring._count, "h long, e int, c long").groupBy("h").agg(F.min("e").alias("e"), F.sum("c").alias("c"))
+    classes = lm_scoring.classes_of(counts, 4, 2)
+    got = lm_scoring.groups_of(train, classes, 900).collect()
+    found = Counter()
     for r in got:
-        code, n, w = np.frombuffer(r.code, "<i8"), np.frombuffer(r.shares, "<i8"), np.frombuffer(r.weight)
-        assert (w <= lm_scoring.TOGETHER).all() and (np.diff(code) > 0).all()
-        sizes.append(n.sum())
-        for c, x in zip(code.tolist(), (n * w).tolist()):
-            sums[c] += x
-    assert {c: round(x, 6) for c, x in sums.items()} == dict(counts)
-    assert len(got) == -(-sum(-(-c // lm_scoring.TOGETHER) for _, c in counts) // 900) and max(sizes) < 1.1 * min(sizes)
+        code, n = np.frombuffer(r.code, "<i8"), np.frombuffer(r.n, "<i4")
+        assert (np.diff(code) > 0).all()
+        found.update(dict(zip(code.tolist(), n.tolist())))
+    import pyarrow as pa
+
+    w, i1, i2, _ = lm_scoring._tokens(pa.RecordBatch.from_arrays([pa.array([(t or "").encode() for _, t in rows], pa.binary())], names=["text"]), 0, classes)
+    assert found == Counter(((i2 * classes.size + i1) * classes.size + w).tolist())
+    sizes = [int(np.frombuffer(r.n, "<i4").sum()) for r in got]
+    assert len(got) == -(-classes.total // 900) and max(sizes) < 2 * min(sizes)
 
 
 def test_lm_learns_more_from_more_data(spark):
@@ -165,7 +171,7 @@ def test_lm_learns_more_from_more_data(spark):
     held = table(spark, rows[:100])
     means = []
     for n in (50, 300, 1500):
-        got = lm_scoring.score(held, table(spark, rows[100 : 100 + n]), words=30, endings=2, dim=16, group=20_000)
+        got = lm_scoring.score(held, table(spark, rows[100 : 100 + n]), words=30, endings=2, dim=16, group=100_000)
         means.append(got.agg(F.sum("score") / F.sum("n_tokens")).first()[0])
     assert means[0] + 0.01 < means[1] < means[2] - 0.01
 

@@ -7,12 +7,11 @@ tables of pairs of classes stay small beside it. Within the class of an ending a
 of the count, and the end of a text is a class of its own. The log-bilinear model predicts the class's vector
 from the two preceding classes' vectors, each through a matrix.
 
-What is learnt from are the counts of all (class, class, class) triples of the corpus, summed over all documents. A
-triple's occurrences are cut into shares of at most `TOGETHER`, and shares are dealt out evenly over groups of about
-`GROUP` shares, so a group is a fair part of the corpus and their number follows from the corpus alone. Every group
-trains the model over its shares, with noise words drawn from the unigram distribution in place of a normaliser, and
+Texts are dealt out by their digest to groups of about `GROUP` tokens, copies of a text evenly over the groups, so what a
+group holds and their number follow from the corpus alone. A group counts its (class, class, class) triples, cuts their
+occurrences into shares of at most `TOGETHER`, and trains the model over these in a random order that is fixed, with noise words drawn from the unigram distribution in place of a normaliser, and
 the groups' parameters are averaged, weighted by their occurrences, through a tree; some rounds of this cover all
-documents each. How the input is split over files or tasks moves nothing: the groups hold the same shares in the same order.
+documents each. How the input is split over files or tasks moves nothing.
 
 Scores are normalised exactly. Matrix products give the score of each class after each preceding class at
 either distance; the normalisers of all pairs of preceding classes are one more product of the two tables'
@@ -25,6 +24,7 @@ empty table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,9 +41,9 @@ WORD_CLASSES, ENDING_CLASSES = 5, 2
 #: Words that a task takes together when it counts.
 CHUNK_WORDS = 2_000_000
 BATCH = 1024
-#: Occurrences of one triple that a step takes together; more are spread over further steps and groups, so that
-#: the most frequent ones don't fill the batches they are in. Shares of one group.
-TOGETHER, GROUP = 8, 250_000
+#: Occurrences of one triple that a step takes together; more are spread over further steps, so that the most
+#: frequent ones don't fill the batches they are in. Tokens of one group.
+TOGETHER, GROUP = 8, 1_000_000
 #: Stands for the end of a text among word hashes.
 END = 0
 #: Parameters in one row of the averaging, and groups in which the first level averages.
@@ -64,6 +64,11 @@ class Classes:
     def size(self) -> int:
         return len(self.counts)
 
+    @property
+    def narrow(self) -> str:
+        """A type that holds every class."""
+        return "<u2" if self.size <= 1 << 16 else "<u4"
+
     @property
     def end(self) -> int:
         return self.size - 1
@@ -139,10 +144,15 @@ def _tokens(part: pa.RecordBatch, column: int, classes: Classes) -> tuple[np.nda
     w = np.full(len(h) + n, end, np.int64)
     w[np.arange(len(h)) + np.repeat(np.arange(n), np.diff(first))] = classes.of(h, _endings(data, begin, stop))
     starts = first[:-1] + np.arange(n)
-    before = np.concatenate(([end], w[:-1]))
+    return w, *_before(w, starts, end), starts
+
+
+def _before(w: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class before each token and the one before that, of texts on end that each end in `end`."""
+    before = np.concatenate(([end], w[:-1]))[: len(w)]
     before2 = np.concatenate(([end, end], w[:-2]))[: len(w)]
     before2[starts] = end
-    return w, before, before2, starts
+    return before, before2
 
 
 class LogBilinear:
@@ -212,65 +222,65 @@ def _scatter(size: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _triples(classes: Classes):
-    """Texts to (code, c): their triples (before2, before, word), coded as one number, with their counts."""
-    m = classes.size
+def _sequences(classes: Classes):
+    """Texts to (key, seq): a text's digest and the classes of its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def counted() -> pa.RecordBatch:
-            codes, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], names=["code", "c"])
-
         for part in slices(batches):
-            w, i1, i2, _ = _tokens(part, 0, classes)
-            held.append((i2 * m + i1) * m + w)
-            size += len(w)
-            if size > CHUNK_WORDS:
-                yield counted()
-                held, size = [], 0
-        if held:
-            yield counted()
+            w, _, _, starts = _tokens(part, 0, classes)
+            w, ends = w.astype(classes.narrow), np.append(starts[1:], len(w)) if len(starts) else starts
+            keys = [hashlib.md5(t.as_py(), usedforsecurity=False).digest() for t in part.column(0)]
+            yield pa.RecordBatch.from_arrays([binary_array(keys), binary_array([w[a:b].tobytes() for a, b in zip(starts, ends, strict=True)])], names=["key", "seq"])
 
     return run
 
 
-def _packed(table: pa.Table) -> pa.Table:
-    """One group's shares (code, shares, weight) as arrays in the order of their codes."""
-    code, shares, weight = (table.column(c).to_numpy() for c in ("code", "shares", "weight"))
-    order = np.argsort(code, kind="stable")
-    parts = [x[order].astype(t).tobytes() for x, t in ((code, "<i8"), (shares, "<i8"), (weight, "<f8"))]
-    return pa.table([table.slice(0, 1).column("grp"), *[binary_array([p]) for p in parts]], names=["grp", "code", "shares", "weight"])
+def _counted(classes: Classes):
+    """One group's texts (grp, key, seq, copies) as the triples (before2, before, word) in them, coded as one number and in
+    order, with their counts."""
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")  # in the same order whatever order they come in
+        seqs, copies = (table.column(c).to_pylist() for c in ("seq", "copies"))
+        w = [np.frombuffer(x, classes.narrow) for x in seqs]
+        sizes = np.array([len(x) for x in w])
+        i1, i2 = _before(words := np.concatenate(w).astype(np.int64), np.cumsum(sizes) - sizes, classes.end)
+        codes, n = (i2 * classes.size + i1) * classes.size + words, np.repeat(np.array(copies), sizes)
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        parts = [codes[first].astype("<i8").tobytes(), np.add.reduceat(n, first).astype("<i4").tobytes()]
+        return pa.table([table.slice(0, 1).column("grp"), *[binary_array([p]) for p in parts]], names=["grp", "code", "n"])
 
-def shares_of(triples: DataFrame, group: int = GROUP) -> DataFrame:
-    """(grp, code, shares, weight as arrays) of triples (code, c): the shares of each group, written."""
-    n = F.ceil(F.col("c") / TOGETHER)
-    groups = max(1, -(-(triples.agg(F.sum(n)).first()[0] or 0) // group))
-    dealt = triples.withColumn("n", n).select("code", "c", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(groups)) - 1)).alias("j"))
-    dealt = dealt.select(
-        F.pmod(F.xxhash64("code") + F.col("j"), F.lit(groups)).alias("grp"), "code", (F.floor((F.col("n") - F.col("j") - 1) / groups) + 1).cast("long").alias("shares"), (F.col("c") / F.col("n")).alias("weight")
-    )
-    return materialize(dealt.groupBy("grp").applyInArrow(_packed, "grp long, code binary, shares binary, weight binary"), "lm-shares")
+    return run
+
+
+def groups_of(training: DataFrame, classes: Classes, group: int = GROUP) -> DataFrame:
+    """(grp, code, n as arrays): the triples of each group of texts of about `group` tokens, written. Copies of a text are
+    one row with their number, dealt out evenly over the groups."""
+    texts_ = training.mapInArrow(_sequences(classes), "key binary, seq binary").groupBy("key").agg(F.first("seq").alias("seq"), F.count("*").alias("c"))
+    groups = max(1, -(-classes.total // group))
+    dealt = texts_.select("key", "seq", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.least("c", F.lit(groups)) - 1)).alias("j"))
+    dealt = dealt.select(F.pmod(F.xxhash64("key") + F.col("j"), F.lit(groups)).alias("grp"), "key", "seq", (F.floor((F.col("c") - F.col("j") - 1) / groups) + 1).cast("long").alias("copies"))
+    return materialize(dealt.groupBy("grp").applyInArrow(_counted(classes), "grp long, code binary, n binary"), "lm-triples")
 
 
 def _train(classes: Classes, params: np.ndarray | None, dim: int, noise: int, round_: int):
-    """Groups of `shares_of` to their parameters after a pass."""
+    """Groups of `groups_of` to their parameters after a pass over the shares of their triples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 grp = batch.column(0)[i].as_py()
-                code, shares, weight = (np.frombuffer(batch.column(k)[i].as_py(), t) for k, t in ((1, "<i8"), (2, "<i8"), (3, "<f8")))
+                code, n = (np.frombuffer(batch.column(k)[i].as_py(), t) for k, t in ((1, "<i8"), (2, "<i4")))
+                shares = -(-n // TOGETHER)
                 model, rng = LogBilinear(classes.unigram(), dim, params), np.random.default_rng([100 + round_, grp])
-                model.train(np.repeat(code, shares), np.repeat(weight, shares), rng, noise)
+                model.train(np.repeat(code, shares), np.repeat(n / shares, shares), rng, noise)
                 learnt = model.params.astype(np.float64)
                 blocks = [learnt[a : a + BLOCK] for a in range(0, len(learnt), BLOCK)]
-                n = len(blocks)
+                m = len(blocks)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(n), pa.int32()), pa.array([grp % SALTS] * n, pa.int32()), pa.array([float((shares * weight).sum())] * n), binary_array([b.tobytes() for b in blocks])],
+                    [pa.array(range(m), pa.int32()), pa.array([grp % SALTS] * m, pa.int32()), pa.array([float(n.sum())] * m), binary_array([b.tobytes() for b in blocks])],
                     names=["block", "salt", "weight", "params"],
                 )
 
@@ -307,10 +317,9 @@ def classes_of(counts: DataFrame, words: int = WORD_CLASSES, endings: int = ENDI
 
 def fit(training: DataFrame, classes: Classes, dim: int = DIM, noise: int = NOISE, rounds: int = ROUNDS, group: int = GROUP) -> np.ndarray | None:
     """Parameters of the model, from all training texts. training: (text as binary)."""
-    triples = training.mapInArrow(_triples(classes), "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-    shares, params = shares_of(materialize(triples, "lm-triples"), group), None
+    groups, params = groups_of(training, classes, group), None
     for k in range(rounds):
-        rows = shares.mapInArrow(_train(classes, params, dim, noise, k), _PARAMS)
+        rows = groups.mapInArrow(_train(classes, params, dim, noise, k), _PARAMS)
         for keys in (("block", "salt"), ("block",)):
             rows = rows.groupBy(*keys).applyInArrow(_mean, _PARAMS)
         blocks = rows.orderBy("block").collect()
