@@ -43,7 +43,7 @@ CHUNK_WORDS = 2_000_000
 BATCH = 1024
 #: Occurrences of one triple that a step takes together; more are spread over further steps, so that the most
 #: frequent ones don't fill the batches they are in. Tokens of one group.
-TOGETHER, GROUP = 8, 1_000_000
+TOGETHER, GROUP = 8, 1_500_000
 #: Stands for the end of a text among word hashes.
 END = 0
 #: Parameters in one row of the averaging, and groups in which the first level averages.
@@ -179,15 +179,16 @@ class LogBilinear:
         r1, r2, qw, qn = self.r[i1], self.r[i2], self.out[w], self.out[noise]
         hat = r1 @ self.c1 + r2 @ self.c2
         log_k, log_q = np.float32(np.log(len(noise))), self.log_q
-        good = _sigmoid((hat * qw).sum(1) + self.b[w] - log_k - log_q[w]) - 1
+        good = _sigmoid(np.einsum("ij,ij->i", hat, qw) + self.b[w] - log_k - log_q[w]) - 1
         bad = _sigmoid(hat @ qn.T + (self.b[noise] - log_k - log_q[noise]))
         weight = (weight / weight.sum()).astype(np.float32)
         good, bad = good * weight, bad * weight[:, None]
         d = good[:, None] * qw + bad @ qn
-        out, bias = _scatter(len(self.q), w, good[:, None] * hat), np.bincount(w, good, len(self.q)).astype(np.float32)
-        np.add.at(out, noise, bad.T @ hat)
-        np.add.at(bias, noise, bad.sum(0))
-        grads = [_scatter(len(self.q), i1, d @ self.c1.T) + _scatter(len(self.q), i2, d @ self.c2.T), out, r1.T @ d, r2.T @ d, bias]
+        both = np.concatenate([w, noise])
+        out = _scatter(len(self.q), both, np.concatenate([good[:, None] * hat, bad.T @ hat]))
+        bias = np.bincount(both, np.concatenate([good, bad.sum(0)]), len(self.q)).astype(np.float32)
+        before = _scatter(len(self.q), np.concatenate([i1, i2]), np.concatenate([d @ self.c1.T, d @ self.c2.T]))
+        grads = [before, out, r1.T @ d, r2.T @ d, bias]
         for k, (param, grad) in enumerate(zip((self.r, self.out, self.c1, self.c2, self.b), grads, strict=True)):
             self._move(k, param, grad, rate)
 
@@ -195,11 +196,11 @@ class LogBilinear:
         """A pass over the distinct (before2, before, word), coded as one number, by their counts."""
         m, sums = len(self.q), np.cumsum(self.q)
         order = rng.permutation(len(codes))
+        w, i1, i2 = ((codes // k % m).astype(np.int32) for k in (1, m, m * m))
         for a in range(0, len(order), BATCH):
             own = order[a : a + BATCH]
-            code = codes[own]
             drawn = np.minimum(np.searchsorted(sums, rng.random(noise)), m - 1)
-            self.step(code % m, code // m % m, code // (m * m), counts[own], drawn, rate)
+            self.step(w[own], i1[own], i2[own], counts[own], drawn, rate)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by (before, class) and (before2, class), and log normalisers by (before, before2)."""
@@ -210,16 +211,14 @@ class LogBilinear:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    return 1 / (1 + np.exp(np.minimum(-x, 80)))
 
 
 def _scatter(size: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of rows by index."""
-    out = np.zeros((size, rows.shape[1]), rows.dtype)
-    order = np.argsort(at, kind="stable")
-    start = np.flatnonzero(np.diff(at[order], prepend=-1))
-    out[at[order[start]]] = np.add.reduceat(rows[order], start)
-    return out
+    """Sums of rows by index, as one count over all their cells."""
+    dim = rows.shape[1]
+    cells = (at[:, None] * dim + np.arange(dim)).ravel()
+    return np.bincount(cells, rows.ravel(), size * dim).reshape(size, dim).astype(rows.dtype)
 
 
 def _sequences(classes: Classes):
