@@ -47,9 +47,10 @@ def _route(pair: str, route: int, buy: str, sell: str, ns: np.ndarray, ids: np.n
     last, now = (held["code"], held["open"]) if held else (-1, None)
     starts = np.flatnonzero(np.concatenate(([code[0] != last], code[1:] != code[:-1])))
     out: list[tuple] = []
-    for k, a in enumerate([0, *starts] if not len(starts) or starts[0] else starts):
-        fresh = bool(len(starts)) and a in starts
-        b = next((int(x) for x in starts if x > a), len(code))
+    goes_on = not len(starts) or starts[0] > 0  # the first stretch has the state that is held
+    edges = ([0] if goes_on else []) + starts.tolist()
+    for a, b in zip(edges, [*edges[1:], len(code)], strict=True):
+        fresh = a > 0 or not goes_on
         if fresh and now:  # this row's state closes what was open
             reason = "spread_closed" if code[a] == BELOW else "book_ineligible"
             out.append((now["id"], pair, buy, sell, now["start"], int(ns[a]), reason, now["first"], now["peak_ns"], now["peak"], int(spread[a]) if code[a] == BELOW else None))
@@ -74,9 +75,12 @@ def advance(pair: str, rows: pd.DataFrame, held: dict, end: int, venues: tuple[s
             newest = tops[v].iloc[-1]
             now = {c: (bool if c == "trusted" else int)(newest[c]) for c in _TOP} | {"lapsed": bool(newest["ns"] + max_age + 1 <= end)}
         held["tops"][v] = now | {"chain": list(chain)}
-    times = pd.DataFrame([*zip(rows["ns"], rows["event_id"], strict=True), *lapses], columns=["ns", "event_id"], dtype=np.int64)
-    times = times.drop_duplicates().sort_values(["ns", "event_id"])
-    ns, ids = times["ns"].to_numpy(), times["event_id"].to_numpy()
+    gone = np.array(lapses, np.int64).reshape(-1, 2)
+    ns, ids = (np.concatenate([rows[c].to_numpy(np.int64), gone[:, k]]) for k, c in enumerate(("ns", "event_id")))
+    order = np.lexsort((ids, ns))
+    ns, ids = ns[order], ids[order]
+    new = (np.diff(ns, prepend=-1) != 0) | (np.diff(ids, prepend=-1) != 0)
+    ns, ids = ns[new], ids[new]
     if not len(ns):
         return []
     legs = {}
