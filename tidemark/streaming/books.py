@@ -26,50 +26,72 @@ NONE = -(2**62)
 EMPTY = (0, 0, "none", False, NONE, False, False)
 
 
+#: Reasons in the order in which they are tried; the last one is what is left.
+_NAMES = np.array(["link_down", "link_up", "disconnected", "adapter_reset", "snapshot_incomplete", "snapshot_crossed", "ok", "book_stale", "out_of_order", "sequence_gap", "crossed_book", "book_incomplete", "ok"], object)
+#: Rows of one frame that goes back to Spark.
+SLICE = 1 << 16
+
+
+def gathered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """One key's rows (venue, ns, event_id, kind, bid, ask, off) in event order, of which each text is held once."""
+    columns, once = ["venue", "ns", "event_id", "kind", "bid", "ask", "off"], {}
+    parts = [{c: own[c].map(lambda t: once.setdefault(t, t)).to_numpy(object) if c in ("venue", "kind") else own[c].to_numpy() for c in columns} for own in batches]
+    whole = {c: np.concatenate([p.pop(c) for p in parts]) for c in columns}
+    order = np.lexsort((whole["event_id"], whole["ns"]))
+    return pd.DataFrame({c: whole.pop(c)[order] for c in columns}, copy=False)
+
+
 def accept(rows: pd.DataFrame, held: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
     """(reasons, sequence numbers, chains, what is held after) of one book's rows in event order: (kind, bid, ask,
-    off). held: (n, chain, kind, bad, top, dead, cut), at first `EMPTY`."""
+    off). held: (n, chain, kind, bad, top, dead, cut), at first `EMPTY`.
+
+    All chains are taken at once: what runs within a chain is a running maximum of numbers that a chain's place leads."""
     n, chain, head, bad, top, dead, cut = held
-    kind, crossed = rows["kind"].to_numpy(), (rows["bid"] >= rows["ask"]).to_numpy()
-    hollow = (rows["bid"].isna() | rows["ask"].isna()).to_numpy()
-    link = np.isin(kind, LINKS)
-    last = pd.Series(np.where(link, kind, None)).ffill().to_numpy()
-    down = np.where(pd.isna(last), cut, last == "down") & (kind != "down")
-    seq = n + np.cumsum(~link) + rows["off"].fillna(0).to_numpy(dtype=np.int64)
-    marks = np.flatnonzero((kind != "delta") & ~down)
-    reasons, chains = np.empty(len(rows), object), np.empty(len(rows), np.int64)
-    # One stretch for each chain in the batch; the first one goes on with what is held.
-    for a, b in zip([0, *marks], [*marks, len(rows)], strict=True):
-        if a < b and kind[a] != "delta" and not down[a]:
-            chain, head, bad, top, dead = chain + 1, kind[a], bool(crossed[a] | hollow[a]), NONE, False
-        if a == b:
-            continue
-        own, delta = np.where(down[a:b] | link[a:b], NONE, seq[a:b]), (kind[a:b] == "delta") & ~down[a:b]
-        before = np.concatenate(([top], np.maximum(np.maximum.accumulate(own), top)[:-1]))
-        known = before > NONE
-        gap, fresh = delta & known & (own > before + 1), delta & known & (own == before + 1)
-        ends = gap | (fresh & crossed[a:b])
-        over = np.concatenate(([dead], np.logical_or.accumulate(ends)[:-1] | dead))
-        lost = over | (head != "snapshot") | bad
-        snapshot = kind[a:b] == "snapshot"
-        reasons[a:b] = np.select(
-            [kind[a:b] == "down", kind[a:b] == "up", down[a:b], kind[a:b] == "reset", snapshot & hollow[a:b], snapshot & crossed[a:b], snapshot, lost, known & (own <= before), gap, crossed[a:b], hollow[a:b]],
-            ["link_down", "link_up", "disconnected", "adapter_reset", "snapshot_incomplete", "snapshot_crossed", "ok", "book_stale", "out_of_order", "sequence_gap", "crossed_book", "book_incomplete"],
-            "ok",
-        )
-        chains[a:b] = chain
-        top, dead = max(top, int(own.max())), bool(over[-1] | ends[-1])
-    cut = bool(last[-1] == "down") if len(last) and not pd.isna(last[-1]) else cut
-    return reasons, seq, chains, (int(n + (~link).sum()), int(chain), head, bad, int(top), dead, cut)
+    kind, bid, ask = rows["kind"].to_numpy(object), rows["bid"].to_numpy(float, na_value=np.nan), rows["ask"].to_numpy(float, na_value=np.nan)
+    if not len(kind):
+        return np.empty(0, object), np.empty(0, np.int64), np.empty(0, np.int64), held
+    crossed, hollow = bid >= ask, np.isnan(bid) | np.isnan(ask)
+    downs, ups, delta, snapshot = (kind == k for k in ("down", "up", "delta", "snapshot"))
+    link, place = downs | ups, np.arange(len(kind))
+    last = np.maximum.accumulate(np.where(link, place, -1))
+    down = np.where(last < 0, cut, downs[last]) & ~downs
+    seq = n + np.cumsum(~link) + np.nan_to_num(rows["off"].to_numpy(float, na_value=np.nan)).astype(np.int64)
+    mark = ~delta & ~down
+    at = np.cumsum(mark)  # 0: the chain that is held
+    marks = np.flatnonzero(mark)
+    ready = np.concatenate(([head == "snapshot" and not bad], snapshot[marks] & ~(crossed | hollow)[marks]))[at]
+    own = ~down & ~link
+    low = min(int(seq.min()), top if top > NONE else int(seq.min())) - 1
+    wide = max(int(seq.max()), top) - low + 1
+    reached = np.maximum.accumulate(np.concatenate(([top - low if top > NONE else 0], at * wide + np.where(own, seq - low, 0))))
+    known = (reached[:-1] // wide == at) & (reached[:-1] % wide > 0)
+    before = reached[:-1] % wide + low
+    new = delta & ~down & known
+    gap, fresh = new & (seq > before + 1), new & (seq == before + 1)
+    ended = np.maximum.accumulate(np.concatenate(([0 if dead else -1], np.where(gap | (fresh & crossed), at, -1))))
+    tests = [downs, ups, down, kind == "reset", snapshot & hollow, snapshot & crossed, snapshot, (ended[:-1] == at) | ~ready, known & (seq <= before), gap, crossed, hollow]
+    code = np.full(len(kind), len(tests), np.int8)
+    for k in reversed(range(len(tests))):
+        code[tests[k]] = k
+    if len(marks):
+        head, bad = kind[marks[-1]], bool(crossed[marks[-1]] | hollow[marks[-1]])
+    over = int(reached[-1] % wide) if reached[-1] // wide == at[-1] else 0
+    after = (int(n + np.count_nonzero(~link)), int(chain + len(marks)), head, bad, over + low if over else NONE, bool(ended[-1] == at[-1]), bool(downs[last[-1]]) if last[-1] >= 0 else cut)
+    return _NAMES[code], seq, chain + at, after
 
 
 def _accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["ns", "event_id"], kind="stable")
+    rows = gathered(batches)
     found, seq, chains, held = accept(rows, tuple(state.get) if state.exists else EMPTY)
     state.update(held)
-    out = pd.DataFrame({"event_id": rows["event_id"], "pair": key[0], "venue": key[1], "ns": rows["ns"], "seq": seq, "chain": chains, "reason": found, "accepted": np.isin(found, ["ok", "adapter_reset"])})
-    out["seq"] = out["seq"].astype("Int64").where(~out["reason"].isin(["link_down", "link_up"]))
-    yield out
+    ids, ns, links = rows["event_id"].to_numpy(), rows["ns"].to_numpy(), rows["kind"].isin(LINKS).to_numpy()
+    del rows
+    for a in range(0, len(ids), SLICE):
+        own = slice(a, a + SLICE)
+        out = pd.DataFrame({"event_id": ids[own], "pair": key[0], "venue": key[1], "ns": ns[own], "seq": seq[own], "chain": chains[own], "reason": found[own]})
+        out["accepted"] = out["reason"].isin(["ok", "adapter_reset"])
+        out["seq"] = out["seq"].astype("Int64").mask(links[own])
+        yield out
 
 
 def reasons(feed: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.routes import UNIT
-from tidemark.streaming.books import EMPTY, accept
+from tidemark.streaming.books import EMPTY, accept, gathered
 
 CLOSED = "id long, pair string, buy string, sell string, start_ns long, end_ns long, close_reason string, open_spread long, peak_ns long, peak_spread long, close_spread long"
 ABSENT, BELOW, ABOVE = 0, 1, 2
@@ -107,7 +107,7 @@ def _frame(closed: list[tuple]) -> pd.DataFrame:
 
 def _fold(venues: tuple[str, ...], max_age: int, threshold: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ns", "event_id"], kind="stable")
+        rows = gathered(batches)
         held = json.loads(state.get[0]) if state.exists else {"tops": {}, "routes": {}}
         closed = advance(key[0], rows, held, int(rows["ns"].max()), venues, max_age, threshold)
         state.update((json.dumps(held),))
@@ -148,7 +148,7 @@ class _Closing(StatefulProcessor):
         return _frame(closed)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        own = pd.concat(list(rows)).sort_values(["ns", "event_id"], kind="stable")
+        own = gathered(rows)
         yield self._advance(key[0], own, int(own["ns"].max()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
