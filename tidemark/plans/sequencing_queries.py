@@ -57,7 +57,7 @@ UNION ALL SELECT unnest([-1, -2, -3, -4]), NULL, NULL, NULL"""
 
 def sequencing_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots that are answered twelve hours after they were asked for, against what was buffered."""
-    rows = _updates(spark, sf_dir)
+    rows = settled(_updates(spark, sf_dir).select("pair", "venue", "ns", "event_id", "kind", "n", "first_id", "last_id"), "updates")
     asked = rows.where("kind = 'snapshot'").select("pair", "venue", F.col("event_id").alias("id"), (3 * F.col("n") + 5).alias("snap"), F.col("ns").alias("asked_ns"), (F.col("ns") + 12 * HOUR).alias("got_ns"))
     deltas = rows.where("kind = 'delta'").select("pair", "venue", "ns", "event_id", "first_id", "last_id")
     return sequencing.aligned(asked, deltas, 12 * HOUR).select("id", "pair", "venue", "pending", "dropped", "status")
