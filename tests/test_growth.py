@@ -6,7 +6,9 @@ import tracemalloc
 import duckdb
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from tidemark.llm import lm_scoring
 from tidemark.operators import sequencing
 from tidemark.streaming import books, episodes
 
@@ -85,3 +87,12 @@ def test_alignment_pairs_no_snapshot_with_its_updates(spark):
     out = sequencing.aligned(sn, up, 20_000).groupBy("status").count().collect()
     assert [tuple(r) for r in out] == [("aligned", 3_000)]
     assert time.perf_counter() - began < 20
+
+
+def test_each_training_group_has_a_file_of_its_own(spark):
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "concat_ws(' ', 'w' || id % 7, 'x' || id % 11, 'y' || id, 'z') AS text")
+    taught = lm_scoring.texts(docs)
+    classes = lm_scoring.classes_of(taught.mapInArrow(lm_scoring._count, "h long, e int, c long").groupBy("h").agg(F.min("e").alias("e"), F.sum("c").alias("c")))
+    groups = lm_scoring.groups_of(taught, classes, 500)
+    held = groups.groupBy(F.input_file_name()).count().collect()
+    assert len(held) == 30 and {r["count"] for r in held} == {1}

@@ -46,6 +46,8 @@ BATCH = 1024
 TOGETHER, GROUP = 8, 1_500_000
 #: Stands for the end of a text among word hashes.
 END = 0
+#: Distinct words that one task of the join with counts holds.
+JOINED_WORDS = 500_000
 #: Parameters in one row of the averaging, and groups in which the first level averages.
 BLOCK, SALTS = 4096, 1024
 
@@ -260,8 +262,10 @@ def groups_of(training: DataFrame, classes: Classes, group: int = GROUP) -> Data
     texts_ = training.mapInArrow(_sequences(classes), "key binary, seq binary").groupBy("key").agg(F.first("seq").alias("seq"), F.count("*").alias("c"))
     groups = max(1, -(-classes.total // group))
     dealt = texts_.select("key", "seq", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.least("c", F.lit(groups)) - 1)).alias("j"))
-    dealt = dealt.select(F.pmod(F.xxhash64("key") + F.col("j"), F.lit(groups)).alias("grp"), "key", "seq", (F.floor((F.col("c") - F.col("j") - 1) / groups) + 1).cast("long").alias("copies"))
-    return materialize(dealt.groupBy("grp").applyInArrow(_counted(classes), "grp long, code binary, n binary"), "lm-triples")
+    dealt = dealt.select(F.pmod(F.xxhash64("key") + F.col("j"), F.lit(groups)).cast("int").alias("grp"), "key", "seq", (F.floor((F.col("c") - F.col("j") - 1) / groups) + 1).cast("long").alias("copies"))
+    # A group is a row of many MB, and a Parquet file holds a hundred rows before it looks at their size, so each group has
+    # a partition and a file of its own, however many there are.
+    return materialize(dealt.repartitionById(groups, F.col("grp")).groupBy("grp").applyInArrow(_counted(classes), "grp int, code binary, n binary"), "lm-triples")
 
 
 def _train(classes: Classes, params: np.ndarray | None, dim: int, noise: int, round_: int):
@@ -385,9 +389,12 @@ def score(docs: DataFrame, training: DataFrame | None = None, words: int = WORD_
     key = row_key(F.col("doc_id"), F.col("text")).alias("key")
     rare = texts(docs, key).mapInArrow(_rare(classes), "key binary, h long, tf int, copies int")
     c = F.coalesce("c", F.lit(0))
+    # The counts of a task are held in memory, so their number decides on the number of tasks.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(classes.distinct.sum()) // JOINED_WORDS))
     # Repeated rows share a key, so their sums are divided by their number.
     sums = (
-        rare.join(counts.select("h", "c").hint("shuffle_hash"), "h", "left")
+        rare.repartition(tasks, "h")
+        .join(counts.select("h", "c").repartition(tasks, "h").hint("shuffle_hash"), "h", "left")
         .groupBy("key")
         .agg(F.sum(F.col("tf") * F.log10(c + 0.1)).alias("log_c"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum("copies").alias("copies"))
         .select("key", (F.col("log_c") / F.col("copies")).alias("log_c"), (F.col("known") / F.col("copies")).cast("long").alias("known"))
