@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.llm import lm_scoring
-from tidemark.operators import sequencing
+from tidemark.operators import netsignal, sequencing
 from tidemark.streaming import books, episodes
 
 
@@ -96,3 +96,35 @@ def test_each_training_group_has_a_file_of_its_own(spark):
     groups = lm_scoring.groups_of(taught, classes, 500)
     held = groups.groupBy(F.input_file_name()).count().collect()
     assert len(held) == 30 and {r["count"] for r in held} == {1}
+
+
+def test_overlap_meets_no_episode_one_by_one(spark):
+    rng = np.random.default_rng(4)
+    n, m, end = 1500, 400, 2**60 + 3000
+    route = lambda k: {"pair": rng.choice(["P", "Q"], k), "buy": "v0", "sell": rng.choice(["v1", "v2"], k)}
+    a0, b0 = 2**60 + rng.integers(0, 2900, n), 2**60 + rng.integers(0, 2900, m)
+    iv = pd.DataFrame(route(n) | {"variant": rng.choice(["x", "y"], n), "notional": 5, "open_ns": a0, "close_ns": a0 + rng.integers(-5, 400, n)}).drop_duplicates(["pair", "sell", "variant", "open_ns", "close_ns"])
+    ep = pd.DataFrame(route(m) | {"start_ns": b0, "end_ns": b0 + rng.integers(-5, 90, m)})
+    iv["close_ns"], ep["end_ns"] = iv["close_ns"].astype("Int64").mask(iv.index % 50 == 0), ep["end_ns"].astype("Int64").mask(ep.index % 60 == 0)
+    schema = "pair string, buy string, sell string, "
+    rows = lambda df: [tuple(None if pd.isna(x) else x for x in r) for r in df.astype(object).itertuples(index=False)]
+    left, right = spark.createDataFrame(rows(iv), schema + "variant string, notional long, open_ns long, close_ns long"), spark.createDataFrame(rows(ep), schema + "start_ns long, end_ns long")
+    found = netsignal.overlap(left, right, 500, end)
+    con = duckdb.connect()
+    con.register("iv", iv)
+    con.register("ep", ep)
+    want = con.execute(f"""WITH a AS (SELECT *, coalesce(close_ns, {end}) AS stop FROM iv WHERE coalesce(close_ns, {end}) > open_ns), b AS (SELECT pair, sell, start_ns AS b0, coalesce(end_ns, {end}) AS b1 FROM ep WHERE coalesce(end_ns, {end}) > start_ns)
+    SELECT variant, a.pair, buy, a.sell, notional, open_ns, coalesce(bool_or(b0 <= open_ns AND open_ns < b1), false), CAST(floor(sum(CASE WHEN b0 IS NULL THEN 0 ELSE greatest(0, least(stop, b1) - greatest(open_ns, b0)) END)::DOUBLE * 1e6 / (stop - open_ns)) AS BIGINT)
+    FROM a LEFT JOIN b ON b.pair = a.pair AND b.sell = a.sell AND b0 < stop AND b1 > open_ns GROUP BY variant, a.pair, buy, a.sell, notional, open_ns, stop""").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 1000
+    assert "Generate explode(sequence" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_signals_are_compared_before_notionals_multiply_them(spark):
+    schema = "pair string, route int, buy string, sell string, ns long, event_id long, block long, state string, ask long, bid long, size long, spread long"
+    rows = [("P", 0, "a", "b", t, t, t // 3, s, 10, 12, z, p) for t, (s, z, p) in enumerate([("absent", None, None), ("below", 1, 5), ("below", 2, 5), ("below", 2, 5), ("above", 9, 7), ("absent", 9, None), ("absent", 8, None)])]
+    fees, notionals = spark.createDataFrame([("a", 1), ("b", 1)], "venue string, fee long"), spark.createDataFrame([(15,), (50,)], "notional long")
+    found = netsignal.signals(spark.createDataFrame(rows, schema), notionals, fees)
+    assert sorted((r.notional, r.ns, r.state, r.net) for r in found.collect()) == [(15, 0, "ineligible", None), (15, 1, "insufficient_depth", None), (15, 2, "priced", 3), (15, 4, "priced", 5), (15, 5, "ineligible", None), (50, 0, "ineligible", None), (50, 1, "insufficient_depth", None), (50, 4, "priced", 5), (50, 5, "ineligible", None)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "hashpartitioning" in x and "notional" in x]

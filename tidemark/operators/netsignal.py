@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import block_of, preceding
+from tidemark.operators.asof import block_of, preceding, running
 from tidemark.session import settled
 
 ROUTE = ["pair", "buy", "sell", "notional"]
@@ -18,14 +18,20 @@ def signals(route_rows: DataFrame, notionals: DataFrame, fees: DataFrame) -> Dat
     """(route, notional, ns, event_id, state, net): what a notional nets at each evaluation; only changes of
     (state, net) are kept. Routes of a venue without a fee are left out."""
     fee = lambda leg: F.broadcast(fees.select(F.col("venue").alias(leg), F.col("fee").alias(f"{leg}_fee")))
-    rows = route_rows.join(fee("buy"), "buy").join(fee("sell"), "sell").crossJoin(F.broadcast(notionals))
-    state = F.when(F.col("state") == "absent", "ineligible").when(F.col("size") * F.col("ask") < F.col("notional"), "insufficient_depth").otherwise("priced")
-    net = F.when(state == "priced", F.col("spread") - F.col("buy_fee") - F.col("sell_fee"))
-    rows = rows.select(*ROUTE, *ORDER, "block", state.alias("state"), net.alias("net"))
-    # Each row against the one before it, whichever block that is in.
-    now = F.struct("state", "net")
-    rows = preceding(rows, ROUTE, ORDER, now, "was")
-    return rows.where(F.col("was").isNull() | ~now.eqNullSafe(F.col("was"))).drop("block", "was")
+    # Each row against the one before it, whichever block that is in; notionals come after, as all have the same rows.
+    priced = F.when(F.col("state") != "absent", F.struct((F.col("size") * F.col("ask")).alias("worth"), "spread"))
+    rows = route_rows.join(fee("buy"), "buy").join(fee("sell"), "sell").select("pair", "buy", "sell", *ORDER, "block", "buy_fee", "sell_fee", F.struct((F.col("state") == "absent").alias("absent"), priced.alias("p")).alias("now"))
+    rows = preceding(rows, ["pair", "buy", "sell"], ORDER, F.col("now"), "was")
+    # What a notional makes of a row depends on little, and a row that is like the one before it changes for none.
+    rows = rows.where(~F.col("now").eqNullSafe(F.col("was"))).crossJoin(F.broadcast(notionals))
+
+    def seen(c: str):
+        state = F.when(F.col(f"{c}.absent"), "ineligible").when(F.col(f"{c}.p.worth") < F.col("notional"), "insufficient_depth").otherwise("priced")
+        net = F.when(state == "priced", F.col(f"{c}.p.spread") - F.col("buy_fee") - F.col("sell_fee"))
+        return F.struct(state.alias("state"), net.alias("net"))
+
+    changed = F.col("was").isNull() | ~seen("now").eqNullSafe(seen("was"))
+    return rows.where(changed).select(*ROUTE, *ORDER, seen("now")["state"].alias("state"), seen("now")["net"].alias("net"))
 
 
 def intervals(signals_: DataFrame, variants: DataFrame, block: int = BLOCK) -> DataFrame:
