@@ -71,15 +71,20 @@ def intervals(signals_: DataFrame, variants: DataFrame, block: int = BLOCK) -> D
 
 def overlap(intervals_: DataFrame, episodes: DataFrame, width: int, end_ns: int) -> DataFrame:
     """Each interval with whether an episode of its route covers its start, and how much of it episodes
-    cover (1e-6). Both sides are dealt out by route and bins of `width`, so no task sees a whole route."""
+    cover (1e-6). How long episodes have covered a route by some time follows from the starts and ends until then, so
+    no interval meets episodes one by one: running sums go by blocks of `width`, and the rows of one time are one."""
+    route = ["pair", "buy", "sell"]
     a = intervals_.withColumn("stop", F.coalesce("close_ns", F.lit(end_ns))).where("stop > open_ns")
-    b = episodes.select("pair", "buy", "sell", F.col("start_ns").alias("b0"), F.coalesce("end_ns", F.lit(end_ns)).alias("b1")).where("b1 > b0")
-    bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width)))
-    pieces = a.withColumn("bin", bins("open_ns", "stop")).join(b.withColumn("bin", bins("b0", "b1")), ["pair", "buy", "sell", "bin"], "left")
-    lo = F.greatest(F.col("open_ns"), F.col("b0"), F.col("bin") * width)
-    hi = F.least(F.col("stop"), F.col("b1"), (F.col("bin") + 1) * width)
-    covered = F.when(F.col("b0").isNull(), 0).otherwise(F.greatest(F.lit(0), hi - lo))
-    start = F.coalesce((F.col("b0") <= F.col("open_ns")) & (F.col("open_ns") < F.col("b1")), F.lit(False))
-    keys = ["variant", "pair", "buy", "sell", "notional", "open_ns", "stop"]
-    out = pieces.groupBy(*keys).agg(F.max(start).alias("start_covered"), F.sum(covered).alias("covered"))
-    return out.select(*keys[:-1], "start_covered", F.floor(F.col("covered") * 1e6 / (F.col("stop") - F.col("open_ns"))).cast("long").alias("coverage"))
+    b = episodes.select(*route, F.col("start_ns").alias("b0"), F.coalesce("end_ns", F.lit(end_ns)).alias("b1")).where("b1 > b0")
+    # Intervals of one span ask the same, whatever their variant and notional.
+    asked = a.select(*route, F.explode(F.array("open_ns", "stop")).alias("ns"), F.lit(0).alias("d"))
+    edges = b.select(*route, F.explode(F.array(F.struct(F.col("b0").alias("ns"), F.lit(1).alias("d")), F.struct(F.col("b1").alias("ns"), F.lit(-1).alias("d")))).alias("e")).select(*route, "e.ns", "e.d")
+    times = asked.unionByName(edges).groupBy(*route, "ns").agg(F.sum("d").alias("d")).withColumn("block", block_of(F.col("ns"), width))
+    # Sums of times are beyond 64 bits until starts and ends cancel out.
+    at = running(settled(times, "times"), route, ["ns"], {"live": ("sum", F.col("d"), True), "sum": ("sum", (F.col("d") * F.col("ns")).cast("decimal(28,0)"), True)})
+    at = settled(at.select(*route, "ns", F.col("live"), (F.col("live").cast("decimal(10,0)") * F.col("ns").cast("decimal(20,0)") - F.col("sum")).cast("long").alias("by")), "covered")
+    opened = at.select(*route, F.col("ns").alias("open_ns"), (F.col("live") > 0).alias("start_covered"), F.col("by").alias("by_open"))
+    stopped = at.select(*route, F.col("ns").alias("stop"), F.col("by").alias("by_stop"))
+    out = a.join(opened, [*route, "open_ns"]).join(stopped, [*route, "stop"])
+    out = out.groupBy("variant", *route, "notional", "open_ns", "stop").agg(F.first("start_covered").alias("start_covered"), F.sum(F.col("by_stop") - F.col("by_open")).alias("covered"))
+    return out.select("variant", *route, "notional", "open_ns", "start_covered", F.floor(F.col("covered") * 1e6 / (F.col("stop") - F.col("open_ns"))).cast("long").alias("coverage"))
