@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.llm import lm_scoring
-from tidemark.operators import netsignal, sequencing
+from tidemark.operators import book, netsignal, routes, sequencing
+from tidemark.operators import episodes as batch
+from tidemark.sources import store
 from tidemark.streaming import books, episodes
 
 
@@ -128,3 +130,50 @@ def test_signals_are_compared_before_notionals_multiply_them(spark):
     assert sorted((r.notional, r.ns, r.state, r.net) for r in found.collect()) == [(15, 0, "ineligible", None), (15, 1, "insufficient_depth", None), (15, 2, "priced", 3), (15, 4, "priced", 5), (15, 5, "ineligible", None), (50, 0, "ineligible", None), (50, 1, "insufficient_depth", None), (50, 4, "priced", 5), (50, 5, "ineligible", None)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "hashpartitioning" in x and "notional" in x]
+
+
+TOPS = "pair string, venue string, ns long, event_id long, kind string, trusted boolean, bid long, ask long, bid_size long, ask_size long"
+
+
+def _tops(spark, n=4000):
+    """Tops of two pairs over some blocks of 50, with equal times, untrusted rows and gaps."""
+    rng = np.random.default_rng(5)
+    bid = 10_000 + rng.integers(0, 40, n) * 5
+    rows = zip(rng.choice(["P", "Q"], n).tolist(), rng.choice(["v0", "v1", "v2"], n).tolist(), np.sort(rng.integers(0, 3000, n)).tolist(), range(n), ["delta"] * n, (rng.random(n) < 0.7).tolist(), bid.tolist(), (bid + 10).tolist(), rng.integers(1, 4, n).tolist(), rng.integers(1, 4, n).tolist(), strict=True)
+    return spark.createDataFrame(list(rows), TOPS)
+
+
+def test_only_rows_that_change_a_route_become_its_rows(spark):
+    venues = ("v0", "v1", "v2")
+    aligned = routes.aligned(book.with_expiries(_tops(spark), 20, 50), venues, 50)
+    marked = routes.marked(aligned, venues, 20, 100_000)
+    every, moved, turned = (routes.route_rows(marked, venues, 20, 100_000, only) for only in (None, "moved", "turned"))
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, routes.route_rows(aligned, venues, 20, 100_000).collect()))
+    total = every.count()
+    assert 0 < turned.count() < total / 2 and 0 < moved.count() < total / 1.2
+    found = sorted(map(tuple, batch.episodes(turned).fillna(-1).collect()))
+    assert found == sorted(map(tuple, batch.episodes(every).fillna(-1).collect())) and len(found) > 100
+    fees, notionals = spark.createDataFrame([(v, 100) for v in venues], "venue string, fee long"), spark.createDataFrame([(15_000,), (25_000,)], "notional long")
+    signals = lambda rows: sorted(map(tuple, netsignal.signals(rows, notionals, fees).fillna(-1).collect()))
+    assert signals(moved) == signals(every)
+
+
+def test_states_are_sorted_once_and_without_what_blocks_open_with(spark):
+    # A window after the join with openings sorts rows that hold every venue's opening.
+    plan = routes.aligned(_tops(spark, 50), ("v0", "v1"), 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")
+
+
+def test_a_flush_makes_its_changes_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for row in rows:
+            made.add(len(row))
+            yield row
+
+    columns = [c.split() for c in store.EPISODES.split(", ")]
+    one = spark.range(40).selectExpr(*[f"cast({'id * 86400000000000' if c == 'start_ns' else 'id'} AS {t}) AS {c}" for c, t in columns])
+    kept = store.EpisodeStore(spark, str(tmp_path / "store"))
+    kept.flush(one.mapInPandas(seen, store.EPISODES))
+    assert kept.episodes().count() == 40 and made.value == 40

@@ -15,7 +15,8 @@ _MEASURES = ["ask", "bid", "size", "spread", "buy_age", "sell_age", "skew"]
 
 
 def segments(rows: DataFrame) -> DataFrame:
-    """(route, block, part, state, first, peak, last_ns): runs of equal state inside each block."""
+    """(route, block, part, state, first, peak, last_ns): runs of equal state inside each block. Rows that go on with a
+    state other than above may be left out: only its first row counts."""
     inside = Window.partitionBy(*ROUTE, "block").orderBy("ns", "event_id")
     marked = rows.withColumn("new", F.when(F.col("state").eqNullSafe(F.lag("state").over(inside)), 0).otherwise(1))
     parts = marked.withColumn("part", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
@@ -88,4 +89,4 @@ def upsert_fold(changes: DataFrame, key: list[str], values: list[str]) -> DataFr
     """One row for each key of a stream of (key, values, end_ns, version): a closed row wins over an open
     one and the first closed row over later ones."""
     rank = F.struct(F.col("end_ns").isNotNull(), F.when(F.col("end_ns").isNotNull(), -F.col("version")).otherwise(F.col("version")))
-    return changes.groupBy(*key).agg(*[F.max_by(v, rank).alias(v) for v in values])
+    return changes.groupBy(*key).agg(F.max_by(F.struct(*values), rank).alias("_won")).select(*key, *[F.col("_won")[v].alias(v) for v in values])

@@ -138,7 +138,7 @@ def _tops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes of the level books' routes."""
     rows = routes.aligned(settled(_tops(spark, sf_dir), "depth-tops"), market.VENUES, 360 * DAY)
-    return episodes.episodes(routes.route_rows(rows, market.VENUES, MAX_AGE, common.THRESHOLD))
+    return episodes.episodes(routes.route_rows(routes.marked(rows, market.VENUES, MAX_AGE, common.THRESHOLD), market.VENUES, MAX_AGE, common.THRESHOLD, "turned"))
 
 
 def episode_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:

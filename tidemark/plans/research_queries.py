@@ -108,7 +108,7 @@ SIGNALS = (
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return netsignal.signals(common.route_table(spark, sf_dir), market.notionals(spark), market.fees(spark))
+    return netsignal.signals(common.route_table(spark, sf_dir, "moved"), market.notionals(spark), market.fees(spark))
 
 
 def net_signal(spark: SparkSession, sf_dir: str) -> DataFrame:

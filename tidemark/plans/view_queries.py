@@ -62,7 +62,8 @@ SELECT pair, buy, sell, notional, open_ns AS at_ns, v.s AS state, v.n AS net FRO
 def episode_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each episode with the ages that were recorded for its route at its opening, joined by its key."""
     found = common.episode_store(spark, sf_dir).episodes().select("id", "pair", "buy", "sell", F.col("start_ns").alias("ns"), F.floor(F.col("id") / 8).cast("long").alias("event_id"))
-    ages = common.route_table(spark, sf_dir).select("pair", "buy", "sell", "ns", "event_id", "buy_age", "sell_age", "skew")
+    # A route is above where an episode opens.
+    ages = common.route_table(spark, sf_dir, "turned").where("state = 'above'").select("pair", "buy", "sell", "ns", "event_id", "buy_age", "sell_age", "skew")
     return found.join(ages, ["pair", "buy", "sell", "ns", "event_id"], "left").select("id", "buy_age", "sell_age", "skew")
 
 
@@ -127,7 +128,8 @@ def replay_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = settled(replay.events(capture.frames(records).where("wrong is null"), market.PAIRS), "events")
     tops = book.tops_over_time(book.apply_reasons(events, links=True))
     aligned = routes.aligned(book.with_expiries(tops, common.MAX_AGE, common.BLOCK), market.VENUES, common.BLOCK)
-    found = settled(episodes.episodes(routes.route_rows(aligned, market.VENUES, common.MAX_AGE, common.THRESHOLD)), "replayed-episodes")
+    turns = routes.route_rows(routes.marked(aligned, market.VENUES, common.MAX_AGE, common.THRESHOLD), market.VENUES, common.MAX_AGE, common.THRESHOLD, "turned")
+    found = settled(episodes.episodes(turns), "replayed-episodes")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     line = F.concat_ws("|", *map(text, _REPLAYED))
     marks = audits.digest(found, "pair", F.floor(F.col("start_ns") / DAY).cast("long"), line, ["start_ns", "id"])

@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.operators import history, stats
 from tidemark.operators.episodes import upsert_fold
-from tidemark.session import shared_path, stamps
+from tidemark.session import settled, shared_path, stamps
 from tidemark.sources.market import NS_DAY, NS_MINUTE
 
 KEY = ["start_ns", "pair", "buy", "sell"]
@@ -213,6 +213,7 @@ class EpisodeStore:
         """Fold changes into the episodes of equal key (a closed one stays as it is, else the change wins) and
         rebuild the rollup of the days that they touch, in one commit. Only those days are read and written."""
         base = self.manifest()
+        changes = settled(changes, "changes")  # their days are read first
         days = self._days(changes, "start_ns")
         new = changes.withColumn("version", F.lit(1))
         if any(str(d) in base["tables"].get("episodes", {}) for d in days):
