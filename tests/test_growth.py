@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.llm import lm_scoring
-from tidemark.operators import book, netsignal, routes, sequencing
+from tidemark.operators import book, comparisons, netsignal, routes, sequencing
 from tidemark.operators import episodes as batch
 from tidemark.sources import store
 from tidemark.streaming import books, episodes
@@ -177,3 +177,17 @@ def test_a_flush_makes_its_changes_once(spark, tmp_path):
     kept = store.EpisodeStore(spark, str(tmp_path / "store"))
     kept.flush(one.mapInPandas(seen, store.EPISODES))
     assert kept.episodes().count() == 40 and made.value == 40
+
+
+def test_actions_after_the_last_target_go_no_further(spark, monkeypatch):
+    actions = spark.range(5000).selectExpr("concat('P', id % 2) AS pair", "'bid' AS side", "id % 7 AS price", "id % 5 AS size", "id AS update_id")
+    targets = spark.createDataFrame([("a", "P0", 40), ("b", "P1", 100)], "id string, pair string, at_id long")
+    put = []
+    monkeypatch.setattr(comparisons, "settled", lambda df, name: put.append(df) or df)
+    found = sorted(map(tuple, comparisons.book_at(actions, targets, 16).collect()))
+    want = {}
+    for u in range(5000):
+        for k, pair, at in (("a", 0, 40), ("b", 1, 100)):
+            if u % 2 == pair and u <= at:
+                want[k, u % 7] = (k, f"P{pair}", "bid", u % 7, u % 5, u)
+    assert found == sorted(want.values()) and put[0].count() == 101

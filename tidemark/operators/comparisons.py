@@ -19,11 +19,13 @@ def book_at(actions: DataFrame, targets: DataFrame, width: int) -> DataFrame:
 
     Of actions of one id a deletion counts last. A level's state holds from its action to the next of its price, so
     states and targets meet by pair and bin of `width` ids, and the history is read once however many targets there are.
+    Actions after the last target of all bear on none and go no further than the scan.
     """
-    said = actions.groupBy(*LEVEL, "update_id").agg(F.max(F.struct((F.col("size") <= 0).alias("gone"), "size")).alias("a")).select(*LEVEL, "update_id", F.col("a.size").alias("size"))
+    end = F.broadcast(targets.agg(F.max("at_id").alias("end")))
+    said = actions.crossJoin(end).where("update_id <= end").groupBy(*LEVEL, "update_id").agg(F.max(F.struct((F.col("size") <= 0).alias("gone"), "size")).alias("a")).select(*LEVEL, "update_id", F.col("a.size").alias("size"))
     bin_ = lambda c: F.floor(c / width).cast("long")
     rows = settled(said.withColumn("block", bin_(F.col("update_id") / 16)), "actions")
-    states = following(rows, LEVEL, ["update_id"], F.col("update_id"), "to_id").drop("block")
+    states = following(rows, LEVEL, ["update_id"], F.col("update_id"), "to_id", grows=True).drop("block")
     last = targets.groupBy("pair").agg(F.max("at_id").alias("last"))
     until = F.least(F.col("to_id") - 1, F.col("last"))  # least() passes over a null, the end of a level's last state
     binned = states.join(last, "pair").where(until >= F.col("update_id")).withColumn("bin", F.explode(F.sequence(bin_(F.col("update_id")), bin_(until))))

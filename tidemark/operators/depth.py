@@ -38,7 +38,7 @@ def intervals(updates: DataFrame, block: int = 30 * DAY) -> DataFrame:
     it, null if none does; a deleted level's size is 0."""
     said = updates.groupBy(*LEVEL, "ns").agg(F.max_by("size", "seq").alias("size"))
     rows = settled(said.withColumn("size", F.greatest("size", F.lit(0))), "levels").withColumn("block", block_of(F.col("ns"), block))
-    return following(rows, LEVEL, ["ns"], F.col("ns"), "to_ns").drop("block")
+    return following(rows, LEVEL, ["ns"], F.col("ns"), "to_ns", grows=True).drop("block")
 
 
 def parts(places: DataFrame, rows: int = ROWS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof, book, comparisons
 from tidemark.plans import common
-from tidemark.session import table
+from tidemark.session import settled, table
 from tidemark.sources import market
 
 Q, T = common.QUOTES, common.TRUSTED
@@ -51,13 +51,16 @@ ACTIONS = (
 )
 
 
-def snapshot_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots against the stream's books at their very ids, level by level; lots of 7 count as trades."""
-    rest, stream = _snapshots(spark, sf_dir)
+def _audit(spark: SparkSession, sf_dir: str, rest: DataFrame, stream: DataFrame) -> DataFrame:
     traded = _actions(spark, sf_dir).where("size = 7").select("pair", "price")
     return comparisons.snapshot_comparison(rest, stream, traded)
 
 
+def snapshot_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots against the stream's books at their very ids, level by level; lots of 7 count as trades."""
+    return _audit(spark, sf_dir, *_snapshots(spark, sf_dir))
+
+
 AUDIT_SQL = f"WITH {ACTIONS} SELECT * FROM sc"
 
 
@@ -72,10 +75,11 @@ COUNTS_SQL = f"WITH {ACTIONS} SELECT pair, outcome, last_action, traded, count(*
 
 def discrepancy_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discrepancies by kind and by how deep in the snapshot's side they stand."""
-    rest, _ = _snapshots(spark, sf_dir)
+    rest, stream = _snapshots(spark, sf_dir)
+    rest = settled(rest, "rest")  # ranked, and compared
     deep = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
     ranks = rest.withColumn("rank", F.row_number().over(Window.partitionBy("id", "side").orderBy(deep)) - 1).select("id", "side", "price", "rank")
-    rows = snapshot_audit(spark, sf_dir).where("outcome in ('rest_only', 'size_differs')").join(ranks, ["id", "side", "price"])
+    rows = _audit(spark, sf_dir, rest, stream).where("outcome in ('rest_only', 'size_differs')").join(ranks, ["id", "side", "price"])
     return rows.groupBy("outcome", comparisons.rank_bucket(F.col("rank")).alias("ranks")).agg(F.count("*").alias("n"))
 
 
