@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.llm import lm_scoring
-from tidemark.operators import book, comparisons, netsignal, routes, sequencing
+from tidemark.operators import book, comparisons, fillrates, netsignal, routes, sequencing
 from tidemark.operators import episodes as batch
 from tidemark.sources import store
 from tidemark.streaming import books, episodes
@@ -191,3 +191,12 @@ def test_actions_after_the_last_target_go_no_further(spark, monkeypatch):
             if u % 2 == pair and u <= at:
                 want[k, u % 7] = (k, f"P{pair}", "bid", u % 7, u % 5, u)
     assert found == sorted(want.values()) and put[0].count() == 101
+
+
+def test_samples_need_one_quote_a_tick(spark):
+    start, step = 2**60 - 5, 50  # beyond what a double tells apart
+    tops = _tops(spark).selectExpr("pair", "venue", f"{start} + ns AS ns", "event_id", "trusted AS initialized", "event_id % 9 <> 0 AS connected", "bid", "ask", "bid_size", "ask_size")
+    last = fillrates.last_by_tick(tops, start, step)
+    roster, ticks, notionals = tops.select("pair", "venue").distinct(), fillrates.grid(start, start + 3000, step, spark), spark.createDataFrame([(15_000,)], "notional long")
+    samples = lambda quotes: sorted(map(tuple, fillrates.samples(quotes, roster, ticks, notionals, 200, 500).collect()))
+    assert samples(last) == samples(tops) and last.count() <= 6 * 61 < tops.count() / 8
