@@ -200,3 +200,14 @@ def test_samples_need_one_quote_a_tick(spark):
     roster, ticks, notionals = tops.select("pair", "venue").distinct(), fillrates.grid(start, start + 3000, step, spark), spark.createDataFrame([(15_000,)], "notional long")
     samples = lambda quotes: sorted(map(tuple, fillrates.samples(quotes, roster, ticks, notionals, 200, 500).collect()))
     assert samples(last) == samples(tops) and last.count() <= 6 * 61 < tops.count() / 8
+
+
+def test_links_are_carried_with_the_numbers(spark, monkeypatch):
+    feed = _tops(spark).selectExpr("pair", "venue", "ns", "event_id", "CASE WHEN event_id % 41 = 0 THEN 'down' WHEN event_id % 13 = 0 THEN 'up' WHEN event_id % 5 = 0 THEN 'snapshot' ELSE 'delta' END AS kind", "bid", "ask", "bid_size", "ask_size", "cast(0 AS long) AS off")
+    passes, own = [], book.running
+    monkeypatch.setattr(book, "running", lambda *args: passes.append(args) or own(*args))
+    apart = book.apply_reasons(book.sequenced(feed, 50), 50, links=True)
+    assert len(passes) == 3
+    at_once = book.apply_reasons(book.sequenced(feed, 50, links=True), 50, links=True)
+    assert len(passes) == 5 and apart.columns == at_once.columns
+    assert apart.exceptAll(at_once).count() == 0 and at_once.count() == 4000 and at_once.where("reason = 'disconnected'").count() > 100

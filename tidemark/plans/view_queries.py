@@ -126,7 +126,7 @@ def replay_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     capture.record(replay.frames(common.feed(spark, sf_dir), market.PAIRS), path, list(market.VENUES), 0, gzip=True)
     records = capture.read(spark, path)
     events = settled(replay.events(capture.frames(records).where("wrong is null"), market.PAIRS), "events")
-    tops = book.tops_over_time(book.apply_reasons(events, links=True))
+    tops = settled(book.tops_over_time(book.apply_reasons(events, links=True)), "tops")
     aligned = routes.aligned(book.with_expiries(tops, common.MAX_AGE, common.BLOCK), market.VENUES, common.BLOCK)
     turns = routes.route_rows(routes.marked(aligned, market.VENUES, common.MAX_AGE, common.THRESHOLD), market.VENUES, common.MAX_AGE, common.THRESHOLD, "turned")
     found = settled(episodes.episodes(turns), "replayed-episodes")
