@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.llm import lm_scoring
-from tidemark.operators import book, comparisons, fillrates, netsignal, routes, sequencing
+from tidemark.operators import book, comparisons, depth, fillrates, netsignal, routes, sequencing
 from tidemark.operators import episodes as batch
 from tidemark.sources import store
 from tidemark.streaming import books, episodes
@@ -211,3 +211,13 @@ def test_links_are_carried_with_the_numbers(spark, monkeypatch):
     at_once = book.apply_reasons(book.sequenced(feed, 50, links=True), 50, links=True)
     assert len(passes) == 5 and apart.columns == at_once.columns
     assert apart.exceptAll(at_once).count() == 0 and at_once.count() == 4000 and at_once.where("reason = 'disconnected'").count() > 100
+
+
+def test_level_states_are_made_once_for_all_instants(spark, monkeypatch):
+    updates = spark.range(600).selectExpr("'P' AS pair", "concat('v', id % 3) AS venue", "'bid' AS side", "id % 11 AS price", "id % 4 AS size", "id div 3 * 86400000000000 AS ns", "id AS seq")
+    rank = F.substring("venue", 2, 1).cast("long")
+    states = depth.intervals(updates)
+    want = depth.dealt(updates, depth.messages(updates, rank), rank, 100)
+    monkeypatch.setattr(depth, "intervals", None)
+    got = depth.dealt(states, depth.messages(states, rank), rank, 100)
+    assert want.exceptAll(got).count() == 0 and got.count() == want.count() > 1200

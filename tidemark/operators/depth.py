@@ -50,8 +50,9 @@ def parts(places: DataFrame, rows: int = ROWS) -> DataFrame:
 
 def dealt(updates: DataFrame, instants: DataFrame, rank: Column, rows: int = ROWS) -> DataFrame:
     """All that a part's task needs, by (pair, part): levels that are live when it begins (kind open), when each venue
-    was last heard before (heard), its updates (update) and its instants (at)."""
-    states = settled(intervals(updates), "states")
+    was last heard before (heard), its updates (update) and its instants (at). In place of updates their
+    `intervals` may be given, settled, as they are the same for all instants."""
+    states = updates if "to_ns" in updates.columns else settled(intervals(updates), "states")
     places = states.select("pair", "ns").unionByName(instants.select("pair", "ns"))
     index = settled(parts(places, rows), "parts")
     day = lambda df, ns: df.withColumn("day", block_of(F.col(ns), DAY))
@@ -270,6 +271,6 @@ def samples(rows: DataFrame, venues: tuple[str, ...], notionals: tuple[int, ...]
     return _grouped(rows, run, SAMPLES)
 
 
-def messages(updates: DataFrame, rank: Column) -> DataFrame:
-    """The instants right after each message."""
-    return updates.select("pair", "venue", "ns").distinct().withColumn("rank", rank)
+def messages(states: DataFrame, rank: Column) -> DataFrame:
+    """The instants right after each message, of updates or their `intervals`."""
+    return states.select("pair", "venue", "ns").distinct().withColumn("rank", rank)

@@ -28,12 +28,17 @@ def _rank() -> Column:
     return F.substring("venue", 2, 1).cast("long")
 
 
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of all levels, made once for messages, episodes' moments and ticks."""
+    return derived(table(spark, sf_dir, "lineitem"), "level-states", lambda: depth.intervals(market.levels(spark, sf_dir)))
+
+
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of the routes of each message's venue, right after it."""
 
     def make() -> DataFrame:
-        updates = market.levels(spark, sf_dir)
-        rows = depth.dealt(updates, depth.messages(updates, _rank()), _rank())
+        states = _states(spark, sf_dir)
+        rows = depth.dealt(states, depth.messages(states, _rank()), _rank())
         return depth.routes(rows, market.VENUES, NOTIONALS, _PRICED, MAX_AGE)
 
     return derived(table(spark, sf_dir, "lineitem"), "depth-routes", make)
@@ -131,8 +136,8 @@ INTERVALS_SQL = f"""WITH {SIGNALS}, va(variant, threshold, hysteresis, delay) AS
 
 
 def _tops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updates = market.levels(spark, sf_dir)
-    return depth.tops(depth.dealt(updates, depth.messages(updates, _rank()), _rank()), market.VENUES, MAX_AGE)
+    states = _states(spark, sf_dir)
+    return depth.tops(depth.dealt(states, depth.messages(states, _rank()), _rank()), market.VENUES, MAX_AGE)
 
 
 def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +153,7 @@ def episode_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
     moments = F.array(*[F.struct(F.lit(m).alias("moment"), ns.alias("ns"), at.alias("rank")) for m, ns, at in (("open", F.col("start_ns"), F.floor(F.col("id") / 8).cast("long")), ("peak", F.col("peak_ns"), F.col("peak_id")))])
     asked = settled(found.select("id", "pair", "buy", "sell", F.explode(moments).alias("m")).select("id", "pair", "buy", "sell", "m.moment", "m.ns", "m.rank"), "moments")
     instants = asked.select("pair", "ns", "rank").distinct().withColumn("venue", F.lit(None).cast("string"))
-    rows = depth.routes(depth.dealt(market.levels(spark, sf_dir), instants, _rank()), market.VENUES, NOTIONALS, _PRICED, MAX_AGE)
+    rows = depth.routes(depth.dealt(_states(spark, sf_dir), instants, _rank()), market.VENUES, NOTIONALS, _PRICED, MAX_AGE)
     priced = asked.join(rows.withColumnRenamed("event_id", "rank"), ["pair", "buy", "sell", "ns", "rank"])
     short = F.col("gross").isNull()
     return priced.select("id", "pair", "buy", "sell", "moment", "ns", "notional", "top_spread", "gross", (F.col("gross") - F.col("top_spread")).alias("depth_impact"), (F.col("net") - F.col("gross")).alias("fee_impact"), "net", short.alias("insufficient_depth"))
@@ -177,7 +182,7 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = depth.dealt(market.levels(spark, sf_dir), _grid(spark, sf_dir), _rank())
+    rows = depth.dealt(_states(spark, sf_dir), _grid(spark, sf_dir), _rank())
     return depth.samples(rows, (*market.VENUES, "v9"), NOTIONALS, MAX_AGE, CAP)
 
 
