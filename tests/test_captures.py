@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import stats
-from tidemark.sources import capture, metrics, replay
+from tidemark.sources import capture, messages, metrics, replay
 from tidemark.streaming import books
 
 FRAMES = "exchange string, kind string, wall_ns long, mono_ns long, raw string, payload string, connected boolean, reason string"
@@ -78,3 +78,31 @@ def test_a_window_without_episodes(spark):
     minutes = spark.createDataFrame([], "bucket_ns long, pair string, quote string, n long, max_spread long, sum_spread long, sum_profit long")
     (row,) = stats.window_summary(minutes, spark.createDataFrame([], "life long")).collect()
     assert (row.n, row.closed, row.profit) == (0, 0, "") and {row.max_spread, row.mean_spread, row.top_pair, row.peak_minute_ns, row.life_p50} == {None}
+
+
+def test_messages_are_decoded_where_they_lie(spark):
+    envelope = '{"sequence_num": 5, "E": 9, "events": [{"type": "update", "product_id": "P", "updates": [{"side": "bid", "price_level": "7", "new_quantity": "1"}]}, null, {"type": "snapshot", "product_id": "Q", "updates": []}, {"type": "update", "product_id": "P", "updates": [{"side": "offer", "price_level": "8", "new_quantity": "2"}]}]}'
+    rows = [(9, "v1", 3, envelope), (9, "v1", 4, envelope), (1, "v1", 5, '{"sequence_num": 6, "events": []}'), (2, "v1", 6, '{"sequence_num": 7}'), (3, "v1", 7, "no"), (4, "v0", 8, '{"s": "P", "U": 3, "u": 4, "b": [["1", "2"]], "a": []}'), (5, "v2", 9, "{}"), (6, None, 9, "{}")]
+    found = messages.decode(spark.createDataFrame(rows, "event_id long, venue string, ns long, raw string"))
+    levels = lambda side: None if side is None else [tuple(map(int, x)) for x in side]
+    got = [(r.event_id, r.ns, r.symbol, r.kind, r.first_id, r.last_id, levels(r.bids), levels(r.asks)) for r in found.collect()]
+    twice = [(9, t, *r) for t in (3, 4) for r in (("P", "delta", 5, 5, [(7, 1)], [(8, 2)]), ("Q", "snapshot", 5, 5, [], []), (None, "delta", 5, 5, None, None))]
+    want = [*twice, (1, 5, None, "delta", 6, 6, None, None), (2, 6, None, "delta", 7, 7, None, None), (3, 7, None, "invalid", None, None, None, None), (4, 8, "P", "delta", 3, 4, [(1, 2)], []), (5, 9, None, "invalid", None, None, None, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_capture_is_replayed_in_one_pass_without_a_shuffle(spark, tmp_path):
+    path = str(tmp_path / "c")
+    capture.record(frames(spark), path, ["a", "b"], 7)
+    found = replay.events(capture.frames(capture.read(spark, path)).where("wrong is null"), ("P", "Q"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan text") == 1
+    assert found.count() == 4
+
+
+def test_files_of_a_capture_are_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(capture, "FILE_FRAMES", 2)
+    path = str(tmp_path / "c")
+    capture.record(frames(spark).coalesce(1), path, ["a", "b"], 7)
+    assert max(r["count"] for r in capture.read(spark, path).where("type = 'frame'").groupBy("file").count().collect()) == 2
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"

@@ -81,6 +81,8 @@ def write(lines: DataFrame, path: str, gzip: bool = False) -> None:
 
 #: Why a writer drops a frame.
 REASONS = ("queue_full", "writer_closed", "writer_failed", "serialization_error")
+#: Most frames of one file: one task reads a packed file whole.
+FILE_FRAMES = 250_000
 
 
 def record(frames_: DataFrame, path: str, exchanges: list[str], started_wall_ns: int, gzip: bool = False) -> None:
@@ -96,7 +98,14 @@ def record(frames_: DataFrame, path: str, exchanges: list[str], started_wall_ns:
     lines = frames_.observe(seen, *[c.alias(n) for n, c in counts.items()]).where("reason is null")
     lines = lines.select("exchange", F.to_json(F.struct(F.lit("frame").alias("type"), *own)).alias("line"))
     packed = "gzip" if gzip else "none"
-    lines.write.partitionBy("exchange").option("compression", packed).text(path)
+    # Each task keeps a file open for each exchange; else it would sort its lines, which are far wider than its frames.
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, len(exchanges) + 1)
+    try:
+        lines.write.partitionBy("exchange").option("compression", packed).option("maxRecordsPerFile", FILE_FRAMES).text(path)
+    finally:
+        spark.conf.set(key, before)
     got, edges = seen.get, []
     for e in exchanges:
         accepted = {k: got[f"accepted|{e}|{k}"] for k in KINDS}

@@ -26,38 +26,34 @@ def level_updates(updates: Column, side: str) -> Column:
 
 
 def decode(raw: DataFrame) -> DataFrame:
-    """raw: (event_id, venue, raw) as (event_id, venue, symbol, kind, first_id, last_id, bids, asks).
+    """raw: (event_id, venue, raw) as (event_id, venue, symbol, kind, first_id, last_id, bids, asks), with raw's other
+    columns between. Each message is decoded where it lies: nothing is shuffled, and each text is read once.
 
     Text of another shape gives null ids and levels and the kind `invalid`.
     """
-    d = raw.where("venue <> 'v1'").withColumn("m", F.from_json("raw", DIFF))
-    shot = F.col("m.lastUpdateId").isNotNull()
-    diffs = d.select(
-        "event_id",
-        "venue",
-        F.coalesce("m.s", "m.symbol").alias("symbol"),
-        F.when(shot, "snapshot").when(F.col("m.u").isNotNull(), "delta").otherwise("invalid").alias("kind"),
-        F.coalesce(F.get_json_object("raw", "$.U").cast("long"), F.col("m.lastUpdateId")).alias("first_id"),
-        F.coalesce("m.u", "m.lastUpdateId").alias("last_id"),
-        level_rows(F.coalesce("m.b", "m.bids")).alias("bids"),
-        level_rows(F.coalesce("m.a", "m.asks")).alias("asks"),
-    )
-    e = raw.where("venue = 'v1'").withColumn("m", F.from_json("raw", ENVELOPE)).select("event_id", "venue", F.col("m.sequence_num").alias("id"), F.posexplode_outer("m.events").alias("at", "x"))
+    envelope = F.col("venue") == "v1"
+    rows = raw.where("venue is not null").withColumns({"_m": F.when(~envelope, F.from_json("raw", DIFF)), "_e": F.when(envelope, F.from_json("raw", ENVELOPE)), "_first": F.when(~envelope, F.get_json_object("raw", "$.U").cast("long"))})
     # Events of one product in an envelope are one update, in the envelope's order.
-    parts = F.array_sort(F.collect_list(F.struct("at", F.col("x.updates").alias("updates"))))
-    updates = F.flatten(F.transform(parts, lambda p: p["updates"]))
-    grouped = e.groupBy("event_id", "venue", "id", F.col("x.product_id").alias("symbol")).agg(F.max(F.when(F.col("x.type") == "snapshot", 1).otherwise(0)).alias("shot"), updates.alias("updates"))
-    envelopes = grouped.select(
+    products = F.array_distinct(F.transform("_e.events", lambda x: x["product_id"]))
+    kept = [c for c in raw.columns if c not in ("event_id", "venue", "raw")]
+    rows = rows.select("event_id", "venue", *kept, "_m", "_e", "_first", F.explode_outer(F.when(envelope, products).otherwise(F.array(F.coalesce("_m.s", "_m.symbol")))).alias("symbol"))
+    own = F.filter("_e.events", lambda x: x["product_id"].eqNullSafe(F.col("symbol")))
+    rows = rows.withColumn("_own", F.when(F.size("_e.events") > 0, own))
+    shot = F.when(envelope, F.exists("_own", lambda x: F.coalesce(x["type"] == "snapshot", F.lit(False)))).otherwise(F.col("_m.lastUpdateId").isNotNull())
+    last = F.when(envelope, F.col("_e.sequence_num")).otherwise(F.coalesce("_m.u", "_m.lastUpdateId"))
+    rows = rows.withColumn("_updates", F.flatten(F.transform("_own", lambda x: x["updates"])))
+    side = lambda sided, plain: F.when(envelope, level_updates(F.col("_updates"), sided)).otherwise(level_rows(plain))
+    return rows.select(
         "event_id",
         "venue",
+        *kept,
         "symbol",
-        F.when(F.col("id").isNull(), "invalid").when(F.col("shot") == 1, "snapshot").otherwise("delta").alias("kind"),
-        F.col("id").alias("first_id"),
-        F.col("id").alias("last_id"),
-        level_updates(F.col("updates"), "bid").alias("bids"),
-        level_updates(F.col("updates"), "offer").alias("asks"),
+        F.when(last.isNull(), "invalid").when(shot, "snapshot").otherwise("delta").alias("kind"),
+        F.when(envelope, last).otherwise(F.coalesce("_first", "_m.lastUpdateId")).alias("first_id"),
+        last.alias("last_id"),
+        side("bid", F.coalesce("_m.b", "_m.bids")).alias("bids"),
+        side("offer", F.coalesce("_m.a", "_m.asks")).alias("asks"),
     )
-    return diffs.unionByName(envelopes)
 
 
 def encode(quotes: DataFrame) -> DataFrame:

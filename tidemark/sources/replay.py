@@ -49,17 +49,30 @@ def frames(feed: DataFrame, pairs: tuple[str, ...]) -> DataFrame:
 def events(frames_: DataFrame, pairs: tuple[str, ...]) -> DataFrame:
     """Frames of a capture as (event_id, pair, venue, ns, kind, bid, ask, bid_size, ask_size, seq), as frames were made
     of; messages of another shape give none."""
-    said = frames_.where("kind <> 'connection'").select(F.col("exchange").alias("venue"), F.col("mono_ns").alias("ns"), F.coalesce("raw", "payload").alias("raw"))
-    name = F.get_json_object("raw", "$.id")
-    acks = said.where(name.rlike(ACK) & (F.get_json_object("raw", "$.status") == "200"))
-    nothing = [F.lit(None).cast("long").alias(c) for c in ("bid", "ask", "bid_size", "ask_size", "seq")]
-    resets = acks.select(F.regexp_extract(name, ACK, 2).cast("long").alias("event_id"), F.regexp_extract(name, ACK, 1).alias("pair"), "venue", "ns", F.lit("reset").alias("kind"), *nothing)
-    told = said.withColumn("event_id", F.get_json_object("raw", "$.E").cast("long")).where("event_id is not null")
-    first = lambda side, field: F.get(F.col(side), F.lit(0))[field].cast("long")
-    decoded = messages.decode(told).where("kind <> 'invalid'").join(told.select("event_id", "venue", "ns"), ["event_id", "venue"])
-    updates = decoded.select("event_id", F.col("symbol").alias("pair"), "venue", "ns", "kind", first("bids", "price").alias("bid"), first("asks", "price").alias("ask"), first("bids", "size").alias("bid_size"), first("asks", "size").alias("ask_size"), F.col("last_id").alias("seq"))
+    link = F.col("kind") == "connection"
+    said = frames_.where("kind is not null").select(
+        F.col("exchange").alias("venue"), F.col("mono_ns").alias("ns"), link.alias("link"), F.when(F.col("connected"), "up").otherwise("down").alias("turn"), F.col("connection_generation").alias("turn_id"), F.when(~link, F.coalesce("raw", "payload")).alias("raw")
+    )
+    said = said.withColumns({"name": F.get_json_object("raw", "$.id"), "status": F.get_json_object("raw", "$.status"), "number": F.get_json_object("raw", "$.E").cast("long")})
+    row = lambda what, event_id, pair=F.lit(None), raw=F.lit(None): F.struct(what.alias("what"), event_id.alias("event_id"), pair.cast("string").alias("pair"), raw.cast("string").alias("raw"))
     # A connection is every pair's.
-    links = frames_.where("kind = 'connection'").select(
-        F.col("connection_generation").alias("event_id"), F.explode(F.array(*map(F.lit, pairs))).alias("pair"), F.col("exchange").alias("venue"), F.col("mono_ns").alias("ns"), F.when(F.col("connected"), "up").otherwise("down").alias("kind"), *nothing
+    links = F.array(*[row(F.col("turn"), F.col("turn_id"), F.lit(p)) for p in pairs])
+    ack = F.when(F.col("name").rlike(ACK) & (F.col("status") == "200"), row(F.lit("reset"), F.regexp_extract("name", ACK, 2).cast("long"), F.regexp_extract("name", ACK, 1)))
+    told = F.when(F.col("number").isNotNull(), row(F.lit("told"), F.col("number"), raw=F.col("raw")))
+    # One pass over the frames; of links and acknowledgements there is nothing more to decode.
+    rows = said.select("venue", "ns", F.explode(F.when(F.col("link"), links).otherwise(F.array_compact(F.array(ack, told)))).alias("r")).select("venue", "ns", "r.*")
+    own = F.col("what") == "told"
+    decoded = messages.decode(rows).where(~own | (F.col("kind") != "invalid"))
+    first = lambda side, field: F.get(F.col(side), F.lit(0))[field].cast("long")
+    return decoded.select(
+        "event_id",
+        F.when(own, F.col("symbol")).otherwise(F.col("pair")).alias("pair"),
+        "venue",
+        "ns",
+        F.when(own, F.col("kind")).otherwise(F.col("what")).alias("kind"),
+        first("bids", "price").alias("bid"),
+        first("asks", "price").alias("ask"),
+        first("bids", "size").alias("bid_size"),
+        first("asks", "size").alias("ask_size"),
+        F.col("last_id").alias("seq"),
     )
-    return updates.unionByName(resets).unionByName(links)
