@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.llm import lm_scoring
-from tidemark.operators import book, comparisons, depth, fillrates, netsignal, routes, sequencing
+from tidemark.operators import book, comparisons, depth, fillrates, netsignal, research, routes, sequencing
 from tidemark.operators import episodes as batch
 from tidemark.sources import store
 from tidemark.streaming import books, episodes
@@ -221,3 +221,28 @@ def test_level_states_are_made_once_for_all_instants(spark, monkeypatch):
     monkeypatch.setattr(depth, "intervals", None)
     got = depth.dealt(states, depth.messages(states, rank), rank, 100)
     assert want.exceptAll(got).count() == 0 and got.count() == want.count() > 1200
+
+
+def test_acceptance_writes_rows_once(spark, monkeypatch):
+    # Numbers, links and what a block knows of its chains come of one deal of the rows; it took three, and two tables.
+    feed = _tops(spark).selectExpr("pair", "venue", "ns", "event_id", "CASE WHEN event_id % 41 = 0 THEN 'down' WHEN event_id % 13 = 0 THEN 'up' WHEN event_id % 5 = 0 THEN 'snapshot' ELSE 'delta' END AS kind", "bid", "ask", "bid_size", "ask_size", "cast(0 AS long) AS off")
+    put, own = [], book.settled
+    monkeypatch.setattr(book, "settled", lambda df, name: put.append(df) or own(df, name))
+    assert book.apply_reasons(book.sequenced(feed, 50, links=True), 50, links=True).count() == 4000
+    dealt = [x for x in put[0]._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x and "block#" in x]
+    # The rows, each block's ends, and what blocks open with.
+    assert len(put) == 1 and len(dealt) == 3
+
+
+def test_lapses_are_found_once(spark):
+    rows = book.with_expiries(_tops(spark), 20, 50)
+    assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.where("kind = 'expiry'").count() > 10
+
+
+def test_gates_read_episodes_once(spark):
+    rows = spark.range(50).selectExpr("id AS buy_age", "id % 7 AS sell_age", "id % 3 - 1 AS net", "id AS peak_profit", "'Q' AS quote", "id % 2 AS notional")
+    found = research.gate_sensitivity(rows, spark.range(10, 30, 10).withColumnRenamed("id", "cutoff"), ("notional",), winners=F.count_if(F.col("net") > 0), all_profit=F.sum("peak_profit"))
+    got = {(r.notional, r.cutoff): (r.retained, r.rejected, r.unknown, r.survivors, r.profit, r.winners, r.all_profit) for r in found.collect()}
+    net = lambda i: i % 3 - 1
+    want = {(n, c): (len(k := [i for i in own if i <= c]), len(own) - len(k), 0, sum(net(i) > 0 for i in k), sum(k), sum(net(i) > 0 for i in own), sum(own)) for n in (0, 1) for own in [range(n, 50, 2)] for c in (10, 20)}
+    assert {k: v for k, v in got.items()} == want

@@ -75,18 +75,20 @@ def band_table(evaluations: DataFrame, episodes: DataFrame, spark) -> DataFrame:
     return rows.select("dimension", "band", zero("evaluations"), zero("opened"), zero("ineligible"), rate.alias("open_rate"), "longest")
 
 
-def gate_sensitivity(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
+def gate_sensitivity(rows: DataFrame, cutoffs: DataFrame, by: tuple[str, ...] = (), **more: Column) -> DataFrame:
     """For each cutoff of the older leg's age: episodes that a gate there keeps or rejects, and survivors.
 
-    rows: (buy_age, sell_age, net, peak_profit, quote); cutoffs: (cutoff), few.
+    rows: (buy_age, sell_age, net, peak_profit, quote); cutoffs: (cutoff), few. `by` are columns to group by as well, and
+    `more` are further aggregates of a group.
     """
     oldest = F.when(F.col("buy_age").isNotNull() & F.col("sell_age").isNotNull(), F.greatest("buy_age", "sell_age"))
     out = rows.withColumn("oldest", oldest).crossJoin(F.broadcast(cutoffs))
     kept = F.coalesce(F.col("oldest") <= F.col("cutoff"), F.lit(False))
-    return out.groupBy("cutoff", "quote").agg(
+    return out.groupBy(*by, "cutoff", "quote").agg(
         F.count_if(kept).alias("retained"),
         F.count_if(F.col("oldest") > F.col("cutoff")).alias("rejected"),
         F.count_if(F.col("oldest").isNull()).alias("unknown"),
         F.count_if(kept & (F.col("net") > 0)).alias("survivors"),
         F.sum(F.when(kept, F.col("peak_profit")).otherwise(0)).alias("profit"),
+        *[c.alias(n) for n, c in more.items()],
     )

@@ -196,14 +196,9 @@ SELECT pair, l, r, max(lag) FILTER (n = 1) AS best_lag, max(lag) FILTER (n = 2)
 def gate_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gate_sensitivity by notional, with the survivors' share of all and the kept share of the profit (1e-6)."""
     cutoffs = spark.createDataFrame([(h * HOUR,) for h in (1, 2, 4, 6)], "cutoff long")
-    rows = research_queries._ledgers(spark, sf_dir)
-    found = None
-    for n in market.NOTIONALS:
-        one = research.gate_sensitivity(rows.where(F.col("notional") == n), cutoffs).withColumn("notional", F.lit(n).cast("long"))
-        found = one if found is None else found.unionByName(one)
-    all_ = rows.groupBy("notional", "quote").agg(F.count_if(F.col("net") > 0).alias("winners"), F.sum("peak_profit").alias("all_profit"))
+    # Every cutoff sees all rows, so a notional's totals are in each of its groups.
+    both = research.gate_sensitivity(research_queries._ledgers(spark, sf_dir), cutoffs, ("notional",), winners=F.count_if(F.col("net") > 0), all_profit=F.sum("peak_profit"))
     share = lambda a, b: F.floor(F.try_divide(F.col(a) * 1_000_000, F.col(b))).cast("long")
-    both = found.join(all_, ["notional", "quote"])
     return both.select("notional", "cutoff", "quote", "retained", "rejected", "unknown", "survivors", share("survivors", "winners").alias("survivor_share"), share("profit", "all_profit").alias("profit_share"))
 
 
