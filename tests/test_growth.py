@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.llm import lm_scoring
-from tidemark.operators import book, comparisons, depth, fillrates, netsignal, research, routes, sequencing
+from tidemark.operators import book, comparisons, depth, fillrates, leadlag, netsignal, research, routes, sequencing
 from tidemark.operators import episodes as batch
+from tidemark.plans import common, research_queries, sequencing_queries
 from tidemark.sources import store
 from tidemark.streaming import books, episodes
 
@@ -246,3 +248,14 @@ def test_gates_read_episodes_once(spark):
     net = lambda i: i % 3 - 1
     want = {(n, c): (len(k := [i for i in own if i <= c]), len(own) - len(k), 0, sum(net(i) > 0 for i in k), sum(k), sum(net(i) > 0 for i in own), sum(own)) for n in (0, 1) for own in [range(n, 50, 2)] for c in (10, 20)}
     assert {k: v for k, v in got.items()} == want
+
+
+def test_lapses_and_ticks_are_made_once_for_all_queries(spark, monkeypatch):
+    sf, made = "/root/testdata/sf0.001", []
+    for module, name in ((book, "lapses"), (leadlag, "ticks")):
+        own = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *args, own=own, name=name: made.append(name) or own(*args))
+    monkeypatch.setattr(session, "_derived", {})
+    for query in (sequencing_queries.replay_transitions, research_queries.return_intervals, research_queries.tick_series, common.route_table, sequencing_queries.replay_transitions):
+        query(spark, sf)
+    assert sorted(made) == ["lapses", "ticks"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import leadlag, netsignal, research, stats
 from tidemark.plans import common
+from tidemark.session import derived, table
 from tidemark.sources import market
 
 E = common.EPISODES
@@ -174,7 +175,8 @@ TICKS = (
 
 
 def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leadlag.ticks(common.trusted_quotes(spark, sf_dir), BIN)
+    """A row a book and bin, made once for all queries of all quotes."""
+    return derived(table(spark, sf_dir, "events"), "ticks", lambda: leadlag.ticks(common.trusted_quotes(spark, sf_dir), BIN))
 
 
 def tick_series(spark: SparkSession, sf_dir: str) -> DataFrame:

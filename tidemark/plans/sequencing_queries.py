@@ -192,7 +192,7 @@ SELECT exchange, tick, a.w + tick - a.m AS wall_ns FROM t"""
 
 def replay_expiries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The instants at which books lapse, none after the last frame."""
-    rows = book.with_expiries(common.trusted_quotes(spark, sf_dir), common.MAX_AGE)
+    rows = common.lapsing_quotes(spark, sf_dir)
     return rows.where("kind = 'expiry'").select("pair", "venue", "event_id", "ns")
 
 
@@ -201,7 +201,7 @@ EXPIRIES_SQL = f"WITH {common.EXPIRIES} SELECT pair, venue, event_id, ns FROM te
 
 def replay_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each change of a book between trusted, untrusted and lapsed."""
-    rows = book.with_expiries(common.trusted_quotes(spark, sf_dir), common.MAX_AGE)
+    rows = common.lapsing_quotes(spark, sf_dir)
     state = F.when(~F.col("trusted"), "untrusted").when(F.col("kind") == "expiry", "lapsed").otherwise("trusted")
     runs = audits.runs(rows, book.BOOK, ["ns", "event_id"], state)
     return runs.select("pair", "venue", "state", "start_ns", "end_ns", "rows")
